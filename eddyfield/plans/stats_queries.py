@@ -71,6 +71,12 @@ scales AS MATERIALIZED (
 TURBULENCE = (MEAN_SQL, FLUCT_SQL, SQUARES_SQL)
 
 
+def first_mean(table):
+    """The mean field of the first case as the supplied mean field of every case."""
+    first = align.mean_field(table.filter("case_id = 'case0'")).drop("case_id")
+    return table.select("case_id", "y", "x").distinct().join(first, ["y", "x"])
+
+
 @query("temporal_mean", f"SELECT case_id, y, x, {r('avg(u)', 'u_mean')}, {r('avg(v)', 'v_mean')}, {r('avg(w)', 'w_mean')}, "
        f"{r('avg(c)', 'c_mean')}, count(u) AS u_count, count(v) AS v_count, count(w) AS w_count, count(c) AS c_count FROM voxel GROUP BY ALL")
 def temporal_mean(spark, sf_dir):
@@ -105,9 +111,7 @@ def rms_fluct(spark, sf_dir):
 def rms_fluct_supplied(spark, sf_dir):
     """Every case about the mean field of the first one."""
     table = voxel(spark, sf_dir)
-    cases = table.select("case_id").distinct()
-    first = align.mean_field(table.filter("case_id = 'case0'"), "c").drop("case_id")
-    return rounded(stats.rms_fluct(table, first.join(cases)), 6, "c_rms")
+    return rounded(stats.rms_fluct(table, first_mean(table)), 6, "c_rms")
 
 
 @query("intermittency", "SELECT case_id, y, x, coalesce(count_if(c > 0.1)::DOUBLE / nullif(count(c), 0), 0) AS intermittency FROM voxel GROUP BY ALL")
@@ -142,9 +146,7 @@ def dissipation(spark, sf_dir):
 def dissipation_supplied(spark, sf_dir):
     """Every case about the mean field of the first one."""
     table = voxel(spark, sf_dir)
-    cases = table.select("case_id").distinct()
-    first = align.mean_field(table.filter("case_id = 'case0'")).drop("case_id")
-    return rounded(turbulence.dissipation(table, DX, NU, mean=first.join(cases)), 6, "epsilon")
+    return rounded(turbulence.dissipation(table, DX, NU, mean=first_mean(table)), 6, "epsilon")
 
 
 @query("turbulence_scales", f"SELECT case_id, y, x, {r('taylor_length', 'taylor_length', DIGITS)}, {r('kolmogorov_length', 'kolmogorov_length', DIGITS)}, "
