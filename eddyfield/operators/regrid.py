@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eddyfield.model import PIXEL
-from eddyfield.operators.select import mesh
 from eddyfield.session import settle
 
 
@@ -262,13 +261,3 @@ def regrid_curvilinear(
         side *= 2
     raise RuntimeError("targets lie too far from every point for this cell size")
 
-
-__all__ = [
-    "fill_nearest",
-    "linear_weights",
-    "locate",
-    "mesh",
-    "nearest_weights",
-    "regrid",
-    "regrid_curvilinear",
-]

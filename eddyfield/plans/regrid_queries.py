@@ -106,7 +106,7 @@ def regrid_curvilinear(spark, sf_dir):
     table = voxel(spark, sf_dir)
     placed = select.roi_coords(table, axis(spark, sf_dir))
     points = placed.select("case_id", "t", (F.col("x_mm") + F.lit(0.05) * F.col("y")).alias("x_mm"), (F.col("y_mm") + F.lit(0.03) * F.col("x")).alias("y_mm"), "c")
-    targets = regrid.mesh(target_axes(spark, sf_dir)).join(table.select("case_id", "t").distinct(), "case_id")
+    targets = select.mesh(target_axes(spark, sf_dir)).join(table.select("case_id", "t").distinct(), "case_id")
     return regrid.regrid_curvilinear(points, targets, "c", cell=0.8)
 
 
