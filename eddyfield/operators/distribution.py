@@ -152,31 +152,37 @@ def order_statistics(samples: DataFrame, keys: list[str], value: str, percents:
         .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("position"), F.ceil("position"))))),
         "wanted",
     )
-    brackets = settle(
-        wanted.select(*keys, "rank", "lo", "hi", F.lit(0).cast("bigint").alias("below")).distinct(), "brackets"
+    ranked = settle(
+        wanted.select(*keys, "rank", "lo", "hi", F.lit(0).cast("bigint").alias("below")).distinct(), "ranked"
     )
     closed = []
     while True:
-        closed.append(brackets.filter("lo = hi").select(*keys, "rank", F.col("lo").alias("at_rank")))
-        still_open = brackets.filter("lo < hi")
+        closed.append(ranked.filter("lo = hi").select(*keys, "rank", F.col("lo").alias("at_rank")))
+        still_open = ranked.filter("lo < hi")
         if still_open.isEmpty():
             break
+        # ranks often share a bracket; brackets of a group do not overlap
+        brackets = still_open.select(*keys, "lo", "hi", "below").distinct()
         part = F.least(
             F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(SUB_BINS)), F.lit(SUB_BINS - 1)
         )
+        running = Window.partitionBy(*keys, "bracket").orderBy("part")  # at most SUB_BINS rows
         parts = (
-            present.join(still_open, keys)
+            present.join(brackets, keys)
             .filter(F.col("_v").between(F.col("lo"), F.col("hi")))
-            .groupBy(*keys, "rank", "below", part.alias("part"))
-            .agg(F.count("_v").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+            .groupBy(*keys, F.col("lo").alias("bracket"), "below", part.alias("part"))
+            .agg(F.count("_v").alias("n"), F.min("_v").alias("new_lo"), F.max("_v").alias("new_hi"))
+            .withColumn("end", F.col("below") + F.sum("n").over(running))
+            .drop("below")
         )
-        running = Window.partitionBy(*keys, "rank").orderBy("part")  # at most SUB_BINS rows
-        end = F.col("below") + F.sum("n").over(running)
-        brackets = settle(
-            parts.withColumn("end", end)
+        ranked = settle(
+            still_open.withColumnRenamed("lo", "bracket")
+            .join(parts, [*keys, "bracket"])
             .filter((F.col("end") > F.col("rank")) & (F.col("end") - F.col("n") <= F.col("rank")))
-            .select(*keys, "rank", "lo", "hi", (F.col("end") - F.col("n")).alias("below")),
-            "brackets",
+            .select(
+                *keys, "rank", F.col("new_lo").alias("lo"), F.col("new_hi").alias("hi"), (F.col("end") - F.col("n")).alias("below")
+            ),
+            "ranked",
         )
     ranks = closed[0]
     for more in closed[1:]:
