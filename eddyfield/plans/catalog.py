@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from eddyfield.plans import ingest_queries, profile_queries, regrid_queries, select_queries, stats_queries, stencil_queries  # noqa: F401
+from eddyfield.plans import (  # noqa: F401
+    ingest_queries,
+    motion_queries,
+    profile_queries,
+    regrid_queries,
+    select_queries,
+    stats_queries,
+    stencil_queries,
+)
 from eddyfield.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -13,8 +13,8 @@ from eddyfield.operators import align, sequence, stats
 from eddyfield.plans.fixture import _once, voxel
 from eddyfield.plans.registry import query, r, rounded
 from eddyfield.plans.stats_queries import MEAN_SQL
-from eddyfield.session import new_path
-from eddyfield.sources import tables
+from eddyfield.session import new_path, settle
+from eddyfield.sources import arrays, register, tables
 
 
 def heads_of(spark, sf_dir):
@@ -124,8 +124,6 @@ def stack_files(spark, sf_dir):
         table, root = voxel(spark, sf_dir), new_path(spark, "stacks")
         frames = tables.frames_of(table, "u").unionByName(tables.frames_of(table, "c"))
         written = tables.write_arrays(frames, root, "npy")
-        from eddyfield.session import settle
-
         return settle(written.withColumn("root", F.lit(root)), "stack_files")
 
     return _once(spark, sf_dir, "stack_files", build)
@@ -176,19 +174,16 @@ def text_files(spark, sf_dir):
 
     def build():
         root = new_path(spark, "logs")
+        register(spark)
 
         def write(key, pdf):
-            import os
-
             pdf = pdf.sort_values("event_id")
             lines = ["device log", "columns: event value", "---"]
             for i, (event, value) in enumerate(zip(pdf["event_id"], pdf["value"])):
                 lines.append(f"{event}  {value!r}" + ("  # checked" if i % 7 == 0 else ""))
                 if i == 4:
                     lines += ["# pause", ""]
-            os.makedirs(root, exist_ok=True)
-            with open(f"{root}/log{int(key[0]):06d}.txt", "w") as out:
-                out.write("\n".join(lines) + "\n")
+            arrays.write_bytes(f"{root}/log{int(key[0]):06d}.txt", ("\n".join(lines) + "\n").encode())
             return pdf.head(1)[["event_id"]]
 
         events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value")

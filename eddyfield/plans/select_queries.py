@@ -108,7 +108,7 @@ def make_target_grid(spark, sf_dir):
     return rounded(select.make_target_grid(axis(spark, sf_dir), nx=27, ny=16), 6, "x_mm", "y_mm")
 
 
-@query("make_step_grid", f"SELECT case_id, dim, CAST(i AS INTEGER) AS idx, {r('i * 0.5', 'mm')} FROM (SELECT case_id, dim, "
+@query("make_step_grid", f"SELECT case_id, dim, CAST(i AS INTEGER) AS idx, {r('i * 0.5::DOUBLE', 'mm')} FROM (SELECT case_id, dim, "
        "CASE WHEN dim = 'x' THEN 14.0 ELSE 6.0 END AS size FROM axis GROUP BY ALL), range(40) g(i) WHERE i < ceil(floor(round(size, 6)) / 0.5)")
 def make_step_grid(spark, sf_dir):
     """Half-millimetre points below the whole part of the extent."""

@@ -26,6 +26,16 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), path
 
 
+def write_bytes(path: str, content: bytes) -> None:
+    """Write a file under another name, then move it in place in one step: a retried task
+    leaves the same file, and no reader sees half of one."""
+    system, inner = file_system(path)
+    system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(f"{inner}.part") as out:
+        out.write(content)
+    system.move(f"{inner}.part", inner)
+
+
 def files_under(path: str, suffix: str) -> list[str]:
     """The file itself, or the files of a folder in order of their names."""
     system, inner = file_system(path)

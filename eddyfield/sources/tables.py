@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eddyfield.session import settle
-from eddyfield.sources import register
+from eddyfield.sources import arrays, register
 
 
 def scan_stack(
@@ -60,37 +60,27 @@ def write_arrays(frames: DataFrame, root: str, form: str, frames_per_file: int =
     ``<root>/<component>/<case_id>/<first frame>.npy`` or ``.npz``. Returns one row per file."""
     if form not in ("npy", "npz"):
         raise ValueError(f"unknown form {form}")
+    register(frames.sparkSession)
 
     def write(key, pdf):
         import io
 
         import numpy as np
-        from pyarrow import fs
 
         case, component, block = key
         pdf = pdf.sort_values("t")
-        arrays = [
+        stack = [
             np.array([np.nan if v is None else v for v in data], dtype=np.float32).reshape(ny, nx)
             for data, ny, nx in zip(pdf["data"], pdf["ny"], pdf["nx"])
         ]
         buffer = io.BytesIO()
         if form == "npy":
-            np.save(buffer, np.stack(arrays))
+            np.save(buffer, np.stack(stack))
         else:
-            np.savez(buffer, **{f"arr_{t}": a for t, a in zip(pdf["t"], arrays)})
-        folder = f"{root}/{component}/{case}"
-        if "://" in folder or folder.startswith("file:"):
-            system, folder = fs.FileSystem.from_uri(folder)
-        else:
-            system = fs.LocalFileSystem()
-        system.create_dir(folder, recursive=True)
-        path = f"{folder}/{int(block) * frames_per_file:09d}.{form}"
-        # a retried task writes the same bytes to its own name, then takes the place in one step
-        with system.open_output_stream(f"{path}.part") as out:
-            out.write(buffer.getvalue())
-        system.move(f"{path}.part", path)
-        yield_frame = {"case_id": [case], "component": [component], "path": [path], "frames": [len(arrays)]}
-        return type(pdf)(yield_frame)
+            np.savez(buffer, **{f"arr_{t}": a for t, a in zip(pdf["t"], stack)})
+        path = f"{root}/{component}/{case}/{int(block) * frames_per_file:09d}.{form}"
+        arrays.write_bytes(path, buffer.getvalue())
+        return type(pdf)({"case_id": [case], "component": [component], "path": [path], "frames": [len(stack)]})
 
     block = F.floor(F.col("t") / F.lit(frames_per_file)).cast("int")
     return (
