@@ -81,9 +81,11 @@ def nearest_coord(axis: DataFrame, targets: DataFrame) -> DataFrame:
             F.col("target").cast("double").alias("target"),
         )
     )
-    line = Window.partitionBy(*keys).orderBy("mm")
-    below = F.last("point", ignorenulls=True).over(line.rangeBetween(Window.unboundedPreceding, 0))
-    above = F.first("point", ignorenulls=True).over(line.rangeBetween(0, Window.unboundedFollowing))
+    # at equal coordinates points sort before targets, in both directions
+    line, is_target = Window.partitionBy(*keys), F.col("target").isNotNull()
+    so_far = (Window.unboundedPreceding, 0)
+    below = F.last("point", ignorenulls=True).over(line.orderBy("mm", is_target).rowsBetween(*so_far))
+    above = F.last("point", ignorenulls=True).over(line.orderBy(F.desc("mm"), is_target).rowsBetween(*so_far))
     found = both.withColumn("below", below).withColumn("above", above).filter(F.col("target").isNotNull())
     d_below = F.col("target") - F.col("below.mm")
     d_above = F.col("above.mm") - F.col("target")

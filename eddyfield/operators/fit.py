@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eddyfield.operators.regrid import locate
+from eddyfield.session import settle
 
 MIN_SIGMA = 1e-6
 LINE = ["case_id", "target"]
@@ -105,10 +106,11 @@ def gaussian_collapse(
     with a failed fit in any case are left out.
     """
     failed = params.filter(F.col("mu").isNull()).select("target").distinct()
-    nodes = (
+    nodes = settle(
         _usable(profile, x_range)
         .join(params.join(failed, "target", "left_anti"), LINE)
-        .select(*LINE, "amp", F.col("x").alias("idx"), ((F.col("x_mm") - F.col("mu")) / F.col("sigma")).alias("mm"))
+        .select(*LINE, "amp", F.col("x").alias("idx"), ((F.col("x_mm") - F.col("mu")) / F.col("sigma")).alias("mm")),
+        "nodes",
     )
     z = F.col("mm")
     peaks = nodes.groupBy(*LINE).agg(F.max("amp").alias("amp"), F.max(F.exp(F.lit(-0.5) * z * z)).alias("peak"))

@@ -8,7 +8,7 @@ particles are shuffled, and since each cell holds few of them no key is hot.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eddyfield.model import VOXEL
@@ -57,42 +57,36 @@ def velocity_cells(voxel: DataFrame, axis: DataFrame, tile: Tile = Tile()) -> Da
     return settle_buckets(cells, "cells", CELL)
 
 
-def _velocity(particles: DataFrame, cells: DataFrame, frame: Column, px: Column, py: Column, stage: int, blend: float) -> DataFrame:
-    """Velocity ``(u<stage>, v<stage>)`` of every particle at (px, py) in a frame."""
-    at = particles.withColumn("_px", px).withColumn("_py", py).withColumn("_t", frame)
-    for dim, where in (("x", F.col("_px")), ("y", F.col("_py"))):
-        position = (where - F.col(f"{dim}0")) / F.col(f"{dim}_pitch")
-        index = F.least(F.greatest(F.floor(position), F.lit(0)), F.col(f"n{dim}") - 2)
-        at = at.withColumn(f"_c{dim}", F.when(where.isNotNull(), index).cast("int")).withColumn(
-            f"_s{dim}", position - F.col(f"_c{dim}")
-        )
-    here = cells.select(*[F.col(c).alias(f"cell_{c}") if c in CELL else F.col(c) for c in cells.columns])
-    at_cell = [at[mine] == here[f"cell_{c}"] for mine, c in (("case_id", "case_id"), ("_t", "t"), ("_cy", "y"), ("_cx", "x"))]
-    met = at.join(here, at_cell, "left")
-    sx, sy = F.col("_sx"), F.col("_sy")
-
-    def inner(k: str) -> Column:
-        low = (1 - sx) * F.col(f"{k}00") + sx * F.col(f"{k}01")
-        high = (1 - sx) * F.col(f"{k}10") + sx * F.col(f"{k}11")
-        return (1 - sy) * low + sy * high
-
-    outer = {
-        "u": F.col("g_xx") * F.col("_px") + F.col("g_xy") * F.col("_py") + F.col("u_mean"),
-        "v": F.col("g_yx") * F.col("_px") + F.col("g_yy") * F.col("_py") + F.col("v_mean"),
-    }
-
-    def fade(dim: str) -> Column:
-        left = (F.col(f"{dim}_far") - F.abs(F.col(f"_p{dim}"))) / F.lit(blend)
-        return F.when(left >= 1, 1.0).otherwise(left * left * (3 - 2 * left))
-
-    outside = (F.abs(F.col("_px")) >= F.col("x_far")) | (F.abs(F.col("_py")) >= F.col("y_far"))
-    weight = F.when(outside, 0.0).otherwise(fade("x") * fade("y"))
-    for k in ("u", "v"):
-        met = met.withColumn(
-            f"{k}{stage}",
-            F.when(weight == 0, outer[k]).when(weight == 1, inner(k)).otherwise(outer[k] + (inner(k) - outer[k]) * weight),
-        )
-    return met.select(*particles.columns, f"u{stage}", f"v{stage}")
+def _velocity(particles: DataFrame, cells: DataFrame, frame: str, px: str, py: str, stage: int, blend: float) -> DataFrame:
+    """Velocity ``(u<stage>, v<stage>)`` of every particle at (px, py) in a frame: bilinear
+    inside, the linear flow of the frame outside, a smooth step between over ``blend``."""
+    at = particles.selectExpr("*", f"{px} AS _px", f"{py} AS _py", f"{frame} AS _t").selectExpr(
+        "*", *[f"(_p{d} - {d}0) / {d}_pitch AS _f{d}" for d in "xy"]
+    ).selectExpr(
+        "*", *[f"int(CASE WHEN _f{d} IS NOT NULL THEN least(greatest(floor(_f{d}), 0), n{d} - 2) END) AS _c{d}" for d in "xy"]
+    )
+    here = cells.selectExpr(*[f"{c} AS cell_{c}" if c in CELL else c for c in cells.columns])
+    met = at.join(here, F.expr("case_id = cell_case_id AND _t = cell_t AND _cy = cell_y AND _cx = cell_x"), "left")
+    fade = {d: f"({d}_far - abs(_p{d})) / {blend}" for d in "xy"}
+    step = {d: f"CASE WHEN {fade[d]} >= 1 THEN 1 ELSE ({fade[d]}) * ({fade[d]}) * (3 - 2 * ({fade[d]})) END" for d in "xy"}
+    met = met.selectExpr(
+        *particles.columns,
+        f"CASE WHEN abs(_px) >= x_far OR abs(_py) >= y_far THEN 0D ELSE ({step['x']}) * ({step['y']}) END AS _w",
+        *[
+            f"(1 - (_fy - _cy)) * ((1 - (_fx - _cx)) * {k}00 + (_fx - _cx) * {k}01)"
+            f" + (_fy - _cy) * ((1 - (_fx - _cx)) * {k}10 + (_fx - _cx) * {k}11) AS _in_{k}"
+            for k in "uv"
+        ],
+        "g_xx * _px + g_xy * _py + u_mean AS _out_u",
+        "g_yx * _px + g_yy * _py + v_mean AS _out_v",
+    )
+    return met.selectExpr(
+        *particles.columns,
+        *[
+            f"CASE WHEN _w = 0 THEN _out_{k} WHEN _w = 1 THEN _in_{k} ELSE _out_{k} + (_in_{k} - _out_{k}) * _w END AS {k}{stage}"
+            for k in "uv"
+        ],
+    )
 
 
 def particle_advect(
@@ -119,22 +113,19 @@ def particle_advect(
     state = start.select(*PARTICLE, F.col("x_mm").alias("px"), F.col("y_mm").alias("py"))
     step = direction * dt
     for n in range(n_steps):
-        now = F.col("start_t") + F.lit(direction * n)
-        between = now if direction == 1 else now - 1
+        now = f"(start_t + {direction * n})"
+        between = now if direction == 1 else f"({now} - 1)"
+        stages = [
+            (now, "px", "py"),
+            (between, f"px + {step / 2}D * u1", f"py + {step / 2}D * v1"),
+            (between, f"px + {step / 2}D * u2", f"py + {step / 2}D * v2"),
+            (f"({now} + {direction})", f"px + {step}D * u3", f"py + {step}D * v3"),
+        ]
         moving = state.join(grid, "case_id")
-        half = F.lit(step / 2)
-        px, py = F.col("px"), F.col("py")
-        moving = _velocity(moving, cells, now, px, py, 1, blend)
-        moving = _velocity(moving, cells, between, px + half * F.col("u1"), py + half * F.col("v1"), 2, blend)
-        moving = _velocity(moving, cells, between, px + half * F.col("u2"), py + half * F.col("v2"), 3, blend)
-        full = F.lit(step)
-        moving = _velocity(moving, cells, now + direction, px + full * F.col("u3"), py + full * F.col("v3"), 4, blend)
-
-        def moved(p: Column, k: str) -> Column:
-            total = F.col(f"{k}1") + 2 * F.col(f"{k}2") + 2 * F.col(f"{k}3") + F.col(f"{k}4")
-            return p + F.lit(step / 6) * total
-
-        state = settle(moving.select(*PARTICLE, moved(px, "u").alias("px"), moved(py, "v").alias("py")), "particles")
+        for stage, (frame, px, py) in enumerate(stages, start=1):
+            moving = _velocity(moving, cells, frame, px, py, stage, blend)
+        moved = [f"{p} + {step / 6}D * ({k}1 + 2 * {k}2 + 2 * {k}3 + {k}4) AS {p}" for p, k in (("px", "u"), ("py", "v"))]
+        state = settle(moving.selectExpr(*PARTICLE, *moved), "particles")
     return state
 
 

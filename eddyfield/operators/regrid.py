@@ -43,11 +43,13 @@ def locate(axis: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     both = cells.select(*keys, "mm", "cell", F.lit(None).cast("int").alias("to")).unionByName(
         targets.select(*keys, "mm", F.lit(None).cast(cell_type).alias("cell"), F.col("to").cast("int").alias("to"))
     )
-    # points sort before targets at the same coordinate
+    # points sort before targets at the same coordinate; before the first cell, take that one
     ordered = Window.partitionBy(*keys).orderBy("mm", F.col("to").isNotNull())
     below = F.last("cell", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first("cell", ignorenulls=True).over(ordered.rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumn("at", F.coalesce(below, above)).filter(F.col("to").isNotNull())
+    lowest = F.first("cell", ignorenulls=True).over(
+        ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    )
+    found = both.withColumn("at", F.coalesce(below, lowest)).filter(F.col("to").isNotNull())
     lo, hi = F.col("at.lo"), F.col("at.hi")
     return found.select(
         *keys,
@@ -152,11 +154,12 @@ def fill_nearest(field: DataFrame, value: str) -> DataFrame:
     further row can be nearer. Work is proportional to the gap size, not to all pairs.
     """
     field = settle(field.select(*PIXEL, value), "field")
-    line = Window.partitionBy("case_id", "y").orderBy("x")
+    line = Window.partitionBy("case_id", "y")
+    so_far = (Window.unboundedPreceding, 0)
     here = F.when(F.col(value).isNotNull(), F.struct(F.col("x").alias("sx"), F.col(value).alias("sv")))
     rows = (
-        field.withColumn("left", F.last(here, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("right", F.first(here, ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing)))
+        field.withColumn("left", F.last(here, ignorenulls=True).over(line.orderBy("x").rowsBetween(*so_far)))
+        .withColumn("right", F.last(here, ignorenulls=True).over(line.orderBy(F.desc("x")).rowsBetween(*so_far)))
         .withColumn("dl", F.col("x") - F.col("left.sx"))
         .withColumn("dr", F.col("right.sx") - F.col("x"))
     )

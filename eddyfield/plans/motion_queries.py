@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from eddyfield.model import VOXEL
 from eddyfield.operators import fit, lagrange, select
 from eddyfield.plans.fixture import _once, axis, voxel
-from eddyfield.plans.profile_queries import LATERAL_SQL, lateral_of
+from eddyfield.plans.profile_queries import LATERAL_SQL, stored_lateral
 from eddyfield.plans.registry import query, r, rounded
 from eddyfield.plans.stats_queries import MEAN_SQL, strict_sql
 
@@ -21,13 +21,13 @@ moments AS MATERIALIZED (
 
 @query("gaussian_moments", f"SELECT case_id, {r('target', 'target')}, {r('amp', 'amp')}, {r('mu', 'mu')}, {r('sigma', 'sigma')} FROM moments", MEAN_SQL, LATERAL_SQL, MOMENTS_SQL)
 def gaussian_moments(spark, sf_dir):
-    return rounded(fit.gaussian_moments(lateral_of(spark, sf_dir)), 6, "target", "amp", "mu", "sigma")
+    return rounded(fit.gaussian_moments(stored_lateral(spark, sf_dir)), 6, "target", "amp", "mu", "sigma")
 
 
 @query("gaussian_fit")
 def gaussian_fit(spark, sf_dir):
     """Least-squares fits of the measured profiles; no SQL form."""
-    return fit.gaussian_fit(lateral_of(spark, sf_dir))
+    return fit.gaussian_fit(stored_lateral(spark, sf_dir))
 
 
 BELLS_SQL = """
@@ -61,7 +61,7 @@ hits AS (SELECT target, point, avg((g + (ng - g) * (zs.z - s.z) / (nz - s.z)) /
        MEAN_SQL, LATERAL_SQL, MOMENTS_SQL, COLLAPSE_SQL)
 def gaussian_collapse(spark, sf_dir):
     """Collapse on the moment parameters, which SQL can state."""
-    lateral = lateral_of(spark, sf_dir)
+    lateral = stored_lateral(spark, sf_dir)
     return rounded(fit.gaussian_collapse(lateral, fit.gaussian_moments(lateral)), 6, "target", "z", "value")
 
 
@@ -114,11 +114,15 @@ def advect_sql(direction: int) -> list[str]:
     return out
 
 
+def flow_of(spark, sf_dir):
+    """Velocity without gaps, so that every frame has a linear flow."""
+    return voxel(spark, sf_dir).select(*VOXEL, "u", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
 def advected(spark, sf_dir, direction):
-    table = voxel(spark, sf_dir).select(*VOXEL, "u", F.coalesce("v", F.lit(0.0)).alias("v"))
     return _once(
         spark, sf_dir, f"advected{direction}",
-        lambda: lagrange.particle_advect(table, axis(spark, sf_dir), STEPS, dt=DT, direction=direction, blend=BLEND),
+        lambda: lagrange.particle_advect(flow_of(spark, sf_dir), axis(spark, sf_dir), STEPS, dt=DT, direction=direction, blend=BLEND),
     )
 
 

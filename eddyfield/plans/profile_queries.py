@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eddyfield.model import PIXEL
 from eddyfield.operators import align, distribution, profile, select, stats, turbulence
-from eddyfield.plans.fixture import axis, voxel
+from eddyfield.plans.fixture import _once, axis, voxel
 from eddyfield.plans.registry import query, r, rounded
 from eddyfield.plans.select_queries import AXES
 from eddyfield.plans.stats_queries import MEAN_SQL, TURBULENCE
@@ -211,6 +211,11 @@ def lateral_of(spark, sf_dir):
     return profile.lateral_profile(align.mean_field(table, "c"), axes, targets, "c", reach=1, x_mm=(-5.01, 4.01))
 
 
+def stored_lateral(spark, sf_dir):
+    """The same profiles, stored once for the queries that go on from them."""
+    return _once(spark, sf_dir, "lateral", lambda: settle(lateral_of(spark, sf_dir), "lateral"))
+
+
 @query("lateral_profile", f"SELECT case_id, {r('target', 'target')}, {r('nearest_mm', 'nearest_mm')}, x, {r('x_mm', 'x_mm')}, {r('value', 'value')} FROM lateral_profile", MEAN_SQL, LATERAL_SQL)
 def lateral_profile(spark, sf_dir):
     return rounded(lateral_of(spark, sf_dir), 6, "target", "nearest_mm", "x_mm", "value")
