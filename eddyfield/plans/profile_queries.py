@@ -50,7 +50,7 @@ def concentration_pdf_case(spark, sf_dir):
 
 @query("gamma_fit", "SELECT case_id, y, x, CAST(i AS INTEGER) AS point, " + ", ".join([
     r("m", "mean"), r("s", "std"), r("s / m", "intensity"), r("k", "k"), r("v", "value"),
-    r("pow(k, k) / gamma(k) * pow(v / m, k - 1) * exp(-k * v / m) / m", "pdf")])
+    r("exp(k * ln(k) - lgamma(k) + (k - 1) * ln(v / m) - k * v / m - ln(m))", "pdf")])
     + " FROM (SELECT *, 1 / ((s / m) * (s / m)) AS k FROM (SELECT case_id, y, x, avg(c) AS m, stddev_pop(c) AS s FROM voxel GROUP BY ALL HAVING stddev_pop(c) > 0)), "
       "(SELECT i, 0.03::DOUBLE + i * (0.9::DOUBLE - 0.03::DOUBLE) / 9 AS v FROM range(10) g(i))")
 def gamma_fit(spark, sf_dir):
