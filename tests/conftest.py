@@ -4,7 +4,6 @@ import sys
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -29,12 +28,10 @@ def cube(spark):
     def build(case: str = "a", **components: np.ndarray):
         shape = next(iter(components.values())).shape
         t, y, x = np.indices(shape)
-        columns = {"case_id": case, "t": t.ravel().astype("int32"), "y": y.ravel().astype("int32"), "x": x.ravel().astype("int32")}
-        schema = "case_id string, t int, y int, x int"
-        for name, values in components.items():
-            columns[name] = [None if np.isnan(v) else float(v) for v in values.ravel()]
-            schema += f", {name} double"
-        return spark.createDataFrame(pd.DataFrame(columns).astype({k: object for k in components}), schema)
+        columns = [[None if np.isnan(v) else float(v) for v in values.ravel()] for values in components.values()]
+        places = [[int(i) for i in index.ravel()] for index in (t, y, x)]
+        rows = list(zip([case] * t.size, *places, *columns))
+        return spark.createDataFrame(rows, "case_id string, t int, y int, x int, " + ", ".join(f"{k} double" for k in components))
 
     return build
 
