@@ -40,9 +40,10 @@ def lgamma(k: Column) -> Column:
 
 def speed(u: Column, v: Column, w: Column | None = None) -> Column:
     """Magnitude of a velocity vector of two or three components."""
+    u, v = u.cast("double"), v.cast("double")
     total = u * u + v * v
     if w is not None:
-        total = total + w * w
+        total = total + w.cast("double") * w
     return F.sqrt(total)
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eddyfield.session import settle
+from eddyfield.session import settle, settle_buckets
 
 PIXEL = ["case_id", "y", "x"]
 VOXEL = ["case_id", "t", "y", "x"]
@@ -45,6 +45,12 @@ def write_voxel(voxel: DataFrame, path: str, mode: str = "errorifexists") -> Non
     )
 
 
+def by_pixel(voxel: DataFrame) -> DataFrame:
+    """The voxels stored a second time, bucketed by pixel. Statistics over time and joins with a
+    mean field then need no shuffle of the voxels; keep the frame layout for neighbours."""
+    return settle_buckets(voxel, "voxel", PIXEL)
+
+
 def extent(df: DataFrame) -> DataFrame:
     """Size of the grid of every case: one row per case."""
     return settle(

@@ -26,8 +26,12 @@ def join_fields(velocity: DataFrame, scalar: DataFrame, *, y_offset: int = 0, n_
 
 
 def join_mean(voxel: DataFrame, mean: DataFrame) -> DataFrame:
-    """Every frame beside a 2-D field. Pixels spread evenly over this key: each has as many
-    rows as the case has frames. No shuffle when both tables are bucketed by pixel."""
+    """Every frame beside a 2-D field.
+
+    A stored mean field below the broadcast threshold is broadcast. A larger one is a shuffle
+    of the voxels by pixel (an even key: each pixel has one row per frame), or no shuffle at all
+    of voxels stored by ``model.by_pixel``.
+    """
     return voxel.join(mean, PIXEL)
 
 
@@ -40,7 +44,7 @@ def reynolds(voxel: DataFrame, mean: DataFrame | None = None, w_floor: float = -
     ``w_floor`` is missing. Statistics of fluctuations do not need this table, see
     ``turbulence``: they subtract the mean after aggregating."""
     if mean is None:
-        mean = mean_field(voxel, *COMPONENTS)
+        mean = settle(mean_field(voxel, *COMPONENTS), "mean")
     means = mean.select(*PIXEL, *[F.col(k).alias(f"_{k}") for k in COMPONENTS])
     out = join_mean(voxel, means)
     for k in COMPONENTS:

@@ -15,55 +15,49 @@ NOISE_QUANTILES = [0.1, 5, 25, 50, 90, 95, 99, 99.9, 100]
 SUB_BINS = 4096
 
 
-def pdf_edges(samples: DataFrame, keys: list[str], value: str, width: float, low: float = 0.0) -> DataFrame:
-    """Bins of every group: ``low`` + i ``width`` up to the largest sample, as
-    ``(keys, n_bins, regular, top)``. A shorter last bin up to the largest sample is added when
-    rounding leaves the regular edges below it."""
-    tops = samples.groupBy(*keys).agg(F.max(value).alias("max"), F.count(value).alias("present"))
-    regular = F.ceil((F.col("max") + F.lit(width) - F.lit(low)) / F.lit(width)).cast("int") - 1
-    last = F.lit(low) + regular * F.lit(width)
-    return settle(
-        tops.filter(F.col("present") > 0).select(
-            *keys,
-            regular.alias("regular"),
-            F.when(last < F.col("max"), regular + 1).otherwise(regular).alias("n_bins"),
-            F.greatest(last, F.col("max")).alias("top"),
-        ),
-        "edges",
-    )
-
-
 def concentration_pdf(samples: DataFrame, keys: list[str], width: float, low: float = 0.0, value: str = "c") -> DataFrame:
     """Probability density of the samples present, per group of ``keys``: one row per bin.
 
-    Bins are closed below and open above, the last one closed; samples outside them do not
-    count. Samples are reduced to one count per bin before the shuffle, so one group may hold
-    any share of the rows.
+    Bins start at ``low`` and go on up to the largest sample; they are closed below and open
+    above, the last one closed. Samples below ``low`` do not count. When rounding leaves the
+    regular edges below the largest sample, a shorter last bin reaches up to it.
+
+    The samples are scanned once and reduced to one count per bin before the shuffle, so one
+    group may hold any share of the rows; the rest works on the counts.
     """
-    edges = pdf_edges(samples, keys, value, width, low)
     c = F.col(value)
     guess = F.floor((c - F.lit(low)) / F.lit(width)).cast("int")
     # the quotient may round across an edge: compare with the edges themselves
-    guess = F.when(c < F.lit(low) + guess * F.lit(width), guess - 1).when(
-        c >= F.lit(low) + (guess + 1) * F.lit(width), guess + 1
-    ).otherwise(guess)
-    counted = (
-        samples.filter(c >= low)
-        .join(edges, keys)
-        .filter(c <= F.col("top"))
-        .withColumn("bin", F.least(guess, F.col("n_bins") - 1))
-        .groupBy(*keys, "bin")
-        .agg(F.count(value).alias("n"))
+    exact = (
+        F.when(c < F.lit(low) + guess * F.lit(width), guess - 1)
+        .when(c >= F.lit(low) + (guess + 1) * F.lit(width), guess + 1)
+        .otherwise(guess)
+    )
+    counts = settle(
+        samples.filter(c >= low).groupBy(*keys, exact.alias("bin")).agg(F.count(value).alias("n"), F.max(value).alias("max")),
+        "counts",
+    )
+    regular = F.ceil((F.max("max") + F.lit(width) - F.lit(low)) / F.lit(width)).cast("int") - 1
+    edges = (
+        counts.groupBy(*keys)
+        .agg(F.max("max").alias("max"), regular.alias("regular"), F.sum("n").alias("total"))
+        .withColumn("last", F.lit(low) + F.col("regular") * F.lit(width))
+        .withColumn("n_bins", F.when(F.col("last") < F.col("max"), F.col("regular") + 1).otherwise(F.col("regular")))
+        .withColumn("top", F.greatest("last", "max"))
+        .select(*keys, "regular", "total", "n_bins", "top")
+    )
+    # the largest sample may sit on the last edge, which belongs to the last bin
+    closed = (
+        counts.join(edges.select(*keys, "n_bins"), keys)
+        .groupBy(*keys, F.least(F.col("bin"), F.col("n_bins") - 1).alias("bin"))
+        .agg(F.sum("n").alias("n"))
     )
-    group = Window.partitionBy(*keys)  # one row per bin
     left = F.lit(low) + F.col("bin") * F.lit(width)
     right = F.when(F.col("bin") < F.col("regular"), F.lit(low) + (F.col("bin") + 1) * F.lit(width)).otherwise(F.col("top"))
     return (
         edges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("n_bins") - 1)))
-        .join(counted, [*keys, "bin"], "left")
-        .withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
-        .withColumn("left", left)
-        .withColumn("right", right)
+        .join(closed, [*keys, "bin"], "left")
+        .withColumns({"n": F.coalesce("n", F.lit(0).cast("bigint")), "left": left, "right": right})
         .select(
             *keys,
             "bin",
@@ -71,7 +65,7 @@ def concentration_pdf(samples: DataFrame, keys: list[str], width: float, low: fl
             "right",
             (F.lit(0.5) * (F.col("left") + F.col("right"))).alias("center"),
             "n",
-            (F.col("n") / F.sum("n").over(group) / (F.col("right") - F.col("left"))).alias("pdf"),
+            (F.col("n") / F.col("total") / (F.col("right") - F.col("left"))).alias("pdf"),
         )
     )
 

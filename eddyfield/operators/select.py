@@ -205,6 +205,7 @@ def log_scaled_vectors(
     field: DataFrame, u: str, v: str, *, threshold: float = 0.0, short: float = 0.5, long: float = 1.0
 ) -> DataFrame:
     """Arrows whose length grows with the logarithm of the magnitude, from short to long."""
+    field = settle(field, "field")  # read twice below
     length = F.hypot(F.col(u), F.col(v))
     shown = field.withColumn("magnitude", F.when(length >= threshold, length)).withColumn(
         "log_magnitude", F.log10(floor_at(F.col("magnitude"), TINY))
@@ -303,6 +304,7 @@ def minmax_profile(profile: DataFrame, keys: list[str], value: str = "value") ->
 
 def zscore_field(field: DataFrame, *values: str) -> DataFrame:
     """(f - mean) / std of every field; zero where the field is constant (std < 1e-12)."""
+    field = settle(field, "field")  # read twice below
     stats = per_case(
         field,
         *[F.avg(v).alias(f"_m_{v}") for v in values],

@@ -6,7 +6,7 @@ shuffle, so what moves is one row per pixel and file, whatever the number of fra
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eddyfield.functions.missing import strict
@@ -27,7 +27,7 @@ def temporal_variance(voxel: DataFrame, *values: str) -> DataFrame:
 
 def rms_raw(voxel: DataFrame, *values: str, strictly: bool = False) -> DataFrame:
     """sqrt(mean(v^2)); the mean is not removed."""
-    squares = {v: F.avg(F.col(v) * F.col(v)) for v in values}
+    squares = {v: F.avg(F.col(v).cast("double") * F.col(v)) for v in values}
     if strictly:
         squares = {v: strict(square, F.col(v)) for v, square in squares.items()}
     return voxel.groupBy(*PIXEL).agg(*[F.sqrt(square).alias(f"{v}_rms") for v, square in squares.items()])
@@ -49,8 +49,13 @@ def rms_fluct(voxel: DataFrame, mean: DataFrame | None = None, value: str = "c")
 
 def intermittency(voxel: DataFrame, threshold: float, value: str = "c", percent: bool = False) -> DataFrame:
     """Share of the samples present that exceed the threshold; 0 where none is present."""
+    return voxel.groupBy(*PIXEL).agg(intermittency_term(threshold, value, percent))
+
+
+def intermittency_term(threshold: float, value: str = "c", percent: bool = False) -> Column:
+    """The same as an aggregate, to go into one pass with others."""
     share = F.coalesce(F.try_divide(F.count_if(F.col(value) > threshold), F.count(value)), F.lit(0.0))
-    return voxel.groupBy(*PIXEL).agg((share * 100.0 if percent else share).alias("intermittency"))
+    return (share * 100.0 if percent else share).alias("intermittency")
 
 
 def case_means(voxel: DataFrame, *values: str) -> DataFrame:

@@ -85,6 +85,7 @@ def gradients(
     values = sorted({value for value, _, _ in wanted.values()} | set(keep or []))
     narrow = df.select("case_id", *axes, *values)
     tiled = with_rims(narrow, {dim: 1 for _, dim, _ in wanted.values()}, tile)
+    tiled = tiled.withColumns({v: F.col(v).cast("double") for v in values})  # after the shuffle
     lines = {dim: line_along(tiled, dim) for _, dim, _ in wanted.values()}
     for name, (value, dim, step) in wanted.items():
         tiled = tiled.withColumn(name, _slope(value, dim, step, lines[dim]))
@@ -146,7 +147,7 @@ def motion_correlator(
     if mean is None:
         mean = voxel.groupBy(*PIXEL).agg(F.avg("c").alias("c"))
     masked = voxel.select(*VOXEL, F.when(F.col("c") >= c_min, F.col("c")).alias("c"))
-    tiled = with_rims(masked, {"t": 1, "y": 1, "x": 1}, tile)
+    tiled = with_rims(masked, {"t": 1, "y": 1, "x": 1}, tile).withColumn("c", F.col("c").cast("double"))
     tiled = tiled.withColumn("c1", F.lead("c").over(line_along(tiled, "t")))
     for dim in ("x", "y"):
         line = line_along(tiled, dim)

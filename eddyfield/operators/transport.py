@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eddyfield.functions.missing import strict
@@ -17,31 +17,34 @@ def turbulent_flux(
     The means are those over *all* frames, even when the average is over a slice:
     E[(a - ma)(c - mc)] = cov(a, c) + (E[a] - ma)(E[c] - mc), all from one scan.
     """
+    return voxel.groupBy(*PIXEL).agg(*flux_terms(t)).select(*PIXEL, *flux_columns(w_floor))
+
+
+def flux_terms(t: tuple[int, int] | None = None) -> list[Column]:
+    """Aggregates for ``flux_columns``."""
     used = F.lit(True) if t is None else (F.col("t") >= t[0]) & (F.col("t") < t[1])
     n_used = F.count_if(used)
-    aggregates = [F.avg("c").alias("m_c")]
+    aggregates = [F.avg("c").alias("all_c"), F.avg(F.when(used, F.col("c"))).alias("used_c")]
     for k in COMPONENTS:
         a, c = F.when(used, F.col(k)), F.when(used, F.col("c"))
-        pair = a.isNotNull() & c.isNotNull()
         aggregates += [
-            F.avg(k).alias(f"m_{k}"),
-            (F.count_if(pair) == n_used).alias(f"ok_{k}"),
-            F.covar_pop(a, c).alias(f"cov_{k}"),
-            F.avg(a).alias(f"avg_{k}"),
+            F.avg(k).alias(f"all_{k}"),
+            F.avg(a).alias(f"used_{k}"),
+            (F.count_if(a.isNotNull() & c.isNotNull()) == n_used).alias(f"ok_{k}c"),
+            F.covar_pop(a, c).alias(f"cov_{k}c"),
         ]
-    aggregates += [F.avg(F.when(used, F.col("c"))).alias("avg_c"), F.min(F.when(used, F.col("w"))).alias("min_w")]
-    moments = voxel.groupBy(*PIXEL).agg(*aggregates)
-    kept_w = F.col("min_w") - F.col("m_w") >= w_floor
-    return moments.select(
-        *PIXEL,
-        *[
-            F.when(
-                F.col(f"ok_{k}") & (kept_w if k == "w" else F.lit(True)),
-                F.col(f"cov_{k}") + (F.col(f"avg_{k}") - F.col(f"m_{k}")) * (F.col("avg_c") - F.col("m_c")),
-            ).alias(f"{k}c")
-            for k in COMPONENTS
-        ],
-    )
+    return [*aggregates, F.min(F.when(used, F.col("w"))).alias("used_min_w")]
+
+
+def flux_columns(w_floor: float = -1.0) -> list[Column]:
+    kept_w = F.col("used_min_w") - F.col("all_w") >= w_floor
+    return [
+        F.when(
+            F.col(f"ok_{k}c") & (kept_w if k == "w" else F.lit(True)),
+            F.col(f"cov_{k}c") + (F.col(f"used_{k}") - F.col(f"all_{k}")) * (F.col("used_c") - F.col("all_c")),
+        ).alias(f"{k}c")
+        for k in COMPONENTS
+    ]
 
 
 def advective_flux(voxel: DataFrame, mean: DataFrame | None = None) -> DataFrame:
@@ -57,7 +60,7 @@ def advective_flux(voxel: DataFrame, mean: DataFrame | None = None) -> DataFrame
 def total_flux(voxel: DataFrame) -> DataFrame:
     """Mean of u c and v c over the samples where both are present."""
     return voxel.groupBy(*PIXEL).agg(
-        F.avg(F.col("u") * F.col("c")).alias("uc"), F.avg(F.col("v") * F.col("c")).alias("vc")
+        *[F.avg(F.col(k).cast("double") * F.col("c")).alias(f"{k}c") for k in ("u", "v")]
     )
 
 

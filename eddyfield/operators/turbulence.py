@@ -22,27 +22,33 @@ def _about(var: Column, avg: Column, mean: Column) -> Column:
 def mean_squares(voxel: DataFrame, mean: DataFrame | None = None, w_floor: float = -1.0) -> DataFrame:
     """<u'^2>, <v'^2>, <w'^2>; missing where a sample is missing, and for w also where any w'
     lies below ``w_floor`` (such a sample counts as missing)."""
-    moments = voxel.groupBy(*PIXEL).agg(
+    moments = voxel.groupBy(*PIXEL).agg(*square_terms())
+    if mean is None:
+        return moments.select(*PIXEL, *square_columns(w_floor))
+    moments = moments.join(mean.select(*PIXEL, *[F.col(k).alias(f"m_{k}") for k in COMPONENTS]), PIXEL)
+    return moments.select(*PIXEL, *square_columns(w_floor, "m"))
+
+
+def square_terms() -> list[Column]:
+    """Aggregates for ``square_columns``."""
+    return [
         *[complete(F.col(k)).alias(f"ok_{k}") for k in COMPONENTS],
         *[F.avg(k).alias(f"avg_{k}") for k in COMPONENTS],
         *[F.var_pop(k).alias(f"var_{k}") for k in COMPONENTS],
         F.min("w").alias("min_w"),
-    )
-    if mean is None:
-        moments = moments.select("*", *[F.col(f"avg_{k}").alias(f"m_{k}") for k in COMPONENTS])
-    else:
-        moments = moments.join(mean.select(*PIXEL, *[F.col(k).alias(f"m_{k}") for k in COMPONENTS]), PIXEL)
-    kept_w = F.col("min_w") - F.col("m_w") >= w_floor
-    return moments.select(
-        *PIXEL,
-        *[
-            F.when(
-                F.col(f"ok_{k}") & (kept_w if k == "w" else F.lit(True)),
-                _about(F.col(f"var_{k}"), F.col(f"avg_{k}"), F.col(f"m_{k}")),
-            ).alias(f"{k}2")
-            for k in COMPONENTS
-        ],
-    )
+    ]
+
+
+def square_columns(w_floor: float = -1.0, mean: str = "avg") -> list[Column]:
+    """Mean squares about the columns ``<mean>_u``, ``<mean>_v``, ``<mean>_w``."""
+    kept_w = F.col("min_w") - F.col(f"{mean}_w") >= w_floor
+    return [
+        F.when(
+            F.col(f"ok_{k}") & (kept_w if k == "w" else F.lit(True)),
+            _about(F.col(f"var_{k}"), F.col(f"avg_{k}"), F.col(f"{mean}_{k}")),
+        ).alias(f"{k}2")
+        for k in COMPONENTS
+    ]
 
 
 def tke(squares: DataFrame) -> DataFrame:

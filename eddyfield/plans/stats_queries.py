@@ -233,12 +233,14 @@ def linear_flow_tensor(spark, sf_dir):
     return rounded(stats.linear_flow_tensor(placed), 6, "u_mean", "v_mean", "g_xx", "g_xy", "g_yx", "g_yy")
 
 
-@query("flow_report_field", "SELECT case_id, y, x, " + ", ".join(
-    [r("intermittency", "intermittency"), r("uc", "uc"), r("vc", "vc"), r("wc", "wc")])
-    + f" FROM (SELECT case_id, y, x, coalesce(count_if(c > 0.1)::DOUBLE / nullif(count(c), 0), 0) AS intermittency FROM voxel GROUP BY ALL) JOIN "
-    f"(SELECT case_id, y, x, {FLUX} FROM fluct GROUP BY ALL) USING (case_id, y, x)", MEAN_SQL, FLUCT_SQL)
+@query("flow_report_field", f"SELECT case_id, y, x, {r('intermittency', 'intermittency')}, {r('uc', 'uc')}, {r('vc', 'vc')}, {r('wc', 'wc')}, {r('0.5 * (u2 + v2 + w2)', 'tke')} "
+       "FROM (SELECT case_id, y, x, coalesce(count_if(c > 0.1)::DOUBLE / nullif(count(c), 0), 0) AS intermittency FROM voxel GROUP BY ALL) "
+       f"JOIN (SELECT case_id, y, x, {FLUX} FROM fluct GROUP BY ALL) USING (case_id, y, x) JOIN squares USING (case_id, y, x)", *TURBULENCE)
 def flow_report_field(spark, sf_dir):
-    """Where the plume is, and which way it carries scalar."""
-    table = voxel(spark, sf_dir)
-    joined = stats.intermittency(table, 0.1).join(transport.turbulent_flux(table), PIXEL)
-    return rounded(joined, 6, "intermittency", "uc", "vc", "wc")
+    """Where the plume is, how turbulent the flow is there, and which way it carries scalar: all
+    pixel statistics from one scan and one shuffle."""
+    terms = [stats.intermittency_term(0.1), *transport.flux_terms(), *turbulence.square_terms()]
+    pixels = voxel(spark, sf_dir).groupBy(*PIXEL).agg(*terms)
+    fields = pixels.select(*PIXEL, "intermittency", *transport.flux_columns(), *turbulence.square_columns())
+    report = turbulence.tke(fields).select(*PIXEL, "intermittency", "uc", "vc", "wc", "tke")
+    return rounded(report, 6, "intermittency", "uc", "vc", "wc", "tke")
