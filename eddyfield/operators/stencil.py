@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from eddyfield.model import PIXEL, VOXEL
 from eddyfield.operators.select import frames
+from eddyfield.session import settle
 
 
 @dataclass(frozen=True)
@@ -146,6 +147,7 @@ def motion_correlator(
     """
     if mean is None:
         mean = voxel.groupBy(*PIXEL).agg(F.avg("c").alias("c"))
+    mean = settle(mean.select(*PIXEL, "c"), "mean")  # joined three times
     masked = voxel.select(*VOXEL, F.when(F.col("c") >= c_min, F.col("c")).alias("c"))
     tiled = with_rims(masked, {"t": 1, "y": 1, "x": 1}, tile).withColumn("c", F.col("c").cast("double"))
     tiled = tiled.withColumn("c1", F.lead("c").over(line_along(tiled, "t")))
@@ -205,6 +207,72 @@ def correlator_frame(voxel: DataFrame, t: int, value: str = "c", tile: Tile = Ti
     )
 
 
+def peak_shift_velocity(
+    voxel: DataFrame,
+    shape: DataFrame,
+    along: str,
+    pixels: int,
+    mean: DataFrame | None = None,
+    c_min: float = 0.001,
+    mm_per_px: float = 1.0,
+    frames_per_s: float = 1.0,
+) -> DataFrame:
+    """Displacement of the scalar from frame to frame at sites ``pixels`` apart.
+
+    Around a site, a is averaged over ``pixels`` cells across the direction ``along``; its
+    product with the next frame is averaged over ``pixels`` cells for every shift of -pixels to
+    pixels - 1 cells. The shift of the largest positive average counts unless it is -pixels.
+    Returns the mean shift and velocity of every site from the third one on.
+
+    Averaging comes first and shrinks the data ``pixels`` times before the shifts multiply it;
+    every later group holds at most 2 ``pixels`` rows.
+    """
+    if pixels < 2 or pixels % 2:
+        raise ValueError("pixels must be an even number")
+    if mean is None:
+        mean = voxel.groupBy(*PIXEL).agg(F.avg("c").alias("c"))
+    across = "y" if along == "x" else "x"
+    half = pixels // 2
+    site = lambda position: F.floor((position + half) / F.lit(pixels)).cast("int")
+    masked = F.when(F.col("c") >= c_min, F.col("c").cast("double"))
+
+    def bands(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+        return df.groupBy(*keys, site(F.col(across)).alias("band"), F.col(along).alias("at")).agg(
+            F.when(F.count(value) == pixels, F.avg(value)).alias(name)
+        )
+
+    level = bands(mean, ["case_id"], F.col("c"), "level")
+    line = settle(
+        bands(voxel, ["case_id", "t"], masked, "a")
+        .join(level, ["case_id", "band", "at"])
+        .select("case_id", "t", "band", "at", (F.col("a") - F.col("level")).alias("a")),
+        "bands",
+    )
+    moved = line.select("case_id", (F.col("t") - 1).alias("t"), "band", F.col("at").alias("to"), F.col("a").alias("a1"))
+    shifts = F.sequence(F.lit(-pixels), F.lit(pixels - 1))
+    product = F.col("a") * F.col("a1")
+    best = (
+        line.withColumn("shift", F.explode(shifts))
+        .withColumn("to", F.col("at") + F.col("shift"))
+        .join(moved, ["case_id", "t", "band", "to"])
+        .groupBy("case_id", "t", "band", site(F.col("at")).alias("site"), "shift")
+        .agg(F.when(F.count(product) == pixels, F.avg(product)).alias("cov"))
+        .filter("cov > 0")
+        .groupBy("case_id", "t", "band", "site")
+        .agg((-F.max(F.struct("cov", -F.col("shift"))).getField("col2")).alias("shift"))
+        .filter(F.abs("shift") < pixels)
+    )
+    n_bands, n_sites = (F.floor((F.col(f"n{d}") - pixels) / pixels) for d in (across, along))
+    inside = (F.col("band") >= 2) & (F.col("band") < n_bands) & (F.col("site") >= 2) & (F.col("site") < n_sites)
+    return (
+        best.join(shape.select("case_id", "ny", "nx"), "case_id")
+        .filter(inside)
+        .groupBy("case_id", (F.col("band") * pixels).alias(across), (F.col("site") * pixels).alias(along))
+        .agg(F.avg("shift").alias("shift"), F.count("shift").alias("pairs"))
+        .select(*PIXEL, "shift", (F.col("shift") * F.lit(mm_per_px * frames_per_s)).alias("velocity"), "pairs")
+    )
+
+
 def edge_padded(df: DataFrame, shape: DataFrame, pad: int) -> DataFrame:
     """Repeat the border cells ``pad`` times outwards. ``shape(case_id, ny, nx)`` is small and
     stored, so its join is a broadcast. ``_src_y``/``_src_x`` keep the original position."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from eddyfield.model import PIXEL, VOXEL, shape_of
 from eddyfield.operators import align, stencil
 from eddyfield.plans.fixture import voxel
@@ -74,6 +76,38 @@ def correlator_frame(spark, sf_dir):
     return rounded(stencil.correlator_frame(voxel(spark, sf_dir), 1), 6, "corr")
 
 
+def shift_sql(along: str) -> str:
+    across, top, sites, bands = ("y", 20, 9, 4) if along == "x" else ("x", 10, 4, 9)
+    return f"""
+SELECT '{along}' AS along, case_id, CAST(2 * {'band' if across == 'y' else 'site'} AS INTEGER) AS y, CAST(2 * {'site' if across == 'y' else 'band'} AS INTEGER) AS x,
+  {r('avg(shift)', 'shift')}, {r('avg(shift) * 10', 'velocity')}, count(*) AS pairs FROM (
+  SELECT case_id, t, band, site, arg_max(d, (cov, -d)) AS shift FROM (
+    SELECT p.case_id, p.t, p.band, (p.at + 1) // 2 AS site, d, sum(p.a * q.a) / 2 AS cov FROM line{along} p, range(-2, 2) g(d), line{along} q
+    WHERE q.case_id = p.case_id AND q.t = p.t + 1 AND q.band = p.band AND q.at = p.at + d AND p.a IS NOT NULL AND q.a IS NOT NULL
+    GROUP BY ALL HAVING count(*) = 2 AND sum(p.a * q.a) > 0)
+  WHERE band BETWEEN 2 AND {bands - 1} AND site BETWEEN 2 AND {sites - 1} GROUP BY ALL)
+WHERE shift > -2 GROUP BY ALL"""
+
+
+def line_sql(along: str) -> str:
+    across = "y" if along == "x" else "x"
+    return f"""
+line{along} AS MATERIALIZED (SELECT case_id, t, (p.{across} + 1) // 2 AS band, p.{along} AS at, CASE WHEN count(a) = 2 THEN avg(a) END AS a FROM
+  (SELECT p.case_id, p.t, p.y, p.x, CASE WHEN p.c >= 0.02 THEN p.c - m.c END AS a FROM voxel p JOIN mean_field m ON m.case_id = p.case_id AND m.y = p.y AND m.x = p.x) p GROUP BY ALL)"""
+
+
+@query("peak_shift_velocity", shift_sql("x") + " UNION ALL " + shift_sql("y"), MEAN_SQL, line_sql("x"), line_sql("y"))
+def peak_shift_velocity(spark, sf_dir):
+    """Sites two pixels apart, along both directions."""
+    table = voxel(spark, sf_dir)
+    shape = shape_of(table)
+    parts = [
+        stencil.peak_shift_velocity(table, shape, along, 2, c_min=0.02, mm_per_px=0.5, frames_per_s=20).select(F.lit(along).alias("along"), "*")
+        for along in ("x", "y")
+    ]
+    return rounded(parts[0].unionByName(parts[1]), 6, "shift", "velocity")
+
+
 def median_sql(table: str, frame: str) -> str:
     return (
         f"SELECT {frame}p.case_id, p.y, p.x, {r('median(q.c)', 'c')} FROM {table} p, range(-1, 2) j(dy), range(-1, 2) k(dx), {table} q "

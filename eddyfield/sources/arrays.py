@@ -124,19 +124,15 @@ class StackReader(DataSourceReader):
                 handle.seek(handle.tell() + part.first * slab)
                 raw = np.frombuffer(handle.read(slabs * slab), dtype=dtype)
             loaded.append(raw.reshape(slabs, *shape[1:]).astype(np.float32, copy=False))
+        second, third = (index.ravel() for index in np.indices(shape[1:], dtype=np.int32))
         for i in range(slabs):
-            lead = part.offset + part.first + i
-            inner_a, inner_b = np.indices(shape[1:], dtype=np.int32)
-            lead_column = np.full(inner_a.size, lead, dtype=np.int32)
-            if self.axes == "tyx":
-                t, y, x = lead_column, inner_a.ravel(), inner_b.ravel()
-            else:
-                y, x, t = lead_column, inner_a.ravel(), inner_b.ravel()
+            lead = np.full(second.size, part.offset + part.first + i, dtype=np.int32)
+            t, y, x = (lead, second, third) if self.axes == "tyx" else (third, lead, second)
             values = [stack[i].ravel() for stack in loaded]
             if self.frame is not None and self.axes == "yxt":
                 keep = t == self.frame
                 t, y, x, values = t[keep], y[keep], x[keep], [v[keep] for v in values]
-            columns = [pa.array([self.case] * len(t), pa.string()), pa.array(t), pa.array(y), pa.array(x)]
+            columns = [pa.repeat(self.case, len(t)), pa.array(t), pa.array(y), pa.array(x)]
             # masked samples are NaN in the files and NULL in the engine
             columns += [pa.array(v, mask=~np.isfinite(v)) for v in values]
             yield pa.RecordBatch.from_arrays(columns, names=["case_id", "t", "y", "x", *self.components])

@@ -70,7 +70,7 @@ def write_arrays(frames: DataFrame, root: str, form: str, frames_per_file: int =
         case, component, block = key
         pdf = pdf.sort_values("t")
         stack = [
-            np.array([np.nan if v is None else v for v in data], dtype=np.float32).reshape(ny, nx)
+            np.asarray(data, dtype=np.float32).reshape(ny, nx)
             for data, ny, nx in zip(pdf["data"], pdf["ny"], pdf["nx"])
         ]
         buffer = io.BytesIO()
