@@ -36,29 +36,88 @@ def geometry(axis: DataFrame) -> DataFrame:
     return settle(parts[0].join(parts[1], "case_id"), "geometry")
 
 
-def velocity_cells(voxel: DataFrame, axis: DataFrame, tile: Tile = Tile()) -> DataFrame:
-    """Corner velocities of every cell, with the linear flow of its frame, bucketed by cell."""
-    placed = roi_coords(voxel.select(*VOXEL, "u", "v"), axis)
-    tensor = settle(linear_flow_tensor(placed), "tensor")
-    tiled = with_rims(voxel.select(*VOXEL, "u", "v"), {"y": 1, "x": 1}, tile)
-    row = line_along(tiled, "x")
-    for k in ("u", "v"):
-        tiled = tiled.withColumn(f"{k}01", F.lead(k).over(row))
-    tiled = tiled.withColumn("more_x", F.lead("x").over(row).isNotNull())
-    column = line_along(tiled, "y")
-    for k in ("u", "v"):
-        tiled = tiled.withColumn(f"{k}10", F.lead(k).over(column)).withColumn(f"{k}11", F.lead(f"{k}01").over(column))
-    cells = (
-        tiled.withColumn("more_y", F.lead("y").over(column).isNotNull())
-        .filter(F.col("_own") & F.col("more_x") & F.col("more_y"))
-        .select(*CELL, F.col("u").alias("u00"), "u01", "u10", "u11", F.col("v").alias("v00"), "v01", "v10", "v11")
-        .join(tensor, ["case_id", "t"])
+def spline_nodes(flow: DataFrame) -> DataFrame:
+    """Velocity at every node with its slopes along the columns, along the rows, and mixed, of
+    the bicubic not-a-knot spline through each frame (per cell, not per unit of length).
+
+    A spline couples a whole row or column of a frame, so a task takes one frame at a time: it
+    is as large as the sensor. A frame with a missing value has no spline and is left out.
+    """
+
+    def solve(pdf):
+        import numpy as np
+
+        def slopes(n):
+            # slopes m at n even nodes: m[i-1] + 4 m[i] + m[i+1] = 3 (f[i+1] - f[i-1]); at the
+            # ends the third derivative runs on through the second node
+            left, right = np.zeros((n, n)), np.zeros((n, n))
+            for i in range(1, n - 1):
+                left[i, i - 1 : i + 2] = 1.0, 4.0, 1.0
+                right[i, i - 1], right[i, i + 1] = -3.0, 3.0
+            left[0, :2] = 1.0, 2.0
+            right[0, :3] = -2.5, 2.0, 0.5
+            left[-1, -2:] = 2.0, 1.0
+            right[-1, -3:] = -0.5, -2.0, 2.5
+            return np.linalg.solve(left, right)
+
+        pdf = pdf.sort_values(["y", "x"])
+        shape = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
+        if min(shape) < 4:
+            raise ValueError("a cubic spline needs four rows and four columns")
+        out = pdf[["case_id", "t", "y", "x"]].copy()
+        for k in ("u", "v"):
+            f = pdf[k].to_numpy(dtype=np.float64).reshape(shape)
+            if np.isnan(f).any():
+                return out.head(0).reindex(columns=[*out.columns, *(f"{c}{d}" for c in "uv" for d in ("", "_x", "_y", "_xy"))])
+            d_y, d_x = slopes(shape[0]), slopes(shape[1])
+            for name, values in (("", f), ("_x", f @ d_x.T), ("_y", d_y @ f), ("_xy", d_y @ f @ d_x.T)):
+                out[k + name] = values.ravel()
+        return out
+
+    columns = ", ".join(f"{k}{d} double" for k in "uv" for d in ("", "_x", "_y", "_xy"))
+    return flow.select(*VOXEL, "u", "v").groupBy("case_id", "t").applyInPandas(
+        solve, f"case_id string, t int, y int, x int, {columns}"
     )
-    return settle_buckets(cells, "cells", CELL)
 
 
-def _velocity(particles: DataFrame, cells: DataFrame, frame: str, px: str, py: str, stage: int, blend: float) -> DataFrame:
-    """Velocity ``(u<stage>, v<stage>)`` of every particle at (px, py) in a frame: bilinear
+def velocity_cells(voxel: DataFrame, axis: DataFrame, method: str = "linear", tile: Tile = Tile()) -> DataFrame:
+    """What is needed at the four corners of every cell, with the linear flow of its frame,
+    bucketed by cell. A corner is named by its row and column: 00, 01, 10, 11."""
+    flow = voxel.select(*VOXEL, "u", "v")
+    tensor = settle(linear_flow_tensor(roi_coords(flow, axis)), "tensor")
+    nodes = spline_nodes(flow) if method == "cubic" else flow
+    names = [c for c in nodes.columns if c not in CELL]
+    tiled = with_rims(nodes, {"y": 1, "x": 1}, tile)
+    row = line_along(tiled, "x")
+    tiled = tiled.withColumns({f"{k}01": F.lead(k).over(row) for k in names} | {"more_x": F.lead("x").over(row).isNotNull()})
+    column = line_along(tiled, "y")
+    tiled = tiled.withColumns(
+        {f"{k}10": F.lead(k).over(column) for k in names}
+        | {f"{k}11": F.lead(f"{k}01").over(column) for k in names}
+        | {"more_y": F.lead("y").over(column).isNotNull()}
+    )
+    corners = [F.col(k).alias(f"{k}00") for k in names] + [f"{k}{c}" for k in names for c in ("01", "10", "11")]
+    cells = tiled.filter(F.col("_own") & F.col("more_x") & F.col("more_y")).select(*CELL, *corners)
+    return settle_buckets(cells.join(tensor, ["case_id", "t"]), "cells", CELL)
+
+
+def _inner(k: str, method: str) -> str:
+    """SQL of the velocity within a cell at the fractions _sx, _sy of its width and height."""
+    if method == "linear":
+        return f"(1 - _sy) * ((1 - _sx) * {k}00 + _sx * {k}01) + _sy * ((1 - _sx) * {k}10 + _sx * {k}11)"
+    value = ["((2 * {s} - 3) * {s} * {s} + 1)", "((3 - 2 * {s}) * {s} * {s})"]
+    slope = ["((({s} - 2) * {s} + 1) * {s})", "(({s} - 1) * {s} * {s})"]
+    terms = []
+    for row in (0, 1):
+        for col in (0, 1):
+            along = {"": value[col], "_x": slope[col], "_y": value[col], "_xy": slope[col]}
+            down = {"": value[row], "_x": value[row], "_y": slope[row], "_xy": slope[row]}
+            terms += [f"{down[d].format(s='_sy')} * {along[d].format(s='_sx')} * {k}{d}{row}{col}" for d in along]
+    return " + ".join(terms)
+
+
+def _velocity(particles: DataFrame, cells: DataFrame, frame: str, px: str, py: str, stage: int, blend: float, method: str) -> DataFrame:
+    """Velocity ``(u<stage>, v<stage>)`` of every particle at (px, py) in a frame: interpolated
     inside, the linear flow of the frame outside, a smooth step between over ``blend``."""
     at = particles.selectExpr("*", f"{px} AS _px", f"{py} AS _py", f"{frame} AS _t").selectExpr(
         "*", *[f"(_p{d} - {d}0) / {d}_pitch AS _f{d}" for d in "xy"]
@@ -66,17 +125,14 @@ def _velocity(particles: DataFrame, cells: DataFrame, frame: str, px: str, py: s
         "*", *[f"int(CASE WHEN _f{d} IS NOT NULL THEN least(greatest(floor(_f{d}), 0), n{d} - 2) END) AS _c{d}" for d in "xy"]
     )
     here = cells.selectExpr(*[f"{c} AS cell_{c}" if c in CELL else c for c in cells.columns])
+    at = at.selectExpr("*", *[f"_f{d} - _c{d} AS _s{d}" for d in "xy"])
     met = at.join(here, F.expr("case_id = cell_case_id AND _t = cell_t AND _cy = cell_y AND _cx = cell_x"), "left")
     fade = {d: f"({d}_far - abs(_p{d})) / {blend}" for d in "xy"}
     step = {d: f"CASE WHEN {fade[d]} >= 1 THEN 1 ELSE ({fade[d]}) * ({fade[d]}) * (3 - 2 * ({fade[d]})) END" for d in "xy"}
     met = met.selectExpr(
         *particles.columns,
         f"CASE WHEN abs(_px) >= x_far OR abs(_py) >= y_far THEN 0D ELSE ({step['x']}) * ({step['y']}) END AS _w",
-        *[
-            f"(1 - (_fy - _cy)) * ((1 - (_fx - _cx)) * {k}00 + (_fx - _cx) * {k}01)"
-            f" + (_fy - _cy) * ((1 - (_fx - _cx)) * {k}10 + (_fx - _cx) * {k}11) AS _in_{k}"
-            for k in "uv"
-        ],
+        *[f"{_inner(k, method)} AS _in_{k}" for k in "uv"],
         "g_xx * _px + g_xy * _py + u_mean AS _out_u",
         "g_yx * _px + g_yy * _py + v_mean AS _out_v",
     )
@@ -96,18 +152,22 @@ def particle_advect(
     *,
     dt: float = 0.05,
     direction: int = 1,
+    method: str = "cubic",
     blend: float = BLEND,
     tile: Tile = Tile(),
 ) -> DataFrame:
     """Positions after ``n_steps`` Runge-Kutta steps of particles that start on every pixel in
     every frame: ``(case_id, start_t, y, x, px, py)`` in the unit of the axes.
 
+    ``method`` is the interpolation in space: "cubic" (not-a-knot spline) or "linear".
     The velocity of a time between two frames is that of the frame at or before it. A particle
     whose time leaves the recording, or that meets a missing velocity, has no position.
     """
     if direction not in (1, -1):
         raise ValueError("direction is 1 (forward) or -1 (backward)")
-    cells = velocity_cells(voxel, axis, tile)
+    if method not in ("cubic", "linear"):
+        raise ValueError(f"unknown method {method}")
+    cells = velocity_cells(voxel, axis, method, tile)
     grid = geometry(axis)
     start = roi_coords(voxel.select("case_id", F.col("t").alias("start_t"), "y", "x"), axis)
     state = start.select(*PARTICLE, F.col("x_mm").alias("px"), F.col("y_mm").alias("py"))
@@ -123,7 +183,7 @@ def particle_advect(
         ]
         moving = state.join(grid, "case_id")
         for stage, (frame, px, py) in enumerate(stages, start=1):
-            moving = _velocity(moving, cells, frame, px, py, stage, blend)
+            moving = _velocity(moving, cells, frame, px, py, stage, blend, method)
         moved = [f"{p} + {step / 6}D * ({k}1 + 2 * {k}2 + 2 * {k}3 + {k}4) AS {p}" for p, k in (("px", "u"), ("py", "v"))]
         state = settle(moving.selectExpr(*PARTICLE, *moved), "particles")
     return state

@@ -52,10 +52,17 @@ def with_rims(df: DataFrame, rim: dict[str, int], tile: Tile = Tile()) -> DataFr
 
 
 def line_along(df: DataFrame, dim: str) -> WindowSpec:
-    """Window along one direction of a tile, through one cell of the other directions."""
+    """Window along one direction of a tile, through one cell of the other directions.
+
+    The position of the line comes first as one number: rows of different lines then compare by
+    a single long in the sort. The tile keys follow, so the tile's shuffle still serves.
+    """
     keys = [k for k in TILE_KEYS if k in df.columns]
-    others = [d for d in ("t", "y", "x") if d != dim and d in df.columns]
-    return Window.partitionBy("case_id", *keys, *others).orderBy(dim)
+    others = [F.col(d).cast("bigint") for d in ("t", "y", "x") if d != dim and d in df.columns]
+    line = others[0]
+    for other in others[1:]:
+        line = line * F.lit(1 << 32) + other
+    return Window.partitionBy(line, "case_id", *keys).orderBy(dim)
 
 
 def _slope(value: str, dim: str, step: float, line: WindowSpec) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from eddyfield.model import VOXEL
@@ -77,11 +78,49 @@ geo AS (SELECT case_id, arg_min(xm, x) AS x0, (arg_max(xm, x) - arg_min(xm, x))
   arg_min(ym, y) AS y0, (arg_max(ym, y) - arg_min(ym, y)) / max(y) AS yp, max(y) + 1 AS ny, max(abs(ym)) AS yf FROM flow GROUP BY ALL)"""
 
 
-def stage_sql(name: str, source: str, stage: int, qx: str, qy: str, frame: str) -> str:
+def spline_slopes(n: int) -> str:
+    """Slopes of a not-a-knot spline at n even nodes as rows (node, source node, weight), from
+    its second derivatives m: m[i-1] + 4 m[i] + m[i+1] = 6 (f[i+1] - 2 f[i] + f[i-1])."""
+    left, right = np.zeros((n, n)), np.zeros((n, n))
+    for i in range(1, n - 1):
+        left[i, i - 1 : i + 2] = 1, 4, 1
+        right[i, i - 1 : i + 2] = 6, -12, 6
+    left[0, :3] = left[-1, -3:] = 1, -2, 1
+    second = np.linalg.solve(left, right)
+    f = np.eye(n)
+    slopes = np.vstack([f[1:] - f[:-1] - (2 * second[:-1] + second[1:]) / 6, f[-1:] - f[-2:-1] + (second[-2:-1] + 2 * second[-1:]) / 6])
+    return ", ".join(f"({i}, {k}, {float(slopes[i, k])!r}::DOUBLE)" for i in range(n) for k in range(n))
+
+
+SPLINE_SQL = f"""
+dy(i, k, d) AS (VALUES {spline_slopes(10)}),
+dx(i, k, d) AS (VALUES {spline_slopes(20)}),
+along AS MATERIALIZED (SELECT case_id, t, y, dx.i AS x, sum(d * u) AS u_x, sum(d * v) AS v_x FROM flow JOIN dx ON dx.k = flow.x GROUP BY ALL),
+down AS MATERIALIZED (SELECT case_id, t, dy.i AS y, x, sum(d * u) AS u_y, sum(d * v) AS v_y, sum(d * u_x) AS u_xy, sum(d * v_x) AS v_xy
+  FROM flow JOIN along USING (case_id, t, y, x) JOIN dy ON dy.k = flow.y GROUP BY ALL),
+nodes AS MATERIALIZED (SELECT * FROM flow JOIN along USING (case_id, t, y, x) JOIN down USING (case_id, t, y, x))"""
+
+
+def hermite_sql(k: str) -> str:
+    """A bicubic cell as cubic Hermite steps: along both rows, then between them."""
+
+    def step(s: str, f0: str, f1: str, m0: str, m1: str) -> str:
+        return f"({f0} + {s} * ({m0} + {s} * (3 * ({f1} - {f0}) - 2 * {m0} - {m1} + {s} * (2 * ({f0} - {f1}) + {m0} + {m1}))))"
+
+    top, low = step("sx", f"a.{k}", f"b.{k}", f"a.{k}_x", f"b.{k}_x"), step("sx", f"c.{k}", f"d.{k}", f"c.{k}_x", f"d.{k}_x")
+    top_m, low_m = step("sx", f"a.{k}_y", f"b.{k}_y", f"a.{k}_xy", f"b.{k}_xy"), step("sx", f"c.{k}_y", f"d.{k}_y", f"c.{k}_xy", f"d.{k}_xy")
+    return step("sy", top, low, top_m, low_m)
+
+
+def bilinear_sql(k: str) -> str:
+    return f"((1 - sy) * ((1 - sx) * a.{k} + sx * b.{k}) + sy * ((1 - sx) * c.{k} + sx * d.{k}))"
+
+
+def stage_sql(name: str, source: str, stage: int, qx: str, qy: str, frame: str, method: str) -> str:
     """One Runge-Kutta stage: velocity at (qx, qy) in a frame, four corners by joins."""
-    inner = lambda k: f"((1 - sy) * ((1 - sx) * a.{k} + sx * b.{k}) + sy * ((1 - sx) * c.{k} + sx * d.{k}))"
+    table, inner = ("flow", bilinear_sql) if method == "linear" else ("nodes", hermite_sql)
     outer = {"u": "(gxx * qx + gxy * qy + um)", "v": "(gyx * qx + gyy * qy + vm)"}
-    corner = lambda q, dy, dx: f"LEFT JOIN flow {q} ON {q}.case_id = s.case_id AND {q}.t = s.fr AND {q}.y = s.cy + {dy} AND {q}.x = s.cx + {dx}"
+    corner = lambda q, dy, dx: f"LEFT JOIN {table} {q} ON {q}.case_id = s.case_id AND {q}.t = s.fr AND {q}.y = s.cy + {dy} AND {q}.x = s.cx + {dx}"
     value = lambda k: f"CASE WHEN wt = 0 THEN {outer[k]} WHEN wt = 1 THEN {inner(k)} ELSE {outer[k]} + ({inner(k)} - {outer[k]}) * wt END AS {k}{stage}"
     return f"""
 {name} AS MATERIALIZED (
@@ -97,17 +136,17 @@ def stage_sql(name: str, source: str, stage: int, qx: str, qy: str, frame: str)
 )"""
 
 
-def advect_sql(direction: int) -> list[str]:
+def advect_sql(direction: int, method: str = "linear") -> list[str]:
     h = direction * DT
-    out = [FLOW_SQL, "state0 AS MATERIALIZED (SELECT case_id, t AS start_t, y, x, xm AS px, ym AS py FROM flow)"]
+    out = [FLOW_SQL, *([SPLINE_SQL] if method == "cubic" else []), "state0 AS MATERIALIZED (SELECT case_id, t AS start_t, y, x, xm AS px, ym AS py FROM flow)"]
     for n in range(STEPS):
         now = f"start_t + {direction * n}"
         mid = now if direction == 1 else f"{now} - 1"
         out += [
-            stage_sql(f"s{n}a", f"state{n}", 1, "px", "py", now),
-            stage_sql(f"s{n}b", f"s{n}a", 2, f"px + {h / 2} * u1", f"py + {h / 2} * v1", mid),
-            stage_sql(f"s{n}c", f"s{n}b", 3, f"px + {h / 2} * u2", f"py + {h / 2} * v2", mid),
-            stage_sql(f"s{n}d", f"s{n}c", 4, f"px + {h} * u3", f"py + {h} * v3", f"{now} + {direction}"),
+            stage_sql(f"s{n}a", f"state{n}", 1, "px", "py", now, method),
+            stage_sql(f"s{n}b", f"s{n}a", 2, f"px + {h / 2} * u1", f"py + {h / 2} * v1", mid, method),
+            stage_sql(f"s{n}c", f"s{n}b", 3, f"px + {h / 2} * u2", f"py + {h / 2} * v2", mid, method),
+            stage_sql(f"s{n}d", f"s{n}c", 4, f"px + {h} * u3", f"py + {h} * v3", f"{now} + {direction}", method),
             f"state{n + 1} AS MATERIALIZED (SELECT case_id, start_t, y, x, px + {h / 6} * (u1 + 2 * u2 + 2 * u3 + u4) AS px, "
             f"py + {h / 6} * (v1 + 2 * v2 + 2 * v3 + v4) AS py FROM s{n}d)",
         ]
@@ -119,10 +158,12 @@ def flow_of(spark, sf_dir):
     return voxel(spark, sf_dir).select(*VOXEL, "u", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
-def advected(spark, sf_dir, direction):
+def advected(spark, sf_dir, direction, method="linear"):
     return _once(
-        spark, sf_dir, f"advected{direction}",
-        lambda: lagrange.particle_advect(flow_of(spark, sf_dir), axis(spark, sf_dir), STEPS, dt=DT, direction=direction, blend=BLEND),
+        spark, sf_dir, f"advected-{method}-{direction}",
+        lambda: lagrange.particle_advect(
+            flow_of(spark, sf_dir), axis(spark, sf_dir), STEPS, dt=DT, direction=direction, method=method, blend=BLEND
+        ),
     )
 
 
@@ -137,6 +178,12 @@ def particle_advect_backward(spark, sf_dir):
     return rounded(advected(spark, sf_dir, -1), 6, "px", "py")
 
 
+@query("particle_advect_cubic", f"SELECT case_id, start_t, y, x, {r('px', 'px')}, {r('py', 'py')} FROM state{STEPS}", *advect_sql(1, "cubic"))
+def particle_advect_cubic(spark, sf_dir):
+    """With spline interpolation of the velocity."""
+    return rounded(advected(spark, sf_dir, 1, "cubic"), 6, "px", "py")
+
+
 FTLE_SQL = f"""
 jacobian AS (SELECT case_id, start_t, y, x, lead(px) OVER r AS xr, lag(px) OVER r AS xl, lead(py) OVER r AS yr, lag(py) OVER r AS yl,
   lead(px) OVER c AS xu, lag(px) OVER c AS xd, lead(py) OVER c AS yu, lag(py) OVER c AS yd FROM state{STEPS}

@@ -77,10 +77,11 @@ def ends(df):
     return {(r["start_t"], r["y"], r["x"]): (r["px"], r["py"]) for r in df.collect()}
 
 
+@pytest.mark.parametrize("method", ["linear", "cubic"])
 @pytest.mark.parametrize("direction", [1, -1])
-def test_uniform_flow(cube, axes, direction):
+def test_uniform_flow(cube, axes, direction, method):
     table = flow(cube, lambda x, y: 0.0 * x + 0.3, lambda x, y: 0.0 * x - 0.1)
-    got = ends(lagrange.particle_advect(table, axes, 2, dt=0.05, direction=direction, tile=Tile(2, 4, 4)))
+    got = ends(lagrange.particle_advect(table, axes, 2, dt=0.05, direction=direction, method=method, tile=Tile(2, 4, 4)))
     assert len(got) == 4 * 81
     start_t = 1 if direction == 1 else 2
     for y in range(9):
@@ -91,11 +92,12 @@ def test_uniform_flow(cube, axes, direction):
     assert lost == ({2, 3} if direction == 1 else {0, 1})
 
 
-def test_linear_flow_is_integrated_to_fourth_order(cube, axes):
-    # u = a x, v = -a y is exact for bilinear interpolation and for the linear extension
+@pytest.mark.parametrize("method", ["linear", "cubic"])
+def test_linear_flow_is_integrated_to_fourth_order(cube, axes, method):
+    # u = a x, v = -a y is exact for both interpolations and for the linear extension
     a, dt = 0.4, 0.5
     table = flow(cube, lambda x, y: a * x, lambda x, y: -a * y)
-    moved = lagrange.particle_advect(table, axes, 2, dt=dt)
+    moved = lagrange.particle_advect(table, axes, 2, dt=dt, method=method)
     h = a * dt
     grow, shrink = (1 + h + h**2 / 2 + h**3 / 6 + h**4 / 24) ** 2, (1 - h + h**2 / 2 - h**3 / 6 + h**4 / 24) ** 2
     got = ends(moved)
@@ -114,6 +116,31 @@ def test_missing_velocity_loses_the_particle(cube, axes):
     u = np.full((4, 9, 9), 0.01)
     u[0, 4, 4] = np.nan
     table = cube(u=u, v=np.zeros_like(u))
-    got = ends(lagrange.particle_advect(table, axes, 1))
+    got = ends(lagrange.particle_advect(table, axes, 1, method="linear"))
     assert got[0, 4, 4] == (None, None) and got[0, 1, 1] == pytest.approx((XS[1] + 0.0005, YS[1]))
     assert got[1, 4, 4] == pytest.approx((XS[4] + 0.0005, YS[4]))
+    # a spline couples the whole frame
+    got = ends(lagrange.particle_advect(table, axes, 1, method="cubic"))
+    assert got[0, 1, 1] == (None, None) and got[1, 4, 4] == pytest.approx((XS[4] + 0.0005, YS[4]))
+
+
+def test_spline_is_exact_for_cubic_flow(cube, axes):
+    u_of = lambda x, y: 0.2 + x**3 - 0.5 * x * y**2 + 0.1 * y
+    v_of = lambda x, y: -0.1 + 0.7 * y**3 + 0.3 * x**2 * y
+    got = ends(lagrange.particle_advect(flow(cube, u_of, v_of), axes, 1, dt=0.1, blend=1e-9))
+    for y in range(1, 8):
+        for x in range(1, 8):
+            p = np.array([XS[x], YS[y]])
+            f = lambda q: np.array([u_of(*q), v_of(*q)])
+            k1 = f(p)
+            k2 = f(p + 0.05 * k1)
+            k3 = f(p + 0.05 * k2)
+            k4 = f(p + 0.1 * k3)
+            assert got[0, y, x] == pytest.approx(tuple(p + 0.1 / 6 * (k1 + 2 * k2 + 2 * k3 + k4)), abs=1e-10)
+
+
+def test_bad_parameters(cube, axes):
+    table = flow(cube, lambda x, y: 0 * x, lambda x, y: 0 * x)
+    for bad in ({"direction": 2}, {"method": "quintic"}):
+        with pytest.raises(ValueError):
+            lagrange.particle_advect(table, axes, 1, **bad)

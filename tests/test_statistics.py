@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from eddyfield.functions.missing import finite, floor_at
 from eddyfield.functions.scalar import lgamma
+from eddyfield.model import by_pixel
 from eddyfield.operators import align, stats, transport, turbulence
 from eddyfield.operators.stencil import Tile
 
@@ -120,6 +121,21 @@ def test_conditional_velocity_divides_by_all_frames(cube, field):
     assert field(got, "v_cond").tolist() == [[-0.75, -0.75]]
 
 
+def test_voxels_stored_by_pixel_are_not_shuffled(spark, cube, arrays):
+    stored = by_pixel(cube(**arrays))
+    mean = align.mean_field(stored, "u", "v", "w")
+    for df in (stats.temporal_mean(stored, "u"), align.reynolds(stored, mean)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_no_voxel_shuffle_of_statistics_beyond_the_partial_aggregate(cube, arrays):
+    for df in (transport.turbulent_flux(cube(**arrays)), turbulence.mean_squares(cube(**arrays))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "partial_var_pop" in plan or "partial_covar_pop" in plan
+        assert "Join" not in plan
+
+
 def test_join_fields_checks_the_height(cube):
     c = np.zeros((2, 4, 2))
     trimmed = cube(u=c[:, :2])
