@@ -210,57 +210,105 @@ def fill_nearest(field: DataFrame, value: str) -> DataFrame:
     return field.join(found, PIXEL, "left").select(*PIXEL, F.coalesce(F.col(value), F.col("_fill")).alias(value))
 
 
+CROWD = 64  # points that a cell may hold before the cells are made smaller
+
+
 def regrid_curvilinear(
-    points: DataFrame,
-    targets: DataFrame,
-    value: str,
-    cell: float,
-    fill: float | None = None,
-    max_doublings: int = 40,
+    points: DataFrame, targets: DataFrame, value: str, cell: float, fill: float | None = None
 ) -> DataFrame:
     """Value of the nearest valid scattered point: ``points(case_id, t, x_mm, y_mm, value)``
     onto ``targets(case_id, t, y, x, x_mm, y_mm)``; ties go to the smaller value.
 
-    Points and targets meet in square cells and their eight neighbours. A match is final when
-    it is no further than one cell side; targets without a final match go on with cells twice
-    as large. ``cell`` should hold a few points. A frame without valid points gets ``fill``.
+    Points and targets meet in square cells and their eight neighbours; a match is final when
+    it is no further than one cell side. ``cell`` is a first guess of the side: cells are halved
+    until none holds more than 64 points, so a dense spot cannot make one target meet many
+    points. Targets further from all points search down from large cells, see ``_descend``.
+    A frame without valid points gets ``fill``.
     """
-    frame = ["case_id", "t"]
-    valid = settle(
-        points.filter(F.col(value).isNotNull() & F.col("x_mm").isNotNull() & F.col("y_mm").isNotNull()).select(
-            *frame, F.col("x_mm").alias("px"), F.col("y_mm").alias("py"), F.col(value).alias("pv")
-        ),
-        "points",
+    frame, target = ["case_id", "t"], ["case_id", "t", "y", "x"]
+    valid = (
+        points.filter(F.col(value).isNotNull() & F.col("x_mm").isNotNull() & F.col("y_mm").isNotNull())
+        .groupBy(*frame, F.col("x_mm").alias("px"), F.col("y_mm").alias("py"))
+        .agg(F.min(value).alias("pv"))
     )
-    targets = settle(targets.select(*frame, "y", "x", "x_mm", "y_mm"), "targets")
-    lit = targets.join(valid.select(*frame).distinct(), frame, "left_semi")
-    dark = targets.join(valid.select(*frame).distinct(), frame, "left_anti")
-    done = [dark.select(*frame, "y", "x", F.lit(fill).cast("double").alias(value))]
-    side = cell
+    valid = settle(valid, "points")
+    targets = settle(targets.select(*target, "x_mm", "y_mm"), "targets")
+    with_points = valid.select(*frame).distinct()
+    dark = targets.join(with_points, frame, "left_anti").select(*target, F.lit(fill).cast("double").alias(value))
+    lit = targets.join(with_points, frame, "left_semi")
 
     def of(coordinate: str, size: float) -> Column:
         return F.floor(F.col(coordinate) / F.lit(size)).cast("bigint")
 
-    for _ in range(max_doublings):
-        near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-        spread = (
-            lit.withColumn("dx", F.explode(near))
-            .withColumn("dy", F.explode(near))
-            .withColumn("cx", of("x_mm", side) + F.col("dx"))
-            .withColumn("cy", of("y_mm", side) + F.col("dy"))
+    side = cell
+    while True:
+        housed = valid.withColumns({"cx": of("px", side), "cy": of("py", side)})
+        crowd = housed.groupBy(*frame, "cx", "cy").count().agg(F.max("count")).first()[0] or 0
+        if crowd <= CROWD:
+            break
+        side /= 2
+    near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+    spread = (
+        lit.withColumn("dx", F.explode(near))
+        .withColumn("dy", F.explode(near))
+        .withColumns({"cx": of("x_mm", side) + F.col("dx"), "cy": of("y_mm", side) + F.col("dy")})
+    )
+    close = settle(_closest(spread, housed, target).filter(F.col("best.d2") <= side * side), "close")
+    far = settle(lit.join(close, target, "left_anti"), "far")
+    found = [dark, close.select(*target, F.col("best.pv").alias(value))]
+    if not far.isEmpty():
+        found.append(_descend(far, housed, side, target).select(*target, F.col("best.pv").alias(value)))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _closest(spread: DataFrame, housed: DataFrame, target: list[str]) -> DataFrame:
+    """Closest point of the cells listed for each target."""
+    gap_x, gap_y = F.col("px") - F.col("x_mm"), F.col("py") - F.col("y_mm")
+    return (
+        spread.join(housed, ["case_id", "t", "cx", "cy"])
+        .groupBy(*target)
+        .agg(F.min(F.struct((gap_x * gap_x + gap_y * gap_y).alias("d2"), F.col("pv"))).alias("best"))
+    )
+
+
+def _descend(far: DataFrame, housed: DataFrame, side: float, target: list[str]) -> DataFrame:
+    """Closest point of every target, from the largest cells down to those of ``side``.
+
+    An occupied cell holds a point between the distance of its near edge and that of its far
+    corner. On each level a target keeps the cells whose near edge is not beyond the nearest
+    far corner, and passes on to their occupied quarters of quarters. So it meets only the rim
+    of the points that faces it, and the points of a few small cells at the end.
+    """
+    frame = ["case_id", "t"]
+    occupied = settle(housed.select(*frame, "cx", "cy").distinct(), "occupied")
+    spans = occupied.agg(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy")).first()
+    top = 0
+    while (1 << top) <= max(spans):
+        top += 2
+
+    def cells(shift: int) -> DataFrame:
+        shrunk = [F.shiftright(c, shift).alias(c) for c in ("cx", "cy")]
+        return occupied.select(*frame, *shrunk).distinct()
+
+    kept = far.join(cells(top), frame)
+    for shift in range(top - 2, -1, -2):
+        size = F.lit(side * (1 << shift))
+        parts = cells(shift).select(
+            *frame, F.shiftright("cx", 2).alias("cx"), F.shiftright("cy", 2).alias("cy"), F.col("cx").alias("kx"), F.col("cy").alias("ky")
         )
-        housed = valid.withColumn("cx", of("px", side)).withColumn("cy", of("py", side))
-        gap_x, gap_y = F.col("px") - F.col("x_mm"), F.col("py") - F.col("y_mm")
-        matched = (
-            spread.join(housed, [*frame, "cx", "cy"])
-            .groupBy(*frame, "y", "x")
-            .agg(F.min(F.struct((gap_x * gap_x + gap_y * gap_y).alias("d2"), F.col("pv"))).alias("best"))
+        low2, high2 = F.lit(0.0), F.lit(0.0)
+        for k, p in (("kx", "x_mm"), ("ky", "y_mm")):
+            left = F.col(p) - F.col(k) * size
+            right = (F.col(k) + 1) * size - F.col(p)
+            gap, reach = F.greatest(-left, -right, F.lit(0.0)), F.greatest(F.abs(left), F.abs(right))
+            low2, high2 = low2 + gap * gap, high2 + reach * reach
+        nearest = F.min("high2").over(Window.partitionBy(*target))
+        kept = settle(
+            kept.join(parts, [*frame, "cx", "cy"])
+            .withColumns({"low2": low2, "high2": high2})
+            .withColumn("bound", nearest * (1 + 1e-9))
+            .filter("low2 <= bound")
+            .select(*target, "x_mm", "y_mm", F.col("kx").alias("cx"), F.col("ky").alias("cy")),
+            "descent",
         )
-        final = settle(matched.filter(F.col("best.d2") <= side * side), "matched")
-        done.append(final.select(*frame, "y", "x", F.col("best.pv").alias(value)))
-        lit = settle(lit.join(final, [*frame, "y", "x"], "left_anti"), "unmatched")
-        if lit.isEmpty():
-            return reduce(DataFrame.unionByName, done)
-        side *= 2
-    raise RuntimeError("targets lie too far from every point for this cell size")
-
+    return _closest(kept, housed, target)

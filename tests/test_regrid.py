@@ -74,11 +74,16 @@ def test_fill_nearest(cube, field, share):
     assert np.array_equal(got, brute_fill(f), equal_nan=True)
 
 
-def test_curvilinear(spark):
+@pytest.mark.parametrize("kind", ["even", "crowded", "far"])
+def test_curvilinear(spark, kind):
     rng = np.random.default_rng(6)
     points = [("a", int(t), *map(float, rng.random(2) * 10), float(v)) for t in range(2) for v in range(40)]
     points += [("a", 0, 50.0, 50.0, 99.0), ("a", 2, 1.0, 1.0, None)]
-    targets = [("a", t, y, x, float(x * 3 - 4), float(y * 3 - 4)) for t in range(3) for y in range(6) for x in range(6)]
+    if kind == "crowded":  # most points in a spot far smaller than a cell, some in the same place
+        points += [("a", 1, 4.0 + float(a) * 1e-4, 4.0 + float(b) * 1e-4, 200.0 + i) for i, (a, b) in enumerate(rng.random((300, 2)))]
+        points += [("a", 1, 4.0, 4.0, 500.0 + i) for i in range(300)]
+    step = 60 if kind == "far" else 3
+    targets = [("a", t, y, x, float(x * step - 4), float(y * step - 4)) for t in range(3) for y in range(6) for x in range(6)]
     p = spark.createDataFrame(points, "case_id string, t int, x_mm double, y_mm double, c double")
     q = spark.createDataFrame(targets, "case_id string, t int, y int, x int, x_mm double, y_mm double")
     got = {(r["t"], r["y"], r["x"]): r["c"] for r in regrid.regrid_curvilinear(p, q, "c", cell=0.5, fill=-1.0).collect()}
