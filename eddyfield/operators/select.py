@@ -85,15 +85,12 @@ def roi_bands(
     x_bands: list[tuple[float, float]],
     y_band: tuple[float, float],
 ) -> DataFrame:
-    """Samples of several column bands over one row band, one after the other. A sample in
-    two overlapping bands counts twice."""
-    parts = [
-        roi_coords(df, axis, x_mm=band, y_mm=y_band).withColumn("band", F.lit(i)) for i, band in enumerate(x_bands)
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Samples of several column bands over one row band, with the number of the band. A sample
+    in two overlapping bands counts twice. The samples are read once."""
+    hull = (min(min(b) for b in x_bands), max(max(b) for b in x_bands))
+    placed = roi_coords(df, axis, x_mm=hull, y_mm=y_band)
+    hits = [F.when(F.col("x_mm").between(*sorted(band)), F.lit(i)) for i, band in enumerate(x_bands)]
+    return placed.withColumn("band", F.explode(F.array_compact(F.array(*hits))))
 
 
 def mask_below(df: DataFrame, value: str, threshold: float, magnitude: bool = False) -> DataFrame:

@@ -57,18 +57,14 @@ def circular_lag(spark, sf_dir):
     return sequence.circular_lag(table, 7, extent(table)).select(*VOXEL, "u", "v")
 
 
-@query("frame_order", "SELECT key, CAST(row_number() OVER (ORDER BY n, key) AS INTEGER) AS place FROM (SELECT DISTINCT 'arr_' || t AS key, t AS n FROM voxel "
-       "UNION ALL SELECT DISTINCT 'extra_' || y, 1000000000000 FROM voxel)")
+@query("frame_order", "SELECT DISTINCT 'arr_' || t AS key, CAST(t AS BIGINT) AS number FROM voxel UNION ALL SELECT DISTINCT 'extra_' || y, 1000000000000 FROM voxel")
 def frame_order(spark, sf_dir):
-    """arr_2 before arr_10, other keys last by name; the place shows the order."""
-    from pyspark.sql import Window
-
+    """arr_2 before arr_10, other keys last by name, with the number that orders them."""
     table = voxel(spark, sf_dir)
     numbered = table.select(F.concat(F.lit("arr_"), F.col("t").cast("string")).alias("key"))
     others = table.select(F.concat(F.lit("extra_"), F.col("y").cast("string")).alias("key"))
-    keys = sequence.frame_order(numbered.unionByName(others).distinct())
-    by_number = Window.orderBy(frame_number(F.col("key")), "key")  # a list of frame keys, not of samples
-    return keys.select("key", F.row_number().over(by_number).alias("place"))
+    keys = numbered.unionByName(others).distinct()
+    return sequence.frame_order(keys.withColumn("number", frame_number(F.col("key"))))
 
 
 @query("train_test_split", "SELECT 'train' AS part, case_id, t, y, x, c FROM voxel WHERE t < 2 UNION ALL SELECT 'test', case_id, t - 2, y, x, c FROM voxel WHERE t >= 2")

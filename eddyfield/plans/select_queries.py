@@ -172,10 +172,10 @@ def box_region(spark, sf_dir):
     return rounded(out.select(*PIXEL, "speed", "in_box"), 6, "speed")
 
 
-@query("normalise_max", f"SELECT case_id, t, y, x, {r('c / top - m / top', 'c')} FROM voxel JOIN (SELECT case_id, max(c) AS top FROM voxel GROUP BY ALL) USING (case_id) "
+@query("normalise_max", f"SELECT case_id, t, y, x, {r('c / top - m / top', 'c', 8)} FROM voxel JOIN (SELECT case_id, max(c) AS top FROM voxel GROUP BY ALL) USING (case_id) "
        "JOIN (SELECT case_id, y, x, avg(c) AS m FROM voxel GROUP BY ALL) USING (case_id, y, x)")
 def normalise_max(spark, sf_dir):
-    return rounded(select.normalise_max(voxel(spark, sf_dir)).select(*VOXEL, "c"), 6, "c")
+    return rounded(select.normalise_max(voxel(spark, sf_dir)).select(*VOXEL, "c"), 8, "c")
 
 
 @query("zscore_field", "SELECT case_id, y, x, " + ", ".join(r(f"CASE WHEN stddev_pop({k}) OVER (PARTITION BY case_id) < 1e-12 THEN 0 ELSE "

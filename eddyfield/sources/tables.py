@@ -106,28 +106,41 @@ def scan_text_series(
     Files are read in splits. A line's number is its place in its split plus the lines of the
     splits before it, so no file has to pass through one task.
     """
-    lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("id"),
+    lines = settle(
+        spark.read.text(path).select(
+            "value",
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("id"),  # consecutive within a split
+        ),
+        "lines",
     )
 
-    def numbered(df: DataFrame, name: str) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("path", "split").orderBy("id"))
-        counts = df.groupBy("path", "split").agg(F.count(F.lit(1)).alias("n"))
-        before = F.sum("n").over(Window.partitionBy("path").orderBy("split")) - F.col("n")
-        starts = settle(counts.select("path", "split", before.alias("before")), "splits")
-        return df.withColumn("place", place).join(starts, ["path", "split"]).withColumn(
-            name, F.col("before") + F.col("place") - 1
-        ).drop("place", "before")
+    def before(df: DataFrame, *more: Column) -> DataFrame:
+        """Rows of the earlier splits of the same file: one row per split."""
+        counts = df.groupBy("path", "split").agg(F.count(F.lit(1)).alias("n"), *more)
+        earlier = F.sum("n").over(Window.partitionBy("path").orderBy("split")) - F.col("n")
+        return settle(counts.withColumn("before", earlier).drop("n"), "splits")
 
+    starts = before(lines, F.min("id").alias("first"))
+    line = F.col("id") - F.col("first") + F.col("before")
     text = F.col("value")
     if comment:
         text = F.substring_index(text, comment, 1)
-    usable = numbered(lines, "line").filter(F.col("line") >= skiprows).withColumn("text", F.trim(text)).filter("text != ''")
+    usable = (
+        lines.join(starts, ["path", "split"])
+        .filter(line >= skiprows)
+        .withColumn("text", F.trim(text))
+        .filter("text != ''")
+        .select("path", "split", "id", "text")
+    )
     splitter = r"\s+" if delimiter is None else "\\Q" + delimiter + "\\E"
-    rows = numbered(usable, "row_no").withColumn("f", F.split("text", splitter))
+    place = F.row_number().over(Window.partitionBy("path", "split").orderBy("id")) - 1
+    rows = (
+        usable.withColumn("place", place)
+        .join(before(usable), ["path", "split"])
+        .select("path", (F.col("before") + F.col("place")).alias("row_no"), F.split("text", splitter).alias("f"))
+    )
     single = F.size("f") == 1
 
     def column(i: int) -> Column:
