@@ -18,6 +18,21 @@ from eddyfield.session import settle, settle_buckets
 PIXEL = ["case_id", "y", "x"]
 VOXEL = ["case_id", "t", "y", "x"]
 COMPONENTS = ["u", "v", "w"]
+
+# Defaults of the analyses.
+KINEMATIC_VISCOSITY = 1.5e-5  # air, m^2/s
+FREE_STREAM = 0.30  # m/s
+W_FLOOR = -1.0  # w' below this is an outlier, m/s
+ENVELOPE_CUTOFF = 0.10  # intermittency from here on is inside the plume
+C_MIN = 0.001  # smallest concentration of the motion correlator
+GRADIENT_PITCH = 0.5  # mm between pixels of the gradient maps
+FRAME_TIME = 0.05  # s between frames
+BLEND = 0.015  # m over which velocity passes into its linear extension
+TARGET_GRID = (540, 640)  # columns, rows of the shared grid
+PROFILE_SKIP = 30  # points left out at the end of a smoothed profile
+LATERAL_REACH = 2  # rows on either side of a lateral profile
+COLLAPSE_POINTS, COLLAPSE_REACH = 200, 3.0  # grid of the collapsed Gaussians, in sigma
+
 FRAMES_PER_BLOCK = 32
 ROWS_PER_FILE = 64
 

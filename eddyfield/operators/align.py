@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eddyfield.model import COMPONENTS, PIXEL, VOXEL
+from eddyfield.model import COMPONENTS, ENVELOPE_CUTOFF, PIXEL, VOXEL, W_FLOOR
 from eddyfield.operators.select import roi_index
 from eddyfield.session import settle
 
@@ -39,7 +39,7 @@ def mean_field(voxel: DataFrame, *values: str) -> DataFrame:
     return voxel.groupBy(*PIXEL).agg(*[F.avg(v).alias(v) for v in values or ("u", "v", "w", "c")])
 
 
-def reynolds(voxel: DataFrame, mean: DataFrame | None = None, w_floor: float = -1.0) -> DataFrame:
+def reynolds(voxel: DataFrame, mean: DataFrame | None = None, w_floor: float = W_FLOOR) -> DataFrame:
     """Fluctuations u', v', w' about a mean field (the voxels' own by default); w' below
     ``w_floor`` is missing. Statistics of fluctuations do not need this table, see
     ``turbulence``: they subtract the mean after aggregating."""
@@ -61,7 +61,7 @@ def refresh_fluctuation(voxel: DataFrame, mean: DataFrame, rows: tuple[int, int]
     )
 
 
-def join_envelope(df: DataFrame, intermittency: DataFrame, cutoff: float = 0.10) -> DataFrame:
+def join_envelope(df: DataFrame, intermittency: DataFrame, cutoff: float = ENVELOPE_CUTOFF) -> DataFrame:
     """Flag pixels inside the plume: intermittency (a fraction) at or above the cutoff."""
     return df.join(
         intermittency.select(*PIXEL, (F.col("intermittency") >= cutoff).alias("inside")), PIXEL

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eddyfield.model import COLLAPSE_POINTS, COLLAPSE_REACH
 from eddyfield.operators.regrid import locate
 from eddyfield.session import settle
 
@@ -96,8 +97,8 @@ def gaussian_collapse(
     profile: DataFrame,
     params: DataFrame,
     x_range: tuple[float, float] | None = None,
-    points: int = 200,
-    reach: float = 3.0,
+    points: int = COLLAPSE_POINTS,
+    reach: float = COLLAPSE_REACH,
 ) -> DataFrame:
     """Mean over the cases of the fitted Gaussians, each scaled to its peak, on ``points`` even
     values z = (x - mu) / sigma in [-reach, reach]: ``(target, point, z, value)``.

@@ -11,13 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddyfield.model import VOXEL
+from eddyfield.model import BLEND, FRAME_TIME, VOXEL
 from eddyfield.operators.select import roi_coords
 from eddyfield.operators.stats import linear_flow_tensor
 from eddyfield.operators.stencil import Tile, line_along, with_rims
 from eddyfield.session import settle, settle_buckets
 
-BLEND = 0.015  # metres over which the field passes into its linear extension
 CELL = ["case_id", "t", "y", "x"]
 PARTICLE = ["case_id", "start_t", "y", "x"]
 
@@ -150,7 +149,7 @@ def particle_advect(
     axis: DataFrame,
     n_steps: int,
     *,
-    dt: float = 0.05,
+    dt: float = FRAME_TIME,
     direction: int = 1,
     method: str = "cubic",
     blend: float = BLEND,

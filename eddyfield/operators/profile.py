@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eddyfield.model import PIXEL
+from eddyfield.model import LATERAL_REACH, PIXEL, PROFILE_SKIP
 from eddyfield.operators.align import nearest_coord
 
 
@@ -50,7 +50,7 @@ def moving_average(profile: DataFrame, k: int) -> DataFrame:
     )
 
 
-def row_smooth_profile(field: DataFrame, value: str, k: int, skip: int = 30, flip: bool = True) -> DataFrame:
+def row_smooth_profile(field: DataFrame, value: str, k: int, skip: int = PROFILE_SKIP, flip: bool = True) -> DataFrame:
     """Smoothed row profile without its first ``skip`` points, counted from the far end."""
     rows = row_profile(field, value).withColumn("pos", F.col("pos").cast("int"))
     smooth = moving_average(rows, k)
@@ -76,7 +76,7 @@ def lateral_profile(
     axis: DataFrame,
     targets: DataFrame,
     value: str,
-    reach: int = 2,
+    reach: int = LATERAL_REACH,
     x_mm: tuple[float, float] | None = None,
 ) -> DataFrame:
     """Mean of the rows within ``reach`` of the row nearest to each target, per column.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eddyfield.functions.missing import floor_at
 from eddyfield.functions.scalar import speed
-from eddyfield.model import FRAMES_PER_BLOCK, PIXEL, per_case
+from eddyfield.model import FRAMES_PER_BLOCK, PIXEL, TARGET_GRID, per_case
 from eddyfield.session import settle
 
 Range = tuple[int, int]
@@ -160,7 +160,7 @@ def step_axis(axis: DataFrame, dim: str, step: float) -> DataFrame:
     )
 
 
-def make_target_grid(axis: DataFrame, nx: int = 540, ny: int = 640) -> DataFrame:
+def make_target_grid(axis: DataFrame, nx: int = TARGET_GRID[0], ny: int = TARGET_GRID[1]) -> DataFrame:
     """Evenly spaced mesh over the extent of the axes (the mesh itself is the result)."""
     return mesh(linspace_axis(axis, "x", nx).unionByName(linspace_axis(axis, "y", ny)))
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from eddyfield.model import PIXEL, VOXEL
+from eddyfield.model import C_MIN, FRAME_TIME, GRADIENT_PITCH, PIXEL, VOXEL
 from eddyfield.operators.select import frames
 from eddyfield.session import settle
 
@@ -81,16 +81,10 @@ def _slope(value: str, dim: str, step: float, line: WindowSpec) -> Column:
     )
 
 
-def gradients(
-    df: DataFrame,
-    wanted: dict[str, tuple[str, str, float]],
-    *,
-    keep: list[str] | None = None,
-    tile: Tile = Tile(),
-) -> DataFrame:
+def gradients(df: DataFrame, wanted: dict[str, tuple[str, str, float]], *, tile: Tile = Tile()) -> DataFrame:
     """Several first differences at once: ``wanted[name] = (value, direction, step)``."""
     axes = [d for d in ("t", "y", "x") if d in df.columns]
-    values = sorted({value for value, _, _ in wanted.values()} | set(keep or []))
+    values = sorted({value for value, _, _ in wanted.values()})
     narrow = df.select("case_id", *axes, *values)
     tiled = with_rims(narrow, {dim: 1 for _, dim, _ in wanted.values()}, tile)
     tiled = tiled.withColumns({v: F.col(v).cast("double") for v in values})  # after the shuffle
@@ -100,12 +94,12 @@ def gradients(
     return tiled.filter("_own").select("case_id", *axes, *values, *wanted)
 
 
-def spatial_gradient(voxel: DataFrame, value: str = "c", dx: float = 0.5, dy: float = 0.5, tile: Tile = Tile()) -> DataFrame:
+def spatial_gradient(voxel: DataFrame, value: str = "c", dx: float = GRADIENT_PITCH, dy: float = GRADIENT_PITCH, tile: Tile = Tile()) -> DataFrame:
     """Slopes of a field along columns (d_dx) and rows (d_dy)."""
     return gradients(voxel, {"d_dx": (value, "x", dx), "d_dy": (value, "y", dy)}, tile=tile)
 
 
-def temporal_gradient(voxel: DataFrame, value: str = "c", dt: float = 0.05, tile: Tile = Tile()) -> DataFrame:
+def temporal_gradient(voxel: DataFrame, value: str = "c", dt: float = FRAME_TIME, tile: Tile = Tile()) -> DataFrame:
     """Slope of a field over time."""
     return gradients(voxel, {"d_dt": (value, "t", dt)}, tile=tile)
 
@@ -113,9 +107,9 @@ def temporal_gradient(voxel: DataFrame, value: str = "c", dt: float = 0.05, tile
 def gradient_means(
     voxel: DataFrame,
     value: str = "c",
-    dx: float = 0.5,
-    dy: float = 0.5,
-    dt: float = 0.05,
+    dx: float = GRADIENT_PITCH,
+    dy: float = GRADIENT_PITCH,
+    dt: float = FRAME_TIME,
     tile: Tile = Tile(),
 ) -> DataFrame:
     """Means over time of the three slopes and of the products -d_dx d_dt and -d_dy d_dt."""
@@ -140,7 +134,7 @@ def strain_rates(fluct: DataFrame, dx: float, tile: Tile = Tile()) -> DataFrame:
 def motion_correlator(
     voxel: DataFrame,
     mean: DataFrame | None = None,
-    c_min: float = 0.001,
+    c_min: float = C_MIN,
     t0: int = 0,
     all_pairs: bool = False,
     tile: Tile = Tile(),
@@ -220,7 +214,7 @@ def peak_shift_velocity(
     along: str,
     pixels: int,
     mean: DataFrame | None = None,
-    c_min: float = 0.001,
+    c_min: float = C_MIN,
     mm_per_px: float = 1.0,
     frames_per_s: float = 1.0,
 ) -> DataFrame:

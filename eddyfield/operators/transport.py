@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eddyfield.functions.missing import strict
-from eddyfield.model import COMPONENTS, PIXEL
+from eddyfield.model import COMPONENTS, PIXEL, W_FLOOR
 
 
 def turbulent_flux(
-    voxel: DataFrame, t: tuple[int, int] | None = None, w_floor: float = -1.0
+    voxel: DataFrame, t: tuple[int, int] | None = None, w_floor: float = W_FLOOR
 ) -> DataFrame:
     """<u'c'>, <v'c'>, <w'c'> over the frames ``t``; missing where any sample is missing.
 
@@ -36,7 +36,7 @@ def flux_terms(t: tuple[int, int] | None = None) -> list[Column]:
     return [*aggregates, F.min(F.when(used, F.col("w"))).alias("used_min_w")]
 
 
-def flux_columns(w_floor: float = -1.0) -> list[Column]:
+def flux_columns(w_floor: float = W_FLOOR) -> list[Column]:
     kept_w = F.col("used_min_w") - F.col("all_w") >= w_floor
     return [
         F.when(

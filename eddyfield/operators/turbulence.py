@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eddyfield.functions.missing import complete
-from eddyfield.model import COMPONENTS, PIXEL
+from eddyfield.model import COMPONENTS, FREE_STREAM, KINEMATIC_VISCOSITY, PIXEL, W_FLOOR
 from eddyfield.operators.stencil import Tile, gradients
 
 
@@ -19,7 +19,7 @@ def _about(var: Column, avg: Column, mean: Column) -> Column:
     return var + (avg - mean) * (avg - mean)
 
 
-def mean_squares(voxel: DataFrame, mean: DataFrame | None = None, w_floor: float = -1.0) -> DataFrame:
+def mean_squares(voxel: DataFrame, mean: DataFrame | None = None, w_floor: float = W_FLOOR) -> DataFrame:
     """<u'^2>, <v'^2>, <w'^2>; missing where a sample is missing, and for w also where any w'
     lies below ``w_floor`` (such a sample counts as missing)."""
     moments = voxel.groupBy(*PIXEL).agg(*square_terms())
@@ -39,7 +39,7 @@ def square_terms() -> list[Column]:
     ]
 
 
-def square_columns(w_floor: float = -1.0, mean: str = "avg") -> list[Column]:
+def square_columns(w_floor: float = W_FLOOR, mean: str = "avg") -> list[Column]:
     """Mean squares about the columns ``<mean>_u``, ``<mean>_v``, ``<mean>_w``."""
     kept_w = F.col("min_w") - F.col(f"{mean}_w") >= w_floor
     return [
@@ -60,7 +60,7 @@ def _rms() -> Column:
     return F.sqrt(F.lit(1.0 / 3.0) * (F.col("u2") + F.col("v2") + F.col("w2")))
 
 
-def turbulence_intensity(squares: DataFrame, free_stream: float = 0.30) -> DataFrame:
+def turbulence_intensity(squares: DataFrame, free_stream: float = FREE_STREAM) -> DataFrame:
     """RMS of the three components over the free-stream speed."""
     return squares.select(*PIXEL, (_rms() / F.lit(free_stream)).alias("intensity"))
 
@@ -73,7 +73,7 @@ def anisotropy(energy: DataFrame) -> DataFrame:
 
 
 def dissipation(
-    voxel: DataFrame, dx: float, nu: float = 1.5e-5, mean: DataFrame | None = None, tile: Tile = Tile()
+    voxel: DataFrame, dx: float, nu: float = KINEMATIC_VISCOSITY, mean: DataFrame | None = None, tile: Tile = Tile()
 ) -> DataFrame:
     """5 nu (<(du')^2> + <(dv')^2> + <(dw')^2>) with dw' = -du' - dv' from continuity.
 
@@ -101,7 +101,7 @@ def dissipation(
     )
 
 
-def turbulence_scales(squares: DataFrame, epsilon: DataFrame, nu: float = 1.5e-5) -> DataFrame:
+def turbulence_scales(squares: DataFrame, epsilon: DataFrame, nu: float = KINEMATIC_VISCOSITY) -> DataFrame:
     """Taylor length and Reynolds number, Kolmogorov length and time; missing where the
     dissipation is not positive."""
     both = squares.join(epsilon, PIXEL).withColumn("rms", _rms())

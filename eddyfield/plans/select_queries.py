@@ -268,7 +268,7 @@ def avg_components(spark, sf_dir):
 @query("case_from_path", "SELECT DISTINCT 'E/means/mean_fields_' || case_id || '_' || x || '.npz' AS path, case_id || '_' || x AS case_name, NULL::VARCHAR AS flux_case FROM voxel "
        "UNION ALL SELECT DISTINCT 'w_flx_' || case_id || '_FINAL_AllTimeSteps_' || y || '.npy', NULL, case_id FROM voxel")
 def case_from_path_query(spark, sf_dir):
-    """Case names out of two naming conventions."""
+    """Case names out of two naming conventions (fixed values: the two forms of file names)."""
     pixels = voxel(spark, sf_dir).select("case_id", "y", "x").distinct()
     means = pixels.select(F.concat(F.lit("E/means/mean_fields_"), "case_id", F.lit("_"), "x", F.lit(".npz")).alias("path"))
     fluxes = pixels.select(F.concat(F.lit("w_flx_"), "case_id", F.lit("_FINAL_AllTimeSteps_"), "y", F.lit(".npy")).alias("path"))

@@ -8,6 +8,7 @@ Paths may carry any scheme that Arrow knows.
 
 from __future__ import annotations
 
+import contextlib
 import zipfile
 from dataclasses import dataclass
 
@@ -114,28 +115,27 @@ class StackReader(DataSourceReader):
         return parts
 
     def read(self, part: StackPart):
-        slabs = part.last - part.first
-        loaded, shape = [], None
-        for path in part.paths:
-            system, inner = file_system(path)
-            with system.open_input_file(inner) as handle:
+        with contextlib.ExitStack() as open_files:
+            handles = []
+            for path in part.paths:
+                system, inner = file_system(path)
+                handle = open_files.enter_context(system.open_input_file(inner))
                 shape, dtype = read_header(handle)
                 slab = int(np.prod(shape[1:])) * dtype.itemsize
                 handle.seek(handle.tell() + part.first * slab)
-                raw = np.frombuffer(handle.read(slabs * slab), dtype=dtype)
-            loaded.append(raw.reshape(slabs, *shape[1:]).astype(np.float32, copy=False))
-        second, third = (index.ravel() for index in np.indices(shape[1:], dtype=np.int32))
-        for i in range(slabs):
-            lead = np.full(second.size, part.offset + part.first + i, dtype=np.int32)
-            t, y, x = (lead, second, third) if self.axes == "tyx" else (third, lead, second)
-            values = [stack[i].ravel() for stack in loaded]
-            if self.frame is not None and self.axes == "yxt":
-                keep = t == self.frame
-                t, y, x, values = t[keep], y[keep], x[keep], [v[keep] for v in values]
-            columns = [pa.repeat(self.case, len(t)), pa.array(t), pa.array(y), pa.array(x)]
-            # masked samples are NaN in the files and NULL in the engine
-            columns += [pa.array(v, mask=~np.isfinite(v)) for v in values]
-            yield pa.RecordBatch.from_arrays(columns, names=["case_id", "t", "y", "x", *self.components])
+                handles.append((handle, dtype, slab))
+            second, third = (index.ravel() for index in np.indices(shape[1:], dtype=np.int32))
+            for at in range(part.offset + part.first, part.offset + part.last):  # one slab in memory at a time
+                lead = np.full(second.size, at, dtype=np.int32)
+                t, y, x = (lead, second, third) if self.axes == "tyx" else (third, lead, second)
+                values = [np.frombuffer(h.read(size), dtype=kind).astype(np.float32, copy=False) for h, kind, size in handles]
+                if self.frame is not None and self.axes == "yxt":
+                    keep = t == self.frame
+                    t, y, x, values = t[keep], y[keep], x[keep], [v[keep] for v in values]
+                columns = [pa.repeat(self.case, len(t)), pa.array(t), pa.array(y), pa.array(x)]
+                # masked samples are NaN in the files and NULL in the engine
+                columns += [pa.array(v, mask=~np.isfinite(v)) for v in values]
+                yield pa.RecordBatch.from_arrays(columns, names=["case_id", "t", "y", "x", *self.components])
 
 
 class StackSource(DataSource):
