@@ -171,6 +171,23 @@ def test_circular_lag_by_the_whole_length_is_identity(cube):
     assert back.exceptAll(table.select(back.columns)).isEmpty()
 
 
+def test_renumbered_frames_still_prune_rightly(spark, folder, cube):
+    from eddyfield.operators.select import frames
+
+    write_voxel(cube(c=np.arange(80.0).reshape(80, 1, 1)), f"{folder}/voxel")
+    stored = spark.read.parquet(f"{folder}/voxel")
+    train, test = sequence.train_test(stored, 40)
+    moved = [
+        (sequence.offset_limit(stored, 35), 40, 75.0),
+        (sequence.circular_lag(stored, 70, extent(stored)), 0, 70.0),
+        (sequence.concat_stacks(stored, stored), 81, 1.0),
+        (test, 33, 73.0),
+        (train, 33, 33.0),
+    ]
+    for df, t, value in moved:
+        assert [r["c"] for r in frames(df, t, t + 1).collect()] == [value]
+
+
 def test_concat_and_split(cube):
     a, b = cube(c=np.zeros((3, 1, 1))), cube(c=np.ones((2, 1, 1)))
     whole = sequence.concat_stacks(a, b)
