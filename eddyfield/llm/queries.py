@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddyfield.llm import exactdedup, mixing, sharding
-from eddyfield.llm.common import read
+from eddyfield.llm import exactdedup, langid, mixing, quality, sharding, urlfilter
+from eddyfield.llm.common import held_out, read
 from eddyfield.llm.registry import query
 
 OP6_SQL = r"""
@@ -84,3 +84,50 @@ SELECT *, CAST('0x' || substr(md5('7|' || block || '|' || epoch || '|' || doc_id
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, sources = mixing.plan(read(spark, sf_dir, "documents"))
     return mixing.blocks(rows, sources)
+
+
+_LISTED = ", ".join(f"'{name}.{end}'" for name in urlfilter.BLOCKED_NAMES for end in urlfilter.ENDINGS)
+
+OP2_SQL = rf"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
+), urls AS (
+  SELECT page_id,
+         coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM parts
+), rules(kind, rule_host, rule_path) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+         ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), ruled AS (
+  SELECT u.*,
+         (SELECT max_by(rule_host || rule_path, length(rule_host || rule_path)) FROM rules
+          WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS rule,
+         (SELECT max_by(kind, length(rule_host || rule_path)) FROM rules
+          WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS kind,
+         (SELECT max_by(entry, length(entry)) FROM (SELECT unnest([{_LISTED}]) AS entry)
+          WHERE entry = host || path OR host = entry OR ends_with(host, '.' || entry)) AS listed
+  FROM urls u
+)
+SELECT page_id, host, path, rule, coalesce(kind, CASE WHEN listed IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, listed FROM ruled
+"""
+
+
+@query("op2_url_filter", OP2_SQL)
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(read(spark, sf_dir, "pages"))
+
+
+@query("op4_quality")
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = quality.measure(read(spark, sf_dir, "documents"))
+    model = quality.learn(measured, read(spark, sf_dir, "labels"))
+    scored = measured.withColumn("score", quality.score_of(model))
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    judged = docs.select("doc_id", held_out().alias("held_out"), langid.detect(docs, langid.learn(docs)).alias("judged"))
+    return judged.select("doc_id", "held_out", F.col("judged.lang").alias("lang_pred"), F.col("judged.score").alias("score"))
