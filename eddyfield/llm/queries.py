@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddyfield.llm import exactdedup, jaccard, langid, mixing, quality, sharding, urlfilter
+from eddyfield.llm import decontaminate, exactdedup, jaccard, langid, mixing, quality, sharding, urlfilter
 from eddyfield.llm.common import held_out, read
 from eddyfield.llm.registry import query
 
@@ -159,3 +159,8 @@ FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach USING (doc_id) GROUP
 @query("op10_jaccard_join", OP10_SQL)
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_groups(read(spark, sf_dir, "documents"))
+
+
+@query("op8_decontaminate")
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
