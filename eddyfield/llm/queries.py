@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddyfield.llm import decontaminate, exactdedup, jaccard, langid, mixing, quality, sharding, urlfilter
+from eddyfield.llm import decontaminate, exactdedup, jaccard, langid, linededup, mixing, quality, sharding, urlfilter
 from eddyfield.llm.common import held_out, read
 from eddyfield.llm.registry import query
 
@@ -164,3 +164,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_decontaminate")
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op5_line_dedup")
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_groups(read(spark, sf_dir, "documents"))
