@@ -13,6 +13,7 @@ need no care.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 from collections.abc import Iterator
@@ -21,6 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
+import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,10 +82,10 @@ def _segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def build_index(entries: DataFrame, segments: int = 1) -> str:
+def build_index(entries: DataFrame, segments: int = 1) -> list[str]:
     """Sort the entries by digest, in ``segments`` ranges, into files in the shared folder, and have
-    Spark fetch them to every executor that asks. Returns the name to open them by. The list is
-    never gathered by the driver; an executor needs local disk for it, not memory."""
+    Spark fetch them to every executor that asks. Returns the names to open them by, in order. The
+    list is never gathered by the driver; an executor needs local disk for it, not memory."""
     spark = entries.sparkSession
     path = new_path(spark, "digests")
     keyed = entries.filter("entry IS NOT NULL").distinct().select(F.xxhash64("entry").alias("digest"), "entry")
@@ -93,39 +95,45 @@ def build_index(entries: DataFrame, segments: int = 1) -> str:
         .mapInArrow(_segment, "first long, digests binary, ends binary, strings binary")
         .write.parquet(path)
     )
-    spark.sparkContext.addFile(path, recursive=True)
-    return os.path.basename(path)
+    files = [r["path"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path").collect()]
+    for file in files:
+        spark.sparkContext.addFile(file)
+    return sorted(os.path.basename(f) for f in files)
 
 
 class Index:
-    """The memory-mapped arrays of one executor."""
-
-    def __init__(self, name: str):
-        folder = SparkFiles.get(name)
-        parts = [f for f in sorted(os.listdir(folder)) if f.endswith(".parquet")]
-        rows = [r for f in parts for r in pq.read_table(os.path.join(folder, f)).to_pylist()]
-        rows.sort(key=lambda r: r["first"])
-        shift, moved = 0, []
-        for r in rows:
-            ends = np.frombuffer(r["ends"], "int64") + shift
-            moved.append(ends.tobytes())
-            shift = int(ends[-1])
-        self.digests = self._map(folder, "digests", [r["digests"] for r in rows], "int64")
-        self.ends = self._map(folder, "ends", moved, "int64")
-        self.strings = self._map(folder, "strings", [r["strings"] for r in rows], "uint8")
+    """The memory-mapped arrays of one executor. Its worker processes share them; whoever comes first
+    lays them out, a segment at a time, and moves them into place in one step."""
+
+    def __init__(self, names: list[str]):
+        root = SparkFiles.getRootDirectory()
+        folder = os.path.join(root, f"index-{xxhash.xxh64_hexdigest('|'.join(names))}")
+        if not os.path.isdir(folder):
+            mine = f"{folder}-{uuid.uuid4().hex}"
+            os.makedirs(mine)
+            self._lay_out([SparkFiles.get(n) for n in names], mine)
+            with contextlib.suppress(OSError):  # another worker was first
+                os.rename(mine, folder)
+        self.digests, self.ends = self._map(folder, "digests", "int64"), self._map(folder, "ends", "int64")
+        self.strings = self._map(folder, "strings", "uint8")
 
     @staticmethod
-    def _map(folder: str, name: str, chunks: list[bytes], kind: str) -> np.ndarray:
-        """Worker processes of an executor share one file; whoever comes first puts it there."""
-        target = os.path.join(folder, f"_{name}")
-        if not os.path.exists(target):
-            mine = f"{target}-{uuid.uuid4().hex}"
-            with open(mine, "wb") as out:
-                out.writelines(chunks)
-            os.replace(mine, target)
-        if not os.path.getsize(target):
-            return np.zeros(0, kind)
-        return np.memmap(target, kind, "r")
+    def _lay_out(files: list[str], folder: str) -> None:
+        shift = 0
+        with contextlib.ExitStack() as stack:
+            digests, ends, strings = (stack.enter_context(open(os.path.join(folder, n), "wb")) for n in ("digests", "ends", "strings"))
+            for file in files:
+                for row in pq.read_table(file).to_pylist():
+                    places = np.frombuffer(row["ends"], "int64") + shift
+                    shift = int(places[-1])
+                    digests.write(row["digests"])
+                    ends.write(places.tobytes())
+                    strings.write(row["strings"])
+
+    @staticmethod
+    def _map(folder: str, name: str, kind: str) -> np.ndarray:
+        path = os.path.join(folder, name)
+        return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
 
     def find(self, digests: np.ndarray, strings: np.ndarray) -> np.ndarray:
         """Which of the strings are entries."""
@@ -148,12 +156,12 @@ def candidates(host: Column, path: Column) -> Column:
     return F.concat(F.array(F.concat(host, path)), above)
 
 
-def blocked_by(name: str, names: Column) -> Column:
+def blocked_by(files: list[str], names: Column) -> Column:
     """The first of an array of strings that the list has; null if it has none of them."""
 
     @F.pandas_udf("string")
     def probe(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        index = Index(name)
+        index = Index(files)
         for digests, strings in batches:
             sizes = np.array([len(s) for s in strings], dtype="int64")
             owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -170,11 +178,11 @@ def blocked_by(name: str, names: Column) -> Column:
 
 def judge(pages: DataFrame, entries: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, listed), one row per page."""
-    name = build_index(default_entries(pages.sparkSession) if entries is None else entries)
+    files = build_index(default_entries(pages.sparkSession) if entries is None else entries)
     host, path = split_url("url")
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"))
-    listed = blocked_by(name, candidates(F.col("host"), F.col("path")))
+    listed = blocked_by(files, candidates(F.col("host"), F.col("path")))
     return urls.withColumn("listed", listed).select(
         "page_id",
         "host",
