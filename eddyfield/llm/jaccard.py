@@ -336,3 +336,22 @@ def near_groups(docs: DataFrame) -> DataFrame:
         .join(final, "doc_id", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     )
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the document with the smallest id, in one row;
+    all rows without an id. The columns are those of ``docs``.
+
+    Groups are folded to a list of ids to drop; only rows that repeat a doc_id need an order, which
+    is taken among the few rows of such ids.
+    """
+    groups = settle(near_groups(docs).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_of")), "groups")
+    ids = groups.filter("_id IS NOT NULL").groupBy("_id").agg(F.min("_of").alias("_of"), F.count(F.lit(1)).alias("_rows"))
+    gone = ids.filter("_id <> _of").select("_id")
+    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
+    repeated = settle(ids.filter("_id = _of AND _rows > 1").select("_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, kept["doc_id"].cast("long") == F.col("_id"), "left_anti")
+    twice = kept.join(repeated, kept["doc_id"].cast("long") == F.col("_id"), "left_semi")
+    return once.unionByName(twice.dropDuplicates(["doc_id"]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddyfield.llm import decontaminate, exactdedup, jaccard, langid, linededup, mixing, quality, sharding, urlfilter
+from eddyfield.llm import decontaminate, exactdedup, jaccard, langid, linededup, mixing, pii, quality, sharding, urlfilter
 from eddyfield.llm.common import held_out, read
 from eddyfield.llm.registry import query
 
@@ -169,3 +169,8 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_line_dedup")
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_groups(read(spark, sf_dir, "documents"))
+
+
+@query("op3_pii")
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(read(spark, sf_dir, "documents")))
