@@ -26,6 +26,7 @@ is its own component. Extra columns are not read; an empty table gives an empty
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,10 +61,8 @@ class _Hashes(dict):
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(31))
-    x = x * _ODD[0]
-    x = x ^ (x >> np.uint64(29))
-    return x * _ODD[1] ^ (x >> np.uint64(32))
+    x = (x ^ (x >> np.uint64(31))) * _ODD[0]
+    return x ^ (x >> np.uint64(29))
 
 
 def shingles(text: bytes | None, hashes: dict | None = None, width: int = WORDS_PER_SHINGLE) -> np.ndarray:
@@ -75,23 +74,46 @@ def shingles(text: bytes | None, hashes: dict | None = None, width: int = WORDS_
     h = np.fromiter(map(hashes.__getitem__, words), "uint64", len(words))
     size = min(width, len(h))
     total = np.full(len(h) - size + 1, size, "uint64")
-    for k in range(size):
-        total = total * _ODD[2] + _mixed(h[k : len(h) - size + 1 + k] + np.uint64(k))
+    for k in range(size):  # the hashes of words are mixed well; odd factors tell their places apart
+        total += h[k : len(h) - size + 1 + k] * _ODD[k]
     return np.unique(_mixed(total))
 
 
+def point_of(s: np.ndarray) -> int:
+    """The identity of a set: one hash over all its shingles."""
+    return int(np.bitwise_xor.reduce(_mixed(s + _ODD[3])).view("int64")) if len(s) else 0
+
+
+class Common:
+    """The common coordinates by their short forms, with a sieve in front of the exact search."""
+
+    def __init__(self, short: np.ndarray):
+        self.short = short
+        self.sieve = np.zeros(1 << 20, bool)
+        self.sieve[short >> np.uint32(12)] = True
+
+    def has(self, s: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(s), bool)
+        if len(self.short):
+            short = _short(s)
+            maybe = np.flatnonzero(self.sieve[short >> np.uint32(12)])
+            at = np.minimum(np.searchsorted(self.short, short[maybe]), len(self.short) - 1)
+            out[maybe] = self.short[at] == short[maybe]
+        return out
+
+
 def lead(n: int) -> int:
     """How many leading coordinates place a point of ``n`` shingles."""
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-def _leading(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The leading coordinates; those whose short form is in the sorted ``common`` come last."""
-    p = lead(len(s))
-    if len(common):
-        last = np.isin(_short(s), common)
-        s = np.concatenate([s[~last], s[last]])
-    return s[:p]
+def _leading(s: np.ndarray, common: Common | None = None) -> np.ndarray:
+    """The leading coordinates of a point; the common ones come last."""
+    if common is not None:
+        last = common.has(s)
+        if last.any():
+            s = np.concatenate([s[~last], s[last]])
+    return s[: lead(len(s))]
 
 
 def _short(s: np.ndarray) -> np.ndarray:
@@ -111,19 +133,18 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, text in zip(ids, texts):
             s = shingles(text, hashes)
             counts = np.bincount((s % np.uint64(GROUPS)).astype("int64"), minlength=GROUPS).astype("int32")
-            first, second = (int(f(_mixed(s + m)).view("int64")) if len(s) else 0 for f, m in ((np.bitwise_xor.reduce, _ODD[3]), (np.add.reduce, _ODD[4])))
-            boxes = np.sort(_short(_leading(s, none))) if len(s) else none
-            out.append((doc, len(s), first, second, counts.tobytes(), boxes.tobytes()))
-        columns = list(zip(*out)) or [[]] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n", "point", "check", "counts", "boxes"])
+            boxes = _short(_leading(s)) if len(s) else none
+            out.append((doc, len(s), point_of(s), counts.tobytes(), boxes.tobytes()))
+        columns = list(zip(*out)) or [[]] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n", "point", "counts", "boxes"])
 
 
-POINT = "doc_id long, n long, point long, check long, counts binary, boxes binary"
+POINT = "doc_id long, n long, point long, counts binary, boxes binary"
 
 
 def points(docs: DataFrame) -> DataFrame:
-    """One settled row per document: size, two hashes of the set, coarse counts, boxes (short)."""
+    """One settled row per document: size, identity of the set, coarse counts, boxes (short)."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return settle(rows.mapInArrow(_points, POINT), "points")
 
@@ -138,7 +159,7 @@ def _packed(parts: list[tuple[np.ndarray, ...]], bucket: np.ndarray) -> Iterator
     yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "keys", "ids"][: len(arrays)])
 
 
-def common_boxes(found: DataFrame, total: int) -> np.ndarray:
+def common_boxes(found: DataFrame, total: int) -> Common:
     """Short forms of the coordinates that more than ``COMMON`` points lead with. They are at most
     ``MOST_COMMON``, and so may pass through the driver: ``total`` placements cannot hold more
     runs of the required length."""
@@ -159,10 +180,10 @@ def common_boxes(found: DataFrame, total: int) -> np.ndarray:
     rows = (
         found.select("point", "boxes").mapInArrow(send, "bucket int, keys binary").repartition(buckets, "bucket").mapInArrow(count, "key long")
     )
-    return np.sort(rows.toPandas()["key"].to_numpy(dtype="int64").astype("uint32"))
+    return Common(np.sort(rows.toPandas()["key"].to_numpy(dtype="int64").astype("uint32")))
 
 
-def candidates(docs: DataFrame, common: np.ndarray, total: int) -> DataFrame:
+def candidates(docs: DataFrame, common: Common, total: int) -> DataFrame:
     """Settled rows: pairs of points of small boxes (kind 0, a, b) and members of large ones
     (kind 1, box, point)."""
     buckets = max(1, -(-total // KEYS_PER_TASK))
@@ -175,13 +196,13 @@ def candidates(docs: DataFrame, common: np.ndarray, total: int) -> DataFrame:
             for text in texts:
                 s = shingles(text, hashes)
                 if len(s):
-                    seen[int(np.bitwise_xor.reduce(_mixed(s + _ODD[3])).view("int64"))] = _leading(s, last)
+                    seen[point_of(s)] = _leading(s, last)
             if not seen:
                 continue
             keys = np.concatenate(list(seen.values()))
             ids = np.repeat(np.fromiter(seen, "int64", len(seen)), [len(v) for v in seen.values()])
             # common boxes are spread by point: they are not matched there
-            by = np.where(np.isin(_short(keys), last), ids.view("uint64"), keys >> np.uint64(7))
+            by = np.where(last.has(keys), ids.view("uint64"), keys >> np.uint64(7))
             yield from _packed([keys, ids], (by % np.uint64(buckets)).astype("int32"))
 
     def meet(batches):
@@ -198,7 +219,7 @@ def candidates(docs: DataFrame, common: np.ndarray, total: int) -> DataFrame:
         begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, "int64")
         sizes = np.diff(np.append(begins, len(key)))
         size = np.repeat(sizes, sizes)
-        large = np.isin(_short(key), shared.value) | (size > PAIRED)
+        large = shared.value.has(key) | (size > PAIRED)
         pairs = []
         for d in range(1, PAIRED):
             i = np.flatnonzero((key[d:] == key[:-d]) & ~large[d:]) if len(key) > d else np.zeros(0, "int64")
@@ -236,10 +257,12 @@ def bounded(pairs: DataFrame, where: DataFrame) -> DataFrame:
     return full.mapInArrow(_bounded, "a long, b long")
 
 
-def full_sets(docs: DataFrame, reps: DataFrame, needed: DataFrame) -> DataFrame:
-    """(point, shingles) of the points that ``needed`` names, settled. A bitmap of fixed size keeps
-    most other texts out of the scan; the join after it is exact."""
-    wanted = reps.join(needed, "point", "left_semi").select("doc_id", "point")
+def needed_texts(docs: DataFrame, reps: DataFrame, needed: DataFrame) -> DataFrame:
+    """(point, text), compressed, of the points that ``needed`` names and a few more, settled.
+
+    A bitmap of fixed size keeps most other texts out, so that no text is shuffled here; the joins
+    to come are exact."""
+    wanted = reps.join(needed, "point", "left_semi").select("doc_id")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(NEEDED_BITS)) + 1  # bitmaps count from 1
     parts = wanted.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     bits = np.zeros(NEEDED_BITS // 8, "uint8")
@@ -250,35 +273,34 @@ def full_sets(docs: DataFrame, reps: DataFrame, needed: DataFrame) -> DataFrame:
     def scan(batches):
         hashes = _Hashes()
         for batch in batches:
-            at = batch.column(2).to_numpy()
+            at = batch.column(1).to_numpy()
             hit = (shared.value[at >> 3] >> (at & 7).astype("uint8")) & 1
-            batch = batch.filter(pa.array(hit.astype(bool)))
-            sets = [shingles(t, hashes) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            marks = [int(np.bitwise_xor.reduce(_mixed(s + _ODD[3])).view("int64")) if len(s) else 0 for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(marks, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "point", "shingles"]
-            )
+            texts = [t or b"" for t in batch.filter(pa.array(hit.astype(bool))).column(0).cast(pa.binary()).to_pylist()]
+            found = {point_of(shingles(t, hashes)): zlib.compress(t, 1) for t in texts}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["point", "text"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (place - 1).alias("at")).filter("doc_id IS NOT NULL")
-    found = rows.mapInArrow(scan, "doc_id long, point long, shingles binary")
-    return settle(found.join(wanted, ["doc_id", "point"], "left_semi").dropDuplicates(["point"]).select("point", "shingles"), "sets")
+    rows = docs.filter("doc_id IS NOT NULL").select(F.col("text").cast("string"), (F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(NEEDED_BITS))).alias("at"))
+    return settle(rows.mapInArrow(scan, "point long, text binary"), "texts")
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = _Hashes()
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.frombuffer(x, "uint64"), np.frombuffer(y, "uint64")
+        keep, last, x = [], None, None
+        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            if a != last:  # pairs of one point often come together
+                last, x = a, shingles(zlib.decompress(a), hashes)
+            y = shingles(zlib.decompress(b), hashes)
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs of points that link."""
-    left = sets.select(F.col("point").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("point").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+    left = texts.select(F.col("point").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("point").alias("b"), F.col("text").alias("tb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
     return settle(both.mapInArrow(_verified, "a long, b long"), "links")
 
 
@@ -309,8 +331,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     # one pair per point first: it usually connects all that can be
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     named = pairs.select(F.col("a").alias("point")).union(pairs.select("b")).union(in_leaf.select("point")).distinct()
-    sets = full_sets(docs, reps, named)
-    links = verified(first, sets)
+    texts = needed_texts(docs, reps, named)
+    links = verified(first, texts)
     labels = settle(components(links), "labels")
     rest = _apart(pairs, labels)
     # members of a large box that are not with its pivot meet all the others of it
@@ -319,7 +341,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     lone = lone.filter(F.coalesce("pc", "point") != F.coalesce("vc", "pivot")).select("box", F.col("point").alias("p"))
     others = lone.join(in_leaf.select("box", F.col("point").alias("q")), "box").filter("p <> q")
     others = others.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    more = verified(rest.union(bounded(_apart(others, labels), reps)).distinct(), sets)
+    more = verified(rest.union(bounded(_apart(others, labels), reps)).distinct(), texts)
     labels = settle(components(links.union(more)), "labels")
 
     # from points to documents: equal sets are one point, and a doc_id with several sets joins them
