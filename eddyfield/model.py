@@ -2,7 +2,8 @@
 
 ``voxel(case_id, t_block, t, y, x, u, v, w, c)`` holds one row per pixel and frame; ``y`` is
 the row and ``x`` the column of the sensor. The table is dense: a masked sample is a row with
-NULL, not an absent row. ``t_block`` is a partition column so that frame ranges prune.
+NULL, not an absent row; ``densify`` makes a table so. ``t_block`` is a partition column so that
+frame ranges prune.
 
 ``axis(case_id, dim, idx, mm)`` holds pixel coordinates, ``field(case_id, y, x, ...)`` holds
 per-pixel results and ``profile(case_id, pos, value)`` holds results along one direction.
@@ -10,8 +11,9 @@ per-pixel results and ``profile(case_id, pos, value)`` holds results along one d
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from eddyfield.session import settle, settle_buckets
 
@@ -41,6 +43,42 @@ def block_of(t: Column) -> Column:
     return F.floor(t / F.lit(FRAMES_PER_BLOCK)).cast("int")
 
 
+def densify(voxel: DataFrame, rows: int, columns: int) -> DataFrame:
+    """Every frame with all its pixels: absent rows of the grid are added with NULL.
+
+    Only the frames (case_id, t) are listed and exploded to their pixels; a sample outside the
+    grid is an error.
+    """
+    outside = (F.col("y") < 0) | (F.col("y") >= rows) | (F.col("x") < 0) | (F.col("x") >= columns)
+    inside = F.assert_true(~outside, F.lit(f"a sample lies outside the grid of {rows} by {columns}"))
+    pixels = (
+        voxel.select("case_id", "t")
+        .distinct()
+        .withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+        .withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    )
+    checked = voxel.filter(inside.isNull())
+    return pixels.join(checked, VOXEL, "left").select(*voxel.columns)
+
+
+def read_fields(spark: SparkSession, path: str, *, schema: str | None = None) -> DataFrame:
+    """A stored table whose case names are text, as they were written: ``01`` is not the number 1."""
+    plain = spark.read.parquet(path).schema if schema is None else schema
+    if schema is None:
+        plain = StructType([StructField(f.name, StringType() if f.name == "case_id" else f.dataType) for f in plain])
+    return spark.read.schema(plain).parquet(path)
+
+
+def read_voxel(spark: SparkSession, path: str) -> DataFrame:
+    """A table that ``write_voxel`` stored. Its frame blocks must have the length that pruning assumes."""
+    voxel = read_fields(spark, path)
+    odd = voxel.groupBy("t_block").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    low = F.col("t_block") * FRAMES_PER_BLOCK
+    if not odd.filter((F.col("low") < low) | (F.col("high") >= low + FRAMES_PER_BLOCK)).isEmpty():
+        raise ValueError(f"{path} is not stored in blocks of {FRAMES_PER_BLOCK} frames")
+    return voxel
+
+
 def write_voxel(voxel: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Store a voxel table for frame-wise reading.
 

@@ -115,9 +115,9 @@ def gamma_fit(samples: DataFrame, keys: list[str], points: int, low: float, high
         "k", F.when((F.col("intensity") > 0) & (F.col("mean") > 0), 1.0 / (F.col("intensity") * F.col("intensity")))
     )
     step = (high - low) / (points - 1)
-    k, z = F.col("k"), F.col("value") / F.col("mean")
+    k, z = F.col("k"), F.try_divide(F.col("value"), F.col("mean"))
     log_pdf = k * F.log(k) - lgamma(k) + (k - 1.0) * F.log(z) - k * z - F.log("mean")
-    at_zero = F.when(k > 1, 0.0).when(k == 1, 1.0 / F.col("mean")).otherwise(F.lit(float("inf")))
+    at_zero = F.when(k > 1, 0.0).when(k == 1, F.try_divide(F.lit(1.0), F.col("mean"))).otherwise(F.lit(float("inf")))
     pdf = F.when(F.col("value") < 0, 0.0).when(F.col("value") == 0, at_zero).otherwise(F.exp(log_pdf))
     return (
         shaped.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))

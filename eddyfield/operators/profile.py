@@ -61,13 +61,15 @@ def row_smooth_profile(field: DataFrame, value: str, k: int, skip: int = PROFILE
 
 def even_sample(profile: DataFrame, m: int) -> DataFrame:
     """The points at floor(i (n - 1) / (m - 1)), i = 0..m-1, of every profile, in order of
-    ``pos``; each point at most once."""
+    ``pos``; each point at most once. The last is the end of the profile; m = 1 takes its start."""
+    if m < 1:
+        raise ValueError("at least one point must be asked for")
     line = Window.partitionBy("case_id")
     numbered = profile.withColumn("_at", F.row_number().over(line.orderBy("pos")) - 1).withColumn(
         "_n", F.count(F.lit(1)).over(line)
     )
-    step = (F.col("_n") - 1) / F.lit(float(m - 1))
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.floor(i * step).cast("int"))
+    # whole numbers: a product of a quotient may fall below the end
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.floor(i * (F.col("_n") - 1) / max(1, m - 1)).cast("int"))
     return numbered.filter(F.array_contains(wanted, F.col("_at"))).drop("_at", "_n")
 
 

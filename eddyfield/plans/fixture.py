@@ -1,8 +1,10 @@
 """The engine's tables derived from the given star-schema tables.
 
-One voxel per event on a sensor of 10 rows and 20 columns: the event value is the scalar, the
-order of the same number gives u, its line items give v and w. Two cases take turns frame by
-frame. Values are whole numbers over a constant; samples below the sensor floor are masked.
+One voxel per event on a sensor of 10 rows and 20 columns: the event value is the scalar. Orders
+are dealt to the voxels by their number, round after round, until none is left: their mean price
+gives u, their line items give v and w. Two cases take turns frame by frame. Values are whole
+numbers, or means of a few, over a constant; samples below the sensor floor are masked. Frames that
+the events do not fill are filled up with missing samples.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddyfield.model import write_voxel
+from eddyfield.model import densify, read_voxel, write_voxel
 from eddyfield.session import new_path, settle
 
 # Fixed values of the fixture, shared by the Spark and the SQL form.
@@ -29,44 +31,52 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 
 def voxel_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The voxel table as a plan over the given tables."""
+    """The voxel table as a plan over the given tables. Every event, order and line item is in it."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    per_order = items.groupBy("l_orderkey").agg(
+    places = events.count()
+    per_order = items.groupBy((F.col("l_orderkey") % places).alias("place")).agg(
         F.sum(F.round(F.col("l_discount") * 100)).alias("v"), F.sum(F.round(F.col("l_tax") * 100)).alias("w")
     )
+    prices = orders.groupBy((F.col("o_orderkey") % places).alias("at")).agg(F.avg(F.floor(F.col("o_totalprice") / 1000)).alias("price"))
     frame = F.floor(F.col("event_id") / (ROWS * COLUMNS))
-    return (
-        events.join(orders, events.event_id == orders.o_orderkey, "left")
-        .join(per_order, events.event_id == per_order.l_orderkey, "left")
+    sampled = (
+        events.join(prices, events.event_id == prices["at"], "left")
+        .join(per_order, events.event_id == per_order["place"], "left")
         .select(
             F.concat(F.lit("case"), (frame % CASES).cast("string")).alias("case_id"),
             F.floor(F.col("event_id") / (ROWS * COLUMNS * CASES)).cast("int").alias("t"),
             (F.floor(F.col("event_id") / COLUMNS) % ROWS).cast("int").alias("y"),
             (F.col("event_id") % COLUMNS).cast("int").alias("x"),
-            ((F.floor(F.col("o_totalprice") / 1000) - 200) / 501.0).alias("u"),
+            ((F.col("price") - 200) / 501.0).alias("u"),
             ((F.col("v") - 20) / 75.0).alias("v"),
-            (F.col("w") / 16.5).alias("w"),
+            (F.col("w") / 16.53).alias("w"),
             F.when(F.col("value") >= 0.5, F.floor("value") / 255.0).alias("c"),
         )
     )
+    return densify(sampled, ROWS, COLUMNS)
 
 
 VOXEL_SQL = """
-voxel AS MATERIALIZED (
+sampled AS (
   SELECT 'case' || CAST((e.event_id // 200) % 2 AS VARCHAR) AS case_id,
          CAST(e.event_id // 400 AS INTEGER) AS t,
          CAST((e.event_id // 20) % 10 AS INTEGER) AS y,
          CAST(e.event_id % 20 AS INTEGER) AS x,
-         (floor(o.o_totalprice / 1000) - 200) / 501.0::DOUBLE AS u,
+         (o.price - 200) / 501.0::DOUBLE AS u,
          (l.v - 20) / 75.0::DOUBLE AS v,
-         l.w / 16.5::DOUBLE AS w,
+         l.w / 16.53::DOUBLE AS w,
          CASE WHEN e.value >= 0.5 THEN floor(e.value) / 255.0::DOUBLE END AS c
   FROM events e
-  LEFT JOIN orders o ON o.o_orderkey = e.event_id
-  LEFT JOIN (SELECT l_orderkey, sum(round(l_discount * 100)) AS v, sum(round(l_tax * 100)) AS w
-             FROM lineitem GROUP BY l_orderkey) l ON l.l_orderkey = e.event_id
+  LEFT JOIN (SELECT o_orderkey % (SELECT count(*) FROM events) AS place, avg(floor(o_totalprice / 1000)) AS price FROM orders GROUP BY ALL) o ON o.place = e.event_id
+  LEFT JOIN (SELECT l_orderkey % (SELECT count(*) FROM events) AS place, sum(round(l_discount * 100)) AS v, sum(round(l_tax * 100)) AS w
+             FROM lineitem GROUP BY ALL) l ON l.place = e.event_id
+),
+voxel AS MATERIALIZED (
+  SELECT f.case_id, f.t, CAST(ys.i AS INTEGER) AS y, CAST(xs.i AS INTEGER) AS x, s.u, s.v, s.w, s.c
+  FROM (SELECT DISTINCT case_id, t FROM sampled) f CROSS JOIN range(10) ys(i) CROSS JOIN range(20) xs(i)
+  LEFT JOIN sampled s ON s.case_id = f.case_id AND s.t = f.t AND s.y = ys.i AND s.x = xs.i
 )"""
 
 
@@ -76,7 +86,7 @@ def voxel(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         path = new_path(spark, "voxel")
         write_voxel(voxel_of(spark, sf_dir), path)
-        return spark.read.parquet(path)
+        return read_voxel(spark, path)
 
     return _once(spark, sf_dir, "voxel", build)
 

@@ -48,14 +48,14 @@ def concentration_pdf_case(spark, sf_dir):
     return rounded(out, 6, "left", "right", "center", "pdf")
 
 
-@query("gamma_fit", "SELECT case_id, y, x, CAST(i AS INTEGER) AS point, " + ", ".join([
-    r("m", "mean"), r("s", "std"), r("s / m", "intensity"), r("k", "k"), r("v", "value"),
-    r("exp(k * ln(k) - lgamma(k) + (k - 1) * ln(v / m) - k * v / m - ln(m))", "pdf")])
-    + " FROM (SELECT *, 1 / ((s / m) * (s / m)) AS k FROM (SELECT case_id, y, x, avg(c) AS m, stddev_pop(c) AS s FROM voxel GROUP BY ALL HAVING stddev_pop(c) > 0)), "
-      "(SELECT i, 0.03::DOUBLE + i * (0.9::DOUBLE - 0.03::DOUBLE) / 9 AS v FROM range(10) g(i))")
+@query("gamma_fit", "SELECT case_id, y, x, CAST(point AS INTEGER) AS point, " + ", ".join([
+    r("m", "mean", 9), r("s", "std", 9), r("i", "intensity", 9), r("k", "k", 9), r("v", "value", 9),
+    r("exp(k * ln(k) - lgamma(k) + (k - 1) * ln(v / m) - k * v / m - ln(m))", "pdf", 9)])
+    + " FROM (SELECT *, CASE WHEN i > 0 AND m > 0 THEN 1 / (i * i) END AS k FROM (SELECT *, s / nullif(m, 0) AS i FROM (SELECT case_id, y, x, avg(c) AS m, stddev_pop(c) AS s FROM voxel GROUP BY ALL))), "
+      "(SELECT i AS point, 0.03::DOUBLE + i * (0.9::DOUBLE - 0.03::DOUBLE) / 9 AS v FROM range(10) g(i))")
 def gamma_fit(spark, sf_dir):
-    out = distribution.gamma_fit(voxel(spark, sf_dir), CASE_PIXEL, 10, 0.03, 0.9).filter("k IS NOT NULL")
-    return rounded(out, 6, "mean", "std", "intensity", "k", "value", "pdf")
+    out = distribution.gamma_fit(voxel(spark, sf_dir), CASE_PIXEL, 10, 0.03, 0.9)
+    return rounded(out, 9, "mean", "std", "intensity", "k", "value", "pdf")
 
 
 def report_sql(metric: str, source: str, keys: str) -> str:
@@ -221,10 +221,10 @@ def lateral_profile(spark, sf_dir):
     return rounded(lateral_of(spark, sf_dir), 6, "target", "nearest_mm", "x_mm", "value")
 
 
-@query("minmax_profile", f"SELECT case_id, {r('target', 'target')}, x, {r('(value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w)', 'value')} FROM lateral_profile WINDOW w AS (PARTITION BY case_id, target)", MEAN_SQL, LATERAL_SQL)
+@query("minmax_profile", f"SELECT case_id, {r('target', 'target')}, x, {r('(value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w)', 'value', 9)} FROM lateral_profile WINDOW w AS (PARTITION BY case_id, target)", MEAN_SQL, LATERAL_SQL)
 def minmax_profile(spark, sf_dir):
     scaled = profile_scaled(spark, sf_dir)
-    return rounded(scaled.select("case_id", "target", "x", "value"), 6, "target", "value")
+    return rounded(rounded(scaled.select("case_id", "target", "x", "value"), 6, "target"), 9, "value")
 
 
 def profile_scaled(spark, sf_dir):

@@ -212,9 +212,9 @@ def block_coarsen(spark, sf_dir):
 
 
 @query("conditional_velocity", "SELECT case_id, y, x, " + ", ".join(
-    r(f"coalesce(sum(CASE WHEN c >= 0.2 THEN {k} END), 0) / count(*)", f"{k}_cond") for k in ("u", "v")) + " FROM blocks GROUP BY ALL", BLOCK_SQL)
+    r(f"coalesce(sum(CASE WHEN c >= 0.2003 THEN {k} END), 0) / count(*)", f"{k}_cond") for k in ("u", "v")) + " FROM blocks GROUP BY ALL", BLOCK_SQL)
 def conditional_velocity(spark, sf_dir):
-    return rounded(transport.conditional_velocity(voxel(spark, sf_dir), 3, 0.2), 6, "u_cond", "v_cond")
+    return rounded(transport.conditional_velocity(voxel(spark, sf_dir), 3, 0.2003), 6, "u_cond", "v_cond")
 
 
 @query("case_means", "SELECT case_id, component, " + r("mean", "mean") + " FROM (" + " UNION ALL ".join(

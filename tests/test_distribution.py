@@ -88,8 +88,8 @@ def test_moving_average(spark, k):
     assert np.allclose([np.nan if r["value"] is None else r["value"] for r in rows], want, equal_nan=True)
 
 
-@pytest.mark.parametrize("m", [2, 5, 11])
-def test_even_sample(spark, m):
-    want = np.unique(np.linspace(0, 8, m, dtype=int))
-    rows = profile.even_sample(line_of(spark, np.arange(9.0)), m).collect()
+@pytest.mark.parametrize("n, m", [(9, 1), (9, 2), (9, 5), (9, 11), (28, 50), (1, 4)])
+def test_even_sample(spark, n, m):
+    want = np.unique(np.linspace(0, n - 1, m, dtype=int))
+    rows = profile.even_sample(line_of(spark, np.arange(float(n))), m).collect()
     assert sorted(r["pos"] for r in rows) == want.tolist()

@@ -1,4 +1,4 @@
-"""Every registered query against its SQL form on the smallest tables."""
+"""Every registered query against its SQL form on the two smallest sets of tables."""
 
 from __future__ import annotations
 
@@ -6,23 +6,27 @@ import pytest
 from compare import differences, oracle_connection
 
 import __spark_entry__ as entry_point
+from eddyfield.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SIZES = ["sf0.001", "sf0.01"]
 NO_SQL = {"gaussian_fit"}  # iterative; checked against exact Gaussians and brute force
 
 
-@pytest.fixture(scope="module")
-def connection():
-    return oracle_connection(SF)
+@pytest.fixture(scope="module", params=SIZES)
+def given(request):
+    sf_dir = f"/root/testdata/{request.param}"
+    return sf_dir, oracle_connection(sf_dir)
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry_point.queries()) - set(entry_point.oracle_sql()) == NO_SQL
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == NO_SQL
+    assert set(catalog.queries()) <= set(entry_point.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.oracle_sql()))
-def test_query(spark, connection, name):
-    assert differences(entry_point.queries()[name](spark, SF), connection, entry_point.oracle_sql()[name]) == []
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_query(spark, given, name):
+    sf_dir, connection = given
+    assert differences(catalog.queries()[name](spark, sf_dir), connection, catalog.oracle_sql()[name]) == []
 
 
 def test_entry(spark):
