@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,3 +56,26 @@ def running_total(rows: DataFrame, key: str, order: str, value: Column, name: st
         .withColumn(name, F.col("_before") + F.col("_within"))
         .drop("_bucket", "_b", "_key", "_value", "_within", "_before")
     )
+
+
+SIEVE_BITS = 1 << 23  # 1 MB, whatever the input
+
+
+def sieve(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A test that is true for every value of ``key`` and for few others, as a bitmap of fixed size.
+
+    It goes in front of an exact join, so that rows without a partner are not shuffled. When the
+    keys outgrow it, it lets more rows through, and the join after it stays exact.
+    """
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(SIEVE_BITS))
+    one = F.expr("shiftleft(1L, cast(place % 64 as int))")
+    words = keys.select(place.alias("place")).groupBy(F.floor(F.col("place") / 64).alias("id")).agg(F.bit_or(one).alias("bits"))
+    every = keys.sparkSession.range(0, SIEVE_BITS // 64, numPartitions=1).join(words, "id", "left")
+    row = every.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("s"))
+    bitmap = row.select(F.transform("s", lambda s: s["bits"]).alias("bitmap")).scalar()
+
+    def passes(column: Column) -> Column:
+        at = F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS))
+        return F.getbit(F.element_at(bitmap, (F.floor(at / 64) + 1).cast("int")), (at % 64).cast("int")) == 1
+
+    return passes
