@@ -15,9 +15,11 @@ other in every few coordinates as related ones. The tree here has two levels ins
 * Within a box, points meet in pairs; ``GROUPS`` coarse coordinates bound the overlap by the sum of
   minima, and only pairs that pass the bound are verified on the full sets.
 
-A box with more than ``PAIRED`` points is not paired out. Its points are compared with one pivot;
-then only those that are not yet connected with the pivot are compared with the rest. Links
-that cannot change a component are not verified. All of this is exact: no candidate is dropped.
+A box with more than ``PAIRED`` points is not paired out. Its points are compared with one pivot,
+the point that lies in most of such boxes: of a family of copies that is the one with the fewest changes.
+Those that are not connected with it get another pivot, for ``ROUNDS`` rounds. Whoever is alone after
+that is compared with the rest. Links that cannot change a component are not verified. All of this
+is exact: no candidate is dropped.
 
 A null doc_id has no component (null) and links with nothing; rows of one doc_id are one document
 if their texts are equal and link by either text if not. A null or empty text has no shingle and
@@ -45,6 +47,7 @@ PAIRED = 8
 COMMON = 64  # a coordinate in more boxes than this is common ...
 MOST_COMMON = 500_000  # ... or in so many that there cannot be more than this number of them
 KEYS_PER_TASK = 1_000_000
+ROUNDS = 3
 NEEDED_BITS = 1 << 25  # of the filter in front of the verification: 4 MB, whatever the input
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype="uint64")
@@ -85,20 +88,22 @@ def point_of(s: np.ndarray) -> int:
 
 
 class Common:
-    """The common coordinates by their short forms, with a sieve in front of the exact search."""
+    """The common coordinates by their sorted short forms, with a sieve in front of the exact search,
+    and how many points lead with each."""
 
-    def __init__(self, short: np.ndarray):
-        self.short = short
+    def __init__(self, short: np.ndarray, times: np.ndarray):
+        self.short, self.times = short, times
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[short >> np.uint32(12)] = True
 
-    def has(self, s: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(s), bool)
+    def frequency(self, s: np.ndarray) -> np.ndarray:
+        """0 for coordinates that are not common."""
+        out = np.zeros(len(s), "int64")
         if len(self.short):
             short = _short(s)
             maybe = np.flatnonzero(self.sieve[short >> np.uint32(12)])
             at = np.minimum(np.searchsorted(self.short, short[maybe]), len(self.short) - 1)
-            out[maybe] = self.short[at] == short[maybe]
+            out[maybe] = np.where(self.short[at] == short[maybe], self.times[at], 0)
         return out
 
 
@@ -108,11 +113,11 @@ def lead(n: int) -> int:
 
 
 def _leading(s: np.ndarray, common: Common | None = None) -> np.ndarray:
-    """The leading coordinates of a point; the common ones come last."""
+    """The leading coordinates of a point; the common ones come last, the commonest at the end."""
     if common is not None:
-        last = common.has(s)
-        if last.any():
-            s = np.concatenate([s[~last], s[last]])
+        times = common.frequency(s)
+        if times.any():
+            s = s[np.argsort(times, kind="stable")]
     return s[: lead(len(s))]
 
 
@@ -159,7 +164,7 @@ def _packed(parts: list[tuple[np.ndarray, ...]], bucket: np.ndarray) -> Iterator
     yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "keys", "ids"][: len(arrays)])
 
 
-def common_boxes(found: DataFrame, total: int) -> Common:
+def common_boxes(points: DataFrame, total: int) -> Common:
     """Short forms of the coordinates that more than ``COMMON`` points lead with. They are at most
     ``MOST_COMMON``, and so may pass through the driver: ``total`` placements cannot hold more
     runs of the required length."""
@@ -175,12 +180,14 @@ def common_boxes(found: DataFrame, total: int) -> Common:
     def count(batches):
         blobs = [b for batch in batches for b in batch.column(1).to_pylist()]
         keys, times = np.unique(np.frombuffer(b"".join(blobs), "uint32"), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[times > least].astype("int64"))], names=["key"])
+        keep = times > least
+        yield pa.RecordBatch.from_arrays([pa.array(keys[keep].astype("int64")), pa.array(times[keep])], names=["key", "times"])
 
     rows = (
-        found.select("point", "boxes").mapInArrow(send, "bucket int, keys binary").repartition(buckets, "bucket").mapInArrow(count, "key long")
+        points.select("point", "boxes").mapInArrow(send, "bucket int, keys binary").repartition(buckets, "bucket").mapInArrow(count, "key long, times long")
     )
-    return Common(np.sort(rows.toPandas()["key"].to_numpy(dtype="int64").astype("uint32")))
+    found = rows.toPandas().sort_values("key")
+    return Common(found["key"].to_numpy(dtype="int64").astype("uint32"), found["times"].to_numpy(dtype="int64"))
 
 
 def candidates(docs: DataFrame, common: Common, total: int) -> DataFrame:
@@ -202,7 +209,7 @@ def candidates(docs: DataFrame, common: Common, total: int) -> DataFrame:
             keys = np.concatenate(list(seen.values()))
             ids = np.repeat(np.fromiter(seen, "int64", len(seen)), [len(v) for v in seen.values()])
             # common boxes are spread by point: they are not matched there
-            by = np.where(last.has(keys), ids.view("uint64"), keys >> np.uint64(7))
+            by = np.where(last.frequency(keys) > 0, ids.view("uint64"), keys >> np.uint64(7))
             yield from _packed([keys, ids], (by % np.uint64(buckets)).astype("int32"))
 
     def meet(batches):
@@ -219,7 +226,7 @@ def candidates(docs: DataFrame, common: Common, total: int) -> DataFrame:
         begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, "int64")
         sizes = np.diff(np.append(begins, len(key)))
         size = np.repeat(sizes, sizes)
-        large = shared.value.has(key) | (size > PAIRED)
+        large = (shared.value.frequency(key) > 0) | (size > PAIRED)
         pairs = []
         for d in range(1, PAIRED):
             i = np.flatnonzero((key[d:] == key[:-d]) & ~large[d:]) if len(key) > d else np.zeros(0, "int64")
@@ -312,6 +319,20 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return known.filter(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b")
 
 
+def _pivots(members: DataFrame) -> DataFrame:
+    """(box, pivot): the heaviest member of each box."""
+    return members.groupBy("box").agg(F.max_by("point", "w").alias("pivot"))
+
+
+def _placed(leaves: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of large boxes with their component, and whether it is another than that of the pivot."""
+    of_point = labels.select(F.col("node").alias("point"), F.col("component").alias("mine"))
+    of_pivot = labels.select(F.col("node").alias("pivot"), F.col("component").alias("its"))
+    both = leaves.join(of_point, "point", "left").join(of_pivot, "pivot", "left")
+    of = F.coalesce("mine", "point")
+    return both.select("box", "point", "n", "w", of.alias("of"), (of != F.coalesce("its", "pivot")).alias("alone"))
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per document."""
     found = points(docs)
@@ -322,27 +343,39 @@ def near_groups(docs: DataFrame) -> DataFrame:
     common = common_boxes(linkable, total)
     boxes = candidates(docs, common, total)
 
-    leaves = boxes.filter("kind = 1").select(F.col("a").alias("box"), F.col("b").alias("point"))
-    pivots = leaves.groupBy(F.col("box").alias("at")).agg(F.min("point").alias("pivot"))
-    in_leaf = settle(leaves.join(pivots, F.col("box") == F.col("at")).select("box", "point", "pivot"), "leaves")
-    stars = in_leaf.filter("point <> pivot").select(F.col("pivot").alias("a"), F.col("point").alias("b"))
-    pairs = settle(bounded(boxes.filter("kind = 0").select("a", "b").union(stars).distinct(), reps), "pairs")
+    inside = boxes.filter("kind = 1").select(F.col("a").alias("box"), F.col("b").alias("point"))
+    weights = inside.groupBy("point").agg(F.count(F.lit(1)).alias("w"))
+    leaves = settle(inside.join(weights, "point").join(reps.select("point", "n"), "point"), "leaves")
+    leaves = settle(leaves.join(_pivots(leaves), "box"), "pivots")
+    stars = leaves.filter("point <> pivot").select(F.col("pivot").alias("a"), F.col("point").alias("b"))
+    small = boxes.filter("kind = 0").select("a", "b")
+    pairs = settle(bounded(small.union(stars).distinct(), reps), "pairs")
 
-    # one pair per point first: it usually connects all that can be
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    named = pairs.select(F.col("a").alias("point")).union(pairs.select("b")).union(in_leaf.select("point")).distinct()
+    named = pairs.select(F.col("a").alias("point")).union(pairs.select("b")).union(leaves.select("point")).distinct()
     texts = needed_texts(docs, reps, named)
-    links = verified(first, texts)
+    # one pair per point first, with the heaviest partner: it usually connects all that can be
+    heavy = pairs.join(weights.withColumnRenamed("point", "a"), "a", "left").withColumn("w", F.coalesce("w", F.lit(0)))
+    links = verified(heavy.groupBy("b").agg(F.max_by("a", "w").alias("a")).select("a", "b"), texts)
+    labels = settle(components(links), "labels")
+    links = links.union(verified(_apart(pairs, labels), texts))
+    labels = settle(components(links), "labels")
+    for k in range(ROUNDS):
+        placed = _placed(leaves, labels)
+        again = _pivots(placed.filter("alone").withColumn("w", F.xxhash64("point", F.lit(k))))
+        if again.isEmpty():
+            break
+        stars = placed.join(again.withColumnRenamed("pivot", "a"), "box").select("a", F.col("point").alias("b"))
+        links = links.union(verified(bounded(_apart(stars.distinct(), labels), reps), texts))
+        labels = settle(components(links), "labels")
+    # whoever is not with the first pivot now meets all the others of the box
+    placed = settle(_placed(leaves, labels), "placed")
+    lone = placed.filter("alone").select("box", F.col("point").alias("p"), F.col("of").alias("of_p"), F.col("n").alias("np"))
+    rest = placed.select("box", F.col("point").alias("q"), F.col("of").alias("of_q"), F.col("n").alias("nq"), "alone")
+    may = (F.col("of_p") != F.col("of_q")) & (~F.col("alone") | (F.col("p") < F.col("q")))
+    sizes = 100 * F.least("np", "nq") >= PERCENT * F.greatest("np", "nq")
+    others = lone.join(rest, (lone["box"] == rest["box"]) & may & sizes).select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
+    links = links.union(verified(bounded(others, reps), texts))
     labels = settle(components(links), "labels")
-    rest = _apart(pairs, labels)
-    # members of a large box that are not with its pivot meet all the others of it
-    lone = in_leaf.join(labels.withColumnsRenamed({"node": "point", "component": "pc"}), "point", "left")
-    lone = lone.join(labels.withColumnsRenamed({"node": "pivot", "component": "vc"}), "pivot", "left")
-    lone = lone.filter(F.coalesce("pc", "point") != F.coalesce("vc", "pivot")).select("box", F.col("point").alias("p"))
-    others = lone.join(in_leaf.select("box", F.col("point").alias("q")), "box").filter("p <> q")
-    others = others.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    more = verified(rest.union(bounded(_apart(others, labels), reps)).distinct(), texts)
-    labels = settle(components(links.union(more)), "labels")
 
     # from points to documents: equal sets are one point, and a doc_id with several sets joins them
     of_point = linkable.select("doc_id", "point").join(labels, F.col("point") == F.col("node"), "left")
