@@ -54,6 +54,6 @@ def case_from_path(path: Column, prefix: str, suffix: str) -> Column:
 
 
 def frame_number(key: Column) -> Column:
-    """Numeric part of a frame key ``arr_<n>``; other keys sort after all numbered ones."""
+    """Number of a frame key ``arr_<n>``; NULL for other keys."""
     digits = F.regexp_extract(key, "^arr_([0-9]+)$", 1)
-    return F.coalesce(F.when(digits != "", digits.cast("bigint")), F.lit(10**12).cast("bigint"))
+    return F.when(digits != "", digits.cast("bigint"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,20 +105,18 @@ def nearest_coord(axis: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def frame_counts(sources: dict[str, DataFrame]) -> DataFrame:
-    """Number of frames of every named source."""
-    out = None
-    for name, df in sources.items():
-        one = df.agg(F.countDistinct("t").alias("frames")).select(F.lit(name).alias("source"), "frames")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Number of frames of every case in every named source: (source, case_id, frames)."""
+    tagged = [df.select(F.lit(name).alias("source"), "case_id", "t") for name, df in sources.items()]
+    return reduce(DataFrame.unionByName, tagged).groupBy("source", "case_id").agg(F.countDistinct("t").alias("frames"))
 
 
 def frame_count_check(sources: dict[str, DataFrame]) -> DataFrame:
-    """Frame counts of all sources; the query fails unless they are equal and not zero."""
+    """Frame counts of all sources; the query fails unless every case has equally many, and some, in
+    each of them."""
     counts = frame_counts(sources)
-    whole = Window.partitionBy(F.lit(1))  # one row per source
-    low, high = F.min("frames").over(whole), F.max("frames").over(whole)
-    ok = (low == high) & (low > 0)
+    case = Window.partitionBy("case_id")  # one row per source
+    low, high = F.min("frames").over(case), F.max("frames").over(case)
+    ok = (low == high) & (low > 0) & (F.count(F.lit(1)).over(case) == len(sources))
     return counts.withColumn(
         "frames",
         F.when(ok, F.col("frames")).otherwise(F.raise_error(F.lit("frame counts differ or are zero")).cast("bigint")),

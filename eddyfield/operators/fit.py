@@ -20,11 +20,12 @@ def _usable(profile: DataFrame, x_range: tuple[float, float] | None) -> DataFram
 
 def gaussian_moments(profile: DataFrame, x_range: tuple[float, float] | None = None) -> DataFrame:
     """Height, centre and width of every profile from its moments, NULL when it has fewer than
-    three points or no positive value. When the values do not sum to a positive number the
+    three usable points or no positive value. When the values do not sum to a positive number the
     plain mean and variance of x stand in."""
     x, y = F.col("x_mm"), F.col("value")
-    sums = _usable(profile, x_range).groupBy(*LINE).agg(
-        F.count(F.lit(1)).alias("n"),
+    every = profile.select(*LINE).distinct()
+    sums = every.join(_usable(profile, x_range), LINE, "left").groupBy(*LINE).agg(
+        F.count(y).alias("n"),
         F.max(y).alias("top"),
         F.sum(y).alias("s0"),
         F.sum(x * y).alias("s1"),
@@ -48,21 +49,23 @@ def gaussian_fit(profile: DataFrame, x_range: tuple[float, float] | None = None,
     """Least-squares Gaussian of every profile (amp >= 0, sigma >= 1e-6), from its moments on.
 
     One task fits one profile at a time: a profile has at most as many points as the sensor has
-    columns. Parameters are NULL where the profile is unusable or the fit does not converge.
+    columns. Every profile has a row; ``status`` is converged, unusable or not converged, and the
+    parameters are NULL unless it is the first.
     """
 
     def solve(key, pdf):
         import numpy as np
 
-        x, y = pdf["x_mm"].to_numpy(), pdf["value"].to_numpy()
+        usable = pdf["x_mm"].notna() & pdf["value"].notna()
+        x, y = pdf.loc[usable, "x_mm"].to_numpy(), pdf.loc[usable, "value"].to_numpy()
         p = pdf[["amp", "mu", "sigma"]].to_numpy()[0]
-        answer = [None, None, None]
+        answer, status = [None, None, None], "unusable"
 
         def residual(q):
             return q[0] * np.exp(-0.5 * ((x - q[1]) / q[2]) ** 2) - y
 
         if np.isfinite(p).all():
-            r, damping = residual(p), 1e-3
+            r, damping, status = residual(p), 1e-3, "not converged"
             for _ in range(max_steps):
                 z = (x - p[1]) / p[2]
                 bell = np.exp(-0.5 * z * z)
@@ -77,19 +80,19 @@ def gaussian_fit(profile: DataFrame, x_range: tuple[float, float] | None = None,
                     moved = np.abs(trial - p).max()
                     p, r, damping = trial, r_trial, damping * 0.3
                     if moved <= 1e-12 * (1.0 + np.abs(p).max()):
-                        answer = p.tolist()
+                        answer, status = p.tolist(), "converged"
                         break
                 else:
                     damping *= 10.0
                     if damping > 1e12:  # no direction improves: p is the minimum to rounding
-                        answer = p.tolist()
+                        answer, status = p.tolist(), "converged"
                         break
-        return type(pdf)({"case_id": [key[0]], "target": [key[1]], "amp": answer[:1], "mu": answer[1:2], "sigma": answer[2:]})
+        return type(pdf)({"case_id": [key[0]], "target": [key[1]], "amp": answer[:1], "mu": answer[1:2], "sigma": answer[2:], "status": [status]})
 
     usable = _usable(profile, x_range).select(*LINE, "x_mm", "value")
     start = gaussian_moments(profile, x_range)
-    return usable.join(start, LINE).groupBy(*LINE).applyInPandas(
-        solve, "case_id string, target double, amp double, mu double, sigma double"
+    return start.join(usable, LINE, "left").groupBy(*LINE).applyInPandas(
+        solve, "case_id string, target double, amp double, mu double, sigma double, status string"
     )
 
 

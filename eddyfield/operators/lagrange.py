@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from eddyfield.model import BLEND, FRAME_TIME, VOXEL
 from eddyfield.operators.select import roi_coords
 from eddyfield.operators.stats import linear_flow_tensor
-from eddyfield.operators.stencil import Tile, line_along, with_rims
+from eddyfield.operators.stencil import Tile, beside, line_along, with_rims
 from eddyfield.session import settle, settle_buckets
 
 CELL = ["case_id", "t", "y", "x"]
@@ -188,17 +188,16 @@ def particle_advect(
     return state
 
 
-def ftle_field(positions: DataFrame, spacing: float, duration: float, tile: Tile = Tile()) -> DataFrame:
-    """Finite-time Lyapunov exponent from the final positions of a particle grid: ln of the
-    largest stretching over the duration; 0 on the border, missing where it is not defined."""
+def ftle_field(positions: DataFrame, dx: float, dy: float, duration: float, tile: Tile = Tile()) -> DataFrame:
+    """Finite-time Lyapunov exponent from the final positions of a particle grid whose columns lie
+    ``dx`` and rows ``dy`` apart: ln of the largest stretching over the duration; 0 on the border,
+    missing where it is not defined."""
     tiled = with_rims(positions.withColumnRenamed("start_t", "t"), {"y": 1, "x": 1}, tile)
-    row, column = line_along(tiled, "x"), line_along(tiled, "y")
-    for p in ("px", "py"):
-        tiled = tiled.withColumn(f"{p}_x", (F.lead(p).over(row) - F.lag(p).over(row)) / F.lit(2 * spacing))
-    tiled = tiled.withColumn("_mid_x", F.lead("x").over(row).isNotNull() & F.lag("x").over(row).isNotNull())
-    for p in ("px", "py"):
-        tiled = tiled.withColumn(f"{p}_y", (F.lead(p).over(column) - F.lag(p).over(column)) / F.lit(2 * spacing))
-    tiled = tiled.withColumn("_mid_y", F.lead("y").over(column).isNotNull() & F.lag("y").over(column).isNotNull())
+    for dim, step in (("x", dx), ("y", dy)):
+        line = line_along(tiled, dim)
+        for p in ("px", "py"):
+            tiled = tiled.withColumn(f"{p}_{dim}", (beside(p, dim, line, 1) - beside(p, dim, line, -1)) / F.lit(2 * step))
+        tiled = tiled.withColumn(f"_mid_{dim}", F.lead(dim).over(line).isNotNull() & F.lag(dim).over(line).isNotNull())
     a, b, c, d = F.col("px_x"), F.col("px_y"), F.col("py_x"), F.col("py_y")
     # symmetric tensor J'J and its larger eigenvalue
     xx, xy, yy = a * a + c * c, a * b + c * d, b * b + d * d

@@ -66,15 +66,18 @@ def roi_coords(
 ) -> DataFrame:
     """Crop to inclusive coordinate bounds, given in either order; adds the coordinates.
 
-    ``axis`` is a stored table, so its size is known: Spark broadcasts it when it is small.
+    ``axis`` is a stored table, so its size is known: Spark broadcasts it when it is small. The
+    lowest and highest index inside the bounds are taken from it first and filter the scan.
     """
     for dim, bounds in (("x", x_mm), ("y", y_mm)):
         points = axis_of(axis, dim)
         if bounds is not None:
             low, high = sorted(bounds)
             points = points.filter(F.col(f"{dim}_mm").between(low, high))
-            if points.isEmpty():
+            ends = points.agg(F.min(dim).alias("first"), F.max(dim).alias("last")).first()
+            if ends["first"] is None:
                 raise ValueError(f"no {dim} points within {bounds}")
+            df = df.filter(F.col(dim).between(ends["first"], ends["last"]))
         df = df.join(points, ["case_id", dim])
     return df
 

@@ -77,7 +77,7 @@ def circular_lag(voxel: DataFrame, lag: int, extent: DataFrame) -> DataFrame:
 
 def frame_order(frames: DataFrame, key: str = "key") -> DataFrame:
     """Frame keys in numeric order; keys of another form last, by name."""
-    return frames.orderBy(frame_number(F.col(key)), key)
+    return frames.orderBy(frame_number(F.col(key)).asc_nulls_last(), key)
 
 
 def train_test(voxel: DataFrame, n_train: int) -> tuple[DataFrame, DataFrame]:

@@ -65,13 +65,19 @@ def line_along(df: DataFrame, dim: str) -> WindowSpec:
     return Window.partitionBy(line, "case_id", *keys).orderBy(dim)
 
 
+def beside(value: str, dim: str, line: WindowSpec, step: int) -> Column:
+    """``value`` of the cell ``step`` (1 or -1) along the line; NULL where that cell has no row."""
+    ahead = F.lead if step > 0 else F.lag
+    return F.when(ahead(dim).over(line) == F.col(dim) + step, ahead(value).over(line))
+
+
 def _slope(value: str, dim: str, step: float, line: WindowSpec) -> Column:
     """Central difference inside, one-sided at the first and last cell of the grid.
 
-    The edge is where no neighbouring *cell* exists; a neighbour that is merely missing its
-    value makes the difference missing.
+    The edge is where no further *cell* exists. A neighbour that is missing its value, or its row
+    inside the grid, makes the difference missing; ``model.densify`` puts rows in at the edges.
     """
-    before, after = F.lag(value).over(line), F.lead(value).over(line)
+    before, after = beside(value, dim, line, -1), beside(value, dim, line, 1)
     at_start, at_end = F.lag(dim).over(line).isNull(), F.lead(dim).over(line).isNull()
     here = F.col(value)
     return (
@@ -151,13 +157,13 @@ def motion_correlator(
     mean = settle(mean.select(*PIXEL, "c"), "mean")  # joined three times
     masked = voxel.select(*VOXEL, F.when(F.col("c") >= c_min, F.col("c")).alias("c"))
     tiled = with_rims(masked, {"t": 1, "y": 1, "x": 1}, tile).withColumn("c", F.col("c").cast("double"))
-    tiled = tiled.withColumn("c1", F.lead("c").over(line_along(tiled, "t")))
+    tiled = tiled.withColumn("c1", beside("c", "t", line_along(tiled, "t"), 1))
     for dim in ("x", "y"):
         line = line_along(tiled, dim)
         tiled = (
             tiled.withColumn(f"has_{dim}", F.lag(dim).over(line).isNotNull())
-            .withColumn(f"q_{dim}", F.lag("c").over(line))
-            .withColumn(f"q1_{dim}", F.lag("c1").over(line))
+            .withColumn(f"q_{dim}", beside("c", dim, line, -1))
+            .withColumn(f"q1_{dim}", beside("c1", dim, line, -1))
         )
     first = t0 if all_pairs else t0 + 1
     pairs = tiled.filter(F.col("_own") & F.col("has_x") & F.col("has_y")).withColumn(
@@ -199,8 +205,8 @@ def correlator_frame(voxel: DataFrame, t: int, value: str = "c", tile: Tile = Ti
     tiled = with_rims(pair, {"x": 1}, tile)
     line = line_along(tiled, "x")
     tiled = (
-        tiled.withColumn("q0", F.lag("c0").over(line))
-        .withColumn("q1", F.lag("c1").over(line))
+        tiled.withColumn("q0", beside("c0", "x", line, -1))
+        .withColumn("q1", beside("c1", "x", line, -1))
         .withColumn("has", F.lag("x").over(line).isNotNull())
     )
     return tiled.filter(F.col("_own") & F.col("has")).select(
@@ -297,9 +303,9 @@ def median_filter(df: DataFrame, value: str, k: int, shape: DataFrame, tile: Til
     axes = [d for d in ("t", "y", "x") if d in df.columns]
     padded = edge_padded(df.select("case_id", *axes, value), shape, reach)
     tiled = with_rims(padded, {"y": reach, "x": reach}, tile)
-    row = line_along(tiled, "x").rowsBetween(-reach, reach)
+    row = line_along(tiled, "x").rangeBetween(-reach, reach)
     tiled = tiled.withColumn("_row", F.collect_list(value).over(row))
-    column = line_along(tiled, "y").rowsBetween(-reach, reach)
+    column = line_along(tiled, "y").rangeBetween(-reach, reach)
     tiled = tiled.withColumn("_all", F.sort_array(F.flatten(F.collect_list("_row").over(column))))
     n = F.size("_all")
     middle = (F.element_at("_all", F.floor((n + 1) / 2).cast("int")) + F.element_at("_all", F.floor(n / 2).cast("int") + 1)) / 2

@@ -57,7 +57,7 @@ def circular_lag(spark, sf_dir):
     return sequence.circular_lag(table, 7, extent(table)).select(*VOXEL, "u", "v")
 
 
-@query("frame_order", "SELECT DISTINCT 'arr_' || t AS key, CAST(t AS BIGINT) AS number FROM voxel UNION ALL SELECT DISTINCT 'extra_' || y, 1000000000000 FROM voxel")
+@query("frame_order", "SELECT DISTINCT 'arr_' || t AS key, CAST(t AS BIGINT) AS number FROM voxel UNION ALL SELECT DISTINCT 'extra_' || y, NULL FROM voxel")
 def frame_order(spark, sf_dir):
     """arr_2 before arr_10, other keys last by name, with the number that orders them."""
     table = voxel(spark, sf_dir)

@@ -48,7 +48,7 @@ def gaussian_fit_recovery(spark, sf_dir):
     drawn = bells.join(columns, "case_id").select(
         "case_id", "target", "x", "x_mm", (F.col("a") * F.exp(F.lit(-0.5) * z * z)).alias("value")
     )
-    return rounded(fit.gaussian_fit(drawn), 5, "amp", "mu", "sigma")
+    return rounded(fit.gaussian_fit(drawn).drop("status"), 5, "amp", "mu", "sigma")
 
 
 COLLAPSE_SQL = """
@@ -188,10 +188,10 @@ FTLE_SQL = f"""
 jacobian AS (SELECT case_id, start_t, y, x, lead(px) OVER r AS xr, lag(px) OVER r AS xl, lead(py) OVER r AS yr, lag(py) OVER r AS yl,
   lead(px) OVER c AS xu, lag(px) OVER c AS xd, lead(py) OVER c AS yu, lag(py) OVER c AS yd FROM state{STEPS}
   WINDOW r AS (PARTITION BY case_id, start_t, y ORDER BY x), c AS (PARTITION BY case_id, start_t, x ORDER BY y)),
-tensors AS (SELECT *, (xr - xl) / 1.4 AS a, (xu - xd) / 1.4 AS b, (yr - yl) / 1.4 AS c, (yu - yd) / 1.4 AS d FROM jacobian),
+tensors AS (SELECT *, (xr - xl) / 1.4 AS a, (xu - xd) / 1.2 AS b, (yr - yl) / 1.4 AS c, (yu - yd) / 1.2 AS d FROM jacobian),
 eigen AS (SELECT *, (a*a + c*c + b*b + d*d) / 2 + sqrt(pow(a*a + c*c - b*b - d*d, 2) / 4 + pow(a*b + c*d, 2)) AS eig FROM tensors)"""
 
 
 @query("ftle_field", f"SELECT case_id, start_t, y, x, {r('CASE WHEN y IN (0, 9) OR x IN (0, 19) THEN 0 WHEN eig > 0 THEN ln(sqrt(eig)) / 3 END', 'ftle')} FROM eigen", *advect_sql(1), FTLE_SQL)
 def ftle_field(spark, sf_dir):
-    return rounded(lagrange.ftle_field(advected(spark, sf_dir, 1), spacing=0.7, duration=STEPS * DT), 6, "ftle")
+    return rounded(lagrange.ftle_field(advected(spark, sf_dir, 1), dx=0.7, dy=0.6, duration=STEPS * DT), 6, "ftle")

@@ -231,10 +231,10 @@ def nearest_coord(spark, sf_dir):
     return rounded(align.nearest_coord(table, targets), 6, "mm")
 
 
-@query("frame_count_check", "SELECT source, frames FROM (SELECT k AS source, count(DISTINCT t) AS frames FROM voxel, (VALUES ('u'), ('v'), ('c')) s(k) GROUP BY ALL)")
+@query("frame_count_check", "SELECT k AS source, case_id, count(DISTINCT t) AS frames FROM voxel, (VALUES ('u'), ('v'), ('c')) s(k) GROUP BY ALL")
 def frame_count_check(spark, sf_dir):
     table = voxel(spark, sf_dir)
-    return align.frame_count_check({k: table.select("t", k) for k in ("u", "v", "c")})
+    return align.frame_count_check({k: table.select("case_id", "t", k) for k in ("u", "v", "c")})
 
 
 @query("skip_missing_case", "SELECT case_id, count(*) AS samples FROM voxel WHERE case_id IN ('case1', 'absent') GROUP BY ALL")

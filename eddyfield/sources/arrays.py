@@ -9,7 +9,9 @@ Paths may carry any scheme that Arrow knows.
 from __future__ import annotations
 
 import contextlib
+import uuid
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 COMPONENT_OPTIONS = ("u", "v", "w", "c")
-UNNUMBERED = 10**12
+OPENED_AT_ONCE = 32
 
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
@@ -28,13 +30,20 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_bytes(path: str, content: bytes) -> None:
-    """Write a file under another name, then move it in place in one step: a retried task
-    leaves the same file, and no reader sees half of one."""
+    """Write a file under a name of its own, then move it in place in one step: attempts that run
+    at the same time leave the same file, and no reader sees half of one."""
     system, inner = file_system(path)
     system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-    with system.open_output_stream(f"{inner}.part") as out:
+    part = f"{inner}.{uuid.uuid4().hex}.part"
+    with system.open_output_stream(part) as out:
         out.write(content)
-    system.move(f"{inner}.part", inner)
+    system.move(part, inner)
+
+
+def each_of(paths: list[str], look):
+    """``look`` at many files at once, in order."""
+    with ThreadPoolExecutor(OPENED_AT_ONCE) as pool:
+        return list(pool.map(look, paths))
 
 
 def files_under(path: str, suffix: str) -> list[str]:
@@ -49,13 +58,18 @@ def files_under(path: str, suffix: str) -> list[str]:
     return [f"{path.rstrip('/')}/{name}" for name in names]
 
 
-def read_header(handle) -> tuple[tuple[int, ...], np.dtype]:
+def read_header(handle) -> tuple[tuple[int, ...], np.dtype, bool]:
+    """Shape as the bytes lie, type, and whether the axes lie in reverse (column order)."""
     major, _ = np.lib.format.read_magic(handle)
     reader = np.lib.format.read_array_header_1_0 if major == 1 else np.lib.format.read_array_header_2_0
     shape, fortran, dtype = reader(handle)
-    if fortran:
-        raise ValueError("arrays in column order are not supported")
-    return shape, dtype
+    return (shape[::-1] if fortran else shape), dtype, fortran
+
+
+def header_of(path: str) -> tuple[tuple[int, ...], np.dtype, bool]:
+    system, inner = file_system(path)
+    with system.open_input_file(inner) as handle:
+        return read_header(handle)
 
 
 @dataclass
@@ -86,26 +100,30 @@ class StackReader(DataSourceReader):
         lists = [files_under(root, ".npy") for root in self.roots]
         if len({len(names) for names in lists}) != 1:
             raise ValueError("the components have different numbers of files")
-        parts, offset = [], 0
+        names = [path for paths in zip(*lists) for path in paths]
+        headers = dict(zip(names, each_of(names, header_of)))
+        parts, offset, orders = [], 0, set()
         for paths in zip(*lists):
-            shapes = set()
-            for path in paths:
-                system, inner = file_system(path)
-                with system.open_input_file(inner) as handle:
-                    shapes.add(read_header(handle)[0])
+            shapes = {headers[path][0] for path in paths}
+            orders |= {headers[path][2] for path in paths}
             if len(shapes) != 1:
                 raise ValueError(f"the components differ in shape: {sorted(shapes)}")
             shape = shapes.pop()
             if len(shape) != 3:
                 raise ValueError(f"expected a 3-D stack, got shape {shape}")
+            if len(orders) != 1:
+                raise ValueError("row order and column order are mixed")
             for first in range(0, shape[0], self.step):
                 parts.append(StackPart(paths, offset, first, min(first + self.step, shape[0])))
+            leading = (self.axes[::-1] if orders == {True} else self.axes)[0]
+            if leading != self.axes[0] and len(lists[0]) > 1:
+                raise ValueError("several files in column order do not line up along their first axis")
             offset += shape[0]
-            n_frames = offset if self.axes == "tyx" else shape[2]
+            n_frames = offset if leading == "t" else shape[(self.axes[::-1] if orders == {True} else self.axes).index("t")]
         if self.frame is not None:
             if not 0 <= self.frame < n_frames:
                 raise IndexError(f"frame {self.frame} is out of range")
-            if self.axes == "tyx":
+            if leading == "t":
                 at = self.frame
                 parts = [
                     StackPart(p.paths, p.offset, at - p.offset, at - p.offset + 1)
@@ -120,19 +138,20 @@ class StackReader(DataSourceReader):
             for path in part.paths:
                 system, inner = file_system(path)
                 handle = open_files.enter_context(system.open_input_file(inner))
-                shape, dtype = read_header(handle)
+                shape, dtype, reverse = read_header(handle)
                 slab = int(np.prod(shape[1:])) * dtype.itemsize
                 handle.seek(handle.tell() + part.first * slab)
                 handles.append((handle, dtype, slab))
+            order = self.axes[::-1] if reverse else self.axes
             second, third = (index.ravel() for index in np.indices(shape[1:], dtype=np.int32))
             for at in range(part.offset + part.first, part.offset + part.last):  # one slab in memory at a time
                 lead = np.full(second.size, at, dtype=np.int32)
-                t, y, x = (lead, second, third) if self.axes == "tyx" else (third, lead, second)
+                place = dict(zip(order, (lead, second, third)))
                 values = [np.frombuffer(h.read(size), dtype=kind).astype(np.float32, copy=False) for h, kind, size in handles]
-                if self.frame is not None and self.axes == "yxt":
-                    keep = t == self.frame
-                    t, y, x, values = t[keep], y[keep], x[keep], [v[keep] for v in values]
-                columns = [pa.repeat(self.case, len(t)), pa.array(t), pa.array(y), pa.array(x)]
+                if self.frame is not None and order[0] != "t":
+                    keep = place["t"] == self.frame
+                    place, values = {k: v[keep] for k, v in place.items()}, [v[keep] for v in values]
+                columns = [pa.repeat(self.case, len(place["t"])), *(pa.array(place[k]) for k in "tyx")]
                 # masked samples are NaN in the files and NULL in the engine
                 columns += [pa.array(v, mask=~np.isfinite(v)) for v in values]
                 yield pa.RecordBatch.from_arrays(columns, names=["case_id", "t", "y", "x", *self.components])
@@ -151,9 +170,18 @@ class StackSource(DataSource):
         return StackReader(dict(self.options))
 
 
-def frame_number(key: str) -> int:
-    digits = key[4:] if key.startswith("arr_") else ""
-    return int(digits) if digits.isdigit() else UNNUMBERED
+def frame_place(key: str) -> tuple[bool, int, str]:
+    """Order of the frames of one archive: numbered keys by number, then the others by name."""
+    digits = key.removeprefix("arr_")
+    numbered = digits != key and digits.isdigit()
+    return not numbered, int(digits) if numbered else 0, key
+
+
+def keys_of(path: str) -> list[str]:
+    """Keys of an archive in the order of their frames."""
+    system, inner = file_system(path)
+    with system.open_input_file(inner) as handle, zipfile.ZipFile(handle) as archive:
+        return sorted((n[:-4] for n in archive.namelist() if n.endswith(".npy")), key=frame_place)
 
 
 @dataclass
@@ -172,14 +200,13 @@ class FrameListReader(DataSourceReader):
         self.step = int(options.get("frames_per_task", "32"))
 
     def partitions(self):
-        keys = []
-        for path in files_under(self.path, ".npz"):
-            system, inner = file_system(path)
-            with system.open_input_file(inner) as handle, zipfile.ZipFile(handle) as archive:
-                keys += [(frame_number(n[:-4]), n[:-4], path) for n in archive.namelist() if n.endswith(".npy")]
+        # archives follow each other in order of their names; the usual keys repeat from one to the next
+        paths = files_under(self.path, ".npz")
         places: dict[str, list[tuple[int, str]]] = {}
-        for t, (_, key, path) in enumerate(sorted(keys)):
-            places.setdefault(path, []).append((t, key))
+        t = 0
+        for path, keys in zip(paths, each_of(paths, keys_of)):
+            places[path] = list(zip(range(t, t + len(keys)), keys))
+            t += len(keys)
         return [
             FramePart(path, tuple(members[i : i + self.step]))
             for path, members in places.items()

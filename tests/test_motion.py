@@ -104,7 +104,7 @@ def test_linear_flow_is_integrated_to_fourth_order(cube, axes, method):
     for y in range(9):
         for x in range(9):
             assert got[0, y, x] == pytest.approx((XS[x] * grow, YS[y] * shrink), abs=1e-9)
-    spread = lagrange.ftle_field(moved, spacing=0.25, duration=1.0, tile=Tile(4, 4, 4)).filter("start_t = 0").collect()
+    spread = lagrange.ftle_field(moved, dx=0.25, dy=0.25, duration=1.0, tile=Tile(4, 4, 4)).filter("start_t = 0").collect()
     for r in spread:
         inner = 0 < r["x"] < 8 and 0 < r["y"] < 8
         # rows are 0.2 apart, columns 0.25; the columns stretch
