@@ -36,7 +36,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of sources that weigh more than their share are repeated; none is lost."""
     _, sources = mixing.plan(docs)
-    return mixing.draw(docs, sources).select(*docs.columns)
+    return mixing.draw(docs, sources, epoch="__epoch").drop("__epoch")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

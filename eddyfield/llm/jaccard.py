@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eddyfield.llm.common import sieve
 from eddyfield.llm.components import components
 from eddyfield.session import settle
 
@@ -291,16 +292,26 @@ def needed_texts(docs: DataFrame, reps: DataFrame, needed: DataFrame) -> DataFra
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _Hashes()
+    hashes, sets = _Hashes(), {}
+
+    def of(point: int, text: pa.Scalar) -> np.ndarray:
+        if point not in sets:
+            if len(sets) > 2000:  # pivots and neighbours in the sort come again soon
+                sets.clear()
+            sets[point] = shingles(zlib.decompress(text.as_py()), hashes)
+        return sets[point]
+
     for batch in batches:
-        keep, last, x = [], None, None
-        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            if a != last:  # pairs of one point often come together
-                last, x = a, shingles(zlib.decompress(a), hashes)
-            y = shingles(zlib.decompress(b), hashes)
-            both = len(np.intersect1d(x, y, assume_unique=True))
+        a, b, ta, tb = batch.columns
+        keep = []
+        for i, (p, q) in enumerate(zip(a.to_pylist(), b.to_pylist())):
+            x, y = of(p, ta[i]), of(q, tb[i])
+            if len(x) > len(y):
+                x, y = y, x
+            at = np.searchsorted(y, x)
+            both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
             keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -400,13 +411,17 @@ def representatives(docs: DataFrame) -> DataFrame:
     Groups are folded to a list of ids to drop; only rows that repeat a doc_id need an order, which
     is taken among the few rows of such ids.
     """
-    groups = settle(near_groups(docs).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_of")), "groups")
-    ids = groups.filter("_id IS NOT NULL").groupBy("_id").agg(F.min("_of").alias("_of"), F.count(F.lit(1)).alias("_rows"))
-    gone = ids.filter("_id <> _of").select("_id")
-    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
-    repeated = settle(ids.filter("_id = _of AND _rows > 1").select("_id"), "repeated")
+    groups = settle(near_groups(docs).select(F.col("doc_id").alias("__near_id"), F.col("component_id").alias("_of")), "groups")
+    ids = groups.filter("__near_id IS NOT NULL").groupBy("__near_id").agg(F.min("_of").alias("_of"), F.count(F.lit(1)).alias("_rows"))
+    gone = settle(ids.filter("__near_id <> _of").select("__near_id"), "gone")
+    # only texts whose id may be in the list are shuffled to it
+    number = docs["doc_id"].cast("long")
+    maybe = sieve(gone, "__near_id")(number)
+    kept = docs.filter(~maybe).unionByName(docs.filter(maybe).join(gone, number == F.col("__near_id"), "left_anti"))
+    repeated = settle(ids.filter("__near_id = _of AND _rows > 1").select("__near_id"), "repeated")
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, kept["doc_id"].cast("long") == F.col("_id"), "left_anti")
-    twice = kept.join(repeated, kept["doc_id"].cast("long") == F.col("_id"), "left_semi")
+    # rows that share a doc_id are one document, of which one row stays
+    once = kept.join(repeated, kept["doc_id"].cast("long") == F.col("__near_id"), "left_anti")
+    twice = kept.join(repeated, kept["doc_id"].cast("long") == F.col("__near_id"), "left_semi")
     return once.unionByName(twice.dropDuplicates(["doc_id"]))

@@ -131,16 +131,14 @@ def permuted(epoch, mix: Mix):
     return id_hash(F.lit(mix.seed), epoch, F.col("doc_id"))
 
 
-def draw(rows: DataFrame, sources: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """``rows``, which have doc_id and source, repeated as often as they are drawn, with ``epoch``.
-    The table of sources is joined by its real size: a broadcast unless there are very many."""
-    table = sources.select(F.col("source").alias("_source"), F.col("epochs").alias("_epochs"), F.col("cut").alias("_cut"))
-    more = (F.col("_cut").isNull() | (permuted(F.col("_epochs"), mix) < F.col("_cut"))).cast("long")
-    joined = rows.join(table, F.col("source").cast("string").eqNullSafe(F.col("_source")))
-    times = joined.withColumn("_times", F.col("_epochs") + more).filter("_times > 0")
-    return times.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1))).drop(
-        "_source", "_epochs", "_cut", "_times"
-    )
+def draw(rows: DataFrame, sources: DataFrame, mix: Mix = Mix(), epoch: str = "epoch") -> DataFrame:
+    """``rows``, which have doc_id and source, repeated as often as they are drawn, with the number of the
+    ``epoch``. The table of sources is joined by its real size: a broadcast unless there are very many."""
+    table = sources.select(F.col("source").alias("__of"), F.col("epochs").alias("__whole"), F.col("cut").alias("__cut"))
+    more = (F.col("__cut").isNull() | (permuted(F.col("__whole"), mix) < F.col("__cut"))).cast("long")
+    joined = rows.join(table, rows["source"].cast("string").eqNullSafe(F.col("__of")))
+    times = joined.withColumn("__times", F.col("__whole") + more).filter("__times > 0")
+    return times.withColumn(epoch, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1))).drop("__of", "__whole", "__cut", "__times")
 
 
 def blocks(rows: DataFrame, sources: DataFrame, mix: Mix = Mix()) -> DataFrame:

@@ -114,17 +114,23 @@ def _leaves(g: np.ndarray, h: np.ndarray, depth: int = 2) -> np.ndarray:
 
 
 def _quarters(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
-    """A tree that cuts the first feature and then each half by the second: gain and steps."""
-    gain, at = _cut(g.sum(axis=1), h.sum(axis=1))
+    """A tree that cuts the first feature and then each half by the second: gain and steps. All first
+    cuts are tried, since one alone may gain nothing."""
+    best, cells = -1.0, []
+    for at in range(len(g) + 1):
+        gain, found = 0.0, []
+        for rows in (slice(0, at), slice(at, len(g))):
+            if g[rows].size:
+                more, cut = _cut(g[rows].sum(axis=0), h[rows].sum(axis=0))
+                gain += more + g[rows].sum() ** 2 / (h[rows].sum() + RIDGE)
+                found += [(rows, slice(0, cut)), (rows, slice(cut, g.shape[1]))]
+        if gain > best:
+            best, cells = gain, found
     step = np.zeros_like(g)
-    for rows in (slice(0, at), slice(at, len(g))):
-        if g[rows].size:
-            more, cut = _cut(g[rows].sum(axis=0), h[rows].sum(axis=0))
-            gain += more
-            for columns in (slice(0, cut), slice(cut, g.shape[1])):
-                if h[rows, columns].size:
-                    step[rows, columns] = RATE * g[rows, columns].sum() / (h[rows, columns].sum() + RIDGE)
-    return gain, step
+    for cell in cells:
+        if g[cell].size:
+            step[cell] = RATE * g[cell].sum() / (h[cell].sum() + RIDGE)
+    return best - g.sum() ** 2 / (h.sum() + RIDGE), step
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> Additive:
