@@ -1,13 +1,14 @@
 """Particles carried by the velocity field, and the stretching of their paths.
 
-All particles of all start frames move together. Every cell of every frame is stored once with
-the velocities at its four corners, bucketed by its position, so that one stage of the
-integration is one equi-join of the particles with the cells in which they are: only the
-particles are shuffled, and since each cell holds few of them no key is hot.
+All particles of all start frames move together. A frame of velocities is one row, as large as the
+sensor. A Runge-Kutta step of the particles of one start frame needs two frames only, so that a step
+is one co-group by start frame: particles and frames are shuffled once, and the four stages are
+array operations in one task per start frame.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +16,8 @@ from eddyfield.model import BLEND, FRAME_TIME, VOXEL
 from eddyfield.operators.select import roi_coords
 from eddyfield.operators.stats import linear_flow_tensor
 from eddyfield.operators.stencil import Tile, beside, line_along, with_rims
-from eddyfield.session import settle, settle_buckets
+from eddyfield.session import discard, settle
 
-CELL = ["case_id", "t", "y", "x"]
 PARTICLE = ["case_id", "start_t", "y", "x"]
 
 
@@ -35,113 +35,103 @@ def geometry(axis: DataFrame) -> DataFrame:
     return settle(parts[0].join(parts[1], "case_id"), "geometry")
 
 
-def spline_nodes(flow: DataFrame) -> DataFrame:
-    """Velocity at every node with its slopes along the columns, along the rows, and mixed, of
-    the bicubic not-a-knot spline through each frame (per cell, not per unit of length).
+def velocity_frames(voxel: DataFrame, axis: DataFrame) -> DataFrame:
+    """One row per frame: u and v as bytes of doubles, row by row, with the linear flow of the frame
+    and the geometry of its case. Absent and missing samples are NaN."""
 
-    A spline couples a whole row or column of a frame, so a task takes one frame at a time: it
-    is as large as the sensor. A frame with a missing value has no spline and is left out.
-    """
-
-    def solve(pdf):
-        import numpy as np
-
-        def slopes(n):
-            # slopes m at n even nodes: m[i-1] + 4 m[i] + m[i+1] = 3 (f[i+1] - f[i-1]); at the
-            # ends the third derivative runs on through the second node
-            left, right = np.zeros((n, n)), np.zeros((n, n))
-            for i in range(1, n - 1):
-                left[i, i - 1 : i + 2] = 1.0, 4.0, 1.0
-                right[i, i - 1], right[i, i + 1] = -3.0, 3.0
-            left[0, :2] = 1.0, 2.0
-            right[0, :3] = -2.5, 2.0, 0.5
-            left[-1, -2:] = 2.0, 1.0
-            right[-1, -3:] = -0.5, -2.0, 2.5
-            return np.linalg.solve(left, right)
-
-        pdf = pdf.sort_values(["y", "x"])
-        shape = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
-        if min(shape) < 4:
-            raise ValueError("a cubic spline needs four rows and four columns")
-        out = pdf[["case_id", "t", "y", "x"]].copy()
+    def pack(pdf):
+        shape = int(pdf["ny"].iloc[0]), int(pdf["nx"].iloc[0])
+        out = pdf.head(1)[["case_id", "t"]].copy()
         for k in ("u", "v"):
-            f = pdf[k].to_numpy(dtype=np.float64).reshape(shape)
-            if np.isnan(f).any():
-                return out.head(0).reindex(columns=[*out.columns, *(f"{c}{d}" for c in "uv" for d in ("", "_x", "_y", "_xy"))])
-            d_y, d_x = slopes(shape[0]), slopes(shape[1])
-            for name, values in (("", f), ("_x", f @ d_x.T), ("_y", d_y @ f), ("_xy", d_y @ f @ d_x.T)):
-                out[k + name] = values.ravel()
+            values = np.full(shape, np.nan)
+            values[pdf["y"].to_numpy(), pdf["x"].to_numpy()] = pdf[k].to_numpy(dtype="float64")
+            out[k] = [values.tobytes()]
         return out
 
-    columns = ", ".join(f"{k}{d} double" for k in "uv" for d in ("", "_x", "_y", "_xy"))
-    return flow.select(*VOXEL, "u", "v").groupBy("case_id", "t").applyInPandas(
-        solve, f"case_id string, t int, y int, x int, {columns}"
-    )
-
-
-def velocity_cells(voxel: DataFrame, axis: DataFrame, method: str = "linear", tile: Tile = Tile()) -> DataFrame:
-    """What is needed at the four corners of every cell, with the linear flow of its frame,
-    bucketed by cell. A corner is named by its row and column: 00, 01, 10, 11."""
     flow = voxel.select(*VOXEL, "u", "v")
     tensor = settle(linear_flow_tensor(roi_coords(flow, axis)), "tensor")
-    nodes = spline_nodes(flow) if method == "cubic" else flow
-    names = [c for c in nodes.columns if c not in CELL]
-    tiled = with_rims(nodes, {"y": 1, "x": 1}, tile)
-    row = line_along(tiled, "x")
-    tiled = tiled.withColumns({f"{k}01": F.lead(k).over(row) for k in names} | {"more_x": F.lead("x").over(row).isNotNull()})
-    column = line_along(tiled, "y")
-    tiled = tiled.withColumns(
-        {f"{k}10": F.lead(k).over(column) for k in names}
-        | {f"{k}11": F.lead(f"{k}01").over(column) for k in names}
-        | {"more_y": F.lead("y").over(column).isNotNull()}
-    )
-    corners = [F.col(k).alias(f"{k}00") for k in names] + [f"{k}{c}" for k in names for c in ("01", "10", "11")]
-    cells = tiled.filter(F.col("_own") & F.col("more_x") & F.col("more_y")).select(*CELL, *corners)
-    return settle_buckets(cells.join(tensor, ["case_id", "t"]), "cells", CELL)
-
-
-def _inner(k: str, method: str) -> str:
-    """SQL of the velocity within a cell at the fractions _sx, _sy of its width and height."""
-    if method == "linear":
-        return f"(1 - _sy) * ((1 - _sx) * {k}00 + _sx * {k}01) + _sy * ((1 - _sx) * {k}10 + _sx * {k}11)"
-    value = ["((2 * {s} - 3) * {s} * {s} + 1)", "((3 - 2 * {s}) * {s} * {s})"]
-    slope = ["((({s} - 2) * {s} + 1) * {s})", "(({s} - 1) * {s} * {s})"]
-    terms = []
-    for row in (0, 1):
-        for col in (0, 1):
-            along = {"": value[col], "_x": slope[col], "_y": value[col], "_xy": slope[col]}
-            down = {"": value[row], "_x": value[row], "_y": slope[row], "_xy": slope[row]}
-            terms += [f"{down[d].format(s='_sy')} * {along[d].format(s='_sx')} * {k}{d}{row}{col}" for d in along]
-    return " + ".join(terms)
-
-
-def _velocity(particles: DataFrame, cells: DataFrame, frame: str, px: str, py: str, stage: int, blend: float, method: str) -> DataFrame:
-    """Velocity ``(u<stage>, v<stage>)`` of every particle at (px, py) in a frame: interpolated
-    inside, the linear flow of the frame outside, a smooth step between over ``blend``."""
-    at = particles.selectExpr("*", f"{px} AS _px", f"{py} AS _py", f"{frame} AS _t").selectExpr(
-        "*", *[f"(_p{d} - {d}0) / {d}_pitch AS _f{d}" for d in "xy"]
-    ).selectExpr(
-        "*", *[f"int(CASE WHEN _f{d} IS NOT NULL THEN least(greatest(floor(_f{d}), 0), n{d} - 2) END) AS _c{d}" for d in "xy"]
-    )
-    here = cells.selectExpr(*[f"{c} AS cell_{c}" if c in CELL else c for c in cells.columns])
-    at = at.selectExpr("*", *[f"_f{d} - _c{d} AS _s{d}" for d in "xy"])
-    met = at.join(here, F.expr("case_id = cell_case_id AND _t = cell_t AND _cy = cell_y AND _cx = cell_x"), "left")
-    fade = {d: f"({d}_far - abs(_p{d})) / {blend}" for d in "xy"}
-    step = {d: f"CASE WHEN {fade[d]} >= 1 THEN 1 ELSE ({fade[d]}) * ({fade[d]}) * (3 - 2 * ({fade[d]})) END" for d in "xy"}
-    met = met.selectExpr(
-        *particles.columns,
-        f"CASE WHEN abs(_px) >= x_far OR abs(_py) >= y_far THEN 0D ELSE ({step['x']}) * ({step['y']}) END AS _w",
-        *[f"{_inner(k, method)} AS _in_{k}" for k in "uv"],
-        "g_xx * _px + g_xy * _py + u_mean AS _out_u",
-        "g_yx * _px + g_yy * _py + v_mean AS _out_v",
-    )
-    return met.selectExpr(
-        *particles.columns,
-        *[
-            f"CASE WHEN _w = 0 THEN _out_{k} WHEN _w = 1 THEN _in_{k} ELSE _out_{k} + (_in_{k} - _out_{k}) * _w END AS {k}{stage}"
-            for k in "uv"
-        ],
+    grid = geometry(axis)
+    packed = flow.join(grid.select("case_id", "ny", "nx"), "case_id").groupBy("case_id", "t").applyInPandas(
+        pack, "case_id string, t int, u binary, v binary"
     )
+    return settle(packed.join(tensor, ["case_id", "t"]).join(grid, "case_id"), "frames")
+
+
+def spline_slopes(f: np.ndarray) -> np.ndarray:
+    """Slopes at even nodes, along the first axis, of the cubic not-a-knot spline through ``f``.
+
+    m[i-1] + 4 m[i] + m[i+1] = 3 (f[i+1] - f[i-1]); at the ends the third derivative runs on
+    through the second node. The system has three diagonals: one sweep down and one up solve it
+    for all columns at once.
+    """
+    n = len(f)
+    if n < 4:
+        raise ValueError("a cubic spline needs four rows and four columns")
+    right = np.empty_like(f)
+    right[1:-1] = 3 * (f[2:] - f[:-2])
+    right[0] = -2.5 * f[0] + 2 * f[1] + 0.5 * f[2]
+    right[-1] = 2.5 * f[-1] - 2 * f[-2] - 0.5 * f[-3]
+    below = np.array([0.0] + [1.0] * (n - 2) + [2.0])
+    middle = np.array([1.0] + [4.0] * (n - 2) + [1.0])
+    above = np.array([2.0] + [1.0] * (n - 2) + [0.0])
+    for i in range(1, n):
+        factor = below[i] / middle[i - 1]
+        middle[i] -= factor * above[i - 1]
+        right[i] -= factor * right[i - 1]
+    right[-1] /= middle[-1]
+    for i in range(n - 2, -1, -1):
+        right[i] = (right[i] - above[i] * right[i + 1]) / middle[i]
+    return right
+
+
+class _Frame:
+    """Velocity at any place of one frame."""
+
+    def __init__(self, row, method: str, blend: float):
+        self.row, self.method, self.blend = row, method, blend
+        shape = int(row["ny"]), int(row["nx"])
+        self.nodes = {}
+        for k in ("u", "v"):
+            f = np.frombuffer(row[k]).reshape(shape)
+            if method == "linear":
+                self.nodes[k] = [f]
+            elif np.isnan(f).any():  # a frame with a missing value has no spline
+                self.nodes[k] = [np.full(shape, np.nan)] * 4
+            else:
+                f_x = spline_slopes(f.T.copy()).T
+                self.nodes[k] = [f, f_x, spline_slopes(f), spline_slopes(f_x)]
+
+    def _inside(self, k: str, cy, cx, sy, sx):
+        """Interpolation within cells at the fractions of their height and width."""
+        if self.method == "linear":
+            weights = {0: (1 - sy, 1 - sx), 1: (sy, sx)}
+            (f,) = self.nodes[k]
+            return sum(weights[i][0] * weights[j][1] * f[cy + i, cx + j] for i in (0, 1) for j in (0, 1))
+
+        def value(s, end):
+            return (3 - 2 * s) * s * s if end else 1 - (3 - 2 * s) * s * s
+
+        def slope(s, end):
+            return (s - 1) * s * s if end else ((s - 2) * s + 1) * s
+
+        total = 0.0
+        for f, down, along in zip(self.nodes[k], (value, value, slope, slope), (value, slope, value, slope)):
+            total = total + sum(down(sy, i) * along(sx, j) * f[cy + i, cx + j] for i in (0, 1) for j in (0, 1))
+        return total
+
+    def velocity(self, px, py):
+        """Interpolated inside, the linear flow of the frame outside, a smooth step between."""
+        r, weight, cell, share = self.row, 1.0, {}, {}
+        for d, p in (("x", px), ("y", py)):
+            place = (p - r[f"{d}0"]) / r[f"{d}_pitch"]
+            known = np.nan_to_num(place)
+            cell[d] = np.clip(np.floor(known), 0, r[f"n{d}"] - 2).astype(int)
+            share[d] = place - cell[d]
+            fade = np.clip((r[f"{d}_far"] - np.abs(p)) / self.blend, 0, 1)
+            weight = weight * fade * fade * (3 - 2 * fade)
+        out = {"u": r["g_xx"] * px + r["g_xy"] * py + r["u_mean"], "v": r["g_yx"] * px + r["g_yy"] * py + r["v_mean"]}
+        inside = {k: self._inside(k, cell["y"], cell["x"], share["y"], share["x"]) for k in ("u", "v")}
+        return [np.where(weight == 0, out[k], np.where(weight == 1, inside[k], out[k] + (inside[k] - out[k]) * weight)) for k in ("u", "v")]
 
 
 def particle_advect(
@@ -153,38 +143,47 @@ def particle_advect(
     direction: int = 1,
     method: str = "cubic",
     blend: float = BLEND,
-    tile: Tile = Tile(),
 ) -> DataFrame:
     """Positions after ``n_steps`` Runge-Kutta steps of particles that start on every pixel in
     every frame: ``(case_id, start_t, y, x, px, py)`` in the unit of the axes.
 
     ``method`` is the interpolation in space: "cubic" (not-a-knot spline) or "linear".
     The velocity of a time between two frames is that of the frame at or before it. A particle
-    whose time leaves the recording, or that meets a missing velocity, has no position.
+    whose time leaves the recording, or that meets a missing velocity, has no position. Each step is
+    stored, and the one before it removed; jobs run while this is called.
     """
     if direction not in (1, -1):
         raise ValueError("direction is 1 (forward) or -1 (backward)")
     if method not in ("cubic", "linear"):
         raise ValueError(f"unknown method {method}")
-    cells = velocity_cells(voxel, axis, method, tile)
-    grid = geometry(axis)
+    frames = velocity_frames(voxel, axis)
     start = roi_coords(voxel.select("case_id", F.col("t").alias("start_t"), "y", "x"), axis)
     state = start.select(*PARTICLE, F.col("x_mm").alias("px"), F.col("y_mm").alias("py"))
     step = direction * dt
     for n in range(n_steps):
-        now = f"(start_t + {direction * n})"
-        between = now if direction == 1 else f"({now} - 1)"
-        stages = [
-            (now, "px", "py"),
-            (between, f"px + {step / 2}D * u1", f"py + {step / 2}D * v1"),
-            (between, f"px + {step / 2}D * u2", f"py + {step / 2}D * v2"),
-            (f"({now} + {direction})", f"px + {step}D * u3", f"py + {step}D * v3"),
-        ]
-        moving = state.join(grid, "case_id")
-        for stage, (frame, px, py) in enumerate(stages, start=1):
-            moving = _velocity(moving, cells, frame, px, py, stage, blend, method)
-        moved = [f"{p} + {step / 6}D * ({k}1 + 2 * {k}2 + 2 * {k}3 + {k}4) AS {p}" for p, k in (("px", "u"), ("py", "v"))]
-        state = settle(moving.selectExpr(*PARTICLE, *moved), "particles")
+
+        def advance(key, particles, two):
+            now = key[1] + direction * n
+            known = {int(row["t"]): _Frame(row, method, blend) for row in two.to_dict("records")}
+            px, py = particles["px"].to_numpy(dtype="float64"), particles["py"].to_numpy(dtype="float64")
+            end = now + direction
+            if len(known) < 2:
+                return particles.assign(px=np.nan, py=np.nan)
+            first, between, last = known[now], known[min(now, end)], known[end]
+            u1, v1 = first.velocity(px, py)
+            u2, v2 = between.velocity(px + step / 2 * u1, py + step / 2 * v1)
+            u3, v3 = between.velocity(px + step / 2 * u2, py + step / 2 * v2)
+            u4, v4 = last.velocity(px + step * u3, py + step * v3)
+            return particles.assign(px=px + step / 6 * (u1 + 2 * u2 + 2 * u3 + u4), py=py + step / 6 * (v1 + 2 * v2 + 2 * v3 + v4))
+
+        at = F.col("t") - direction * n
+        used = frames.withColumn("start_t", F.explode(F.array(at, at - direction)))
+        moved = state.groupBy("case_id", "start_t").cogroup(used.groupBy("case_id", "start_t")).applyInPandas(
+            advance, "case_id string, start_t int, y int, x int, px double, py double"
+        )
+        before, state = state, settle(moved, "particles")
+        if n:
+            discard(before)
     return state
 
 

@@ -81,7 +81,7 @@ def ends(df):
 @pytest.mark.parametrize("direction", [1, -1])
 def test_uniform_flow(cube, axes, direction, method):
     table = flow(cube, lambda x, y: 0.0 * x + 0.3, lambda x, y: 0.0 * x - 0.1)
-    got = ends(lagrange.particle_advect(table, axes, 2, dt=0.05, direction=direction, method=method, tile=Tile(2, 4, 4)))
+    got = ends(lagrange.particle_advect(table, axes, 2, dt=0.05, direction=direction, method=method))
     assert len(got) == 4 * 81
     start_t = 1 if direction == 1 else 2
     for y in range(9):
