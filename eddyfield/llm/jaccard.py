@@ -45,11 +45,11 @@ WORDS_PER_SHINGLE = 5
 PERCENT = 80
 GROUPS = 64
 PAIRED = 8
-COMMON = 64  # a coordinate in more boxes than this is common ...
+COMMON = 64  # a shingle in more texts than this is common ...
 MOST_COMMON = 500_000  # ... or in so many that there cannot be more than this number of them
+COUNTED_TOGETHER = 4_000_000  # shingles
 KEYS_PER_TASK = 1_000_000
-ROUNDS = 3
-NEEDED_BITS = 1 << 25  # of the filter in front of the verification: 4 MB, whatever the input
+ROUNDS = 1
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype="uint64")
 
@@ -90,7 +90,7 @@ def point_of(s: np.ndarray) -> int:
 
 class Common:
     """The common coordinates by their sorted short forms, with a sieve in front of the exact search,
-    and how many points lead with each."""
+    and how often each was counted."""
 
     def __init__(self, short: np.ndarray, times: np.ndarray):
         self.short, self.times = short, times
@@ -132,25 +132,46 @@ def _texts(batches: Iterator[pa.RecordBatch]):
 
 
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _Hashes()
-    none = np.zeros(0, "uint32")
+    """A row per document, and rows without one that hold, of the shingles of many documents together, the
+    short forms that come twice or more (``counts``: how often, ``keys``: which)."""
+    hashes, seen, waiting, size = _Hashes(), set(), [], 0
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [[]] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n", "point", "counts", "keys"])
+
+    def repeated() -> pa.RecordBatch:
+        keys, times = np.unique(np.concatenate([*waiting, np.zeros(0, "uint32")]), return_counts=True)
+        keys, times = keys[times > 1], times[times > 1]
+        waiting.clear()
+        seen.clear()
+        return batch_of([(None, -1, None, times.astype("int64").tobytes(), keys.tobytes())])
+
     for ids, texts in _texts(batches):
         out = []
         for doc, text in zip(ids, texts):
             s = shingles(text, hashes)
+            point = point_of(s)
             counts = np.bincount((s % np.uint64(GROUPS)).astype("int64"), minlength=GROUPS).astype("int32")
-            boxes = _short(_leading(s)) if len(s) else none
-            out.append((doc, len(s), point_of(s), counts.tobytes(), boxes.tobytes()))
-        columns = list(zip(*out)) or [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n", "point", "counts", "boxes"])
+            out.append((doc, len(s), point, counts.tobytes(), None))
+            if point not in seen:
+                seen.add(point)
+                waiting.append(_short(s))
+                size += len(s)
+            if size > COUNTED_TOGETHER:
+                size = 0
+                yield repeated()
+        yield batch_of(out)
+    yield repeated()
 
 
-POINT = "doc_id long, n long, point long, counts binary, boxes binary"
+POINT = "doc_id long, n long, point long, counts binary, keys binary"
 
 
 def points(docs: DataFrame) -> DataFrame:
-    """One settled row per document: size, identity of the set, coarse counts, boxes (short)."""
+    """One settled row per document: size, identity of the set, coarse counts; and the rows of
+    repeated shingles, whose ``n`` is -1."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return settle(rows.mapInArrow(_points, POINT), "points")
 
@@ -165,29 +186,20 @@ def _packed(parts: list[tuple[np.ndarray, ...]], bucket: np.ndarray) -> Iterator
     yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "keys", "ids"][: len(arrays)])
 
 
-def common_boxes(points: DataFrame, total: int) -> Common:
-    """Short forms of the coordinates that more than ``COMMON`` points lead with. They are at most
-    ``MOST_COMMON``, and so may pass through the driver: ``total`` placements cannot hold more
-    runs of the required length."""
+def common_boxes(repeated: DataFrame, total: int) -> Common:
+    """Short forms of the shingles that many texts hold, counted over all texts. One that is so common
+    comes often in any few million shingles, and only what comes twice there is sent. They are at most
+    ``MOST_COMMON``, and so may pass through the driver: the ``total`` shingles have no room for more."""
     least = max(COMMON, total // MOST_COMMON)
-    buckets = max(1, -(-total // (4 * KEYS_PER_TASK)))
 
-    def send(batches):
+    def unpack(batches):
         for batch in batches:
-            seen = {p: b for p, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
-            keys = np.frombuffer(b"".join(seen.values()), "uint32")
-            yield from _packed([keys], (keys % buckets).astype("int32"))
-
-    def count(batches):
-        blobs = [b for batch in batches for b in batch.column(1).to_pylist()]
-        keys, times = np.unique(np.frombuffer(b"".join(blobs), "uint32"), return_counts=True)
-        keep = times > least
-        yield pa.RecordBatch.from_arrays([pa.array(keys[keep].astype("int64")), pa.array(times[keep])], names=["key", "times"])
-
-    rows = (
-        points.select("point", "boxes").mapInArrow(send, "bucket int, keys binary").repartition(buckets, "bucket").mapInArrow(count, "key long, times long")
-    )
-    found = rows.toPandas().sort_values("key")
+            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), "uint32").astype("int64")
+            times = np.frombuffer(b"".join(batch.column(0).to_pylist()), "int64")
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times)], names=["key", "times"])
+
+    sums = repeated.select("counts", "keys").mapInArrow(unpack, "key long, times long").groupBy("key").agg(F.sum("times").alias("times"))
+    found = sums.filter(F.col("times") > least).toPandas().sort_values("key")
     return Common(found["key"].to_numpy(dtype="int64").astype("uint32"), found["times"].to_numpy(dtype="int64"))
 
 
@@ -266,29 +278,20 @@ def bounded(pairs: DataFrame, where: DataFrame) -> DataFrame:
 
 
 def needed_texts(docs: DataFrame, reps: DataFrame, needed: DataFrame) -> DataFrame:
-    """(point, text), compressed, of the points that ``needed`` names and a few more, settled.
+    """(doc_id, text), compressed, of the points that ``needed`` names and a few more, settled.
 
     A bitmap of fixed size keeps most other texts out, so that no text is shuffled here; the joins
     to come are exact."""
-    wanted = reps.join(needed, "point", "left_semi").select("doc_id")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(NEEDED_BITS)) + 1  # bitmaps count from 1
-    parts = wanted.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    bits = np.zeros(NEEDED_BITS // 8, "uint8")
-    for k, part in parts.toPandas().itertuples(index=False):
-        bits[(k - 1) * 4096 : k * 4096] = np.frombuffer(bytes(part), "uint8")
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def scan(batches):
-        hashes = _Hashes()
+    wanted = settle(reps.join(needed, "point", "left_semi").select("doc_id"), "needed")
+
+    def pack(batches):
         for batch in batches:
-            at = batch.column(1).to_numpy()
-            hit = (shared.value[at >> 3] >> (at & 7).astype("uint8")) & 1
-            texts = [t or b"" for t in batch.filter(pa.array(hit.astype(bool))).column(0).cast(pa.binary()).to_pylist()]
-            found = {point_of(shingles(t, hashes)): zlib.compress(t, 1) for t in texts}
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["point", "text"])
+            texts = [zlib.compress(t or b"", 1) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["doc_id", "text"])
 
-    rows = docs.filter("doc_id IS NOT NULL").select(F.col("text").cast("string"), (F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(NEEDED_BITS))).alias("at"))
-    return settle(rows.mapInArrow(scan, "point long, text binary"), "texts")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    likely = rows.filter(sieve(wanted, "doc_id")(F.col("doc_id")) & F.col("doc_id").isNotNull())
+    return settle(likely.mapInArrow(pack, "doc_id long, text binary"), "texts")
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,11 +317,13 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs of points that link."""
-    left = texts.select(F.col("point").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("point").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs of points that link, each point read from the text that stands for it."""
+    ids = reps.select("point", "doc_id")
+    named = pairs.join(ids.withColumnsRenamed({"point": "a", "doc_id": "da"}), "a").join(ids.withColumnsRenamed({"point": "b", "doc_id": "db"}), "b")
+    left = texts.select(F.col("doc_id").alias("da"), F.col("text").alias("ta"))
+    right = texts.select(F.col("doc_id").alias("db"), F.col("text").alias("tb"))
+    both = named.join(left, "da").join(right, "db").select("a", "b", "ta", "tb")
     return settle(both.mapInArrow(_verified, "a long, b long"), "links")
 
 
@@ -346,13 +351,16 @@ def _placed(leaves: DataFrame, labels: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per document."""
-    found = points(docs)
+    both = points(docs)
+    found = both.filter("n >= 0").drop("keys")
     linkable = found.filter("doc_id IS NOT NULL AND n > 0")
-    total = linkable.agg(F.coalesce(F.sum(F.length("boxes") / 4), F.lit(0)).cast("long").alias("t")).first()["t"]
+    total, leading = linkable.agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.floor(F.col("n") * (100 - PERCENT) / 100) + 1), F.lit(0)).cast("long")
+    ).first()
     members = linkable.groupBy("point").agg(F.min("doc_id").alias("doc_id"))
-    reps = settle(found.select("point", "doc_id", "n", "counts").join(members, ["point", "doc_id"]).dropDuplicates(["point"]), "reps")
-    common = common_boxes(linkable, total)
-    boxes = candidates(docs, common, total)
+    reps = settle(found.join(members, ["point", "doc_id"]).dropDuplicates(["point"]), "reps")
+    common = common_boxes(both.filter("n < 0"), total)
+    boxes = candidates(docs, common, leading)
 
     inside = boxes.filter("kind = 1").select(F.col("a").alias("box"), F.col("b").alias("point"))
     weights = inside.groupBy("point").agg(F.count(F.lit(1)).alias("w"))
@@ -366,9 +374,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     texts = needed_texts(docs, reps, named)
     # one pair per point first, with the heaviest partner: it usually connects all that can be
     heavy = pairs.join(weights.withColumnRenamed("point", "a"), "a", "left").withColumn("w", F.coalesce("w", F.lit(0)))
-    links = verified(heavy.groupBy("b").agg(F.max_by("a", "w").alias("a")).select("a", "b"), texts)
+    links = verified(heavy.groupBy("b").agg(F.max_by("a", "w").alias("a")).select("a", "b"), reps, texts)
     labels = settle(components(links), "labels")
-    links = links.union(verified(_apart(pairs, labels), texts))
+    links = links.union(verified(_apart(pairs, labels), reps, texts))
     labels = settle(components(links), "labels")
     for k in range(ROUNDS):
         placed = _placed(leaves, labels)
@@ -376,7 +384,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
         if again.isEmpty():
             break
         stars = placed.join(again.withColumnRenamed("pivot", "a"), "box").select("a", F.col("point").alias("b"))
-        links = links.union(verified(bounded(_apart(stars.distinct(), labels), reps), texts))
+        links = links.union(verified(bounded(_apart(stars.distinct(), labels), reps), reps, texts))
         labels = settle(components(links), "labels")
     # whoever is not with the first pivot now meets all the others of the box
     placed = settle(_placed(leaves, labels), "placed")
@@ -385,7 +393,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     may = (F.col("of_p") != F.col("of_q")) & (~F.col("alone") | (F.col("p") < F.col("q")))
     sizes = 100 * F.least("np", "nq") >= PERCENT * F.greatest("np", "nq")
     others = lone.join(rest, (lone["box"] == rest["box"]) & may & sizes).select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
-    links = links.union(verified(bounded(others, reps), texts))
+    links = links.union(verified(bounded(others, reps), reps, texts))
     labels = settle(components(links), "labels")
 
     # from points to documents: equal sets are one point, and a doc_id with several sets joins them
