@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 A text is a row of words, lower-cased and without the marks around and in them. A seed is an
-n-gram of a test item. Its document frequency is counted over the whole corpus; an item searches with
-its rare seeds: those not commoner than ``RARE`` times the median of its own. (An item that leaked
-into a third of all documents has common seeds only, and still searches with them.) Where a seed
-hits, the item is aligned with the words around, and the best local alignment is scored
-against a full match. Items are taken in blocks of a bounded size, each block against all rows.
+n-gram of a test item. An item searches with all of its seeds: how common a seed is says nothing
+about the document at hand, as an edited item that many documents share has common seeds only.
+Where a seed hits, the item is aligned with the words around, and the best local alignment is scored
+against a full match. Where the words around hold too few of the item's for the least score, there is
+no need to align. Items are taken in blocks of a bounded size, each block against all rows.
 
 A null or empty text matches nothing; a null item text, or an item of fewer than ``SHORTEST`` words,
 is not searched for. Items of one text are all reported. Texts are read whole. An empty corpus or
@@ -20,7 +20,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +27,6 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stru
 
 SEED = 3  # words
 SHORTEST = 5
-RARE = 4
 LEAST_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 ITEMS_PER_BLOCK = 20_000
@@ -84,9 +82,6 @@ class Block:
         order = np.argsort(seeds, kind="stable")
         return Block([i for i, _ in kept], items, seeds[order], item[order], place[order])
 
-    def only(self, keep: np.ndarray) -> Block:
-        return Block(self.ids, self.items, self.seeds[keep], self.item[keep], self.place[keep])
-
     def sieve(self) -> np.ndarray:
         """By the upper 20 bits of a seed: whether there may be one."""
         table = np.zeros(1 << 20, bool)
@@ -120,6 +115,13 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def bound(item: np.ndarray, words: np.ndarray) -> int:
+    """At least the score of any local alignment: a word of the item that is not among ``words``
+    is a mismatch or a gap of it."""
+    total = np.cumsum(np.where(np.isin(item, words), MATCH, max(MISMATCH, GAP)))
+    return int((total - np.minimum.accumulate(np.minimum(0, total))).max())
+
+
 def leaks(words: np.ndarray, block: Block, sieve: np.ndarray, least: float) -> list[tuple]:
     """(item, score, start, stop) of every item that the document holds, its best place each;
     start and stop count words that have letters or digits."""
@@ -127,15 +129,18 @@ def leaks(words: np.ndarray, block: Block, sieve: np.ndarray, least: float) -> l
     if not len(at):
         return []
     rows = np.concatenate([np.arange(a, b) for a, b in zip(first, last)])
-    places = np.repeat(at, last - first)
+    of = block.item[rows]
+    begin = np.repeat(at, last - first) - block.place[rows]
+    order = np.lexsort((begin, of))
+    of, begin = of[order], begin[order]
     found: dict[int, tuple] = {}
-    for i in np.unique(block.item[rows]):
+    for begins, i in zip(np.split(begin, cuts := np.flatnonzero(np.diff(of)) + 1), of[[0, *cuts]]):
         item = block.items[i]
-        mine = block.item[rows] == i
-        begins = np.sort(places[mine] - block.place[rows[mine]])
         reach = len(item) // 2 + 1
         for cluster in np.split(begins, np.flatnonzero(np.diff(begins) > reach) + 1):
             low, high = max(0, cluster[0] - reach), cluster[-1] + len(item) + reach
+            if bound(item, words[low:high]) / (MATCH * len(item)) < least:
+                continue
             score, end = align(item, words[low:high])
             share = score / (MATCH * len(item))
             if share >= least and share > found.get(i, (0, 0.0))[1]:
@@ -154,35 +159,6 @@ def blocks_of(benchmark: DataFrame, size: int = ITEMS_PER_BLOCK) -> Iterator[Blo
         yield Block.of([r["item_id"] for r in items], [r["text"] for r in items])
 
 
-def frequencies(docs: DataFrame, block: Block) -> np.ndarray:
-    """In how many documents each row of the seed table occurs: a row per seed of the block."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-
-    def count(batches):
-        block, table = shared.value, _Words()
-        sieve, times = block.sieve(), np.zeros(len(block.seeds), "int64")
-        for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                _, first, _ = block.hits(words_of(text, table), sieve)
-                times[np.unique(first)] += 1
-        hit = np.flatnonzero(times)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(times[hit])], names=["seed", "times"])
-
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(count, "seed long, times long")
-    found = rows.groupBy("seed").agg(F.sum("times").alias("times")).toPandas()
-    times = np.zeros(len(block.seeds), "int64")
-    times[found["seed"].to_numpy(dtype="int64")] = found["times"].to_numpy(dtype="int64")
-    return times[np.searchsorted(block.seeds, block.seeds, "left")]
-
-
-def rare(block: Block, times: np.ndarray) -> Block:
-    """The block with the rare seeds of every item only."""
-    if not len(times):
-        return block
-    medians = pd.Series(times).groupby(block.item).median()
-    return block.only(times <= RARE * np.maximum(1, medians.reindex(block.item).to_numpy()))
-
-
 FOUND = ArrayType(
     StructType([StructField("item_id", LongType()), StructField("score", DoubleType()), StructField("start", IntegerType()), StructField("stop", IntegerType())])
 )
@@ -207,7 +183,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, start, stop): every document with every item that leaked into it."""
     out = None
     for block in blocks_of(benchmark):
-        block = rare(block, frequencies(docs, block))
         rows = docs.select("doc_id", F.explode(leaks_in(docs, block)).alias("leak")).select("doc_id", "leak.*")
         out = rows if out is None else out.union(rows)
     return out
@@ -217,6 +192,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a leak."""
     kept = docs
     for block in blocks_of(benchmark):
-        block = rare(block, frequencies(docs, block))
         kept = kept.filter(F.size(leaks_in(docs, block)) == 0)
     return kept

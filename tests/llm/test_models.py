@@ -180,3 +180,23 @@ def test_an_item_in_every_document_is_still_found(spark, documents):
     docs = documents(*[(i, paragraph(100 + i, 30) + " " + item) for i in range(200)])
     benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert decontaminate.contaminated(docs, benchmark).count() == 200
+
+
+@pytest.mark.parametrize("copies", [4, 50])
+def test_an_edited_item_in_many_documents_is_still_found(spark, documents, copies):
+    """Every 4th or 5th word replaced: most seeds of the item occur nowhere, the rest in many documents."""
+    items = {k: paragraph(k, 30).split() for k in (4, 5)}
+    edited = {k: " ".join(w if i % k else f"changed{i}" for i, w in enumerate(item)) for k, item in items.items()}
+    fragment = paragraph(6, 30).split()
+    docs = documents(*[(100 * k + i, paragraph(1000 * k + i, 20) + " " + text) for k, text in [*edited.items(), (6, " ".join(fragment[:15]))] for i in range(copies)])
+    benchmark = spark.createDataFrame([(k, " ".join(item)) for k, item in [*items.items(), (6, fragment)]], "item_id long, text string")
+    want = {(100 * k + i, k) for k in (4, 5, 6) for i in range(copies)}
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, benchmark).collect()} == want
+    assert decontaminate.clean(docs, benchmark).count() == 0
+
+
+def test_the_bound_in_front_of_alignment_is_never_below_the_score():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a, b = (rng.integers(0, 9, rng.integers(1, 25)).astype("uint64") for _ in range(2))
+        assert decontaminate.bound(a, b) >= decontaminate.align(a, b)[0]
