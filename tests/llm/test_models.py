@@ -86,6 +86,40 @@ def test_pii_awkward(documents):
     assert pii.redact("call +49 now, a@b.de", [(3, 5, 8), (0, 14, 20)]) == "call [phone] now, [email]"
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("555-123-4567 555-123-4568", {(3, 0, 12), (3, 13, 25)}),
+    ("2024-05-01 555-123-4567", {(3, 11, 23)}),
+    ("2024-05-01 (555) 123-4567 8", {(3, 11, 25), (3, 12, 25)}),
+    ("4111 1111 1111 1111 5500 0000 0000 0004", {(2, 0, 19), (2, 20, 39)}),
+    ("555 1234 4111 1111 1111 1111", {(3, 0, 8), (2, 9, 28)}),
+    ("+1 555 123 4567 555 123 4568", {(3, 0, 15), (3, 16, 28)}),
+    ("7 10.0.0.1.10.0.0.2", {(1, 2, 10), (1, 11, 19)}),
+])
+def test_numbers_beside_numbers_are_proposed(text, want):
+    assert want <= {d[:3] for d in pii.judge(text)[1]}
+
+
+def test_ranges_grow_with_the_text_only():
+    assert len(pii.ranges("1 " * 4000)) <= 2.2 * len(pii.ranges("1 " * 2000)) and len(pii.ranges("1 " * 4000)) <= 40 * 4000
+
+
+def test_cards_in_a_row_are_all_found(documents):
+    rng = random.Random(2)
+
+    def card(right: bool) -> str:
+        body = f"4{rng.randrange(10**14):014d}"
+        digits = next(body + str(d) for d in range(10) if pii.luhn(body + str(d)) == right)
+        return " ".join(digits[i : i + 4] for i in range(0, 16, 4))
+
+    docs = documents(
+        *[(i, f"word {card(i % 2 == 0)} word") for i in range(3000)],
+        (9000, f"word {card(True)} {card(True)} word"),
+        (9001, f"word 555 1234 {card(True)} word"),
+    )
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["stop"]) for s in r["added"]] for r in pii.find(docs).filter("doc_id >= 9000").collect()}
+    assert got[9000] == [(2, 5, 24), (2, 25, 44)] and (2, 14, 33) in got[9001]
+
+
 def test_quality_held_out(spark):
     scored = registry.QUERIES["op4_quality"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
     rows = scored.filter("held_out").collect()
