@@ -32,10 +32,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from eddyfield.llm.common import sieve
 from eddyfield.llm.components import components
@@ -277,21 +279,27 @@ def bounded(pairs: DataFrame, where: DataFrame) -> DataFrame:
     return full.mapInArrow(_bounded, "a long, b long")
 
 
-def needed_texts(docs: DataFrame, reps: DataFrame, needed: DataFrame) -> DataFrame:
-    """(doc_id, text), compressed, of the points that ``needed`` names and a few more, settled.
+def needed_texts(docs: DataFrame, found: DataFrame, reps: DataFrame, needed: DataFrame) -> DataFrame:
+    """(doc_id, point, text), compressed, of the points that ``needed`` names and a few more, settled.
+    The point is null where the doc_id has one text only, which then needs no hashing.
 
     A bitmap of fixed size keeps most other texts out, so that no text is shuffled here; the joins
     to come are exact."""
     wanted = settle(reps.join(needed, "point", "left_semi").select("doc_id"), "needed")
+    several = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("point").alias("low"), F.max("point").alias("high")).filter("low <> high")
 
     def pack(batches):
+        hashes = _Hashes()
         for batch in batches:
-            texts = [zlib.compress(t or b"", 1) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+            raw = batch.column(1).cast(pa.binary()).to_pylist()
+            own = [point_of(shingles(t, hashes)) if many else None for t, many in zip(raw, batch.column(2).to_pylist())]
+            texts = [zlib.compress(t or b"", 1) for t in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "point", "text"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     likely = rows.filter(sieve(wanted, "doc_id")(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    return settle(likely.mapInArrow(pack, "doc_id long, text binary"), "texts")
+    likely = likely.withColumn("many", sieve(several, "doc_id")(F.col("doc_id")))
+    return settle(likely.mapInArrow(pack, "doc_id long, point long, text binary"), "texts")
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,9 +329,10 @@ def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs of points that link, each point read from the text that stands for it."""
     ids = reps.select("point", "doc_id")
     named = pairs.join(ids.withColumnsRenamed({"point": "a", "doc_id": "da"}), "a").join(ids.withColumnsRenamed({"point": "b", "doc_id": "db"}), "b")
-    left = texts.select(F.col("doc_id").alias("da"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("db"), F.col("text").alias("tb"))
-    both = named.join(left, "da").join(right, "db").select("a", "b", "ta", "tb")
+    left = texts.select(F.col("doc_id").alias("da"), F.col("point").alias("pa"), F.col("text").alias("ta"))
+    right = texts.select(F.col("doc_id").alias("db"), F.col("point").alias("pb"), F.col("text").alias("tb"))
+    # of a doc_id with several texts, only the one of the point
+    both = named.join(left, "da").filter("pa IS NULL OR pa = a").join(right, "db").filter("pb IS NULL OR pb = b").select("a", "b", "ta", "tb")
     return settle(both.mapInArrow(_verified, "a long, b long"), "links")
 
 
@@ -349,8 +358,8 @@ def _placed(leaves: DataFrame, labels: DataFrame) -> DataFrame:
     return both.select("box", "point", "n", "w", of.alias("of"), (of != F.coalesce("its", "pivot")).alias("alone"))
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per document."""
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The points of the documents, one row each, and (node, component) of the points that link."""
     both = points(docs)
     found = both.filter("n >= 0").drop("keys")
     linkable = found.filter("doc_id IS NOT NULL AND n > 0")
@@ -371,7 +380,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     pairs = settle(bounded(small.union(stars).distinct(), reps), "pairs")
 
     named = pairs.select(F.col("a").alias("point")).union(pairs.select("b")).union(leaves.select("point")).distinct()
-    texts = needed_texts(docs, reps, named)
+    texts = needed_texts(docs, found, reps, named)
     # one pair per point first, with the heaviest partner: it usually connects all that can be
     heavy = pairs.join(weights.withColumnRenamed("point", "a"), "a", "left").withColumn("w", F.coalesce("w", F.lit(0)))
     links = verified(heavy.groupBy("b").agg(F.max_by("a", "w").alias("a")).select("a", "b"), reps, texts)
@@ -394,8 +403,16 @@ def near_groups(docs: DataFrame) -> DataFrame:
     sizes = 100 * F.least("np", "nq") >= PERCENT * F.greatest("np", "nq")
     others = lone.join(rest, (lone["box"] == rest["box"]) & may & sizes).select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
     links = links.union(verified(bounded(others, reps), reps, texts))
-    labels = settle(components(links), "labels")
+    return found, settle(components(links), "labels")
 
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per document."""
+    return _groups(*linked(docs))
+
+
+def _groups(found: DataFrame, labels: DataFrame) -> DataFrame:
+    linkable = found.filter("doc_id IS NOT NULL AND n > 0")
     # from points to documents: equal sets are one point, and a doc_id with several sets joins them
     of_point = linkable.select("doc_id", "point").join(labels, F.col("point") == F.col("node"), "left")
     of_point = of_point.select("doc_id", F.coalesce("component", "point").alias("cluster"))
@@ -413,13 +430,15 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest id, in one row;
-    all rows without an id. The columns are those of ``docs``.
+    """The rows of ``docs`` that stay: of each component the document with the smallest id, in one row
+    for each of its texts that are no near copies of each other; all rows without an id. The columns are
+    those of ``docs``.
 
     Groups are folded to a list of ids to drop; only rows that repeat a doc_id need an order, which
     is taken among the few rows of such ids.
     """
-    groups = settle(near_groups(docs).select(F.col("doc_id").alias("__near_id"), F.col("component_id").alias("_of")), "groups")
+    found, labels = linked(docs)
+    groups = settle(_groups(found, labels).select(F.col("doc_id").alias("__near_id"), F.col("component_id").alias("_of")), "groups")
     ids = groups.filter("__near_id IS NOT NULL").groupBy("__near_id").agg(F.min("_of").alias("_of"), F.count(F.lit(1)).alias("_rows"))
     gone = settle(ids.filter("__near_id <> _of").select("__near_id"), "gone")
     # only texts whose id may be in the list are shuffled to it
@@ -429,7 +448,17 @@ def representatives(docs: DataFrame) -> DataFrame:
     repeated = settle(ids.filter("__near_id = _of AND _rows > 1").select("__near_id"), "repeated")
     if repeated.isEmpty():
         return kept
-    # rows that share a doc_id are one document, of which one row stays
+    # rows that share a doc_id are one document, of which the first row of every cluster of texts stays
     once = kept.join(repeated, kept["doc_id"].cast("long") == F.col("__near_id"), "left_anti")
     twice = kept.join(repeated, kept["doc_id"].cast("long") == F.col("__near_id"), "left_semi")
-    return once.unionByName(twice.dropDuplicates(["doc_id"]))
+    named = twice.withColumn("__point", _point_of_text(F.col("text").cast("string")))
+    named = named.join(labels, F.col("__point") == F.col("node"), "left").withColumn("__cluster", F.coalesce("component", "__point"))
+    order = Window.partitionBy(F.col("doc_id").cast("long"), "__cluster").orderBy(F.col("text").cast("string"))
+    first = named.withColumn("__place", F.row_number().over(order)).filter("__place = 1")
+    return once.unionByName(first.select(*[first[c] for c in docs.columns]))
+
+
+@F.pandas_udf(LongType())
+def _point_of_text(texts: pd.Series) -> pd.Series:
+    hashes = _Hashes()
+    return pd.Series([point_of(shingles(t.encode() if t else None, hashes)) for t in texts], dtype="int64")

@@ -73,6 +73,27 @@ def test_awkward(spark, documents):
     assert jaccard.near_groups(docs.limit(0)).count() == 0
 
 
+def test_a_doc_id_with_several_texts_links_by_each(documents):
+    """The text of another row of the same doc_id never stands in for the one that links."""
+    texts = {k: paragraph(500 + k, 60) for k in range(12)}
+    docs, want = [], {}
+    for k, text in texts.items():
+        other = None if k % 3 == 0 else paragraph(700 + k, 20 + k)
+        rows = [(10 + k, other), (10 + k, text)]
+        docs += [*(rows if k % 2 else rows[::-1]), (100 + k, text + " extra")]
+        want |= {10 + k: 10 + k, 100 + k: 10 + k}
+    table = documents(*docs)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_groups(table).collect()} == want
+    kept = {(r["doc_id"], r["text"]) for r in jaccard.representatives(table).collect()}
+    assert kept == {d for d in docs if d[0] < 100}
+
+
+def test_near_texts_of_one_doc_id_stay_once(documents):
+    near, other = paragraph(1, 60), paragraph(2, 60)
+    docs = documents((1, near + " extra"), (1, other), (1, near), (1, near), (2, "other words here"))
+    assert sorted((r["doc_id"], r["text"]) for r in jaccard.representatives(docs).collect()) == [(1, near), (1, other), (2, "other words here")]
+
+
 def test_a_row_that_comes_twice_stays_once(documents):
     docs = documents((1, "a b c d e f"), (1, "a b c d e f"), (2, "other words here"))
     assert sorted(r["doc_id"] for r in jaccard.representatives(docs).collect()) == [1, 2]
