@@ -20,7 +20,7 @@ def given(request):
 
 def test_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(registry.QUERIES) <= set(entry_point.queries())
     assert len(corpus_pipeline.STAGES) == 5
 
