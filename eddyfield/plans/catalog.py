@@ -5,6 +5,7 @@ from __future__ import annotations
 from eddyfield.plans import (  # noqa: F401
     ingest_queries,
     motion_queries,
+    native_queries,
     profile_queries,
     regrid_queries,
     select_queries,

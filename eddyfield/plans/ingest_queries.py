@@ -147,6 +147,14 @@ def scan_stack_frame(spark, sf_dir):
     return one.withColumn("c", F.col("c").cast("double"))
 
 
+@query("scan_stack_pushdown", f"SELECT case_id, t, y, x, {F32.format('u')}, {F32.format('c')} FROM voxel WHERE t BETWEEN 1 AND 20 AND t <> 4 AND y IN (2, 3, 5) AND x >= 4 AND x < 17 AND c > 0.25 AND case_id = 'case1'")
+def scan_stack_pushdown(spark, sf_dir):
+    """The reader takes the ranges over: no task for other frames or the other case, no byte of other rows."""
+    both = scan_stack(spark, sf_dir)
+    wanted = (F.col("t").between(1, 20)) & (F.col("t") != 4) & F.col("y").isin(2, 3, 5) & (F.col("x") >= 4) & (F.col("x") < 17)
+    return both.filter(wanted & (F.col("c") > 0.25) & (F.col("case_id") == "case1"))
+
+
 @query("find_inputs", "SELECT DISTINCT lpad(CAST((t // 16) * 16 AS VARCHAR), 9, '0') || '.npy' AS name FROM voxel WHERE case_id = 'case0'")
 def find_inputs(spark, sf_dir):
     root = stack_files(spark, sf_dir).first()["root"]
@@ -165,6 +173,17 @@ def scan_frame_list(spark, sf_dir):
     return tables.voxels_of(frames).join(keys, ["case_id", "t"]).withColumn("value", F.col("value").cast("double"))
 
 
+@query("scan_frame_list_pushdown", "SELECT case_id, t, 'arr_' || t AS key, y, x, CAST(CAST(c AS FLOAT) AS DOUBLE) AS value FROM voxel WHERE case_id = 'case0' AND t IN (0, 2)")
+def scan_frame_list_pushdown(spark, sf_dir):
+    """Only the wanted members of the archives are unpacked."""
+    root = new_path(spark, "lists")
+    tables.write_arrays(tables.frames_of(voxel(spark, sf_dir), "c"), root, "npz").count()
+    lists = [tables.scan_frame_list(spark, f"{root}/c/{case}", case_id=case) for case in ("case0", "case1")]
+    frames = lists[0].unionByName(lists[1]).filter((F.col("case_id") == "case0") & (F.col("t") < 3) & F.col("key").isin("arr_0", "arr_2"))
+    cells = tables.voxels_of(frames)
+    return cells.select("case_id", "t", F.concat(F.lit("arr_"), "t").alias("key"), "y", "x", F.col("value").cast("double").alias("value"))
+
+
 def text_files(spark, sf_dir):
     """Events as text logs of 1000 lines under three header lines, with a comment in each."""
 

@@ -25,10 +25,52 @@ def gaussian_moments(spark, sf_dir):
     return rounded(fit.gaussian_moments(stored_lateral(spark, sf_dir)), 6, "target", "amp", "mu", "sigma")
 
 
-@query("gaussian_fit")
+def fit_sql(steps: int = 200) -> str:
+    """The same damped steps from the moments as a recursion over profiles packed into lists."""
+    sums = ["sse", "b0", "b1", "b2", "b3", "b4", "g0", "g1", "g2"]
+    terms = ["q[3] * q[3]"] + ["q[1] * q[1]" + " * q[2]" * k for k in range(5)] + ["q[1] * q[3]" + " * q[2]" * k for k in range(3)]
+    of = ", ".join(f"list_sum(list_transform(q, lambda q: {term})) AS {name}_" for name, term in zip(sums, terms))
+
+    def summed(source: str) -> str:
+        """Sums at the parameters (ta, tm, ts) of every row of ``source``."""
+        z = f"SELECT *, list_transform(xs, lambda v: (v - tm) / ts) AS zs FROM ({source})"
+        b = f"SELECT *, list_transform(zs, lambda z: exp(-0.5 * z * z)) AS bs FROM ({z})"
+        q = f"SELECT *, list_zip(bs, zs, list_transform(list_zip(bs, ys), lambda q: ta * q[1] - q[2])) AS q FROM ({b})"
+        return f"SELECT * EXCLUDE (zs, bs, q), {of} FROM ({q})"
+
+    held = "case_id, target, xs, ys"
+    first = summed(f"SELECT {held}, amp AS ta, mu AS tm, sigma AS ts FROM packed JOIN moments USING (case_id, target)")
+    grown = "SELECT *, amp / nullif(sigma, 0) AS k FROM fit WHERE running AND i < {steps}".format(steps=steps)
+    normal = (f"SELECT *, b0 + damping * greatest(b0, 1e-30) AS a, k * b1 AS b, k * b2 AS c, k * k * b2 + damping * greatest(k * k * b2, 1e-30) AS d, "
+              f"k * k * b3 AS e, k * k * b4 + damping * greatest(k * k * b4, 1e-30) AS f, -g0 AS u, -k * g1 AS v, -k * g2 AS w FROM ({grown})")
+    cofactors = (f"SELECT *, d * f - e * e AS c11, c * e - b * f AS c12, b * e - c * d AS c13, a * f - c * c AS c22, b * c - a * e AS c23, a * d - b * b AS c33 FROM ({normal})")
+    det = f"SELECT *, nullif(a * c11 + b * c12 + c * c13, 0) AS det FROM ({cofactors})"
+    trial = (f"SELECT *, greatest(amp + (c11 * u + c12 * v + c13 * w) / det, 0) AS ta, mu + (c12 * u + c22 * v + c23 * w) / det AS tm, "
+             f"greatest(sigma + (c13 * u + c23 * v + c33 * w) / det, 1e-6) AS ts FROM ({det})")
+    judged = (f"SELECT *, coalesce(sse_ <= sse, false) AS better, greatest(abs(ta - amp), abs(tm - mu), abs(ts - sigma)) AS moved, "
+              f"greatest(abs(ta), abs(tm), abs(ts)) AS size FROM ({summed(trial)})")
+    kept = ", ".join(f"CASE WHEN better THEN {new} ELSE {old} END" for new, old in [("ta", "amp"), ("tm", "mu"), ("ts", "sigma"), *[(f"{n}_", n) for n in sums]])
+    return f"""
+(WITH RECURSIVE packed AS MATERIALIZED (
+  SELECT case_id, target, list(x_mm ORDER BY x_mm, value) AS xs, list(value ORDER BY x_mm, value) AS ys FROM lateral_profile WHERE value IS NOT NULL GROUP BY ALL
+), fit AS (
+  SELECT {held}, 0 AS i, true AS running, false AS wide, 1e-3::DOUBLE AS damping, ta AS amp, tm AS mu, ts AS sigma, {", ".join(f"{n}_ AS {n}" for n in sums)} FROM ({first})
+  UNION ALL
+  SELECT {held}, i + 1, NOT far AND CASE WHEN better THEN moved > 1e-12 * (1 + size) ELSE damping * 10 <= 1e12 END, far, damping * CASE WHEN better THEN 0.3 ELSE 10 END, {kept} FROM (SELECT *, better AND ts > 1000 * (xs[-1] - xs[1]) AS far FROM ({judged}))
+), last AS (
+  SELECT * FROM fit QUALIFY i = max(i) OVER (PARTITION BY case_id, target)
+)
+SELECT k.case_id, k.target, CASE WHEN NOT running AND NOT wide THEN amp END AS amp, CASE WHEN NOT running AND NOT wide THEN mu END AS mu,
+       CASE WHEN NOT running AND NOT wide THEN sigma END AS sigma,
+       CASE WHEN running IS NULL THEN 'unusable' WHEN running THEN 'not converged' WHEN wide THEN 'unbounded' ELSE 'converged' END AS status
+FROM (SELECT DISTINCT case_id, target FROM lateral_profile) k LEFT JOIN last USING (case_id, target))"""
+
+
+@query("gaussian_fit", f"SELECT case_id, {r('target', 'target')}, {r('amp', 'amp', 4)}, {r('mu', 'mu', 4)}, {r('sigma', 'sigma', 4)}, status FROM {fit_sql()}", MEAN_SQL, LATERAL_SQL, MOMENTS_SQL)
 def gaussian_fit(spark, sf_dir):
-    """Least-squares fits of the measured profiles; no SQL form."""
-    return fit.gaussian_fit(stored_lateral(spark, sf_dir))
+    """Least-squares fits of the measured profiles."""
+    fitted = fit.gaussian_fit(stored_lateral(spark, sf_dir))
+    return rounded(rounded(fitted, 4, "amp", "mu", "sigma"), 6, "target")
 
 
 BELLS_SQL = """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eddyfield.model import PIXEL
-from eddyfield.operators import align, regrid, select
+from eddyfield.operators import align, regrid, select, triangles
 from eddyfield.plans.fixture import axis, voxel
 from eddyfield.plans.registry import query, r, rounded
 from eddyfield.plans.stats_queries import MEAN_SQL
@@ -38,16 +38,16 @@ def cells_sql(name: str, dim: str, source: str, keys: str, shift: str = "0") ->
 )"""
 
 
-def regrid_sql(values: str, fill: str, keys: str = "case_id") -> str:
+def regrid_sql(values: str, fill: str, keys: str = "case_id", table: str = "voxel") -> str:
     """Four corners of every target point. Targets outside either axis get the fill value."""
     on = lambda t: " AND ".join(f"{t}.{k} = f.{k}" for k in keys.split(", "))
     out = ", ".join(
         r(f"CASE WHEN cy.to_idx IS NULL OR cx.to_idx IS NULL THEN {fill} ELSE "
           f"(1 - cy.s) * (1 - cx.s) * a.{v} + (1 - cy.s) * cx.s * b.{v} + cy.s * (1 - cx.s) * c.{v} + cy.s * cx.s * d.{v} END", v)
         for v in values.split(", "))
-    corner = lambda t, y, x: f"LEFT JOIN voxel {t} ON {t}.case_id = f.case_id AND {t}.t = f.t AND {t}.y = cy.{y} AND {t}.x = cx.{x}"
+    corner = lambda t, y, x: f"LEFT JOIN {table} {t} ON {t}.case_id = f.case_id AND {t}.t = f.t AND {t}.y = cy.{y} AND {t}.x = cx.{x}"
     return (
-        f"SELECT f.case_id, f.t, ty.idx AS y, tx.idx AS x, {out} FROM (SELECT DISTINCT case_id, t FROM voxel) f "
+        f"SELECT f.case_id, f.t, ty.idx AS y, tx.idx AS x, {out} FROM (SELECT DISTINCT case_id, t FROM {table}) f "
         f"JOIN targets ty ON ty.case_id = f.case_id AND ty.dim = 'y' JOIN targets tx ON tx.case_id = f.case_id AND tx.dim = 'x' "
         f"LEFT JOIN cy ON {on('cy')} AND cy.to_idx = ty.idx LEFT JOIN cx ON {on('cx')} AND cx.to_idx = tx.idx "
         + " ".join([corner("a", "lo", "lo"), corner("b", "lo", "hi"), corner("c", "hi", "lo"), corner("d", "hi", "hi")])
@@ -120,3 +120,29 @@ def fill_nearest(spark, sf_dir):
         *PIXEL, F.when(F.col("c") >= 0.2, F.col("w") * F.col("c")).alias("wc")
     )
     return rounded(regrid.fill_nearest(field, "wc"), 6, "wc")
+
+
+# the lattice of the sheared mesh: a cell is cut along its shorter diagonal, from (1, 0) to (0, 1)
+LATTICE_SQL = """
+placed AS (
+  SELECT f.case_id, f.t, ty.idx AS y, tx.idx AS x,
+         ((tx.mm - (-6.65::DOUBLE + CAST(substr(f.case_id, 5) AS DOUBLE) * 0.1)) * -0.6 - 0.05 * (ty.mm - 4.2)) / -0.4215 AS i,
+         (0.7 * (ty.mm - 4.2) - 0.03 * (tx.mm - (-6.65::DOUBLE + CAST(substr(f.case_id, 5) AS DOUBLE) * 0.1))) / -0.4215 AS j
+  FROM (SELECT DISTINCT case_id, t FROM voxel) f JOIN targets ty ON ty.case_id = f.case_id AND ty.dim = 'y' JOIN targets tx ON tx.case_id = f.case_id AND tx.dim = 'x'
+), cornered AS (
+  SELECT *, i BETWEEN 0 AND 19 AND j BETWEEN 0 AND 9 AS inside, CAST(least(greatest(floor(i), 0), 18) AS INTEGER) AS ci, CAST(least(greatest(floor(j), 0), 8) AS INTEGER) AS cj FROM placed
+)"""
+
+
+@query("regrid_triangles", "SELECT p.case_id, p.t, p.y, p.x, " + r(
+    "CASE WHEN NOT inside THEN -1 WHEN i - ci + j - cj <= 1 THEN a.u + (i - ci) * (b.u - a.u) + (j - cj) * (c.u - a.u) "
+    "ELSE d.u + (1 - (i - ci)) * (c.u - d.u) + (1 - (j - cj)) * (b.u - d.u) END", "u")
+    + " FROM cornered p " + " ".join(f"JOIN voxel {n} ON {n}.case_id = p.case_id AND {n}.t = p.t AND {n}.y = cj + {dj} AND {n}.x = ci + {di}" for n, dj, di in [("a", 0, 0), ("b", 0, 1), ("c", 1, 0), ("d", 1, 1)]),
+    TARGET_SQL, LATTICE_SQL)
+def regrid_triangles(spark, sf_dir):
+    """The sheared mesh cut into triangles, tile by tile."""
+    table = voxel(spark, sf_dir)
+    placed = select.roi_coords(table, axis(spark, sf_dir))
+    points = placed.select("case_id", "t", (F.col("x_mm") + F.lit(0.05) * F.col("y")).alias("x_mm"), (F.col("y_mm") + F.lit(0.03) * F.col("x")).alias("y_mm"), "u")
+    targets = select.mesh(target_axes(spark, sf_dir)).join(table.select("case_id", "t").distinct(), "case_id")
+    return rounded(triangles.regrid_triangles(points, targets, "u", fill=-1.0, tile=40, whole=100), 6, "u")

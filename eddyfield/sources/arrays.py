@@ -3,6 +3,8 @@
 ``field_stack`` reads 3-D ``.npy`` stacks, one file or one folder of files per component, side
 by side into voxel rows. ``frame_list`` reads ``.npz`` lists of 2-D frames whose sizes differ.
 Only headers and directories are read when planning; every task seeks to its own byte range.
+Filters on the case, on frames, rows, columns and keys are taken over: tasks without a wanted
+frame are not made, and others seek past what is not wanted. Filters on values drop rows in the task.
 Paths may carry any scheme that Arrow knows.
 """
 
@@ -17,7 +19,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualNullSafe,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+)
 
 COMPONENT_OPTIONS = ("u", "v", "w", "c")
 OPENED_AT_ONCE = 32
@@ -72,6 +87,74 @@ def header_of(path: str) -> tuple[tuple[int, ...], np.dtype, bool]:
         return read_header(handle)
 
 
+COMPARED = {
+    EqualTo: np.equal,
+    GreaterThan: np.greater,
+    GreaterThanOrEqual: np.greater_equal,
+    LessThan: np.less,
+    LessThanOrEqual: np.less_equal,
+}
+
+
+class Wanted:
+    """What the filters that a source took over ask for: ``places`` are columns of whole numbers that
+    are never missing, ``names`` columns of text of which a row or the whole source has one, ``values`` are numbers."""
+
+    def __init__(self, places: list[str], names: list[str], values: list[str]):
+        self.low: dict[str, int] = dict.fromkeys(places, 0)
+        self.high: dict[str, int | None] = dict.fromkeys(places)
+        self.sets: dict[str, set] = {}
+        self.places, self.names, self.values = places, names, values
+        self.tests: list[tuple[str, object, float | None]] = []
+
+    def take(self, f: Filter) -> bool:
+        """True if the filter is held from here on, so that Spark need not apply it again."""
+        attribute = getattr(f, "attribute", ())
+        column = attribute[0] if len(attribute) == 1 else None
+        if column in self.places + self.names:
+            if isinstance(f, IsNotNull):
+                return True
+            if isinstance(f, (EqualTo, EqualNullSafe, In)):
+                wanted = set(f.value) if isinstance(f, In) else {f.value}
+                self.sets[column] = self.sets.get(column, wanted) & wanted
+                return True
+        if column in self.places and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+            self.low[column] = max(self.low[column], f.value + isinstance(f, GreaterThan))
+            return True
+        if column in self.places and isinstance(f, (LessThan, LessThanOrEqual)):
+            end = f.value + isinstance(f, LessThanOrEqual)
+            self.high[column] = end if self.high[column] is None else min(self.high[column], end)
+            return True
+        if column in self.values and isinstance(f, IsNotNull):
+            self.tests.append((column, None, None))
+            return True
+        if column in self.values and type(f) in COMPARED:
+            self.tests.append((column, COMPARED[type(f)], f.value))
+            return True
+        return False
+
+    def has(self, name: str, value: str) -> bool:
+        return name not in self.sets or value in self.sets[name]
+
+    def of(self, place: str, size: int, start: int = 0) -> np.ndarray:
+        """The wanted ones of the numbers ``start`` to ``start + size - 1``, ascending."""
+        end = start + size if self.high[place] is None else min(start + size, self.high[place])
+        numbers = np.arange(max(start, self.low[place]), end, dtype=np.int32)
+        if place in self.sets:
+            numbers = numbers[np.isin(numbers, [v for v in self.sets[place] if v is not None])]
+        return numbers
+
+    def passed(self, values: dict[str, np.ndarray]) -> np.ndarray | None:
+        """Which rows pass the tests of values; missing ones pass none. None: all."""
+        keep = None
+        for column, compare, bound in self.tests:
+            held = np.isfinite(values[column])
+            if compare is not None:
+                held &= compare(values[column], bound)
+            keep = held if keep is None else keep & held
+        return keep
+
+
 @dataclass
 class StackPart(InputPartition):
     """Rows first..last-1 of the leading axis of one file per component."""
@@ -95,6 +178,15 @@ class StackReader(DataSourceReader):
         if not self.components:
             raise ValueError("give at least one of the options u, v, w, c")
         self.roots = [options[k] for k in self.components]
+        self.wanted = Wanted(["t", "y", "x"], ["case_id"], self.components)
+        if self.frame is not None:
+            self.wanted.take(EqualTo(("t",), self.frame))
+        self.bytes_read = 0  # by this reader, beside headers
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if not self.wanted.take(f):
+                yield f
 
     def partitions(self):
         lists = [files_under(root, ".npy") for root in self.roots]
@@ -113,47 +205,51 @@ class StackReader(DataSourceReader):
                 raise ValueError(f"expected a 3-D stack, got shape {shape}")
             if len(orders) != 1:
                 raise ValueError("row order and column order are mixed")
-            for first in range(0, shape[0], self.step):
-                parts.append(StackPart(paths, offset, first, min(first + self.step, shape[0])))
-            leading = (self.axes[::-1] if orders == {True} else self.axes)[0]
-            if leading != self.axes[0] and len(lists[0]) > 1:
+            order = self.axes[::-1] if orders == {True} else self.axes
+            if order[0] != self.axes[0] and len(lists[0]) > 1:
                 raise ValueError("several files in column order do not line up along their first axis")
+            for first in range(0, shape[0], self.step):
+                slabs = self.wanted.of(order[0], min(self.step, shape[0] - first), offset + first)
+                if len(slabs):
+                    parts.append(StackPart(paths, offset, int(slabs[0]) - offset, int(slabs[-1]) + 1 - offset))
             offset += shape[0]
-            n_frames = offset if leading == "t" else shape[(self.axes[::-1] if orders == {True} else self.axes).index("t")]
-        if self.frame is not None:
-            if not 0 <= self.frame < n_frames:
-                raise IndexError(f"frame {self.frame} is out of range")
-            if leading == "t":
-                at = self.frame
-                parts = [
-                    StackPart(p.paths, p.offset, at - p.offset, at - p.offset + 1)
-                    for p in parts
-                    if p.offset + p.first <= at < p.offset + p.last
-                ]
-        return parts
-
-    def read(self, part: StackPart):
+            n_frames = offset if order[0] == "t" else shape[order.index("t")]
+        if self.frame is not None and not 0 <= self.frame < n_frames:
+            raise IndexError(f"frame {self.frame} is out of range")
+        return parts if self.wanted.has("case_id", self.case) else []
+
+    def read(self, part: StackPart | None):
+        if part is None:  # nothing is wanted
+            return
         with contextlib.ExitStack() as open_files:
             handles = []
             for path in part.paths:
                 system, inner = file_system(path)
                 handle = open_files.enter_context(system.open_input_file(inner))
                 shape, dtype, reverse = read_header(handle)
-                slab = int(np.prod(shape[1:])) * dtype.itemsize
-                handle.seek(handle.tell() + part.first * slab)
-                handles.append((handle, dtype, slab))
+                handles.append((handle, dtype, handle.tell()))
             order = self.axes[::-1] if reverse else self.axes
-            second, third = (index.ravel() for index in np.indices(shape[1:], dtype=np.int32))
-            for at in range(part.offset + part.first, part.offset + part.last):  # one slab in memory at a time
-                lead = np.full(second.size, at, dtype=np.int32)
-                place = dict(zip(order, (lead, second, third)))
-                values = [np.frombuffer(h.read(size), dtype=kind).astype(np.float32, copy=False) for h, kind, size in handles]
-                if self.frame is not None and order[0] != "t":
-                    keep = place["t"] == self.frame
-                    place, values = {k: v[keep] for k, v in place.items()}, [v[keep] for v in values]
+            seconds, thirds = self.wanted.of(order[1], shape[1]), self.wanted.of(order[2], shape[2])
+            if not len(seconds) or not len(thirds):
+                return
+            start, band = int(seconds[0]), int(seconds[-1]) + 1 - int(seconds[0])  # rows that lie side by side
+            cells = np.ix_(seconds - start, thirds)
+            second, third = np.repeat(seconds, len(thirds)), np.tile(thirds, len(seconds))
+            for at in self.wanted.of(order[0], part.last - part.first, part.offset + part.first):  # one slab in memory at a time
+                place = dict(zip(order, (np.full(second.size, at, dtype=np.int32), second, third)))
+                values = {}
+                for name, (handle, dtype, data) in zip(self.components, handles):
+                    size = band * shape[2] * dtype.itemsize
+                    handle.seek(data + ((int(at) - part.offset) * shape[1] + start) * shape[2] * dtype.itemsize)
+                    self.bytes_read += size
+                    slab = np.frombuffer(handle.read(size), dtype=dtype).reshape(band, shape[2])
+                    values[name] = slab[cells].ravel().astype(np.float32, copy=False)
+                keep = self.wanted.passed(values)
+                if keep is not None:
+                    place, values = {k: v[keep] for k, v in place.items()}, {k: v[keep] for k, v in values.items()}
                 columns = [pa.repeat(self.case, len(place["t"])), *(pa.array(place[k]) for k in "tyx")]
                 # masked samples are NaN in the files and NULL in the engine
-                columns += [pa.array(v, mask=~np.isfinite(v)) for v in values]
+                columns += [pa.array(v, mask=~np.isfinite(v)) for v in values.values()]
                 yield pa.RecordBatch.from_arrays(columns, names=["case_id", "t", "y", "x", *self.components])
 
 
@@ -198,14 +294,25 @@ class FrameListReader(DataSourceReader):
         self.case = options.get("case_id", "case")
         self.component = options.get("component", "c")
         self.step = int(options.get("frames_per_task", "32"))
+        self.wanted = Wanted(["t"], ["case_id", "component", "key"], [])
+        self.bytes_read = 0  # of frames, unpacked
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if not self.wanted.take(f):
+                yield f
 
     def partitions(self):
+        if not (self.wanted.has("case_id", self.case) and self.wanted.has("component", self.component)):
+            return []
         # archives follow each other in order of their names; the usual keys repeat from one to the next
         paths = files_under(self.path, ".npz")
         places: dict[str, list[tuple[int, str]]] = {}
         t = 0
         for path, keys in zip(paths, each_of(paths, keys_of)):
-            places[path] = list(zip(range(t, t + len(keys)), keys))
+            wanted = set(self.wanted.of("t", len(keys), t).tolist())
+            numbered = zip(range(t, t + len(keys)), keys)
+            places[path] = [(n, key) for n, key in numbered if n in wanted and self.wanted.has("key", key)]
             t += len(keys)
         return [
             FramePart(path, tuple(members[i : i + self.step]))
@@ -213,14 +320,19 @@ class FrameListReader(DataSourceReader):
             for i in range(0, len(members), self.step)
         ]
 
-    def read(self, part: FramePart):
+    def read(self, part: FramePart | None):
+        if part is None:
+            return
         system, inner = file_system(part.path)
         with system.open_input_file(inner) as handle, zipfile.ZipFile(handle) as archive:
             for t, key in part.members:
                 with archive.open(f"{key}.npy") as member:
                     frame = np.lib.format.read_array(member, allow_pickle=False)
+                if frame.ndim == 1:  # an axis
+                    frame = frame[None]
                 if frame.ndim != 2:
                     raise ValueError(f"{key} is not a 2-D frame: shape {frame.shape}")
+                self.bytes_read += frame.nbytes
                 values = frame.astype(np.float32, copy=False).ravel()
                 data = pa.ListArray.from_arrays(
                     pa.array([0, values.size], pa.int32()), pa.array(values, mask=~np.isfinite(values))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import math
 
 import numpy as np
@@ -46,6 +47,22 @@ def test_gaussian_fit(spark):
     assert moments[0]["mu"] == pytest.approx(0.5, abs=1e-3) and moments[3]["mu"] is None
 
 
+def test_fits_of_profiles_without_a_peak(spark):
+    xs = np.linspace(0, 10, 30)
+    lines = {("a", 0): (xs, np.ones(30)), ("a", 1): (xs, 1 + 0.1 * (xs - 5) ** 2), ("a", 2): (xs, np.exp(xs)), ("a", 3): (xs, np.exp(-0.5 * ((xs - 4) / 9) ** 2)), ("a", 4): (xs, np.full(30, np.nan))}
+    got = {r["target"]: r for r in fit.gaussian_fit(profile_of(spark, lines)).collect()}
+    assert [got[i]["status"] for i in (0, 1, 2, 4)] == ["unbounded", "unbounded", "not converged", "unusable"] and got[0]["sigma"] is None
+    assert (got[3]["mu"], got[3]["sigma"], got[3]["status"]) == (pytest.approx(4, abs=1e-7), pytest.approx(9, abs=1e-7), "converged")
+    few = {r["target"]: r["status"] for r in fit.gaussian_fit(profile_of(spark, lines), max_steps=2).collect()}
+    assert few[3] == "not converged" and len(few) == 5
+
+
+def test_fit_runs_without_python(spark):
+    xs = np.linspace(-3, 3, 20)
+    fitted = fit.gaussian_fit(profile_of(spark, {("a", 0): (xs, np.exp(-xs * xs))}))
+    assert "Python" not in fitted._jdf.queryExecution().executedPlan().toString() and "Pandas" not in inspect.getsource(fit.gaussian_fit)
+
+
 def test_collapse_of_equal_shapes(spark):
     xs = np.linspace(-20, 20, 401)
     lines = {

@@ -1,0 +1,85 @@
+"""Filters that the array readers take over."""
+
+from __future__ import annotations
+
+import re
+import tempfile
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, IsNotNull, LessThan, LessThanOrEqual, Not
+
+from eddyfield.sources import arrays, tables
+
+NT, NY, NX = 70, 12, 9
+
+
+@pytest.fixture(scope="module")
+def folder():
+    path = Path(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    values = np.arange(NT * NY * NX, dtype=np.float32).reshape(NT, NY, NX)
+    values[3, 4, 5] = np.nan
+    np.save(path / "c.npy", values)
+    np.save(path / "last.npy", np.ascontiguousarray(np.moveaxis(values, 0, -1)))
+    np.save(path / "columns.npy", np.asfortranarray(values))
+    np.savez(path / "list.npz", **{f"arr_{t}": values[t, : 3 + t % 4] for t in range(NT)})
+    return path
+
+
+def read(reader, *filters):
+    """Rows, the filters left to Spark, and the bytes read."""
+    left = list(reader.pushFilters(list(filters)))
+    rows = [tuple(row.values()) for part in reader.partitions() for batch in reader.read(part) for row in batch.to_pylist()]
+    return rows, left, reader.bytes_read
+
+
+def test_one_frame_and_one_band_of_rows_are_all_that_is_read(folder):
+    reader = arrays.StackReader({"c": f"{folder}/c.npy", "case_id": "a"})
+    rows, left, size = read(reader, EqualTo(("t",), 40), GreaterThanOrEqual(("y",), 5), LessThan(("y",), 8), IsNotNull(("t",)))
+    assert left == [] and len(reader.partitions()) == 1
+    assert size == 3 * NX * 4 and len(rows) == 3 * NX
+    assert {(r[1], r[2]) for r in rows} == {(40, y) for y in (5, 6, 7)}
+    whole = arrays.StackReader({"c": f"{folder}/c.npy"})
+    assert read(whole)[2] == NT * NY * NX * 4
+
+
+def test_a_frame_list_opens_wanted_members_only(folder):
+    reader = arrays.FrameListReader({"path": f"{folder}/list.npz", "case_id": "a", "component": "c"})
+    rows, left, size = read(reader, In(("key",), ("arr_5", "arr_50")), LessThanOrEqual(("t",), 20), EqualTo(("component",), "c"))
+    assert left == [] and [r[1] for r in rows] == [5] and size == (3 + 5 % 4) * NX * 4
+    other = arrays.FrameListReader({"path": f"{folder}/list.npz", "component": "c"})
+    assert read(other, EqualTo(("component",), "u"))[0] == []
+
+
+def test_what_is_not_taken_over_is_left_to_spark(folder):
+    reader = arrays.StackReader({"c": f"{folder}/c.npy", "case_id": "a"})
+    odd = Not(EqualTo(("t",), 3))
+    nested = EqualTo(("c", "part"), 1.0)
+    assert list(reader.pushFilters([odd, nested, GreaterThan(("t",), 68)])) == [odd, nested]
+    assert {row["t"] for p in reader.partitions() for b in reader.read(p) for row in b.to_pylist()} == {69}
+
+
+@pytest.mark.parametrize("name,axes", [("c.npy", "tyx"), ("last.npy", "yxt"), ("columns.npy", "tyx")])
+@pytest.mark.parametrize(
+    "condition",
+    ["t = 3", "t > 66 and y <= 2", "y in (1, 4) and x in (5, 0, 44)", "c > 7500", "c is not null and t = 3", "c is null", "c = 12.0", "t in (3, 200) and c < 400 and x >= 2",
+     "case_id = 'a' and t between 60 and 63", "case_id = 'b'", "t > 10 or y = 1", "t = 5 and t = 6", "x < 0", "not (t < 68)", "t is null", "case_id <=> 'a' and t <=> 7"],
+)
+def test_rows_are_those_of_an_unfiltered_scan(spark, folder, name, axes, condition):
+    scan = tables.scan_stack(spark, {"c": f"{folder}/{name}"}, case_id="a", axes=axes)
+    values = np.load(folder / name)
+    if axes == "yxt":
+        values = np.moveaxis(values, -1, 0)
+    t, y, x = (i.ravel().tolist() for i in np.indices(values.shape))
+    plain = [("a", *place, None if np.isnan(v) else float(v)) for place, v in zip(zip(t, y, x), values.ravel())]
+    want = spark.createDataFrame(plain, "case_id string, t int, y int, x int, c float").filter(condition)
+    assert sorted(scan.filter(condition).collect()) == sorted(want.collect())
+
+
+def test_ranges_beside_an_option(spark, folder):
+    one = tables.scan_stack(spark, {"c": f"{folder}/c.npy"}, frame=5)
+    assert one.filter("t >= 5 and y = 2").count() == NX and one.filter("t > 5").count() == 0
+    plan = one.filter(F.col("y") == 2)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"\bFilter\b", plan)
