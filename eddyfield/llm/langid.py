@@ -62,14 +62,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def learn(docs: DataFrame, max_rows: int = 8000, max_words: int = 30_000, max_grams: int = 5000) -> Model:
-    """Fit on a bounded sample: about ``max_rows`` labelled documents, drawn by a hash of their id
-    from those that are not held out, and from them the ``max_words`` commonest words and
-    ``max_grams`` commonest n-grams of each length per language."""
+def learn(docs: DataFrame, max_rows: int = 2000, max_words: int = 30_000, max_grams: int = 5000) -> Model:
+    """Fit on a bounded sample: of every language about ``max_rows`` labelled documents, drawn by a hash of
+    their id from those that are not held out, and from them the ``max_words`` commonest words and
+    ``max_grams`` commonest n-grams of each length. A rare language is learned at every size of the table."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
-    share = max_rows / max(1, rows.select("lang").count())
-    if share < 1:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    shares = rows.groupBy(F.col("lang").alias("of")).agg((F.lit(float(max_rows)) / F.count(F.lit(1))).alias("share"))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / F.lit(1e6)
+    rows = rows.join(shares, F.col("lang") == F.col("of")).filter(draw < F.col("share"))
     counts = (
         rows.select("lang", "text")
         .mapInArrow(_count, "lang string, n int, gram string, times long")
@@ -127,15 +127,17 @@ class _Detector:
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = LETTERS.findall(text.lower()) if text else []
-        if not words or not self.model.languages:
+        counts = Counter(words)
+        for word in [w for w in counts if not w.isalpha() and not any(map(str.isalpha, w))]:
+            del counts[word]  # number signs only
+        if not counts or not self.model.languages:
             return UNKNOWN, 0.0
         if self.end - len(self.model.table) > CACHE // 2:
             self._clear()
-        counts = Counter(words)
         known = self.rows
         rows = [known[w] if w in known else self._row(w) for w in counts]
         sums = np.fromiter(counts.values(), "float64", len(rows)) @ self.table[rows]
-        sums *= min(1.0, EVIDENCE / len(words))
+        sums *= min(1.0, EVIDENCE / counts.total())
         chances = np.exp(sums - sums.max())
         best = int(np.argmax(chances))
         return self.model.languages[best], float(chances[best] / chances.sum())

@@ -234,3 +234,55 @@ def test_the_bound_in_front_of_alignment_is_never_below_the_score():
     for _ in range(300):
         a, b = (rng.integers(0, 9, rng.integers(1, 25)).astype("uint64") for _ in range(2))
         assert decontaminate.bound(a, b) >= decontaminate.align(a, b)[0]
+
+
+@pytest.mark.parametrize("text", ["a@b.²", "0" * 5000 + ".1.1.1", "1." + "0" * 5000 + "5.1.1", "²³.½.¹.⁴ 1.²", "1" * 100_000, "1" * 40_000 + ".2", "9 " * 2000])
+def test_odd_numbers_do_not_break_the_search(text):
+    want = [(k, m.start(), m.end()) for k, p in enumerate((pii.EMAIL, pii.IP, pii.CARD, pii.PHONE)) for m in p.finditer(text[:6000])]
+    assert [m[:3] for m in pii.base_matches(text[:6000])] == want
+    accepted, described = pii.judge(text)
+    assert all(len(d[4]) == len(described[0][4]) for d in described)
+
+
+def test_leading_zeros_of_an_address():
+    accepted = [m[:3] for m in pii.base_matches("0" * 5000 + "9.1.1.1 300.1.1.1 0.0.0.0000 0256.1.1.1") if m[3]]
+    assert accepted == [(1, 0, 5007), (1, 5018, 5028)]
+
+
+def test_span_survives_a_rival_that_falls_itself(documents, monkeypatch):
+    """Of A > B > C, where B overlaps both others, A and C stay."""
+    docs = documents((1, "aaaa@ bbbb 7 cccc"))
+    spans = [(3, 0, 4, 0.9), (3, 3, 8, 0.8), (3, 7, 12, 0.7), (3, 12, 14, 0.7), (2, 12, 14, 0.7)]
+
+    seen = {}
+
+    original = pii.settle
+
+    def settle(df, name):
+        out = original(df, name)
+        seen["rows"] = out.select(pii.F.lit(1).alias("dummy"), pii.F.col("row").alias("at"))
+        return out
+
+    monkeypatch.setattr(pii, "settle", settle)
+
+    def selected(proposed):
+        rows = proposed.sparkSession.createDataFrame([(1, *s) for s in spans], "dummy int, kind int, start int, stop int, p double")
+        return rows.join(seen["rows"], "dummy").select(pii.F.col("at").alias("row"), "kind", "start", "stop", "p")
+
+    monkeypatch.setattr(pii, "selected", selected)
+    added = pii.find(docs).first()["added"]
+    assert [tuple(s) for s in added] == [(2, 12, 14), (3, 0, 4), (3, 7, 12)]
+
+
+def test_number_signs_are_no_letters(documents):
+    docs = documents(*[(i, text, lang, "s") for i in range(60) for text, lang in [("der hund und die katze", "de"), ("the dog and the cat", "en")]])
+    model = langid.learn(docs)
+    odd = documents((1, "½ ²"), (2, "Ⅷ ①"), (3, "½ the dog"), (4, "1 2 _"), (5, "the dog " * 40_000))
+    got = {r["doc_id"]: r["j"] for r in odd.select("doc_id", langid.detect(odd, model).alias("j")).collect()}
+    assert [got[i]["lang"] for i in (1, 2, 3, 4, 5)] == ["und", "und", "en", "und", "en"] and got[1]["score"] == 0
+
+
+def test_a_rare_language_is_learned(documents):
+    """Also where the sample holds a small share of the others."""
+    docs = documents(*[(i, "the dog and the cat", "en", "s") for i in range(3000)], *[(5000 + i, "der hund und die katze", "de", "s") for i in range(6)])
+    assert langid.learn(docs, max_rows=20).languages == ["de", "en"]
