@@ -12,18 +12,39 @@ from eddyfield.operators.select import roi_index
 from eddyfield.session import settle
 
 
-def join_fields(velocity: DataFrame, scalar: DataFrame, *, y_offset: int = 0, n_rows: int | None = None) -> DataFrame:
+def grid_sizes(field: DataFrame) -> DataFrame:
+    """``(case_id, nt, ny, nx)``: how far a table reaches in every direction, one row per case, settled."""
+    return settle(field.groupBy("case_id").agg(*[(F.max(d) + 1).alias(f"n{d}") for d in ("t", "y", "x")]), "sizes")
+
+
+def join_fields(
+    velocity: DataFrame,
+    scalar: DataFrame,
+    *,
+    y_offset: int = 0,
+    n_rows: int | None = None,
+    trim: tuple[str, ...] = (),
+) -> DataFrame:
     """Velocity and concentration of the same voxel.
 
     ``velocity`` may be stored already trimmed: its row 0 is row ``y_offset`` of the scalar.
-    ``n_rows`` crops the scalar to the trimmed rows; the two selections must be equally tall.
+    ``n_rows`` crops the scalar to the trimmed rows. The two must have the same cases and be of the same size in
+    every direction; those in ``trim`` are cut to the shorter one instead. What differs otherwise is refused, since
+    a join would drop it unseen.
     """
-    aligned = velocity.withColumn("y", F.col("y") + F.lit(y_offset))
     if n_rows is not None:
         scalar = roi_index(scalar, y=(y_offset, y_offset + n_rows))
-        tall = velocity.agg(F.max("y") + 1).first()[0]
-        if tall != n_rows:
-            raise ValueError(f"velocity has {tall} rows but the scalar selection has {n_rows}")
+    sizes = grid_sizes(velocity).join(grid_sizes(scalar).withColumnsRenamed({f"n{d}": f"m{d}" for d in "tyx"}), "case_id", "full")
+    sizes = sizes.withColumn("my", F.col("my") - F.lit(y_offset))
+    odd = F.lit(False)
+    for d in "tyx":
+        if d not in trim:
+            odd = odd | ~F.col(f"n{d}").eqNullSafe(F.col(f"m{d}"))
+    wrong = sizes.filter(odd | F.col("nt").isNull() | F.col("mt").isNull()).orderBy("case_id").limit(3).collect()
+    if wrong:
+        told = "; ".join(f"{r['case_id']}: velocity {r['nt']} frames, {r['ny']} rows, {r['nx']} columns, scalar {r['mt']}, {r['my']}, {r['mx']}" for r in wrong)
+        raise ValueError(f"the fields differ in size: {told}")
+    aligned = velocity.withColumn("y", F.col("y") + F.lit(y_offset))
     return aligned.join(scalar, VOXEL)
 
 
@@ -138,3 +159,8 @@ def avg_components(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """Half the sum of two component fields of a case."""
     other = b.select(*PIXEL, F.col(value).alias("_b"))
     return a.join(other, PIXEL).select(*PIXEL, (F.lit(0.5) * (F.col(value) + F.col("_b"))).alias(value))
+
+
+def avg_columns(field: DataFrame, a: str, b: str, value: str) -> DataFrame:
+    """The same of two columns of one table, without a join."""
+    return field.select(*PIXEL, (F.lit(0.5) * (F.col(a) + F.col(b))).alias(value))

@@ -177,13 +177,16 @@ def fill_nearest(field: DataFrame, value: str) -> DataFrame:
         .join(solvable, "case_id", "left_semi")
         .select(*PIXEL, F.lit(None).cast(best_type).alias("best"))
     )
-    n_rows = field.agg(F.max("y")).first()[0] + 1
+    last_row = field.agg(F.max("y")).first()[0]
+    if last_row is None:  # no field, nothing to fill
+        return field
+    n_rows = last_row + 1
     done: list[DataFrame] = []
     reach = -1
     for radius in _doubling(n_rows):
-        offsets = [d for dy in range(reach + 1, radius + 1) for d in ({dy, -dy})]
+        ring = F.filter(F.sequence(F.lit(-radius), F.lit(radius)), lambda dy: F.abs(dy) > F.lit(reach))
         candidates = (
-            open_pixels.select(*PIXEL, F.explode(F.array(*[F.lit(d) for d in offsets])).alias("dy"))
+            open_pixels.select(*PIXEL, F.explode(ring).alias("dy"))
             .withColumn("sy", F.col("y") + F.col("dy"))
             .join(rows, ["case_id", "sy", "x"])
             .select(

@@ -277,8 +277,9 @@ def normalise_max(voxel: DataFrame, value: str = "c") -> DataFrame:
     """Divide by the largest value of the case, then take off the mean over time."""
     from eddyfield.operators.align import join_mean
 
-    top = per_case(voxel, F.max(value).alias("_top"))
-    means = voxel.groupBy(*PIXEL).agg(F.avg(value).alias("_mean"))
+    pixels = settle(voxel.groupBy(*PIXEL).agg(F.avg(value).alias("_mean"), F.max(value).alias("_most")), "pixels")
+    top = per_case(pixels, F.max("_most").alias("_top"))  # of the field, not of the voxels again
+    means = pixels.drop("_most")
     return (
         join_mean(voxel, means)
         .join(top, "case_id")

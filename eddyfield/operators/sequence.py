@@ -56,6 +56,8 @@ def offset_limit(voxel: DataFrame, offset: int, limit: int | None = None) -> Dat
         raise ValueError("offset and limit must not be negative")
     kept = _from(voxel, offset)
     if limit is not None:
+        if "t_block" in voxel.columns:
+            kept = kept.filter(F.col("t_block") <= (offset + limit) // FRAMES_PER_BLOCK)
         kept = kept.filter(F.col("t") < offset + limit)
     return _renumbered(kept, F.col("t") - offset)
 

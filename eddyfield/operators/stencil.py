@@ -87,17 +87,21 @@ def _slope(value: str, dim: str, step: float, line: WindowSpec) -> Column:
     )
 
 
-def gradients(df: DataFrame, wanted: dict[str, tuple[str, str, float]], *, tile: Tile = Tile()) -> DataFrame:
-    """Several first differences at once: ``wanted[name] = (value, direction, step)``."""
+def gradients(
+    df: DataFrame, wanted: dict[str, tuple[str, str, float]], *, tile: Tile = Tile(), keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Several first differences at once: ``wanted[name] = (value, direction, step)``. Of the other columns those in ``keep``
+    stay."""
     axes = [d for d in ("t", "y", "x") if d in df.columns]
     values = sorted({value for value, _, _ in wanted.values()})
-    narrow = df.select("case_id", *axes, *values)
+    kept = [k for k in keep if k not in values]
+    narrow = df.select("case_id", *axes, *values, *kept)
     tiled = with_rims(narrow, {dim: 1 for _, dim, _ in wanted.values()}, tile)
     tiled = tiled.withColumns({v: F.col(v).cast("double") for v in values})  # after the shuffle
     lines = {dim: line_along(tiled, dim) for _, dim, _ in wanted.values()}
     for name, (value, dim, step) in wanted.items():
         tiled = tiled.withColumn(name, _slope(value, dim, step, lines[dim]))
-    return tiled.filter("_own").select("case_id", *axes, *values, *wanted)
+    return tiled.filter("_own").select("case_id", *axes, *values, *kept, *wanted)
 
 
 def spatial_gradient(voxel: DataFrame, value: str = "c", dx: float = GRADIENT_PITCH, dy: float = GRADIENT_PITCH, tile: Tile = Tile()) -> DataFrame:

@@ -200,6 +200,44 @@ def triangulate(placed: DataFrame, tile: int = TILE, whole: int = WHOLE) -> Data
     return settle(found.unionByName(rest), "triangles")
 
 
+def _cell(place: Column, level: Column) -> Column:
+    return F.floor(place / F.pow(F.lit(2.0), level)).cast("long")
+
+
+def housed(shaped: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Triangles ``(*keys, ax, ay ... cy, *names)``, counter-clockwise, in the cells that they touch, settled. The side of
+    the cells is a power of two not below the triangle's own extent."""
+    low = {d: F.least(*[f"{n}{d}" for n in "abc"]) for d in "xy"}
+    high = {d: F.greatest(*[f"{n}{d}" for n in "abc"]) for d in "xy"}
+    shaped = shaped.withColumn("size", F.greatest(high["x"] - low["x"], high["y"] - low["y"])).withColumn("level", F.ceil(F.log2("size")).cast("int"))
+    for d in "xy":
+        ends = [_cell(place, F.col("level")) for place in (low[d] - 1e-9 * F.col("size"), high[d] + 1e-9 * F.col("size"))]
+        shaped = shaped.withColumn(f"g{d}", F.explode(F.sequence(*ends)))
+    return settle(shaped.select(*keys, "level", "gx", "gy", *names, *[f"{n}{d}" for n in "abc" for d in "xy"], "double"), "cells")
+
+
+def containing(wanted: DataFrame, cells: DataFrame, keys: list[str], target: list[str], names: list[str]) -> DataFrame:
+    """``(*target, *names, wa, wb, wc)``: for each of ``wanted(*target, x_mm, y_mm)`` the triangle that holds it and the weights of
+    its corners. On a common side the one with the larger names is taken."""
+    levels = cells.select(*keys, "level").distinct()
+    looking = wanted.join(levels, keys).withColumns({f"g{d}": _cell(F.col(f"{d}_mm"), F.col("level")) for d in "xy"})
+    met = looking.join(cells, [*keys, "level", "gx", "gy"])
+
+    def weight(u: str, v: str) -> Column:
+        """Share of the triangle between the target and the side from u to v."""
+        return ((F.col(f"{u}x") - F.col("x_mm")) * (F.col(f"{v}y") - F.col("y_mm")) - (F.col(f"{u}y") - F.col("y_mm")) * (F.col(f"{v}x") - F.col("x_mm"))) / F.col("double")
+
+    met = met.withColumns({"wa": weight("b", "c"), "wb": weight("c", "a"), "wc": weight("a", "b")})
+    least = F.least("wa", "wb", "wc")
+    best = F.max(F.struct(F.least(least, F.lit(0.0)).alias("least"), *names, "wa", "wb", "wc"))
+    held = met.filter(least >= INSIDE).groupBy(*target).agg(best.alias("in"))
+    return held.select(*target, *[F.col(f"in.{n}").alias(n) for n in (*names, "wa", "wb", "wc")])
+
+
+def twice_area() -> Column:
+    return (F.col("bx") - F.col("ax")) * (F.col("cy") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("cx") - F.col("ax"))
+
+
 def regrid_triangles(
     points: DataFrame, targets: DataFrame, value: str, fill: float | None = None, tile: int = TILE, whole: int = WHOLE
 ) -> DataFrame:
@@ -211,34 +249,13 @@ def regrid_triangles(
     shaped = triangulate(placed, tile, whole)
     for n in "abc":
         shaped = shaped.join(corner[n], [*FRAME, n])
-    double = (F.col("bx") - F.col("ax")) * (F.col("cy") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("cx") - F.col("ax"))
-    low = {d: F.least(*[f"{n}{d}" for n in "abc"]) for d in "xy"}
-    high = {d: F.greatest(*[f"{n}{d}" for n in "abc"]) for d in "xy"}
-    size = F.greatest(high["x"] - low["x"], high["y"] - low["y"])
-    shaped = shaped.withColumns({"double": double, "size": size}).filter(F.col("double") > F.lit(FLAT * JITTER) * F.col("h") * F.col("size"))
-    level = F.ceil(F.log2("size")).cast("int")  # the side of its cells is 2^level
-
-    def cell(place: Column, level: Column) -> Column:
-        return F.floor(place / F.pow(F.lit(2.0), level)).cast("long")
-
-    shaped = shaped.withColumn("level", level)
-    for d in "xy":
-        shaped = shaped.withColumn(f"g{d}", F.explode(F.sequence(cell(low[d] - 1e-9 * F.col("size"), F.col("level")), cell(high[d] + 1e-9 * F.col("size"), F.col("level")))))
-    housed = settle(shaped.select(*FRAME, "level", "gx", "gy", "a", "b", "c", *[f"{n}{d}" for n in "abc" for d in "xy"], "double"), "cells")
+    extent = F.greatest(*[F.greatest(*[f"{n}{d}" for n in "abc"]) - F.least(*[f"{n}{d}" for n in "abc"]) for d in "xy"])
+    shaped = shaped.withColumn("double", twice_area()).filter(F.col("double") > F.lit(FLAT * JITTER) * F.col("h") * extent)
+    cells = housed(shaped, FRAME, ["a", "b", "c"])
     target = [*FRAME, "y", "x"]
     wanted = settle(targets.select(*target, F.col("x_mm").cast("double").alias("x_mm"), F.col("y_mm").cast("double").alias("y_mm")), "targets")
-    levels = housed.select(*FRAME, "level").distinct()
-    looking = wanted.join(levels, FRAME).withColumns({f"g{d}": cell(F.col(f"{d}_mm"), F.col("level")) for d in "xy"})
-    met = looking.join(housed, [*FRAME, "level", "gx", "gy"])
-
-    def weight(u: str, v: str) -> Column:
-        """Share of the triangle between the target and the side from u to v."""
-        return ((F.col(f"{u}x") - F.col("x_mm")) * (F.col(f"{v}y") - F.col("y_mm")) - (F.col(f"{u}y") - F.col("y_mm")) * (F.col(f"{v}x") - F.col("x_mm"))) / F.col("double")
-
-    met = met.withColumns({"wa": weight("b", "c"), "wb": weight("c", "a"), "wc": weight("a", "b")})
-    best = F.max(F.struct(F.least("wa", "wb", "wc").alias("least"), "a", "b", "c", "wa", "wb", "wc"))
-    held = met.filter(F.least("wa", "wb", "wc") >= INSIDE).groupBy(*target).agg(best.alias("in"))
-    shares = F.array(*[F.struct(F.col(f"in.{n}").alias("id"), F.col(f"in.w{n}").alias("share")) for n in "abc"])
+    held = containing(wanted, cells, FRAME, target, ["a", "b", "c"])
+    shares = F.array(*[F.struct(F.col(n).alias("id"), F.col(f"w{n}").alias("share")) for n in "abc"])
     parts = held.select(*target, F.explode(shares).alias("p")).select(*target, "p.id", "p.share")
     summed = parts.join(placed.select(*FRAME, "id", "value"), [*FRAME, "id"]).groupBy(*target).agg(F.sum(F.col("share") * F.col("value")).alias("value"))
     filled = F.lit(fill).cast("double")

@@ -60,6 +60,11 @@ def _rms() -> Column:
     return F.sqrt(F.lit(1.0 / 3.0) * (F.col("u2") + F.col("v2") + F.col("w2")))
 
 
+def energy_fields(squares: DataFrame, free_stream: float = FREE_STREAM) -> DataFrame:
+    """Energy and intensity of one table of mean squares side by side."""
+    return tke(squares).withColumn("intensity", _rms() / F.lit(free_stream))
+
+
 def turbulence_intensity(squares: DataFrame, free_stream: float = FREE_STREAM) -> DataFrame:
     """RMS of the three components over the free-stream speed."""
     return squares.select(*PIXEL, (_rms() / F.lit(free_stream)).alias("intensity"))
@@ -72,6 +77,17 @@ def anisotropy(energy: DataFrame) -> DataFrame:
     )
 
 
+def _slopes(voxel: DataFrame, dx: float, tile: Tile, *keep: str) -> DataFrame:
+    slopes = gradients(voxel, {"du": ("u", "y", dx), "dv": ("v", "x", dx)}, tile=tile, keep=keep)
+    return slopes.withColumn("dw", -F.col("du") - F.col("dv"))
+
+
+def _epsilon(nu: float) -> Column:
+    """The aggregate over the slopes of a pixel."""
+    variances = F.var_pop("du") + F.var_pop("dv") + F.var_pop("dw")
+    return F.when(complete(F.col("du"), F.col("dv")), F.lit(5.0 * nu) * variances).alias("epsilon")
+
+
 def dissipation(
     voxel: DataFrame, dx: float, nu: float = KINEMATIC_VISCOSITY, mean: DataFrame | None = None, tile: Tile = Tile()
 ) -> DataFrame:
@@ -80,14 +96,11 @@ def dissipation(
     A slope is linear, so du' = du - d(mean u): again only variances of raw slopes are needed,
     plus the slope of the mean field when one is supplied.
     """
-    slopes = gradients(voxel, {"du": ("u", "y", dx), "dv": ("v", "x", dx)}, tile=tile)
-    slopes = slopes.withColumn("dw", -F.col("du") - F.col("dv"))
+    slopes = _slopes(voxel, dx, tile)
     terms = ["du", "dv", "dw"]
     ok = complete(F.col("du"), F.col("dv"))
     if mean is None:
-        return slopes.groupBy(*PIXEL).agg(
-            F.when(ok, F.lit(5.0 * nu) * sum((F.var_pop(k) for k in terms[1:]), F.var_pop(terms[0]))).alias("epsilon")
-        )
+        return slopes.groupBy(*PIXEL).agg(_epsilon(nu))
     flat = gradients(mean, {"m_du": ("u", "y", dx), "m_dv": ("v", "x", dx)}, tile=tile)
     flat = flat.select(*PIXEL, "m_du", "m_dv", (-F.col("m_du") - F.col("m_dv")).alias("m_dw"))
     moments = slopes.groupBy(*PIXEL).agg(
@@ -104,7 +117,19 @@ def dissipation(
 def turbulence_scales(squares: DataFrame, epsilon: DataFrame, nu: float = KINEMATIC_VISCOSITY) -> DataFrame:
     """Taylor length and Reynolds number, Kolmogorov length and time; missing where the
     dissipation is not positive."""
-    both = squares.join(epsilon, PIXEL).withColumn("rms", _rms())
+    return _scales(squares.join(epsilon, PIXEL), nu)
+
+
+def scales_of(
+    voxel: DataFrame, dx: float, nu: float = KINEMATIC_VISCOSITY, w_floor: float = W_FLOOR, tile: Tile = Tile()
+) -> DataFrame:
+    """The same scales from the voxels: mean squares and dissipation in one aggregate over one scan."""
+    moments = _slopes(voxel, dx, tile, "w").groupBy(*PIXEL).agg(*square_terms(), _epsilon(nu))
+    return _scales(moments.select(*PIXEL, *square_columns(w_floor), "epsilon"), nu)
+
+
+def _scales(fields: DataFrame, nu: float) -> DataFrame:
+    both = fields.withColumn("rms", _rms())
     eps = F.when(F.col("epsilon") > 0, F.col("epsilon"))
     taylor = F.sqrt(F.lit(15.0 * nu) / eps) * F.col("rms")
     return both.select(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from eddyfield.plans import (  # noqa: F401
+    archive_queries,
+    growing_queries,
     ingest_queries,
     motion_queries,
     native_queries,

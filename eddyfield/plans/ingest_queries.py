@@ -14,7 +14,7 @@ from eddyfield.plans.fixture import _once, voxel
 from eddyfield.plans.registry import query, r, rounded
 from eddyfield.plans.stats_queries import MEAN_SQL
 from eddyfield.session import new_path, settle
-from eddyfield.sources import arrays, register, tables
+from eddyfield.sources import arrays, register, tables, versions
 
 
 def heads_of(spark, sf_dir):
@@ -82,10 +82,10 @@ def train_test_split(spark, sf_dir):
 def upsert_component(spark, sf_dir):
     """A new w in the stored archive: a second version beside the first."""
     table, root = voxel(spark, sf_dir), new_path(spark, "archive")
-    tables.append_version(align.mean_field(table), root)
+    versions.append_version(align.mean_field(table), root)
     update = stats.rms_raw(table, "w").withColumnRenamed("w_rms", "w")
-    tables.append_version(sequence.upsert_component(tables.latest_version(spark, root), update, "w"), root)
-    return rounded(tables.latest_version(spark, root).select(*PIXEL, "u", "v", "w", "c"), 6, "u", "v", "w", "c")
+    versions.update_version(spark, root, lambda archive: sequence.upsert_component(archive, update, "w"))
+    return rounded(versions.read_version(spark, root).select(*PIXEL, "u", "v", "w", "c"), 6, "u", "v", "w", "c")
 
 
 @query("sink_fields", f"SELECT case_id, y, x, {r('u', 'u')}, {r('c', 'c')} FROM mean_field", MEAN_SQL)
@@ -99,11 +99,11 @@ def sink_fields(spark, sf_dir):
 def sink_if_absent(spark, sf_dir):
     """The second write finds the output and leaves it."""
     table = voxel(spark, sf_dir)
-    path = new_path(spark, tables.output_name("runs/headA.set", "runs/headB.set"))
+    root = new_path(spark, tables.output_name("runs/headA.set", "runs/headB.set"))
     for component in ("u", "v"):
         field = align.mean_field(table, component).withColumnRenamed(component, "value")
-        tables.sink_fields(field, path, overwrite=False)
-    return rounded(spark.read.parquet(path).select(*PIXEL, "value"), 6, "value")
+        versions.write_once(field, root)
+    return rounded(versions.read_version(spark, root).select(*PIXEL, "value"), 6, "value")
 
 
 @query("export_filled", "SELECT case_id, t, y, x, coalesce(v, 0) AS v, coalesce(c, 0) AS c FROM voxel")
@@ -147,12 +147,12 @@ def scan_stack_frame(spark, sf_dir):
     return one.withColumn("c", F.col("c").cast("double"))
 
 
-@query("scan_stack_pushdown", f"SELECT case_id, t, y, x, {F32.format('u')}, {F32.format('c')} FROM voxel WHERE t BETWEEN 1 AND 20 AND t <> 4 AND y IN (2, 3, 5) AND x >= 4 AND x < 17 AND c > 0.25 AND case_id = 'case1'")
-def scan_stack_pushdown(spark, sf_dir):
-    """The reader takes the ranges over: no task for other frames or the other case, no byte of other rows."""
-    both = scan_stack(spark, sf_dir)
-    wanted = (F.col("t").between(1, 20)) & (F.col("t") != 4) & F.col("y").isin(2, 3, 5) & (F.col("x") >= 4) & (F.col("x") < 17)
-    return both.filter(wanted & (F.col("c") > 0.25) & (F.col("case_id") == "case1"))
+@query("scan_stack_ranges", f"SELECT case_id, t, y, x, {F32.format('u')}, {F32.format('c')} FROM voxel WHERE t BETWEEN 1 AND 20 AND y BETWEEN 2 AND 5 AND x >= 4 AND x < 17 AND case_id = 'case1'")
+def scan_stack_ranges(spark, sf_dir):
+    """The reader knows the ranges: no task for other frames, no byte of other rows."""
+    root = stack_files(spark, sf_dir).first()["root"]
+    some = tables.scan_stack(spark, {k: f"{root}/{k}/case1" for k in ("u", "c")}, case_id="case1", t=(1, 21), y=(2, 6), x=(4, 17))
+    return some.withColumn("u", F.col("u").cast("double")).withColumn("c", F.col("c").cast("double"))
 
 
 @query("find_inputs", "SELECT DISTINCT lpad(CAST((t // 16) * 16 AS VARCHAR), 9, '0') || '.npy' AS name FROM voxel WHERE case_id = 'case0'")
@@ -173,13 +173,12 @@ def scan_frame_list(spark, sf_dir):
     return tables.voxels_of(frames).join(keys, ["case_id", "t"]).withColumn("value", F.col("value").cast("double"))
 
 
-@query("scan_frame_list_pushdown", "SELECT case_id, t, 'arr_' || t AS key, y, x, CAST(CAST(c AS FLOAT) AS DOUBLE) AS value FROM voxel WHERE case_id = 'case0' AND t IN (0, 2)")
-def scan_frame_list_pushdown(spark, sf_dir):
+@query("scan_frame_list_keys", "SELECT case_id, t, 'arr_' || t AS key, y, x, CAST(CAST(c AS FLOAT) AS DOUBLE) AS value FROM voxel WHERE case_id = 'case0' AND t IN (0, 2)")
+def scan_frame_list_keys(spark, sf_dir):
     """Only the wanted members of the archives are unpacked."""
     root = new_path(spark, "lists")
     tables.write_arrays(tables.frames_of(voxel(spark, sf_dir), "c"), root, "npz").count()
-    lists = [tables.scan_frame_list(spark, f"{root}/c/{case}", case_id=case) for case in ("case0", "case1")]
-    frames = lists[0].unionByName(lists[1]).filter((F.col("case_id") == "case0") & (F.col("t") < 3) & F.col("key").isin("arr_0", "arr_2"))
+    frames = tables.scan_frame_list(spark, f"{root}/c/case0", case_id="case0", t=(None, 3), keys=["arr_0", "arr_2", "arr_3"])
     cells = tables.voxels_of(frames)
     return cells.select("case_id", "t", F.concat(F.lit("arr_"), "t").alias("key"), "y", "x", F.col("value").cast("double").alias("value"))
 

@@ -48,6 +48,38 @@ def concentration_pdf_case(spark, sf_dir):
     return rounded(out, 6, "left", "right", "center", "pdf")
 
 
+def bins_sql(keys: str, bins: int, low: str, high: str) -> str:
+    """Counts per even bin by comparing every sample with every edge."""
+    on = " AND ".join(f"p.{k} = e.{k}" for k in keys.split(", "))
+    of = ", ".join(f"e.{k}" for k in keys.split(", "))
+    w = f"((high - low) / {bins}.0::DOUBLE)"
+    return f"""
+edges AS (
+  SELECT {keys}, CAST(i AS INTEGER) AS bin, low + i * {w} AS l, CASE WHEN i = {bins} - 1 THEN high ELSE low + (i + 1) * {w} END AS rt
+  FROM (SELECT {keys}, {low} AS low, {high} AS high FROM voxel GROUP BY ALL), range({bins}) g(i)
+),
+counted AS (
+  SELECT {of}, e.bin, e.l, e.rt, count(p.c) AS n FROM edges e LEFT JOIN voxel p ON {on} AND p.c >= e.l AND (p.c < e.rt OR (e.bin = {bins} - 1 AND p.c <= e.rt)) GROUP BY ALL
+)"""
+
+
+BINNED = PDF.replace("n::DOUBLE / sum(n) OVER (PARTITION BY %s)", "n::DOUBLE / nullif(sum(n) OVER (PARTITION BY %s), 0)")
+
+
+@query("concentration_pdf_bins", "SELECT case_id, " + BINNED % "case_id", bins_sql("case_id", 40, "min(c)", "max(c)"))
+def concentration_pdf_bins(spark, sf_dir):
+    """Forty even bins from the smallest to the largest sample of each case."""
+    out = distribution.pdf_by_bins(voxel(spark, sf_dir), ["case_id"], 40)
+    return rounded(out, 6, "left", "right", "center", "pdf")
+
+
+@query("concentration_pdf_range", "SELECT case_id, t, y, " + BINNED % "case_id, t, y", bins_sql("case_id, t, y", 3, "0.7::DOUBLE", "0.95::DOUBLE"))
+def concentration_pdf_range(spark, sf_dir):
+    """A fixed range; rows of a frame without a sample in it keep their bins."""
+    out = distribution.pdf_by_bins(voxel(spark, sf_dir), ["case_id", "t", "y"], 3, (0.7, 0.95))
+    return rounded(out, 6, "left", "right", "center", "pdf")
+
+
 @query("gamma_fit", "SELECT case_id, y, x, CAST(point AS INTEGER) AS point, " + ", ".join([
     r("m", "mean", 9), r("s", "std", 9), r("i", "intensity", 9), r("k", "k", 9), r("v", "value", 9),
     r("exp(k * ln(k) - lgamma(k) + (k - 1) * ln(v / m) - k * v / m - ln(m))", "pdf", 9)])
@@ -75,8 +107,7 @@ ENERGY_SQL = "energy AS MATERIALIZED (SELECT *, 0.5 * (u2 + v2 + w2) AS tke, sqr
 
 @query("field_report", report_sql("tke", "energy", "case_id") + " UNION ALL " + report_sql("intensity", "energy", "case_id"), *TURBULENCE, ENERGY_SQL)
 def field_report(spark, sf_dir):
-    squares = turbulence.mean_squares(voxel(spark, sf_dir))
-    energy = turbulence.tke(squares).join(turbulence.turbulence_intensity(squares), PIXEL)
+    energy = turbulence.energy_fields(turbulence.mean_squares(voxel(spark, sf_dir)))
     return report_rounded(distribution.field_report(energy, "tke", "intensity"))
 
 
@@ -88,8 +119,10 @@ ENVELOPE_SQL = ("envelope AS MATERIALIZED (SELECT case_id, y, x, coalesce(count_
        *TURBULENCE, ENERGY_SQL, ENVELOPE_SQL)
 def region_report(spark, sf_dir):
     """The whole field, inside and outside the plume."""
-    table = voxel(spark, sf_dir)
-    tagged = align.join_envelope(turbulence.tke(turbulence.mean_squares(table)), stats.intermittency(table, 0.25), cutoff=0.25)
+    # one aggregate gives the mean squares and the plume
+    moments = voxel(spark, sf_dir).groupBy(*PIXEL).agg(*turbulence.square_terms(), stats.intermittency_term(0.25))
+    squares = moments.select(*PIXEL, *turbulence.square_columns(), (F.col("intermittency") >= 0.25).alias("inside"))
+    tagged = turbulence.tke(squares)
     return report_rounded(distribution.region_report(tagged, "tke"))
 
 

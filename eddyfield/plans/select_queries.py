@@ -193,6 +193,15 @@ def join_fields(spark, sf_dir):
     return align.join_fields(trimmed, table.select(*VOXEL, "c"), y_offset=3, n_rows=6)
 
 
+@query("join_fields_trimmed", "SELECT case_id, t, y, x, u, v, w, c FROM voxel WHERE x < 17 AND t < (SELECT max(t) FROM voxel WHERE case_id = 'case0')")
+def join_fields_trimmed(spark, sf_dir):
+    """The velocity misses the last columns, the scalar the last frame: both are cut to what they share."""
+    table = voxel(spark, sf_dir)
+    last = table.filter("case_id = 'case0'").agg(F.max("t")).first()[0]
+    velocity = table.filter("x < 17").select(*VOXEL, "u", "v", "w")
+    return align.join_fields(velocity, table.filter(F.col("t") < last).select(*VOXEL, "c"), trim=("t", "x"))
+
+
 @query("join_mean", f"SELECT p.case_id, p.t, p.y, p.x, p.c, {r('m.c', 'c_mean')} FROM voxel p JOIN mean_field m ON p.case_id = m.case_id AND p.y = m.y AND p.x = m.x", MEAN_SQL)
 def join_mean(spark, sf_dir):
     table = voxel(spark, sf_dir)
@@ -260,9 +269,7 @@ def missing_cases(spark, sf_dir):
 @query("avg_components", f"SELECT case_id, y, x, {r('0.5 * (u + v)', 'scale')} FROM mean_field", MEAN_SQL)
 def avg_components(spark, sf_dir):
     table = voxel(spark, sf_dir)
-    a = align.mean_field(table, "u").withColumnRenamed("u", "scale")
-    b = align.mean_field(table, "v").withColumnRenamed("v", "scale")
-    return rounded(align.avg_components(a, b, "scale"), 6, "scale")
+    return rounded(align.avg_columns(align.mean_field(table, "u", "v"), "u", "v", "scale"), 6, "scale")
 
 
 @query("case_from_path", "SELECT DISTINCT 'E/means/mean_fields_' || case_id || '_' || x || '.npz' AS path, case_id || '_' || x AS case_name, NULL::VARCHAR AS flux_case FROM voxel "

@@ -154,7 +154,7 @@ def dissipation_supplied(spark, sf_dir):
        *TURBULENCE, STRAIN_SQL, EPSILON_SQL, SCALES_SQL)
 def turbulence_scales(spark, sf_dir):
     table = voxel(spark, sf_dir)
-    scales = turbulence.turbulence_scales(turbulence.mean_squares(table), turbulence.dissipation(table, DX, NU), NU)
+    scales = turbulence.scales_of(table, DX, NU)
     return rounded(rounded(scales, DIGITS, "taylor_length", "kolmogorov_length", "kolmogorov_time"), 6, "taylor_re")
 
 

@@ -8,10 +8,11 @@ from pyspark.sql import SparkSession
 
 def register(spark: SparkSession) -> None:
     """Register the array formats. Their classes travel to the executors by value, so the
-    package need not be installed there. Filters reach the readers from then on."""
-    from eddyfield.sources import arrays
+    package need not be installed there."""
+    from eddyfield.sources import array_sink, arrays
 
     cloudpickle.register_pickle_by_value(arrays)
+    cloudpickle.register_pickle_by_value(array_sink)
     spark.dataSource.register(arrays.StackSource)
     spark.dataSource.register(arrays.FrameListSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(array_sink.ArraySink)

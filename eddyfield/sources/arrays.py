@@ -3,14 +3,16 @@
 ``field_stack`` reads 3-D ``.npy`` stacks, one file or one folder of files per component, side
 by side into voxel rows. ``frame_list`` reads ``.npz`` lists of 2-D frames whose sizes differ.
 Only headers and directories are read when planning; every task seeks to its own byte range.
-Filters on the case, on frames, rows, columns and keys are taken over: tasks without a wanted
-frame are not made, and others seek past what is not wanted. Filters on values drop rows in the task.
+Ranges of frames, rows and columns, and keys, are options: tasks without a wanted frame are not made, and
+others seek past what is not wanted. They are not taken from filters by ``pushFilters``: Spark 4.1 keeps what a
+Python reader took over with the relation, so that another filter of the same DataFrame would lose rows.
 Paths may carry any scheme that Arrow knows.
 """
 
 from __future__ import annotations
 
 import contextlib
+import json
 import uuid
 import zipfile
 from concurrent.futures import ThreadPoolExecutor
@@ -19,20 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql.datasource import (
-    DataSource,
-    DataSourceReader,
-    EqualNullSafe,
-    EqualTo,
-    Filter,
-    GreaterThan,
-    GreaterThanOrEqual,
-    In,
-    InputPartition,
-    IsNotNull,
-    LessThan,
-    LessThanOrEqual,
-)
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 COMPONENT_OPTIONS = ("u", "v", "w", "c")
 OPENED_AT_ONCE = 32
@@ -87,72 +76,29 @@ def header_of(path: str) -> tuple[tuple[int, ...], np.dtype, bool]:
         return read_header(handle)
 
 
-COMPARED = {
-    EqualTo: np.equal,
-    GreaterThan: np.greater,
-    GreaterThanOrEqual: np.greater_equal,
-    LessThan: np.less,
-    LessThanOrEqual: np.less_equal,
-}
+def span_option(span: tuple[int | None, int | None]) -> str:
+    """A half-open range as the text of an option."""
+    return ":".join("" if end is None else str(int(end)) for end in span)
 
 
 class Wanted:
-    """What the filters that a source took over ask for: ``places`` are columns of whole numbers that
-    are never missing, ``names`` columns of text of which a row or the whole source has one, ``values`` are numbers."""
-
-    def __init__(self, places: list[str], names: list[str], values: list[str]):
-        self.low: dict[str, int] = dict.fromkeys(places, 0)
-        self.high: dict[str, int | None] = dict.fromkeys(places)
-        self.sets: dict[str, set] = {}
-        self.places, self.names, self.values = places, names, values
-        self.tests: list[tuple[str, object, float | None]] = []
-
-    def take(self, f: Filter) -> bool:
-        """True if the filter is held from here on, so that Spark need not apply it again."""
-        attribute = getattr(f, "attribute", ())
-        column = attribute[0] if len(attribute) == 1 else None
-        if column in self.places + self.names:
-            if isinstance(f, IsNotNull):
-                return True
-            if isinstance(f, (EqualTo, EqualNullSafe, In)):
-                wanted = set(f.value) if isinstance(f, In) else {f.value}
-                self.sets[column] = self.sets.get(column, wanted) & wanted
-                return True
-        if column in self.places and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-            self.low[column] = max(self.low[column], f.value + isinstance(f, GreaterThan))
-            return True
-        if column in self.places and isinstance(f, (LessThan, LessThanOrEqual)):
-            end = f.value + isinstance(f, LessThanOrEqual)
-            self.high[column] = end if self.high[column] is None else min(self.high[column], end)
-            return True
-        if column in self.values and isinstance(f, IsNotNull):
-            self.tests.append((column, None, None))
-            return True
-        if column in self.values and type(f) in COMPARED:
-            self.tests.append((column, COMPARED[type(f)], f.value))
-            return True
-        return False
+    """What the options of a reader ask for: half-open ranges ``first:end`` of ``places``, either end may be open, and lists of
+    ``names`` as JSON."""
+
+    def __init__(self, options: dict[str, str], places: list[str], names: list[str] = ()):
+        self.spans: dict[str, tuple[int, int | None]] = {}
+        for place in places:
+            first, _, end = options.get(f"{place}_span", ":").partition(":")
+            self.spans[place] = (int(first or 0), int(end) if end else None)
+        self.lists = {n: set(json.loads(options[f"{n}_list"])) for n in names if f"{n}_list" in options}
 
     def has(self, name: str, value: str) -> bool:
-        return name not in self.sets or value in self.sets[name]
+        return name not in self.lists or value in self.lists[name]
 
     def of(self, place: str, size: int, start: int = 0) -> np.ndarray:
         """The wanted ones of the numbers ``start`` to ``start + size - 1``, ascending."""
-        end = start + size if self.high[place] is None else min(start + size, self.high[place])
-        numbers = np.arange(max(start, self.low[place]), end, dtype=np.int32)
-        if place in self.sets:
-            numbers = numbers[np.isin(numbers, [v for v in self.sets[place] if v is not None])]
-        return numbers
-
-    def passed(self, values: dict[str, np.ndarray]) -> np.ndarray | None:
-        """Which rows pass the tests of values; missing ones pass none. None: all."""
-        keep = None
-        for column, compare, bound in self.tests:
-            held = np.isfinite(values[column])
-            if compare is not None:
-                held &= compare(values[column], bound)
-            keep = held if keep is None else keep & held
-        return keep
+        first, end = self.spans[place]
+        return np.arange(max(start, first), start + size if end is None else min(start + size, end), dtype=np.int32)
 
 
 @dataclass
@@ -178,16 +124,11 @@ class StackReader(DataSourceReader):
         if not self.components:
             raise ValueError("give at least one of the options u, v, w, c")
         self.roots = [options[k] for k in self.components]
-        self.wanted = Wanted(["t", "y", "x"], ["case_id"], self.components)
+        self.wanted = Wanted(options, ["t", "y", "x"])
         if self.frame is not None:
-            self.wanted.take(EqualTo(("t",), self.frame))
+            self.wanted.spans["t"] = (self.frame, self.frame + 1)
         self.bytes_read = 0  # by this reader, beside headers
 
-    def pushFilters(self, filters):
-        for f in filters:
-            if not self.wanted.take(f):
-                yield f
-
     def partitions(self):
         lists = [files_under(root, ".npy") for root in self.roots]
         if len({len(names) for names in lists}) != 1:
@@ -216,7 +157,7 @@ class StackReader(DataSourceReader):
             n_frames = offset if order[0] == "t" else shape[order.index("t")]
         if self.frame is not None and not 0 <= self.frame < n_frames:
             raise IndexError(f"frame {self.frame} is out of range")
-        return parts if self.wanted.has("case_id", self.case) else []
+        return parts
 
     def read(self, part: StackPart | None):
         if part is None:  # nothing is wanted
@@ -232,8 +173,7 @@ class StackReader(DataSourceReader):
             seconds, thirds = self.wanted.of(order[1], shape[1]), self.wanted.of(order[2], shape[2])
             if not len(seconds) or not len(thirds):
                 return
-            start, band = int(seconds[0]), int(seconds[-1]) + 1 - int(seconds[0])  # rows that lie side by side
-            cells = np.ix_(seconds - start, thirds)
+            start, band = int(seconds[0]), len(seconds)  # rows that lie side by side
             second, third = np.repeat(seconds, len(thirds)), np.tile(thirds, len(seconds))
             for at in self.wanted.of(order[0], part.last - part.first, part.offset + part.first):  # one slab in memory at a time
                 place = dict(zip(order, (np.full(second.size, at, dtype=np.int32), second, third)))
@@ -243,10 +183,7 @@ class StackReader(DataSourceReader):
                     handle.seek(data + ((int(at) - part.offset) * shape[1] + start) * shape[2] * dtype.itemsize)
                     self.bytes_read += size
                     slab = np.frombuffer(handle.read(size), dtype=dtype).reshape(band, shape[2])
-                    values[name] = slab[cells].ravel().astype(np.float32, copy=False)
-                keep = self.wanted.passed(values)
-                if keep is not None:
-                    place, values = {k: v[keep] for k, v in place.items()}, {k: v[keep] for k, v in values.items()}
+                    values[name] = slab[:, thirds[0] : thirds[-1] + 1].ravel().astype(np.float32, copy=False)
                 columns = [pa.repeat(self.case, len(place["t"])), *(pa.array(place[k]) for k in "tyx")]
                 # masked samples are NaN in the files and NULL in the engine
                 columns += [pa.array(v, mask=~np.isfinite(v)) for v in values.values()]
@@ -286,6 +223,22 @@ class FramePart(InputPartition):
 
     path: str
     members: tuple[tuple[int, str], ...]
+    case: str = "case"
+    component: str = "c"
+
+
+def read_member(part: FramePart):
+    """(number, key, frame) of the members, one after the other. A single row is a frame of one row."""
+    system, inner = file_system(part.path)
+    with system.open_input_file(inner) as handle, zipfile.ZipFile(handle) as archive:
+        for t, key in part.members:
+            with archive.open(f"{key}.npy") as member:
+                frame = np.lib.format.read_array(member, allow_pickle=False)
+            if frame.ndim == 1:  # an axis
+                frame = frame[None]
+            if frame.ndim != 2:
+                raise ValueError(f"{key} is not a 2-D frame: shape {frame.shape}")
+            yield t, key, frame.astype(np.float32, copy=False)
 
 
 class FrameListReader(DataSourceReader):
@@ -294,17 +247,10 @@ class FrameListReader(DataSourceReader):
         self.case = options.get("case_id", "case")
         self.component = options.get("component", "c")
         self.step = int(options.get("frames_per_task", "32"))
-        self.wanted = Wanted(["t"], ["case_id", "component", "key"], [])
+        self.wanted = Wanted(options, ["t"], ["key"])
         self.bytes_read = 0  # of frames, unpacked
 
-    def pushFilters(self, filters):
-        for f in filters:
-            if not self.wanted.take(f):
-                yield f
-
     def partitions(self):
-        if not (self.wanted.has("case_id", self.case) and self.wanted.has("component", self.component)):
-            return []
         # archives follow each other in order of their names; the usual keys repeat from one to the next
         paths = files_under(self.path, ".npz")
         places: dict[str, list[tuple[int, str]]] = {}
@@ -323,32 +269,24 @@ class FrameListReader(DataSourceReader):
     def read(self, part: FramePart | None):
         if part is None:
             return
-        system, inner = file_system(part.path)
-        with system.open_input_file(inner) as handle, zipfile.ZipFile(handle) as archive:
-            for t, key in part.members:
-                with archive.open(f"{key}.npy") as member:
-                    frame = np.lib.format.read_array(member, allow_pickle=False)
-                if frame.ndim == 1:  # an axis
-                    frame = frame[None]
-                if frame.ndim != 2:
-                    raise ValueError(f"{key} is not a 2-D frame: shape {frame.shape}")
-                self.bytes_read += frame.nbytes
-                values = frame.astype(np.float32, copy=False).ravel()
-                data = pa.ListArray.from_arrays(
-                    pa.array([0, values.size], pa.int32()), pa.array(values, mask=~np.isfinite(values))
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([self.case]),
-                        pa.array([t], pa.int32()),
-                        pa.array([key]),
-                        pa.array([self.component]),
-                        pa.array([frame.shape[0]], pa.int32()),
-                        pa.array([frame.shape[1]], pa.int32()),
-                        data,
-                    ],
-                    names=["case_id", "t", "key", "component", "ny", "nx", "data"],
-                )
+        for t, key, frame in read_member(part):
+            self.bytes_read += frame.nbytes
+            values = frame.ravel()
+            data = pa.ListArray.from_arrays(
+                pa.array([0, values.size], pa.int32()), pa.array(values, mask=~np.isfinite(values))
+            )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([self.case]),
+                    pa.array([t], pa.int32()),
+                    pa.array([key]),
+                    pa.array([self.component]),
+                    pa.array([frame.shape[0]], pa.int32()),
+                    pa.array([frame.shape[1]], pa.int32()),
+                    data,
+                ],
+                names=["case_id", "t", "key", "component", "ny", "nx", "data"],
+            )
 
 
 class FrameListSource(DataSource):

@@ -102,3 +102,8 @@ def test_bad_bounds(spark, cube):
         select.frame_pick(table, 2, n_frames=2)
     with pytest.raises(ValueError):
         select.roi_coords(table, axes_of(spark, [0, 1, 2], [0, 1, 2]), x_mm=(10, 20))
+
+
+def test_filling_an_empty_field(cube):
+    empty = cube(f=np.ones((1, 2, 2))).drop("t").limit(0)
+    assert regrid.fill_nearest(empty, "f").count() == 0

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from eddyfield.functions.scalar import case_from_path
 from eddyfield.model import extent, write_voxel
 from eddyfield.operators import sequence
-from eddyfield.sources import tables
+from eddyfield.sources import tables, versions
 
 
 @pytest.fixture
@@ -133,10 +133,10 @@ def test_case_from_path(spark):
 def test_versions(spark, folder, cube):
     root = f"{folder}/archive"
     table = cube(u=np.ones((1, 2, 2)), w=np.ones((1, 2, 2))).drop("t")
-    assert tables.append_version(table, root) == 0
-    newer = sequence.upsert_component(tables.latest_version(spark, root), table.withColumn("w", F.lit(5.0)), "w")
-    assert tables.append_version(newer, root) == 1
-    latest = tables.latest_version(spark, root)
+    assert versions.append_version(table, root) == 0
+    newer = sequence.upsert_component(versions.read_version(spark, root), table.withColumn("w", F.lit(5.0)), "w")
+    assert versions.append_version(newer, root) == 1
+    latest = versions.read_version(spark, root)
     assert latest.agg(F.sum("u"), F.sum("w"), F.count("*")).first() == (4.0, 20.0, 4)
 
 
@@ -179,6 +179,7 @@ def test_renumbered_frames_still_prune_rightly(spark, folder, cube):
     train, test = sequence.train_test(stored, 40)
     moved = [
         (sequence.offset_limit(stored, 35), 40, 75.0),
+        (sequence.offset_limit(stored, 35, 30), 29, 64.0),
         (sequence.circular_lag(stored, 70, extent(stored)), 0, 70.0),
         (sequence.concat_stacks(stored, stored), 81, 1.0),
         (test, 33, 73.0),
