@@ -13,12 +13,16 @@ other in every few coordinates as related ones. The tree here has two levels ins
   sum of minima over the coordinates after those is below ``need``, so that points without a common
   box cannot link. The directory is a shuffle of packed arrays.
 * Within a box, points meet in pairs; ``GROUPS`` coarse coordinates bound the overlap by the sum of
-  minima, and only pairs that pass the bound are verified on the full sets.
+  minima. Pairs that pass meet again in fine coordinates, two to four times as many as the text has shingles: a
+  coarse coordinate is the sum of the fine ones below it, so that texts of any two sizes compare at the finer
+  level that both have. Unrelated texts, which coarse sums cannot tell apart when they are long, stay far
+  below the need there. Only pairs that pass both bounds have their texts read and are verified on the full sets.
 
 A box with more than ``PAIRED`` points is not paired out. Its points are compared with one pivot,
 the point that lies in most of such boxes: of a family of copies that is the one with the fewest changes.
 Those that are not connected with it get another pivot, for ``ROUNDS`` rounds. Whoever is alone after
-that is compared with the rest. Links that cannot change a component are not verified. All of this
+that is compared with the rest, in the box of the first coordinate that two points share: what each has from there
+on bounds what they share, so that points with many coordinates of their own before it do not meet. Links that cannot change a component are not verified. All of this
 is exact: no candidate is dropped.
 
 A null doc_id has no component (null) and links with nothing; rows of one doc_id are one document
@@ -110,6 +114,14 @@ class Common:
         return out
 
 
+def fine_counts(s: np.ndarray) -> bytes:
+    """Counts per fine group, compressed; the groups are the lowest bits, as those of the coarse counts are. Empty
+    when a count does not fit a byte: such a point passes."""
+    groups = max(GROUPS, 1 << (2 * len(s)).bit_length())
+    counts = np.bincount((s & np.uint64(groups - 1)).astype("int64"), minlength=groups)
+    return zlib.compress(counts.astype("uint8").tobytes(), 1) if counts.max() < 256 else b""
+
+
 def lead(n: int) -> int:
     """How many leading coordinates place a point of ``n`` shingles."""
     return n - (PERCENT * n + 99) // 100 + 1
@@ -139,16 +151,16 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, seen, waiting, size = _Hashes(), set(), [], 0
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows)) or [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n", "point", "counts", "keys"])
+        columns = list(zip(*rows)) or [[]] * 6
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n", "point", "counts", "fine", "keys"])
 
     def repeated() -> pa.RecordBatch:
         keys, times = np.unique(np.concatenate([*waiting, np.zeros(0, "uint32")]), return_counts=True)
         keys, times = keys[times > 1], times[times > 1]
         waiting.clear()
         seen.clear()
-        return batch_of([(None, -1, None, times.astype("int64").tobytes(), keys.tobytes())])
+        return batch_of([(None, -1, None, times.astype("int64").tobytes(), None, keys.tobytes())])
 
     for ids, texts in _texts(batches):
         out = []
@@ -156,7 +168,7 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = shingles(text, hashes)
             point = point_of(s)
             counts = np.bincount((s % np.uint64(GROUPS)).astype("int64"), minlength=GROUPS).astype("int32")
-            out.append((doc, len(s), point, counts.tobytes(), None))
+            out.append((doc, len(s), point, counts.tobytes(), fine_counts(s), None))
             if point not in seen:
                 seen.add(point)
                 waiting.append(_short(s))
@@ -168,11 +180,11 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield repeated()
 
 
-POINT = "doc_id long, n long, point long, counts binary, keys binary"
+POINT = "doc_id long, n long, point long, counts binary, fine binary, keys binary"
 
 
 def points(docs: DataFrame) -> DataFrame:
-    """One settled row per document: size, identity of the set, coarse counts; and the rows of
+    """One settled row per document: size, identity of the set, coarse and fine counts; and the rows of
     repeated shingles, whose ``n`` is -1."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return settle(rows.mapInArrow(_points, POINT), "points")
@@ -185,7 +197,7 @@ def _packed(parts: list[tuple[np.ndarray, ...]], bucket: np.ndarray) -> Iterator
     runs = np.split(order, edges) if len(order) else []
     arrays = [pa.array([int(bucket[r[0]]) for r in runs], pa.int32())]
     arrays += [pa.array([c[r].tobytes() for r in runs], pa.binary()) for c in parts]
-    yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "keys", "ids"][: len(arrays)])
+    yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "keys", "ids", "places"])
 
 
 def common_boxes(repeated: DataFrame, total: int) -> Common:
@@ -207,7 +219,7 @@ def common_boxes(repeated: DataFrame, total: int) -> Common:
 
 def candidates(docs: DataFrame, common: Common, total: int) -> DataFrame:
     """Settled rows: pairs of points of small boxes (kind 0, a, b) and members of large ones
-    (kind 1, box, point)."""
+    (kind 1, box, point, place): the place of the box among the coordinates of the point."""
     buckets = max(1, -(-total // KEYS_PER_TASK))
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
@@ -223,21 +235,24 @@ def candidates(docs: DataFrame, common: Common, total: int) -> DataFrame:
                 continue
             keys = np.concatenate(list(seen.values()))
             ids = np.repeat(np.fromiter(seen, "int64", len(seen)), [len(v) for v in seen.values()])
+            places = np.concatenate([np.arange(len(v), dtype="int32") for v in seen.values()])
             # common boxes are spread by point: they are not matched there
             by = np.where(last.frequency(keys) > 0, ids.view("uint64"), keys >> np.uint64(7))
-            yield from _packed([keys, ids], (by % np.uint64(buckets)).astype("int32"))
+            yield from _packed([keys, ids, places], (by % np.uint64(buckets)).astype("int32"))
 
     def meet(batches):
-        keys, ids = [], []
+        keys, ids, places = [], [], []
         for batch in batches:
             keys += batch.column(1).to_pylist()
             ids += batch.column(2).to_pylist()
+            places += batch.column(3).to_pylist()
         key, point = np.frombuffer(b"".join(keys), "uint64"), np.frombuffer(b"".join(ids), "int64")
+        place = np.frombuffer(b"".join(places), "int32")
         order = np.lexsort((point, key))
-        key, point = key[order], point[order]
+        key, point, place = key[order], point[order], place[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (point[1:] != point[:-1])
-        key, point = key[new], point[new]
+        key, point, place = key[new], point[new], place[new]
         begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, "int64")
         sizes = np.diff(np.append(begins, len(key)))
         size = np.repeat(sizes, sizes)
@@ -250,11 +265,14 @@ def candidates(docs: DataFrame, common: Common, total: int) -> DataFrame:
         members = np.column_stack([key[large].view("int64"), point[large]])
         kind = np.repeat([0, 1], [len(pairs), len(members)])
         both = np.concatenate([pairs, members])
-        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["kind", "a", "b"])
+        at = np.concatenate([np.zeros(len(pairs), "int32"), place[large]])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(kind, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(at)], names=["kind", "a", "b", "place"]
+        )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id IS NOT NULL")
-    packed = rows.mapInArrow(send, "bucket int, keys binary, ids binary").repartition(buckets, "bucket")
-    return settle(packed.mapInArrow(meet, "kind int, a long, b long"), "boxes")
+    packed = rows.mapInArrow(send, "bucket int, keys binary, ids binary, places binary").repartition(buckets, "bucket")
+    return settle(packed.mapInArrow(meet, "kind int, a long, b long, place int"), "boxes")
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,14 +287,43 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(100 * most >= PERCENT * (na + nb - most)))
 
 
+def _finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``_bounded``, in the finer coordinates."""
+    held: dict[int, np.ndarray] = {}
+
+    def of(point: int, packed: pa.Scalar) -> np.ndarray:
+        if point not in held:
+            if len(held) > 2000:
+                held.clear()
+            held[point] = np.frombuffer(zlib.decompress(packed.as_py()), "uint8").astype("int32")
+        return held[point]
+
+    for batch in batches:
+        a, b, na, nb, fa, fb = batch.columns
+        keep = []
+        for i, (p, q, n) in enumerate(zip(a.to_pylist(), b.to_pylist(), (na.to_numpy() + nb.to_numpy()).tolist())):
+            if not len(fa[i].as_py()) or not len(fb[i].as_py()):
+                keep.append(True)
+                continue
+            x, y = of(p, fa[i]), of(q, fb[i])
+            groups = min(len(x), len(y))
+            most = int(np.minimum(x.reshape(-1, groups).sum(axis=0), y.reshape(-1, groups).sum(axis=0)).sum())
+            keep.append(100 * most >= PERCENT * (n - most))
+        yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def bounded(pairs: DataFrame, where: DataFrame) -> DataFrame:
-    """The pairs (a, b) of points that pass the bound; ``where`` has (point, n, counts)."""
+    """The pairs (a, b) of points that pass both bounds; ``where`` has (point, n, counts, fine)."""
     left = where.select(F.col("point").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
     right = where.select(F.col("point").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
     near = pairs.join(left.select("a", "na"), "a").join(right.select("b", "nb"), "b")
     near = near.filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")).select("a", "b")
     full = near.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ca", "cb")
-    return full.mapInArrow(_bounded, "a long, b long")
+    passed = settle(full.mapInArrow(_bounded, "a long, b long"), "coarse")
+    left = where.select(F.col("point").alias("a"), F.col("n").alias("na"), F.col("fine").alias("fa"))
+    right = where.select(F.col("point").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("fb"))
+    full = passed.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "fa", "fb")
+    return full.mapInArrow(_finely, "a long, b long")
 
 
 def needed_texts(docs: DataFrame, found: DataFrame, reps: DataFrame, needed: DataFrame) -> DataFrame:
@@ -355,7 +402,7 @@ def _placed(leaves: DataFrame, labels: DataFrame) -> DataFrame:
     of_pivot = labels.select(F.col("node").alias("pivot"), F.col("component").alias("its"))
     both = leaves.join(of_point, "point", "left").join(of_pivot, "pivot", "left")
     of = F.coalesce("mine", "point")
-    return both.select("box", "point", "n", "w", of.alias("of"), (of != F.coalesce("its", "pivot")).alias("alone"))
+    return both.select("box", "point", "place", "n", "w", of.alias("of"), (of != F.coalesce("its", "pivot")).alias("alone"))
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -371,7 +418,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     common = common_boxes(both.filter("n < 0"), total)
     boxes = candidates(docs, common, leading)
 
-    inside = boxes.filter("kind = 1").select(F.col("a").alias("box"), F.col("b").alias("point"))
+    inside = boxes.filter("kind = 1").select(F.col("a").alias("box"), F.col("b").alias("point"), "place")
     weights = inside.groupBy("point").agg(F.count(F.lit(1)).alias("w"))
     leaves = settle(inside.join(weights, "point").join(reps.select("point", "n"), "point"), "leaves")
     leaves = settle(leaves.join(_pivots(leaves), "box"), "pivots")
@@ -381,11 +428,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     named = pairs.select(F.col("a").alias("point")).union(pairs.select("b")).union(leaves.select("point")).distinct()
     texts = needed_texts(docs, found, reps, named)
-    # one pair per point first, with the heaviest partner: it usually connects all that can be
-    heavy = pairs.join(weights.withColumnRenamed("point", "a"), "a", "left").withColumn("w", F.coalesce("w", F.lit(0)))
-    links = verified(heavy.groupBy("b").agg(F.max_by("a", "w").alias("a")).select("a", "b"), reps, texts)
-    labels = settle(components(links), "labels")
-    links = links.union(verified(_apart(pairs, labels), reps, texts))
+    links = verified(pairs, reps, texts)  # few: the fine counts have left little but links
     labels = settle(components(links), "labels")
     for k in range(ROUNDS):
         placed = _placed(leaves, labels)
@@ -397,11 +440,13 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         labels = settle(components(links), "labels")
     # whoever is not with the first pivot now meets all the others of the box
     placed = settle(_placed(leaves, labels), "placed")
-    lone = placed.filter("alone").select("box", F.col("point").alias("p"), F.col("of").alias("of_p"), F.col("n").alias("np"))
-    rest = placed.select("box", F.col("point").alias("q"), F.col("of").alias("of_q"), F.col("n").alias("nq"), "alone")
+    # whose first common coordinate the box is: what both have from there on must be enough
+    left = F.col("n") - F.col("place")
+    lone = placed.filter("alone").select("box", F.col("point").alias("p"), F.col("of").alias("of_p"), F.col("n").alias("np"), left.alias("lp"))
+    rest = placed.select("box", F.col("point").alias("q"), F.col("of").alias("of_q"), F.col("n").alias("nq"), left.alias("lq"), "alone")
     may = (F.col("of_p") != F.col("of_q")) & (~F.col("alone") | (F.col("p") < F.col("q")))
-    sizes = 100 * F.least("np", "nq") >= PERCENT * F.greatest("np", "nq")
-    others = lone.join(rest, (lone["box"] == rest["box"]) & may & sizes).select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
+    enough = (100 + PERCENT) * F.least("lp", "lq") >= PERCENT * (F.col("np") + F.col("nq"))
+    others = lone.join(rest, (lone["box"] == rest["box"]) & may & enough).select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
     links = links.union(verified(bounded(others, reps), reps, texts))
     return found, settle(components(links), "labels")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +125,27 @@ def test_pipeline(spark, tmp_path, documents):
     assert last.count() == odd.count() and last.select(F.max("shard")).first()[0] == 7
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_fine_counts_bound_what_is_shared():
+    """Never below the shared shingles, and far below the need for unrelated texts, at every size and ratio of sizes."""
+    rng = np.random.default_rng(6)
+    for n in (1, 5, 60, 64, 700, 3000):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype="uint64"))
+        for share in (0.0, 0.5, 0.9, 1.0):
+            for m in {n, max(1, int(0.8 * n)), int(1.25 * n)}:
+                kept = x[: int(share * min(n, m))]
+                y = np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, m - len(kept), dtype="uint64")]))
+                both = len(np.intersect1d(x, y))
+                row = [pa.array([v]) for v in (1, 2, len(x), len(y))] + [pa.array([jaccard.fine_counts(v)]) for v in (x, y)]
+                passed = sum(b.num_rows for b in jaccard._finely(iter([pa.RecordBatch.from_arrays(row, names=list("abcdef"))])))
+                linked = 100 * both >= 80 * (len(x) + len(y) - both)
+                assert passed or not linked
+                assert not passed or share > 0 or n < 60
+
+
+def test_a_count_beyond_a_byte_passes():
+    s = np.arange(300, dtype="uint64") << np.uint64(20)
+    assert jaccard.fine_counts(s) == b""
+    row = [pa.array([v]) for v in (1, 2, 300, 300)] + [pa.array([b""]), pa.array([jaccard.fine_counts(s + np.uint64(1))])]
+    assert [b.num_rows for b in jaccard._finely(iter([pa.RecordBatch.from_arrays(row, names=list("abcdef"))]))] == [1]
