@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eddyfield.llm.common import held_out
+from eddyfield.session import settle
 
 UNKNOWN = "und"
 LONGEST = 5
@@ -67,7 +68,8 @@ def learn(docs: DataFrame, max_rows: int = 2000, max_words: int = 30_000, max_gr
     their id from those that are not held out, and from them the ``max_words`` commonest words and
     ``max_grams`` commonest n-grams of each length. A rare language is learned at every size of the table."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
-    shares = rows.groupBy(F.col("lang").alias("of")).agg((F.lit(float(max_rows)) / F.count(F.lit(1))).alias("share"))
+    # settled, so that its size is known and no text is shuffled to it: a row per language
+    shares = settle(rows.groupBy(F.col("lang").alias("of")).agg((F.lit(float(max_rows)) / F.count(F.lit(1))).alias("share")), "shares")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / F.lit(1e6)
     rows = rows.join(shares, F.col("lang") == F.col("of")).filter(draw < F.col("share"))
     counts = (
