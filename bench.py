@@ -39,10 +39,14 @@ HEADLINE = [
     "median_filter",
     "regrid_linear",
     "regrid_batch",
+    "regrid_triangles",
     "concentration_pdf",
     "region_report",
     "noise_report",
     "interleave_heads",
+    "interleave_native",
+    "incremental_stats",
+    "sketch_report",
     "lateral_profile",
     "gaussian_fit",
     "particle_advect_steps",

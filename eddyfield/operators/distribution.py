@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eddyfield.functions.missing import complete
 from eddyfield.functions.scalar import lgamma
-from eddyfield.session import settle
+from eddyfield.session import discard, settle
 
 # The quantiles of a field report and of a noise report, in percent.
 FIELD_QUANTILES = [0, 10, 25, 50, 75, 90, 100]
@@ -179,10 +179,11 @@ def order_statistics(samples: DataFrame, keys: list[str], value: str, percents:
     in 4096 equal parts of every bracket (one counter per part leaves a task, however many
     rows it saw) and keeps the one part that holds the rank, shrunk to its smallest and largest
     member. A few passes end with all brackets closed on one value. No group is sorted or
-    gathered, and equal values cost nothing extra.
+    gathered, and equal values cost nothing extra. The passes read the one column from the shared folder; what made
+    it is worked out once.
     """
     v = F.col(value)
-    present = samples.filter(v.isNotNull()).select(*keys, v.alias("_v"))
+    present = settle(samples.filter(v.isNotNull()).select(*keys, v.alias("_v")), "present")
     totals = present.groupBy(*keys).agg(F.count("_v").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     share = F.array(*[F.lit(float(p)) for p in percents])
     position = F.col("percent") / 100.0 * (F.col("n") - 1)
@@ -224,6 +225,7 @@ def order_statistics(samples: DataFrame, keys: list[str], value: str, percents:
             ),
             "ranked",
         )
+    discard(present)  # all that follows is settled
     ranks = closed[0]
     for more in closed[1:]:
         ranks = ranks.unionByName(more)

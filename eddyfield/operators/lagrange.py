@@ -1,9 +1,9 @@
 """Particles carried by the velocity field, and the stretching of their paths.
 
 All particles of all start frames move together. A frame of velocities is one row, as large as the
-sensor. A Runge-Kutta step of the particles of one start frame needs two frames only, so that a step
-is one co-group by start frame: particles and frames are shuffled once, and the four stages are
-array operations in one task per start frame.
+sensor. A Runge-Kutta step of the particles of one start frame needs two frames only, and n steps need n + 1: as
+many steps as fit ``FRAMES_HELD`` bytes of frames are one co-group by start frame, in which particles and frames are
+shuffled once, and the stages are array operations in one task per start frame.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from eddyfield.operators.stencil import Tile, beside, line_along, with_rims
 from eddyfield.session import discard, settle
 
 PARTICLE = ["case_id", "start_t", "y", "x"]
+FRAMES_HELD = 1 << 27  # bytes of the frames that a task holds beside those of the step it takes
 
 
 def geometry(axis: DataFrame) -> DataFrame:
@@ -134,6 +135,12 @@ class _Frame:
         return [np.where(weight == 0, out[k], np.where(weight == 1, inside[k], out[k] + (inside[k] - out[k]) * weight)) for k in ("u", "v")]
 
 
+def steps_at_once(frames: DataFrame, held: int = FRAMES_HELD) -> int:
+    """How many steps one co-group takes: with one more frame than that, u and v as doubles, within ``held`` bytes."""
+    pixels = frames.agg(F.max(F.col("ny").cast("long") * F.col("nx"))).first()[0] or 1
+    return max(1, held // (16 * pixels) - 1)
+
+
 def particle_advect(
     voxel: DataFrame,
     axis: DataFrame,
@@ -143,14 +150,15 @@ def particle_advect(
     direction: int = 1,
     method: str = "cubic",
     blend: float = BLEND,
+    held: int = FRAMES_HELD,
 ) -> DataFrame:
     """Positions after ``n_steps`` Runge-Kutta steps of particles that start on every pixel in
     every frame: ``(case_id, start_t, y, x, px, py)`` in the unit of the axes.
 
     ``method`` is the interpolation in space: "cubic" (not-a-knot spline) or "linear".
     The velocity of a time between two frames is that of the frame at or before it. A particle
-    whose time leaves the recording, or that meets a missing velocity, has no position. Each step is
-    stored, and the one before it removed; jobs run while this is called.
+    whose time leaves the recording, or that meets a missing velocity, has no position. The positions after every
+    co-group of steps are stored, and those before it removed; jobs run while this is called.
     """
     if direction not in (1, -1):
         raise ValueError("direction is 1 (forward) or -1 (backward)")
@@ -160,29 +168,35 @@ def particle_advect(
     start = roi_coords(voxel.select("case_id", F.col("t").alias("start_t"), "y", "x"), axis)
     state = start.select(*PARTICLE, F.col("x_mm").alias("px"), F.col("y_mm").alias("py"))
     step = direction * dt
-    for n in range(n_steps):
+    together = steps_at_once(frames, held)
+    for begin in range(0, n_steps, together):
+        steps = range(begin, min(begin + together, n_steps))
 
-        def advance(key, particles, two):
-            now = key[1] + direction * n
-            known = {int(row["t"]): _Frame(row, method, blend) for row in two.to_dict("records")}
+        def advance(key, particles, several):
+            rows = {int(row["t"]): row for row in several.to_dict("records")}
             px, py = particles["px"].to_numpy(dtype="float64"), particles["py"].to_numpy(dtype="float64")
-            end = now + direction
-            if len(known) < 2:
-                return particles.assign(px=np.nan, py=np.nan)
-            first, between, last = known[now], known[min(now, end)], known[end]
-            u1, v1 = first.velocity(px, py)
-            u2, v2 = between.velocity(px + step / 2 * u1, py + step / 2 * v1)
-            u3, v3 = between.velocity(px + step / 2 * u2, py + step / 2 * v2)
-            u4, v4 = last.velocity(px + step * u3, py + step * v3)
-            return particles.assign(px=px + step / 6 * (u1 + 2 * u2 + 2 * u3 + u4), py=py + step / 6 * (v1 + 2 * v2 + 2 * v3 + v4))
-
-        at = F.col("t") - direction * n
-        used = frames.withColumn("start_t", F.explode(F.array(at, at - direction)))
+            known: dict[int, _Frame] = {}
+            for n in steps:
+                now = key[1] + direction * n
+                end = now + direction
+                if now not in rows or end not in rows:
+                    return particles.assign(px=np.nan, py=np.nan)
+                known = {t: known[t] if t in known else _Frame(rows[t], method, blend) for t in (now, end)}
+                first, between, last = known[now], known[min(now, end)], known[end]
+                u1, v1 = first.velocity(px, py)
+                u2, v2 = between.velocity(px + step / 2 * u1, py + step / 2 * v1)
+                u3, v3 = between.velocity(px + step / 2 * u2, py + step / 2 * v2)
+                u4, v4 = last.velocity(px + step * u3, py + step * v3)
+                px, py = px + step / 6 * (u1 + 2 * u2 + 2 * u3 + u4), py + step / 6 * (v1 + 2 * v2 + 2 * v3 + v4)
+            return particles.assign(px=px, py=py)
+
+        needed = [F.col("t") - direction * n for n in (*steps, steps[-1] + 1)]
+        used = frames.withColumn("start_t", F.explode(F.array(*needed)))
         moved = state.groupBy("case_id", "start_t").cogroup(used.groupBy("case_id", "start_t")).applyInPandas(
             advance, "case_id string, start_t int, y int, x int, px double, py double"
         )
         before, state = state, settle(moved, "particles")
-        if n:
+        if begin:
             discard(before)
     return state
 

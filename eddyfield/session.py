@@ -83,7 +83,9 @@ def discard(table: DataFrame) -> None:
     """Remove the files of a table that ``settle`` stored and that nothing reads any more."""
     spark = table.sparkSession
     files = table.inputFiles()
-    folder = files[0].rsplit("/", 1)[0] if files else ""
+    if not files:  # an empty table without a file
+        return
+    folder = files[0].rsplit("/", 1)[0]
     if f"/eddyfield-{spark.sparkContext.applicationId}/" not in folder:
         raise ValueError("only settled tables can be discarded")
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

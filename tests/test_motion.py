@@ -161,3 +161,18 @@ def test_bad_parameters(cube, axes):
     for bad in ({"direction": 2}, {"method": "quintic"}):
         with pytest.raises(ValueError):
             lagrange.particle_advect(table, axes, 1, **bad)
+
+
+@pytest.mark.parametrize("direction", [1, -1])
+def test_steps_in_one_group_or_in_many(cube, axes, direction):
+    """The same paths, whatever a task may hold; also where the recording ends within a group."""
+    table = flow(cube, lambda x, y: 0.3 * y + 0.1, lambda x, y: -0.2 * x, frames=6)
+    size = 16 * len(XS) * len(YS)
+    alone = lagrange.particle_advect(table, axes, 4, dt=0.1, direction=direction, method="linear", held=size)
+    pairs = lagrange.particle_advect(table, axes, 4, dt=0.1, direction=direction, method="linear", held=3 * size)
+    whole = lagrange.particle_advect(table, axes, 4, dt=0.1, direction=direction, method="linear")
+    assert ends(alone).keys() == ends(pairs).keys() == ends(whole).keys()
+    gone = {k for k, v in ends(whole).items() if v[0] is None}
+    assert {k[0] for k in gone} == ({2, 3, 4, 5} if direction == 1 else {0, 1, 2, 3})
+    for other in (ends(alone), ends(pairs)):  # means of the flow are summed in any order
+        assert all(other[k] == v if k in gone else other[k] == pytest.approx(v, abs=1e-12) for k, v in ends(whole).items())
