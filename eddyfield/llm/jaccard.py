@@ -45,7 +45,7 @@ from pyspark.sql.types import LongType
 
 from eddyfield.llm.common import sieve
 from eddyfield.llm.components import components
-from eddyfield.session import settle
+from eddyfield.session import rows_per_batch, settle
 
 WORDS_PER_SHINGLE = 5
 PERCENT = 80
@@ -55,21 +55,39 @@ COMMON = 64  # a shingle in more texts than this is common ...
 MOST_COMMON = 500_000  # ... or in so many that there cannot be more than this number of them
 COUNTED_TOGETHER = 4_000_000  # shingles
 KEYS_PER_TASK = 1_000_000
+KEYS_PER_ROUND = 500_000  # leading coordinates that a task holds before it sends them
+ROWS_PER_BATCH = 1000  # texts that go to Python at once
+HELD = 16_000_000  # bytes of sets or counts that a task remembers
 ROUNDS = 1
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype="uint64")
 
 
 class _Hashes(dict):
-    """Hashes of words, remembered up to a limit."""
+    """Hashes of words, the first ``MOST`` remembered: the frequent ones are among them."""
+
+    MOST = 50_000
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(self) < self.MOST:
+            self[word] = value
         return value
 
 
+class _Held(dict):
+    """Arrays by point, forgotten when they fill ``HELD`` bytes: pivots and neighbours in the sort come again soon."""
+
+    size = 0
+
+    def __setitem__(self, point: int, value: np.ndarray) -> None:
+        if self.size + value.nbytes > HELD:
+            self.clear()
+            self.size = 0
+        self.size += value.nbytes
+        super().__setitem__(point, value)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _ODD[0]
     return x ^ (x >> np.uint64(29))
@@ -225,20 +243,29 @@ def candidates(docs: DataFrame, common: Common, total: int) -> DataFrame:
 
     def send(batches):
         hashes, last = _Hashes(), shared.value
-        for _, texts in _texts(batches):
-            seen = {}
-            for text in texts:
-                s = shingles(text, hashes)
-                if len(s):
-                    seen[point_of(s)] = _leading(s, last)
-            if not seen:
-                continue
+        seen, size = {}, 0
+
+        def sent():
             keys = np.concatenate(list(seen.values()))
             ids = np.repeat(np.fromiter(seen, "int64", len(seen)), [len(v) for v in seen.values()])
             places = np.concatenate([np.arange(len(v), dtype="int32") for v in seen.values()])
+            seen.clear()
             # common boxes are spread by point: they are not matched there
             by = np.where(last.frequency(keys) > 0, ids.view("uint64"), keys >> np.uint64(7))
-            yield from _packed([keys, ids, places], (by % np.uint64(buckets)).astype("int32"))
+            return _packed([keys, ids, places], (by % np.uint64(buckets)).astype("int32"))
+
+        for _, texts in _texts(batches):
+            for text in texts:
+                s = shingles(text, hashes)
+                point = point_of(s)
+                if len(s) and point not in seen:
+                    seen[point] = _leading(s, last).copy()  # not a view, which would hold all of the set
+                    size += len(seen[point])
+                if size > KEYS_PER_ROUND:
+                    size = 0
+                    yield from sent()
+        if seen:
+            yield from sent()
 
     def meet(batches):
         keys, ids, places = [], [], []
@@ -248,6 +275,7 @@ def candidates(docs: DataFrame, common: Common, total: int) -> DataFrame:
             places += batch.column(3).to_pylist()
         key, point = np.frombuffer(b"".join(keys), "uint64"), np.frombuffer(b"".join(ids), "int64")
         place = np.frombuffer(b"".join(places), "int32")
+        del keys, ids, places
         order = np.lexsort((point, key))
         key, point, place = key[order], point[order], place[order]
         new = np.ones(len(key), bool)
@@ -289,13 +317,11 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """As ``_bounded``, in the finer coordinates."""
-    held: dict[int, np.ndarray] = {}
+    held = _Held()
 
     def of(point: int, packed: pa.Scalar) -> np.ndarray:
         if point not in held:
-            if len(held) > 2000:
-                held.clear()
-            held[point] = np.frombuffer(zlib.decompress(packed.as_py()), "uint8").astype("int32")
+            held[point] = np.frombuffer(zlib.decompress(packed.as_py()), "uint8")
         return held[point]
 
     for batch in batches:
@@ -307,13 +333,13 @@ def _finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             x, y = of(p, fa[i]), of(q, fb[i])
             groups = min(len(x), len(y))
-            most = int(np.minimum(x.reshape(-1, groups).sum(axis=0), y.reshape(-1, groups).sum(axis=0)).sum())
+            most = int(np.minimum(x.reshape(-1, groups).sum(axis=0, dtype="int32"), y.reshape(-1, groups).sum(axis=0, dtype="int32")).sum())
             keep.append(100 * most >= PERCENT * (n - most))
         yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def bounded(pairs: DataFrame, where: DataFrame) -> DataFrame:
-    """The pairs (a, b) of points that pass both bounds; ``where`` has (point, n, counts, fine)."""
+    """The pairs (a, b) of points that pass both bounds, settled; ``where`` has (point, n, counts, fine)."""
     left = where.select(F.col("point").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
     right = where.select(F.col("point").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
     near = pairs.join(left.select("a", "na"), "a").join(right.select("b", "nb"), "b")
@@ -323,7 +349,8 @@ def bounded(pairs: DataFrame, where: DataFrame) -> DataFrame:
     left = where.select(F.col("point").alias("a"), F.col("n").alias("na"), F.col("fine").alias("fa"))
     right = where.select(F.col("point").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("fb"))
     full = passed.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "fa", "fb")
-    return full.mapInArrow(_finely, "a long, b long")
+    # settled, so that no task runs the workers of this step and of the next one at once
+    return settle(full.mapInArrow(_finely, "a long, b long"), "bounded")
 
 
 def needed_texts(docs: DataFrame, found: DataFrame, reps: DataFrame, needed: DataFrame) -> DataFrame:
@@ -350,12 +377,10 @@ def needed_texts(docs: DataFrame, found: DataFrame, reps: DataFrame, needed: Dat
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, sets = _Hashes(), {}
+    hashes, sets = _Hashes(), _Held()
 
     def of(point: int, text: pa.Scalar) -> np.ndarray:
         if point not in sets:
-            if len(sets) > 2000:  # pivots and neighbours in the sort come again soon
-                sets.clear()
             sets[point] = shingles(zlib.decompress(text.as_py()), hashes)
         return sets[point]
 
@@ -407,6 +432,11 @@ def _placed(leaves: DataFrame, labels: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The points of the documents, one row each, and (node, component) of the points that link."""
+    with rows_per_batch(docs.sparkSession, ROWS_PER_BATCH):
+        return _linked(docs)
+
+
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = points(docs)
     found = both.filter("n >= 0").drop("keys")
     linkable = found.filter("doc_id IS NOT NULL AND n > 0")
@@ -424,7 +454,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     leaves = settle(leaves.join(_pivots(leaves), "box"), "pivots")
     stars = leaves.filter("point <> pivot").select(F.col("pivot").alias("a"), F.col("point").alias("b"))
     small = boxes.filter("kind = 0").select("a", "b")
-    pairs = settle(bounded(small.union(stars).distinct(), reps), "pairs")
+    pairs = bounded(small.union(stars).distinct(), reps)
 
     named = pairs.select(F.col("a").alias("point")).union(pairs.select("b")).union(leaves.select("point")).distinct()
     texts = needed_texts(docs, found, reps, named)

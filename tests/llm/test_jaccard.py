@@ -149,3 +149,24 @@ def test_a_count_beyond_a_byte_passes():
     assert jaccard.fine_counts(s) == b""
     row = [pa.array([v]) for v in (1, 2, 300, 300)] + [pa.array([b""]), pa.array([jaccard.fine_counts(s + np.uint64(1))])]
     assert [b.num_rows for b in jaccard._finely(iter([pa.RecordBatch.from_arrays(row, names=list("abcdef"))]))] == [1]
+
+
+def test_what_a_task_remembers_is_bounded_by_bytes():
+    """Sets of long texts, too, and many words."""
+    held = jaccard._Held()
+    for point in range(300):
+        held[point] = np.zeros(20_000)
+        assert sum(a.nbytes for a in held.values()) <= jaccard.HELD
+    assert 299 in held
+    hashes = jaccard._Hashes()
+    jaccard.shingles(" ".join(map(str, range(3 * jaccard._Hashes.MOST))).encode(), hashes)
+    assert len(hashes) == jaccard._Hashes.MOST
+
+
+def test_few_texts_go_to_python_at_once(documents, monkeypatch):
+    docs = documents(*[(i, f"a b c d e f{i}") for i in range(20)])
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, points = docs.sparkSession.conf.get(name), jaccard.points
+    monkeypatch.setattr(jaccard, "points", lambda docs: seen.append(docs.sparkSession.conf.get(name)) or points(docs))
+    assert jaccard.near_groups(docs).count() == 20
+    assert seen == [str(jaccard.ROWS_PER_BATCH)] and docs.sparkSession.conf.get(name) == before
