@@ -5,9 +5,10 @@ accept is always redacted. Besides, generators of high recall propose spans that
 numbers that a longer run of digits hides, every range of groups of digits in a run of numbers,
 addresses spelled with (at) or [at], and all that
 looks like one of the kinds. Boosted trees judge the proposals by format and context. They learn
-from the proposals that the base patterns accept or refuse as a whole; a proposal inside a refused
-run, and a range of a longer run that the base patterns do not accept, has no label. The threshold of a kind is the lowest at which, among labelled proposals kept
-from learning, ``PRECISION`` of the selected are right. Of selected spans that overlap, the likeliest
+from all proposals that the base patterns accept or refuse as a whole; a proposal inside a refused
+run, and a range of a longer run that the base patterns do not accept, has no label. The threshold of a kind is the lowest at which
+``PRECISION`` of the selected labelled proposals are right, each judged by trees that learned from the other ``FOLDS - 1`` folds
+of rows, never from itself. Of selected spans that overlap, the likeliest
 stays; one that overlaps a base span is dropped.
 
 A null or empty text has no spans. Without proposals of both labels nothing is added. Rows are
@@ -18,11 +19,12 @@ are code points, the end exclusive.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +33,8 @@ from eddyfield.session import settle
 
 KINDS = ["email", "ip", "card", "phone"]
 PRECISION = 0.99
-LEARNED, TREES, DEPTH = 20_000, 20, 3
+TREES, DEPTH = 20, 3
+FOLDS = 2  # for the thresholds
 
 # The base patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -199,30 +202,44 @@ def _string_of(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["stop"])), ",")
 
 
+def _trees(labelled: DataFrame) -> GBTClassificationModel | None:
+    """Trees from all the rows given; none where they do not have both labels."""
+    if labelled.select("label").distinct().count() < 2:
+        return None
+    return GBTClassifier(featuresCol="features", maxIter=TREES, maxDepth=DEPTH, seed=1).fit(labelled.select("features", "label"))
+
+
+def _judged_by(model: GBTClassificationModel, proposed: DataFrame) -> DataFrame:
+    return model.transform(proposed).withColumn("p", vector_to_array("probability")[1])
+
+
 def selected(proposed: DataFrame) -> DataFrame:
-    """(row, kind, start, stop, p) of the proposals that the trees select. They learn from about
-    ``LEARNED`` labelled proposals, drawn by a hash; as many others set the thresholds."""
+    """(row, kind, start, stop, p) of the proposals that the trees select. They learn from every labelled
+    proposal. The thresholds come from all of them too: those of a fold are judged by trees of the other folds."""
     labelled = proposed.filter("label IS NOT NULL")
-    share = min(0.5, LEARNED / max(1, labelled.count()))
-    draw = F.pmod(F.xxhash64("row", "kind", "start"), F.lit(1_000_000))
-    learned = labelled.filter(draw < int(share * 1_000_000))
-    kinds = {r["label"] for r in learned.select("label").distinct().collect()}
-    if len(kinds) < 2:
+    model = _trees(labelled)
+    if model is None:
         return proposed.select("row", "kind", "start", "stop", F.lit(0.0).alias("p")).limit(0)
-    model = GBTClassifier(featuresCol="features", maxIter=TREES, maxDepth=DEPTH, seed=1).fit(learned.select("features", "label"))
-    judged = model.transform(proposed).withColumn("p", vector_to_array("probability")[1])
-    calibration = judged.filter(F.col("label").isNotNull() & (draw >= int(share * 1_000_000)) & (draw < int(2 * share * 1_000_000)))
-    counts = calibration.groupBy("kind", F.floor(F.col("p") * 100).cast("int").alias("bin")).agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("n"))
+    fold = F.pmod(F.xxhash64("row"), F.lit(FOLDS))
+    counts: Counter[tuple[int, int]] = Counter()
+    right: Counter[tuple[int, int]] = Counter()
+    for k in range(FOLDS):
+        others = _trees(labelled.filter(fold != k))
+        if others is None:
+            continue
+        bins = _judged_by(others, labelled.filter(fold == k)).groupBy("kind", F.floor(F.col("p") * 100).cast("int").alias("bin"))
+        for r in bins.agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("n")).collect():
+            counts[r["kind"], r["bin"]] += r["n"]
+            right[r["kind"], r["bin"]] += r["right"]
     thresholds = dict.fromkeys(range(len(KINDS)), 2.0)
-    sums: dict[int, list[float]] = {}
-    for r in sorted(counts.collect(), key=lambda r: -r["bin"]):
-        right = sums.setdefault(r["kind"], [0.0, 0])
-        right[0] += r["right"]
-        right[1] += r["n"]
-        if right[0] >= PRECISION * right[1] and r["bin"] >= 50:
-            thresholds[r["kind"]] = r["bin"] / 100
+    for kind in thresholds:
+        n = good = 0
+        for at in range(100, 49, -1):
+            n, good = n + counts[kind, at], good + right[kind, at]
+            if counts[kind, at] and good >= PRECISION * n:
+                thresholds[kind] = at / 100
     limit = F.array(*[F.lit(thresholds[k]) for k in range(len(KINDS))])[F.col("kind")]
-    return judged.filter(F.col("p") >= limit).select("row", "kind", "start", "stop", "p")
+    return _judged_by(model, proposed).filter(F.col("p") >= limit).select("row", "kind", "start", "stop", "p")
 
 
 def find(docs: DataFrame) -> DataFrame:

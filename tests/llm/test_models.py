@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  registers the queries
@@ -120,6 +121,18 @@ def test_cards_in_a_row_are_all_found(documents):
     assert got[9000] == [(2, 5, 24), (2, 25, 44)] and (2, 14, 33) in got[9001]
 
 
+def test_trees_and_thresholds_see_every_labelled_proposal(spark, monkeypatch):
+    """Also of 60,000, and of a kind that only a handful of them has."""
+    label = F.when(F.col("kind") == 3, 1.0).otherwise((F.col("id") % 2).cast("double"))
+    rows = spark.range(60_000).withColumn("kind", F.when(F.col("id") % 6000 == 1, 3).otherwise(2)).withColumn("label", label)
+    rows = rows.select(F.col("id").alias("row"), "kind", F.lit(0).alias("start"), F.lit(9).alias("stop"), "label", array_to_vector(F.array("label")).alias("features"))
+    seen, fit = [], pii.GBTClassifier.fit
+    monkeypatch.setattr(pii.GBTClassifier, "fit", lambda self, data: seen.append(data.count()) or fit(self, data))
+    chosen = pii.selected(rows)
+    assert max(seen) == 60_000 and sum(seen) == 2 * 60_000
+    assert chosen.filter("kind = 3").count() == 10 and chosen.filter("kind = 2").count() == 29_990
+
+
 def test_quality_held_out(spark):
     scored = registry.QUERIES["op4_quality"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
     rows = scored.filter("held_out").collect()
