@@ -6,6 +6,7 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +207,38 @@ def test_line_links_are_right_and_mostly_found(spark):
     print("line links together, by share of edited words:", {k: (found[k], total[k]) for k in total})
     assert missed == 0  # what the pigeonhole principle promises
     assert total["5 %"] == 0 or found["5 %"] >= 0.6 * total["5 %"]
+
+
+def test_every_line_link_is_found(documents):
+    """Brute force over lines with edits up to the limit, of few and of many words, also of four against five."""
+    rng = np.random.default_rng(8)
+    lines = []
+    for n in [4, 5, 6, 9, 10, 14, 19, 24, 40, 60] * 4:
+        words = [f"v{i}" for i in rng.integers(0, 60, n)]
+        lines.append(words)
+        for edits in {1, (n + 1) // 5, n // 5, n // 5 + 1}:
+            other = list(words)
+            for _ in range(edits):
+                at = int(rng.integers(0, len(other)))
+                kind = rng.integers(0, 3)
+                other[at : at + (kind != 2)] = [] if kind == 0 else [f"v{rng.integers(0, 60)}"]
+            lines.append(other)
+    lines += [["p", "q"] * 5, ["p", "q"] * 3 + ["r", "q"] + ["p", "q"], ["p"] * 10, ["p"] * 8 + ["s", "s"]]
+    lines = sorted({" ".join(words) for words in lines})
+    root = list(range(len(lines)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(lines):
+        for j in range(i):
+            a, b = x.split(), lines[j].split()
+            if edit_distance(a, b) <= max(len(a), len(b)) // 5:
+                root[top(i)] = top(j)
+    docs = documents(*enumerate(lines))
+    got = {r["doc_id"]: r["group_id"] for r in linededup.line_groups(docs).collect()}
+    first: dict[int, int] = {}
+    assert [top(i) for i in range(len(lines))] == [top(first.setdefault(got[i], i)) for i in range(len(lines))]
+    assert len(set(got.values())) == len({top(i) for i in range(len(lines))})
