@@ -15,6 +15,10 @@ target looks into one cell per size in use.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,59 +106,111 @@ def delaunay(x: list[float], y: list[float]) -> list[tuple[int, int, int]]:
     return [(a, b, c) for (a, b), c in apex.items() if -1 < a < b and a < c]
 
 
-def _columns(keys: tuple, found: list[tuple[int, int, int]], ids: list[int], kind: type):
-    """A frame of triangles, each from its smallest id on."""
-    rows = []
-    for triangle in found:
-        named = [ids[i] for i in triangle]
-        k = named.index(min(named))
-        rows.append((str(keys[0]), int(keys[1]), *named[k:], *named[:k]))
-    return kind(rows, columns=["case_id", "t", "a", "b", "c"])
-
-
-def _tile(key, pdf):
-    """The triangles of a tile that no point beyond its rim can change."""
-    import numpy as np
-
-    pdf = pdf.sort_values("id")
-    x, y, side = pdf["px"].to_numpy(), pdf["py"].to_numpy(), pdf["side"].iloc[0]
-    ids = pdf["id"].tolist()
-    out = _columns(key, delaunay(x.tolist(), y.tolist()), list(range(len(ids))), type(pdf))
-    corners = out[["a", "b", "c"]].to_numpy(dtype="int64").reshape(-1, 3)
-    ax, ay = x[corners[:, 0]], y[corners[:, 0]]  # from the smallest id on: the same numbers in every tile
-    bx, by = x[corners[:, 1]] - ax, y[corners[:, 1]] - ay
-    cx, cy = x[corners[:, 2]] - ax, y[corners[:, 2]] - ay
-    double = 2 * (bx * cy - by * cx)
-    ux, uy = (cy * (bx * bx + by * by) - by * (cx * cx + cy * cy)) / double, (bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by)) / double
-    radius, mx, my = np.sqrt(ux * ux + uy * uy), ax + ux, ay + uy
-    left, low = key[2] * side, key[3] * side
-    home = (np.floor(mx / side) == key[2]) & (np.floor(my / side) == key[3])
-    room = np.minimum.reduce([mx - left, left + side - mx, my - low, low + side - my]) + RIM * side
-    kept = out[home & (radius * (1 + 1e-9) < room)]
-    names = np.array(ids, dtype="int64")
-    return kept.assign(**{n: names[kept[n].to_numpy(dtype="int64")] for n in ("a", "b", "c")})
-
-
-def _beyond(key, points, border):
-    """The triangles of a frame beyond the border of those found; all where none was found."""
-    points = points.sort_values("id")
-    ids = points["id"].tolist()
-    found = delaunay(points["px"].tolist(), points["py"].tolist())
-    if len(border):
-        place = {name: i for i, name in enumerate(ids)}
-        fence = {(place[u], place[v]) for u, v in zip(border["u"], border["v"])}
-        of = {edge: n for n, (a, b, c) in enumerate(found) for edge in ((a, b), (b, c), (c, a))}
-        reached, spread = set(), [of[v, u] for u, v in fence if (v, u) in of]
-        while spread:
-            n = spread.pop()
-            if n not in reached:
-                reached.add(n)
-                a, b, c = found[n]
-                for u, v in ((a, b), (b, c), (c, a)):
-                    if (v, u) not in fence and (v, u) in of:
-                        spread.append(of[v, u])
-        found = [found[n] for n in sorted(reached)]
-    return _columns(key, found, ids, type(points))
+def _whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of equal keys, from sorted batches, with the places where runs begin and the last one ends."""
+
+    def begins(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        new[0] = True
+        for key in keys:
+            column = table.column(key).combine_chunks()
+            values = (column.dictionary_encode().indices if pa.types.is_string(column.type) else column).to_numpy(zero_copy_only=False)
+            new[1:] |= values[1:] != values[:-1]
+        return np.append(np.flatnonzero(new), table.num_rows)
+
+    def joined(tables: list[pa.Table]) -> tuple[pa.Table, np.ndarray]:
+        table = pa.concat_tables(tables)
+        return table, begins(table)
+
+    waiting: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        last = int(begins(table)[-2])
+        if last:
+            yield joined([*waiting, table.slice(0, last)])
+            waiting = [table.slice(last)]
+        elif waiting and any(waiting[-1].column(k)[-1] != table.column(k)[0] for k in keys):
+            yield joined(waiting)
+            waiting = [table]
+        else:
+            waiting.append(table)
+    if waiting:
+        yield joined(waiting)
+
+
+def _named(table: pa.Table, corners: np.ndarray) -> pa.RecordBatch:
+    """Triangles by the rows of their corners, as a batch with the numbers of their points."""
+    at = pa.array(corners[:, 0])
+    ids = table.column("id").to_numpy()
+    columns = [table.column(k).take(at).combine_chunks() for k in FRAME] + [pa.array(ids[corners[:, k]]) for k in range(3)]
+    return pa.RecordBatch.from_arrays(columns, names=[*FRAME, "a", "b", "c"])
+
+
+def _turned(parts: list[np.ndarray]) -> np.ndarray:
+    """The triangles of all parts, each from its smallest corner on."""
+    corners = np.concatenate([np.zeros((0, 3), "int64"), *parts])
+    rows, first = np.arange(len(corners)), corners.argmin(axis=1) if len(corners) else np.zeros(0, "int64")
+    return np.column_stack([corners[rows, (first + k) % 3] for k in range(3)])
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The triangles of each tile that no point beyond its rim can change; the points of a tile come by number."""
+    for table, begins in _whole(batches, [*FRAME, "cx", "cy"]):
+        x, y, side, cx, cy = (table.column(n).to_numpy() for n in ("px", "py", "side", "cx", "cy"))
+        found = [(i, delaunay(x[i:j].tolist(), y[i:j].tolist())) for i, j in zip(begins[:-1], begins[1:])]
+        corners = _turned([i + np.array(triangles, "int64") for i, triangles in found if triangles])
+        home = corners[:, 0]
+        ax, ay = x[corners[:, 0]], y[corners[:, 0]]  # from the smallest id on: the same numbers in every tile
+        bx, by = x[corners[:, 1]] - ax, y[corners[:, 1]] - ay
+        dx, dy = x[corners[:, 2]] - ax, y[corners[:, 2]] - ay
+        double = 2 * (bx * dy - by * dx)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ux, uy = (dy * (bx * bx + by * by) - by * (dx * dx + dy * dy)) / double, (bx * (dx * dx + dy * dy) - dx * (bx * bx + by * by)) / double
+            radius, mx, my, s = np.sqrt(ux * ux + uy * uy), ax + ux, ay + uy, side[home]
+            left, low = cx[home] * s, cy[home] * s
+            own = (np.floor(mx / s) == cx[home]) & (np.floor(my / s) == cy[home])
+            room = np.minimum.reduce([mx - left, left + s - mx, my - low, low + s - my]) + RIM * s
+            kept = own & (radius * (1 + 1e-9) < room)
+        yield _named(table, corners[kept])
+
+
+def _beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The triangles of each frame beyond the border of those found; all where none was found. The points of a frame come
+    by number, before its border, whose rows have no ``id``."""
+    for table, begins in _whole(batches, FRAME):
+        parts = []
+        borders = table.column("id").is_null().to_numpy()
+        x, y = table.column("px").to_numpy(), table.column("py").to_numpy()
+        for i, j in zip(begins[:-1].tolist(), begins[1:].tolist()):
+            k = j - int(borders[i:j].sum())
+            found = delaunay(x[i:k].tolist(), y[i:k].tolist())
+            if k < j:
+                place = {name: n for n, name in enumerate(table.column("id").slice(i, k - i).to_pylist())}
+                ends = (table.column(n).slice(k, j - k).to_pylist() for n in "uv")
+                fence = {(place[u], place[v]) for u, v in zip(*ends)}
+                of = {edge: n for n, (a, b, c) in enumerate(found) for edge in ((a, b), (b, c), (c, a))}
+                reached, spread = set(), [of[v, u] for u, v in fence if (v, u) in of]
+                while spread:
+                    n = spread.pop()
+                    if n not in reached:
+                        reached.add(n)
+                        a, b, c = found[n]
+                        for u, v in ((a, b), (b, c), (c, a)):
+                            if (v, u) not in fence and (v, u) in of:
+                                spread.append(of[v, u])
+                found = [found[n] for n in sorted(reached)]
+            if found:
+                parts.append(i + np.array(found, "int64"))
+        yield _named(table.set_column(table.schema.get_field_index("id"), "id", table.column("id").fill_null(-1)), _turned(parts))
+
+
+def _sorted(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
+    """The rows of equal keys together and in order, in as many tasks as there are shuffle partitions: the work on them, not
+    their size, decides."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, *order)
 
 
 def numbered(points: DataFrame, value: str) -> DataFrame:
@@ -188,7 +244,8 @@ def triangulate(placed: DataFrame, tile: int = TILE, whole: int = WHOLE) -> Data
         inside = inside & (beyond >= -RIM * F.col("side")) & (beyond < (1 + RIM) * F.col("side"))
     sent = spread.filter(inside).select(*FRAME, "cx", "cy", "id", "px", "py", "side")
     shape = TRIANGLE.replace("t int", f"t {kind}")
-    found = settle(sent.groupBy(*FRAME, "cx", "cy").applyInPandas(_tile, shape), "found")
+    sent = sent.withColumn("case_id", F.col("case_id").cast("string"))
+    found = settle(_sorted(sent, [*FRAME, "cx", "cy"], "id").mapInArrow(_tiles, shape), "found")
     edge = F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in (("a", "b"), ("b", "c"), ("c", "a"))])
     edges = found.select(*FRAME, F.explode(edge).alias("e")).select(*FRAME, "e.u", "e.v")
     back = edges.select(*FRAME, F.col("v").alias("u"), F.col("u").alias("v"))
@@ -196,7 +253,8 @@ def triangulate(placed: DataFrame, tile: int = TILE, whole: int = WHOLE) -> Data
     ends = border.select(*FRAME, F.col("u").alias("id")).union(border.select(*FRAME, F.col("v").alias("id")))
     closed = edges.select(*FRAME, F.col("u").alias("id")).join(ends, [*FRAME, "id"], "left_anti").distinct()
     open_points = placed.join(closed, [*FRAME, "id"], "left_anti").select(*FRAME, "id", "px", "py")
-    rest = open_points.groupBy(*FRAME).cogroup(border.groupBy(*FRAME)).applyInPandas(_beyond, shape)
+    both = open_points.withColumn("case_id", F.col("case_id").cast("string")).unionByName(border, allowMissingColumns=True)
+    rest = _sorted(both, FRAME, F.col("id").asc_nulls_last()).mapInArrow(_beyond, shape)
     return settle(found.unionByName(rest), "triangles")
 
 

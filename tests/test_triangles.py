@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,23 @@ def test_tiles_give_the_triangles_of_the_whole(spark, tile):
     assert tiled.filter("case_id = 'b'").count() >= 2 * 24 * 17
 
 
+def test_tiles_that_batches_cut(rng=np.random.default_rng(4)):
+    """Runs of one key come whole and in order, wherever the batches end; many tiles share one call."""
+    sizes = [1, 7, 30, 2, 2, 45]
+    rows = [("a", 0, k, 0, 100 * k + i, float(x), float(y), 9.0) for k, n in enumerate(sizes) for i, (x, y) in enumerate(rng.random((n, 2)))]
+    names = ["case_id", "t", "cx", "cy", "id", "px", "py", "side"]
+    table = pa.table([pa.array(c) for c in zip(*rows)], names=names)
+    for size in (1, 3, 11, len(rows)):
+        batches = table.to_batches(max_chunksize=size)
+        runs = [t.slice(i, j - i) for t, at in triangles._whole(iter(batches), ["case_id", "t", "cx", "cy"]) for i, j in zip(at[:-1], at[1:])]
+        assert [r.num_rows for r in runs] == sizes and pa.concat_tables(runs).equals(table)
+        calls = list(triangles._tiles(iter(batches)))
+        assert size < len(rows) or len(calls) <= 2
+        whole = pa.Table.from_batches(calls).to_pylist()
+        assert whole == pa.Table.from_batches(list(triangles._tiles(iter(table.to_batches())))).to_pylist()
+        assert all(r["a"] == min(r["a"], r["b"], r["c"]) for r in whole)
+
+
 def test_values_at_nodes_and_on_linear_fields(spark):
     rng = np.random.default_rng(3)
     x, y = cloud(rng, 300)
