@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from eddyfield.llm import decontaminate, jaccard, langid, mixing, sharding
-from eddyfield.llm.common import read
+from eddyfield.llm.common import digests_of, read, without_texts
 from eddyfield.llm.registry import query
 from eddyfield.session import new_path
 
@@ -20,7 +20,8 @@ LEAST_SCORE = 0.5  # of the predicted language
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, or of too doubtful a one, go."""
     judged = langid.detect(docs, langid.learn(docs))
-    return docs.filter((judged["lang"] != langid.UNKNOWN) & (judged["score"] >= LEAST_SCORE))
+    gone = digests_of(docs, (judged["lang"] == langid.UNKNOWN) | (judged["score"] < LEAST_SCORE))
+    return without_texts(docs.filter("text IS NOT NULL"), gone)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,11 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
+from eddyfield.llm.common import ROWS_PER_BATCH, digests_of, without_texts
+from eddyfield.session import rows_per_batch, settle
+
 SEED = 3  # words
 SHORTEST = 5
 LEAST_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 ITEMS_PER_BLOCK = 20_000
+MOST_WORDS = 50_000  # words whose hashes a task remembers
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype="uint64")
 _MARKS = re.compile(r"[\W_]+")
 
@@ -38,7 +42,7 @@ class _Words(dict):
     """Hash of each word without its marks, 0 if nothing is left; remembered up to a limit."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) >= MOST_WORDS:
             self.clear()
         plain = _MARKS.sub("", word.decode("utf-8", "replace").lower())
         value = self[word] = xxhash.xxh64_intdigest(plain) or 1 if plain else 0
@@ -183,14 +187,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, start, stop): every document with every item that leaked into it."""
     out = None
     for block in blocks_of(benchmark):
-        rows = docs.select("doc_id", F.explode(leaks_in(docs, block)).alias("leak")).select("doc_id", "leak.*")
+        with rows_per_batch(docs.sparkSession, ROWS_PER_BATCH):
+            rows = docs.select("doc_id", F.explode(leaks_in(docs, block)).alias("leak")).select("doc_id", "leak.*")
+            rows = settle(rows, "leaks")
         out = rows if out is None else out.union(rows)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a leak."""
-    kept = docs
+    gone = None
     for block in blocks_of(benchmark):
-        kept = kept.filter(F.size(leaks_in(docs, block)) == 0)
-    return kept
+        found = digests_of(docs, F.size(leaks_in(docs, block)) > 0)
+        gone = found if gone is None else gone.union(found)
+    return without_texts(docs, gone)

@@ -54,7 +54,7 @@ PAIRED = 8
 COMMON = 64  # a shingle in more texts than this is common ...
 MOST_COMMON = 500_000  # ... or in so many that there cannot be more than this number of them
 COUNTED_TOGETHER = 4_000_000  # shingles
-KEYS_PER_TASK = 1_000_000
+KEYS_PER_TASK = 500_000
 KEYS_PER_ROUND = 500_000  # leading coordinates that a task holds before it sends them
 ROWS_PER_BATCH = 1000  # texts that go to Python at once
 HELD = 16_000_000  # bytes of sets or counts that a task remembers
@@ -163,6 +163,17 @@ def _texts(batches: Iterator[pa.RecordBatch]):
         yield batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
 
 
+def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that come twice or more, in order, and how often each. Sorts ``keys`` in place: of millions of them
+    nothing larger than they are is held beside them."""
+    keys.sort()
+    same = np.zeros(len(keys) + 1, bool)  # as the one before
+    same[1:-1] = keys[1:] == keys[:-1]
+    first = np.flatnonzero(~same[:-1] & same[1:])
+    last = np.flatnonzero(same[:-1] & ~same[1:])
+    return keys[first], last - first + 1
+
+
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, and rows without one that hold, of the shingles of many documents together, the
     short forms that come twice or more (``counts``: how often, ``keys``: which)."""
@@ -174,11 +185,11 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n", "point", "counts", "fine", "keys"])
 
     def repeated() -> pa.RecordBatch:
-        keys, times = np.unique(np.concatenate([*waiting, np.zeros(0, "uint32")]), return_counts=True)
-        keys, times = keys[times > 1], times[times > 1]
+        keys = np.concatenate([*waiting, np.zeros(0, "uint32")])
         waiting.clear()
         seen.clear()
-        return batch_of([(None, -1, None, times.astype("int64").tobytes(), None, keys.tobytes())])
+        keys, times = _repeated(keys)
+        return batch_of([(None, -1, None, times.tobytes(), None, keys.tobytes())])
 
     for ids, texts in _texts(batches):
         out = []
@@ -273,14 +284,18 @@ def candidates(docs: DataFrame, common: Common, total: int) -> DataFrame:
             keys += batch.column(1).to_pylist()
             ids += batch.column(2).to_pylist()
             places += batch.column(3).to_pylist()
-        key, point = np.frombuffer(b"".join(keys), "uint64"), np.frombuffer(b"".join(ids), "int64")
+        key = np.frombuffer(b"".join(keys), "uint64")
+        del keys
+        point = np.frombuffer(b"".join(ids), "int64")
+        del ids
         place = np.frombuffer(b"".join(places), "int32")
-        del keys, ids, places
+        del places
         order = np.lexsort((point, key))
-        key, point, place = key[order], point[order], place[order]
+        key, point = key[order], point[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (point[1:] != point[:-1])
-        key, point, place = key[new], point[new], place[new]
+        key, point, place = key[new], point[new], place[order[new]]
+        del order, new
         begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, "int64")
         sizes = np.diff(np.append(begins, len(key)))
         size = np.repeat(sizes, sizes)

@@ -23,12 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eddyfield.llm.common import held_out
-from eddyfield.session import settle
+from eddyfield.session import rows_per_batch, settle
 
 UNKNOWN = "und"
 LONGEST = 5
 LETTERS = re.compile(r"[^\W\d_]+")
 CACHE = 200_000  # unseen words that a worker remembers
+COUNTED_TOGETHER = 2000  # texts whose words and n-grams a task holds at once
 EVIDENCE = 16  # words that count as independent of each other
 
 
@@ -81,7 +82,8 @@ def learn(docs: DataFrame, max_rows: int = 2000, max_words: int = 30_000, max_gr
     first = Window.partitionBy("lang", "n").orderBy(F.desc("times"), "gram")
     kept = counts.withColumn("rank", F.row_number().over(first)).withColumn("all", F.sum("times").over(Window.partitionBy("lang", "n")))
     kept = kept.filter(F.col("rank") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams))
-    found = kept.select("lang", "n", "gram", "times", "all").toPandas()
+    with rows_per_batch(docs.sparkSession, COUNTED_TOGETHER):
+        found = kept.select("lang", "n", "gram", "times", "all").toPandas()
     model = Model(sorted(found["lang"].unique()), grams=[{} for _ in range(LONGEST)])
     column = {lang: i for i, lang in enumerate(model.languages)}
     total = {(n, lang): whole for lang, n, whole in found[["lang", "n", "all"]].drop_duplicates().itertuples(index=False)}
@@ -109,23 +111,32 @@ def word_score(model: Model, word: str) -> np.ndarray:
 
 
 class _Detector:
+    """Judges texts by a model, which is shared and not copied; the rows of unseen words come after its own."""
+
     def __init__(self, model: Model):
         self.model = model
+        self.base = len(model.table)
         self._clear()
 
     def _clear(self) -> None:
-        self.rows = dict(self.model.words)
-        self.table = np.empty((len(self.model.table) + CACHE, len(self.model.languages)), "float32")
-        self.table[: len(self.model.table)] = self.model.table
-        self.end = len(self.model.table)
+        self.unseen: dict[str, int] = {}
+        self.table = np.empty((1000, len(self.model.languages)), "float32")
 
     def _row(self, word: str) -> int:
-        if self.end == len(self.table):  # full: a larger one for a text of very many words
-            self.table = np.concatenate([self.table, np.empty((CACHE, self.table.shape[1]), "float32")])
-        self.table[self.end] = word_score(self.model, word)
-        self.rows[word] = self.end
-        self.end += 1
-        return self.end - 1
+        place = len(self.unseen)
+        if place == len(self.table):  # full
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        self.table[place] = word_score(self.model, word)
+        self.unseen[word] = self.base + place
+        return self.base + place
+
+    def _rows(self, places: list[int]) -> np.ndarray:
+        at = np.array(places)
+        own = at < self.base
+        out = np.empty((len(at), self.table.shape[1]), "float32")
+        out[own] = self.model.table[at[own]]
+        out[~own] = self.table[at[~own] - self.base]
+        return out
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = LETTERS.findall(text.lower()) if text else []
@@ -134,11 +145,11 @@ class _Detector:
             del counts[word]  # number signs only
         if not counts or not self.model.languages:
             return UNKNOWN, 0.0
-        if self.end - len(self.model.table) > CACHE // 2:
+        if len(self.unseen) > CACHE // 2:
             self._clear()
-        known = self.rows
-        rows = [known[w] if w in known else self._row(w) for w in counts]
-        sums = np.fromiter(counts.values(), "float64", len(rows)) @ self.table[rows]
+        known, unseen = self.model.words, self.unseen
+        rows = [known[w] if w in known else unseen[w] if w in unseen else self._row(w) for w in counts]
+        sums = np.fromiter(counts.values(), "float64", len(rows)) @ self._rows(rows)
         sums *= min(1.0, EVIDENCE / counts.total())
         chances = np.exp(sums - sums.max())
         best = int(np.argmax(chances))

@@ -299,3 +299,35 @@ def test_a_rare_language_is_learned(documents):
     """Also where the sample holds a small share of the others."""
     docs = documents(*[(i, "the dog and the cat", "en", "s") for i in range(3000)], *[(5000 + i, "der hund und die katze", "de", "s") for i in range(6)])
     assert langid.learn(docs, max_rows=20).languages == ["de", "en"]
+
+
+def test_few_texts_at_once_wait_for_decontamination(spark, documents, monkeypatch):
+    """Whatever the session allows, a bounded number of texts is handed over together, and rows are whole after it."""
+    seen, item = [], paragraph(1, 30)
+    rows = [(i, paragraph(i, 5) if i % 3 else item, None, f"s{i}") for i in range(2, 40)] + [(None, item), (None, None), (3, paragraph(3, 5))]
+    docs = documents(*rows).coalesce(1)
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    original = decontaminate.leaks_in
+
+    def batches(docs, block):
+        limit = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        seen.append(int(limit))
+        return original(docs, block)
+
+    monkeypatch.setattr(decontaminate, "leaks_in", batches)
+    got = decontaminate.clean(docs, benchmark)
+    assert got.columns == docs.columns
+    want = sorted((str(r[0]), str(r[1])) for r in rows if r[1] != item)
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect()) == want
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()  # no row waits for Python beside its text
+    assert decontaminate.contaminated(docs, benchmark).count() == 14
+    assert seen[-1] <= decontaminate.ROWS_PER_BATCH
+
+
+def test_the_language_model_is_shared_by_its_detector():
+    model = langid.Model(["a", "b"], {"one": 0, "two": 1}, [{} for _ in range(langid.LONGEST)], np.array([[-1, -2], [-3, -1]], "float32"))
+    model.grams[0] = {"x": 0}
+    detector = langid._Detector(model)
+    got = [detector(" ".join(["one", *(f"x{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(n))])) for n in (0, 3, 1500, 3)]
+    assert not np.shares_memory(detector.table, model.table) and len(model.words) == 2 and len(detector.unseen) == 1500
+    assert {g[0] for g in got} == {"a"} and got[1] == got[3]
