@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -242,3 +243,28 @@ def test_every_line_link_is_found(documents):
     first: dict[int, int] = {}
     assert [top(i) for i in range(len(lines))] == [top(first.setdefault(got[i], i)) for i in range(len(lines))]
     assert len(set(got.values())) == len({top(i) for i in range(len(lines))})
+
+
+def test_line_groups_hold_no_shuffle_files_and_few_tables(spark, documents, monkeypatch):
+    """The shuffle files of a step go when it ends, and tables that nothing reads any more go too."""
+    rng = np.random.default_rng(3)
+    docs = documents(*[(i, "\n".join(" ".join(f"v{j}" for j in rng.integers(0, 300, 12)) for _ in range(20))) for i in range(40)])
+    settle = linededup.settle
+    folders = [Path(str(d)) for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+
+    def shuffles():
+        return {f for folder in folders for f in folder.rglob("shuffle_*")}
+
+    held, made = [], []
+
+    def watched(df, name):
+        before = shuffles()
+        made.append(settle(df, name))
+        held.append((name, len(shuffles() - before)))
+        return made[-1]
+
+    monkeypatch.setattr(linededup, "settle", watched)
+    assert linededup.line_groups(docs).count() == 800
+    assert len(held) > 15 and not [h for h in held if h[1]]
+    there = [Path(f.removeprefix("file:")).exists() for table in made for f in table.inputFiles()[:1]]
+    assert there.count(False) >= 7
