@@ -274,3 +274,45 @@ def test_line_groups_hold_no_shuffle_files_and_few_tables(spark, documents, monk
     assert len(held) > 15 and sum(files for _, files in held) <= 8
     there = [Path(f.removeprefix("file:")).exists() for table in made for f in table.inputFiles()[:1]]
     assert there.count(False) >= 7
+
+
+def test_line_blocks_meet_part_by_part(documents, monkeypatch):
+    """No table holds the members of all blocks at once, and each goes before the next is made."""
+    rng = np.random.default_rng(5)
+    docs = documents(*[(i, " ".join(f"v{j}" for j in rng.integers(0, 60, 12))) for i in range(400)])
+    settle, sizes, tables = linededup.settle, [], []
+
+    def watched(df, name):
+        table = settle(df, name)
+        if name == "told_members":
+            assert not any(Path(f.removeprefix("file:")).exists() for f in tables)
+            sizes.append(table.count())
+            tables.extend(table.inputFiles())
+        return table
+
+    monkeypatch.setattr(linededup, "settle", watched)
+    assert linededup.line_groups(docs).count() == 400
+    assert min(sizes) > 0 and max(sizes) <= 0.5 * sum(sizes)
+
+
+def test_line_prints_of_few_and_many_words(spark):
+    """Each bit by its own counter, also where the words fill or overflow the packed ones."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"v{j}" for j in rng.integers(0, 9, n)) for n in (1, 2, 3, 4, 63, 126, 127, 128, 129, 254, 255, 700, 40_000)]
+    texts += [" ".join(["a"] * n) for n in (127, 128, 5000)]
+    lines = spark.createDataFrame(list(enumerate(texts)), "line long, norm string")
+    words = lines.select("line", F.explode(F.split("norm", " ")).alias("word")).select("line", F.xxhash64("word"), F.xxhash64("word", F.lit(1)))
+    hashes: dict[int, list] = {}
+    for line, *pair in words.collect():
+        hashes.setdefault(line, []).append([h % 2**64 for h in pair])
+    rows = {r["line"]: r for r in linededup.prints(lines).collect()}
+    assert len(rows) == len(texts)
+    for line, pairs in hashes.items():
+        assert rows[line]["words"] == len(pairs)
+        for half in range(2):
+            bits = sum(1 << b for b in range(64) if 2 * sum(p[half] >> b & 1 for p in pairs) > len(pairs))
+            assert rows[line][f"print{half}"] % 2**64 == bits
+        odd = [0] * linededup.BAGS
+        for h, _ in pairs:
+            odd[h >> 6 & 3] ^= 1 << (h & 63)
+        assert [rows[line][f"bag{k}"] % 2**64 for k in range(linededup.BAGS)] == odd
